@@ -50,18 +50,12 @@ def tfidf(spark, sf):
 
 @query(
     "join_tf_idf",
-    f"""WITH {sql.STATS} SELECT word, count(*) AS lines, round(sum(n_w / CAST(n_d AS DOUBLE) * idf), 6) AS total_tf_idf
-    FROM tf JOIN idf USING (word) GROUP BY word""",
+    f"""WITH {sql.STATS} SELECT doc_id, line_no, word, n_w, i_d, round(n_w / CAST(n_d AS DOUBLE), 6) AS tf, round(idf, 6) AS idf
+    FROM tf JOIN idf USING (word)""",
 )
 def join_tf_idf(spark, sf):
-    """Total weight per word; idf is constant per word, so no join is needed."""
-    runs = terms.term_frequency(line_tokens(spark, sf))
-    sums = runs.groupBy("word").agg(F.count("*").alias("lines"), F.sum("tf").alias("sum_tf"))
-    # Words and the line count come from the same token rows.
-    lines = line_tokens(spark, sf).filter(F.size("tokens") > 0).agg(F.count("*").alias("c_d"))
-    return sums.crossJoin(F.broadcast(lines)).select(  # one row
-        "word", "lines", F.round(F.col("sum_tf") * F.log(F.col("c_d") / F.col("lines")), 6).alias("total_tf_idf")
-    )
+    found = terms.attach_idf(line_tokens(spark, sf), written_stats(spark, sf))
+    return found.select(*KEYS, "word", "n_w", "i_d", F.round("tf", 6).alias("tf"), F.round("idf", 6).alias("idf"))
 
 
 def smooth_sql(rounded: bool) -> str:

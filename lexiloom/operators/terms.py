@@ -83,9 +83,14 @@ def inverse_doc_frequency(line_tokens: DataFrame) -> DataFrame:
     return term_stats(line_tokens).select("word", "c_d", "i_d", "idf")
 
 
+def attach_idf(line_tokens: DataFrame, stats: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Term frequencies with the idf of their word. ``stats`` is a written :func:`term_stats` table."""
+    return lookup_join(term_frequency(line_tokens, keys), stats, "word", ["idf", "i_d", "total"], hot_by="total")
+
+
 def tfidf(line_tokens: DataFrame, stats: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """tf * idf per (line, word). ``stats`` is a written :func:`term_stats` table."""
-    joined = lookup_join(term_frequency(line_tokens, keys), stats, "word", ["idf", "total"], hot_by="total")
+    """tf * idf per (line, word)."""
+    joined = attach_idf(line_tokens, stats, keys)
     return joined.select(*keys, "word", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"))
 
 
