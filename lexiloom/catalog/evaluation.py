@@ -166,7 +166,7 @@ def decoded_sides(spark, sf):
 @query(
     "bleu_sentence",
     f"""WITH {BLEU} SELECT key, round(CASE WHEN ok = 4 THEN exp(m) * exp(least(1 - lr / CAST(lc AS DOUBLE), 0.0)) ELSE 0.0 END, 6) AS bleu
-    FROM sent WHERE lc + lr > 0""",
+    FROM sent""",
 )
 def bleu_sentence(spark, sf):
     return evaluate.bleu_sentence(decoded_sides(spark, sf), "key", "cand", "ref").withColumn("bleu", F.round("bleu", 6))
@@ -179,7 +179,7 @@ def bleu_sentence(spark, sf):
       * exp(least(1 - (SELECT sum(len(ref)) FROM both_sides) / CAST((SELECT sum(len(cand)) FROM both_sides) AS DOUBLE), 0.0)), 6) AS bleu""",
 )
 def bleu_corpus(spark, sf):
-    return evaluate.bleu_corpus(decoded_sides(spark, sf), "key", "cand", "ref").withColumn("bleu", F.round("bleu", 6))
+    return evaluate.bleu_corpus(decoded_sides(spark, sf), "cand", "ref").withColumn("bleu", F.round("bleu", 6))
 
 
 FOLDS = SCORED + f""",

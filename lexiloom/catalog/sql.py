@@ -11,7 +11,7 @@ def quoted(text: str) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {quoted(f'^{WHITESPACE}+|{WHITESPACE}+$')}, '', 'g')"
+    return f"trim({x}, {quoted(WHITESPACE)})"
 
 
 def clean_keyword(x: str) -> str:

@@ -76,10 +76,7 @@ weights AS (
 
 @query("tfidf_smooth_l2", f"WITH {smooth_sql(True)} SELECT doc_id, line_no, word, weight FROM weights")
 def tfidf_smooth_l2(spark, sf):
-    stops = F.array(*[F.lit(w) for w in STOP_LITERALS])
-    words = F.filter(
-        text.tokenize_words(text.clean_keyword_text(F.col("line"))), lambda t: ~F.array_contains(stops, t)
-    )
+    words = text.without(text.cleaned_words(text.clean_keyword_text(F.col("line"))), STOP_LITERALS)
     tokens = with_tokens(tables.lines(spark, sf), words)
     found = terms.tfidf_smooth_l2(tokens, materialize(terms.smooth_stats(tokens), "smooth"))
     return found.withColumn("weight", F.round("weight", 6))

@@ -300,7 +300,7 @@ def tokenizer_hook(spark, sf):
 )
 def drop_empty_tokens(spark, sf):
     parts = text.tokenize_delims(text.clean_keyword_text(F.col("line")), keep_empty=True)
-    words = tables.lines(spark, sf).select("doc_id", F.explode(parts).alias("word"))
+    words = tables.lines(spark, sf).select("doc_id", F.explode_outer(parts).alias("word"))
     return words.filter(F.length("word") > 0).groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
 
 
@@ -347,7 +347,9 @@ def union_stopwords(spark, sf):
 
 @query("distinct_tokens", f"WITH {sql.TOK} SELECT DISTINCT word FROM tok")
 def distinct_tokens(spark, sf):
-    return line_tokens(spark, sf).select(F.explode(F.array_distinct("tokens")).alias("word")).distinct()
+    return line_tokens(spark, sf).select(F.explode_outer(F.array_distinct("tokens")).alias("word")).distinct().filter(
+        F.col("word").isNotNull()
+    )
 
 
 @query(

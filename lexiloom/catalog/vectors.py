@@ -153,7 +153,7 @@ def rank_similarity(spark, sf):
         F.concat_ws(" ", F.transform("ranked", lambda x: x.cast("string"))).alias("ranked"),
     )
     best = vectors.recommend_topn(a, b, "vec_id", "vec", top_n=1000)
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "t_id")))  # at most 1000
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "t_id")))  # at most 1000
     per_a = best.groupBy("q_id").agg(ordered.alias("l")).select(
         F.lit("a").alias("side"),
         F.col("q_id").alias("id"),

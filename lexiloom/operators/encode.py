@@ -13,7 +13,7 @@ from .terms import KEYS
 def collect_ordered(rows: DataFrame, keys: list[str], value: str, out: str, carry: list[str] = ()) -> DataFrame:
     """Gather ``value`` by ``pos`` into one array per key; a null ``pos`` adds nothing."""
     placed = F.when(F.col("pos").isNotNull(), F.struct("pos", F.col(value).alias("v")))
-    grouped = rows.groupBy(*keys, *carry).agg(F.array_sort(F.collect_list(placed)).alias("_l"))
+    grouped = rows.groupBy(*keys, *carry).agg(F.sort_array(F.collect_list(placed)).alias("_l"))
     return grouped.select(*keys, *carry, F.transform("_l", lambda x: x["v"]).alias(out))
 
 

@@ -98,65 +98,64 @@ def _grams(tokens: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.concat_ws(" ", F.slice(tokens, i, F.lit(n))))
 
 
-def _matches(pairs: DataFrame, key: str, candidate: str, reference: str, orders: int) -> DataFrame:
-    """Per pair and order: clipped matches, candidate n-grams and both lengths.
+def _clipped(candidate: Column, reference: Column) -> Column:
+    """Size of the multiset intersection of two n-gram arrays of one row.
 
-    Counting candidate and reference n-grams in one grouping needs no join.
+    Both are sorted together, so equal n-grams are neighbours and one pass counts them.
     """
-
-    def tagged(tokens: str, n: int, side: int) -> Column:
-        return F.transform(
-            _grams(F.col(tokens), n),
-            lambda g: F.struct(
-                F.lit(n).alias("n"), g.alias("gram"), F.lit(side).alias("cand"), F.lit(1 - side).alias("ref")
-            ),
+    both = F.sort_array(
+        F.concat(
+            F.transform(candidate, lambda g: F.struct(g.alias("g"), F.lit(1).alias("c"))),
+            F.transform(reference, lambda g: F.struct(g.alias("g"), F.lit(0).alias("c"))),
         )
-
-    sides = [
-        tagged(tokens, n, side) for side, tokens in ((1, candidate), (0, reference)) for n in range(1, orders + 1)
-    ]
-    grams = pairs.select(key, F.explode(F.concat(*sides)).alias("g"))
-    counts = grams.groupBy(key, "g.n", "g.gram").agg(F.sum("g.cand").alias("c"), F.sum("g.ref").alias("r"))
-    return counts.groupBy(key, "n").agg(
-        F.sum(F.least("c", "r")).alias("matched"), F.sum("c").alias("total"), F.sum("r").alias("ref_total")
     )
 
+    def state(gram: Column, c: Column, r: Column, matched: Column) -> Column:
+        return F.struct(gram.alias("g"), c.alias("c"), r.alias("r"), matched.alias("m"))
 
-def _score(matched: list[Column], total: list[Column], cand_len: Column, ref_len: Column) -> Column:
-    logs = [F.log(m / t) for m, t in zip(matched, total)]
-    mean = sum(logs[1:], logs[0]) / len(logs)
-    brevity = F.exp(F.least(1 - ref_len / cand_len, F.lit(0.0)))
-    usable = matched[0] > 0
-    for m in matched[1:]:
-        usable = usable & (m > 0)
-    return F.when(usable, F.exp(mean) * brevity).otherwise(F.lit(0.0))
-
+    def step(s: Column, x: Column) -> Column:
+        same = s["g"] == x["g"]
+        return state(
+            x["g"],
+            F.when(same, s["c"]).otherwise(F.lit(0)) + x["c"],
+            F.when(same, s["r"]).otherwise(F.lit(0)) + 1 - x["c"],
+            s["m"] + F.when(same, F.lit(0)).otherwise(F.least(s["c"], s["r"])),
+        )
 
-def _by_order(name: str, orders: int) -> list[Column]:
-    return [
-        F.coalesce(F.sum(F.when(F.col("n") == n, F.col(name))), F.lit(0)).alias(f"{name}_{n}")
-        for n in range(1, orders + 1)
-    ]
+    start = state(F.lit(""), F.lit(0), F.lit(0), F.lit(0))
+    return F.aggregate(both, start, step, lambda s: (s["m"] + F.least(s["c"], s["r"])).cast("bigint"))
+
+
+def _counts(pairs: DataFrame, candidate: str, reference: str, orders: int) -> DataFrame:
+    """Clipped matches and candidate n-grams of every order, and both lengths, per row."""
+    return pairs.withColumns(
+        {
+            **{
+                f"_m{n}": _clipped(_grams(F.col(candidate), n), _grams(F.col(reference), n))
+                for n in range(1, orders + 1)
+            },
+            **{f"_t{n}": F.greatest(F.size(candidate) - (n - 1), F.lit(0)) for n in range(1, orders + 1)},
+            "_c": F.size(candidate),
+            "_r": F.size(reference),
+        }
+    )
 
 
-def _columns(orders: int):
-    return (
-        [F.col(f"matched_{n}") for n in range(1, orders + 1)],
-        [F.col(f"total_{n}") for n in range(1, orders + 1)],
-        F.col("total_1"),
-        F.col("ref_total_1"),
-    )
+def _score(orders: int) -> Column:
+    logs = [F.log(F.col(f"_m{n}") / F.col(f"_t{n}")) for n in range(1, orders + 1)]
+    mean = sum(logs[1:], logs[0]) / orders
+    brevity = F.exp(F.least(1 - F.col("_r") / F.col("_c"), F.lit(0.0)))
+    usable = F.least(*[F.col(f"_m{n}") for n in range(1, orders + 1)]) > 0
+    return F.when(usable, F.exp(mean) * brevity).otherwise(F.lit(0.0))
 
 
 def bleu_sentence(pairs: DataFrame, key: str, candidate: str, reference: str, orders: int = 4) -> DataFrame:
-    """Sentence BLEU; 0 when some order has no match."""
-    matches = _matches(pairs, key, candidate, reference, orders)
-    wide = matches.groupBy(key).agg(*[c for s in ("matched", "total", "ref_total") for c in _by_order(s, orders)])
-    return wide.select(key, _score(*_columns(orders)).alias("bleu"))
+    """Sentence BLEU; 0 when some order has no match. No shuffle."""
+    return _counts(pairs, candidate, reference, orders).select(key, _score(orders).alias("bleu"))
 
 
-def bleu_corpus(pairs: DataFrame, key: str, candidate: str, reference: str, orders: int = 4) -> DataFrame:
-    """Corpus BLEU from the sums of all pairs."""
-    matches = _matches(pairs, key, candidate, reference, orders)
-    wide = matches.agg(*[c for s in ("matched", "total", "ref_total") for c in _by_order(s, orders)])
-    return wide.select(_score(*_columns(orders)).alias("bleu"))
+def bleu_corpus(pairs: DataFrame, candidate: str, reference: str, orders: int = 4) -> DataFrame:
+    """Corpus BLEU from the sums of all rows."""
+    names = [*(f"_m{n}" for n in range(1, orders + 1)), *(f"_t{n}" for n in range(1, orders + 1)), "_c", "_r"]
+    counts = _counts(pairs, candidate, reference, orders)
+    return counts.agg(*[F.sum(n).alias(n) for n in names]).select(_score(orders).alias("bleu"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import CLS, FIRST_PIECE, MASK, SEP, attention_mask, let, pad_fixed, segment_ids
+from ..functions.arrays import CLS, FIRST_PIECE, MASK, SEP, attention_mask, pad_fixed, segment_ids
 from ..functions.hashing import hash_int, keyed_hash, unit_float
 from .encode import encode_tokens, frame_all, pad_batch
 from .ranking import batch_length_sort, batch_rows, global_rank
@@ -60,14 +60,19 @@ def join_pair(a: Column, b: Column, max_length: int = MAX_LENGTH) -> Column:
     )
 
 
-def mask_positions(ids: Column, seed: int, keys: list[str]) -> Column:
-    """0-based positions that are neither CLS nor SEP, in hash order."""
+def mask_ranks(ids: Column, seed: int, keys: list[str]) -> Column:
+    """Place of each position in hash order, CLS and SEP positions last.
+
+    Two sorts of the row's own positions; nothing is searched.
+    """
     tagged = F.transform(
         ids,
-        lambda x, i: F.struct(keyed_hash(seed, *[F.col(k) for k in keys], i).alias("h"), i.alias("i"), x.alias("x")),
+        lambda x, i: F.struct(
+            x.isin(CLS, SEP).alias("closed"), keyed_hash(seed, *[F.col(k) for k in keys], i).alias("h"), i.alias("i")
+        ),
     )
-    open_ = F.filter(tagged, lambda t: ~t["x"].isin(CLS, SEP))
-    return F.transform(F.sort_array(open_), lambda t: t["i"])
+    placed = F.transform(F.sort_array(tagged), lambda t, k: F.struct(t["i"].alias("i"), k.alias("k")))
+    return F.transform(F.sort_array(placed), lambda t: t["k"])
 
 
 def mask_tokens(
@@ -84,34 +89,32 @@ def mask_tokens(
 
     Everything is local to the row. Adds ``inputs``, ``marks`` and ``labels``.
     """
-    order = df.withColumn("_order", mask_positions(F.col(ids), seed, keys))
-    sized = order.withColumn("_t", F.ceil(F.size("_order") * F.lit(float(probability))).cast("int"))
+    opened = F.size(F.filter(ids, lambda x: ~x.isin(CLS, SEP)))
+    sized = df.withColumn("_t", F.ceil(opened * F.lit(float(probability))).cast("int"))
     sized = sized.withColumn("_m", F.ceil(F.col("_t") * F.lit(0.8)).cast("int"))
     sized = sized.withColumn("_r", F.ceil((F.col("_t") - F.col("_m")) * F.lit(0.5)).cast("int"))
-    sized = sized.withColumn("_chosen", F.slice("_order", F.lit(1), F.col("_t")))
-
-    def place(i: Column) -> Column:
-        return F.array_position("_chosen", i)
+    pairs = F.zip_with(ids, mask_ranks(F.col(ids), seed, keys), lambda x, k: F.struct(x.alias("x"), k.alias("k")))
 
     def random_id(i: Column) -> Column:
         digest = keyed_hash(f"{seed}r", *[F.col(k) for k in keys], i)
         return (F.lit(FIRST_PIECE) + hash_int(digest) % (vocab_size - FIRST_PIECE)).cast("int")
 
-    inputs = F.transform(
-        ids,
-        lambda x, i: let(
-            place(i),
-            lambda p: F.when((p > 0) & (p <= F.col("_m")), F.lit(mask_id))
-            .when((p > F.col("_m")) & (p <= F.col("_m") + F.col("_r")), random_id(i))
-            .otherwise(x),
+    cells = F.transform(
+        pairs,
+        lambda p, i: F.struct(
+            F.when(p["k"] < F.col("_m"), F.lit(mask_id))
+            .when(p["k"] < F.col("_m") + F.col("_r"), random_id(i))
+            .otherwise(p["x"])
+            .alias("input"),
+            (p["k"] < F.col("_t")).cast("int").alias("mark"),
         ),
     )
-    marks = F.transform(ids, lambda _, i: (place(i) > 0).cast("int"))
+    made = sized.withColumn("_cells", cells)
     return (
-        sized.withColumn("inputs", inputs)
-        .withColumn("marks", marks)
+        made.withColumn("inputs", F.col("_cells.input"))
+        .withColumn("marks", F.col("_cells.mark"))
         .withColumn("labels", F.col(ids))
-        .drop("_order", "_t", "_m", "_r", "_chosen")
+        .drop("_t", "_m", "_r", "_cells")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import BROADCAST_ROWS
+from ..runtime import BROADCAST_ROWS, fits_broadcast
 
 HOT_ROWS = 10_000
 
@@ -20,14 +20,13 @@ def lookup_join(
 ) -> DataFrame:
     """Left join of ``values`` from ``table`` on ``key``; misses give null.
 
-    ``table`` holds one row per key and should be a written table, as it is counted
-    first. Up to ``limit`` rows it is broadcast. Beyond, its ``HOT_ROWS`` most frequent
+    ``table`` holds one row per key and should be a written table, as it is measured
+    first. Up to ``limit`` rows (and a byte bound) it is broadcast. Beyond, its ``HOT_ROWS`` most frequent
     keys (by ``hot_by``) are broadcast and all other keys go through a shuffled join, in
     which rows already answered carry a spread-out key that matches nothing.
     """
     table = table.select(key, *values, *([hot_by] if hot_by and hot_by not in values else []))
-    small = table.limit(limit + 1).count() <= limit
-    if small:
+    if fits_broadcast(table.select(key, *values), limit):
         return left.join(F.broadcast(table.select(key, *values)), key, "left")
     renamed = [F.col(v).alias(f"_hot_{v}") for v in values]
     order = F.desc(hot_by) if hot_by else F.col(key)

@@ -38,7 +38,7 @@ def extract_keywords(
         F.col("kept") | F.col("pos").isNull() | (F.col("pos") == 0)
     )
     grouped = marked.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("pos", "word")))).alias("k")
+        F.sort_array(F.collect_list(F.when(F.col("kept"), F.struct("pos", "word")))).alias("k")
     )
     return grouped.select(
         *keys,
@@ -80,7 +80,7 @@ def empty_keys(extracted: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def keyword_counts(extracted: DataFrame) -> DataFrame:
     """How often each keyword was extracted."""
-    words = extracted.filter(F.col("cnt") > 0).select(F.explode(F.split("keywords", ",", -1)).alias("word"))
+    words = extracted.filter(F.col("cnt") > 0).select(F.explode_outer(F.split("keywords", ",", -1)).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("cnt"))
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import CLS, SEP
 from ..runtime import materialize
+from .encode import collect_ordered
 from .joins import lookup_join
+from .terms import word_counts
 
 # Special tokens of a subword vocabulary, ids 0 to 4.
 PIECE_SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
@@ -30,7 +32,7 @@ def word_symbols(words: DataFrame, alphabet: DataFrame | None = None) -> DataFra
             F.broadcast(alphabet.select("ch")), "ch", "left_semi"
         )
         words = kept.groupBy("word", "cnt").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda x: x["ch"]).alias("chars")
+            F.transform(F.sort_array(F.collect_list(F.struct("pos", "ch"))), lambda x: x["ch"]).alias("chars")
         )
     else:
         words = words.withColumn("chars", chars)
@@ -158,11 +160,8 @@ def encode_subwords(
     line_tokens: DataFrame, vocab: DataFrame, keys: list[str], max_length: int = 256
 ) -> DataFrame:
     """Lines to ``CLS pieces SEP``, cut at ``max_length``. Each distinct word is coded once."""
-    from .encode import collect_ordered
-
     rows = line_tokens.select(*keys, F.posexplode_outer("tokens").alias("pos", "word"))
-    counts = line_tokens.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
-    coded = materialize(word_pieces(counts, vocab), "pieces")
+    coded = materialize(word_pieces(word_counts(line_tokens), vocab), "pieces")
     found = lookup_join(rows, coded, "word", ["pieces", "cnt"], hot_by="cnt")
     lines = collect_ordered(found, keys, "pieces", "_p")
     body = F.slice(F.flatten("_p"), 1, max_length - 2)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import term_runs
+from ..functions.text import cleaned_words, tokenize_delims, without
+from ..runtime import materialize
 from .joins import lookup_join
 
 KEYS = ["doc_id", "line_no"]
@@ -22,7 +24,8 @@ def with_tokens(lines: DataFrame, tokens: Column, keys: list[str] = KEYS) -> Dat
 
 def explode_tokens(line_tokens: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """One row per token with its 0-based position."""
-    return line_tokens.select(*keys, F.posexplode("tokens").alias("pos", "word"))
+    # The outer form, because the inner one evaluates the token array twice to skip empty ones.
+    return line_tokens.select(*keys, F.posexplode_outer("tokens").alias("pos", "word")).filter(F.col("pos").isNotNull())
 
 
 def term_frequency(line_tokens: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -40,40 +43,38 @@ def term_frequency(line_tokens: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def word_counts(line_tokens: DataFrame) -> DataFrame:
     """Occurrences per word over the corpus."""
-    return line_tokens.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
+    words = line_tokens.select(F.explode_outer("tokens").alias("word"))
+    return words.groupBy("word").agg(F.count("word").alias("cnt")).filter(F.col("cnt") > 0)
 
 
 def term_stats(line_tokens: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Per word: lines holding it, total count, smallest tf, and the corpus line count.
 
-    Each non-empty line also emits one null word, so the number of lines with a token
-    is the null group's count and needs no second scan. The smallest tf-idf of a word is
-    its smallest tf times its idf, because idf is constant per word and never negative.
+    Each non-empty line also emits one empty word with count 0, so the number of lines
+    with a token is that group's count and needs no second scan. The smallest tf-idf of a
+    word is its smallest tf times its idf, because idf is constant per word and never
+    negative.
     """
-    runs = line_tokens.filter(F.size("tokens") > 0).select(
-        F.size("tokens").alias("n_d"),
-        F.explode(
-            F.concat(
-                F.transform(
-                    term_runs(F.col("tokens")),
-                    lambda r: F.struct(r["word"].alias("word"), r["n_w"].alias("n_w")),
-                ),
-                F.array(F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).cast("bigint").alias("n_w"))),
-            )
-        ).alias("r"),
+    entry = "struct<word:string,n_w:bigint>"
+    runs = F.transform(
+        term_runs(F.col("tokens")), lambda r: F.struct(r["word"].alias("word"), r["n_w"].alias("n_w"))
     )
-    stats = runs.groupBy(F.col("r.word").alias("word")).agg(
+    marker = F.array(F.struct(F.lit("").alias("word"), F.lit(0).cast("bigint").alias("n_w")))
+    marked = F.when(F.size("tokens") > 0, F.concat(runs, marker)).otherwise(F.array().cast(f"array<{entry}>"))
+    rows = line_tokens.select(F.size("tokens").alias("n_d"), F.explode(marked).alias("r"))
+    stats = rows.groupBy(F.col("r.word").alias("word")).agg(
         F.count("*").alias("i_d"),
         F.sum("r.n_w").alias("total"),
         F.min(F.col("r.n_w") / F.col("n_d")).alias("min_tf"),
     )
-    # Reads every aggregate column, so both branches share one exchange.
+    # Reads every aggregate column and filters on none of the keys, so that both uses of
+    # the aggregate share one exchange.
     lines = stats.agg(
-        F.max(F.when(F.col("word").isNull(), F.struct("i_d", "total", "min_tf"))).alias("m")
+        F.max(F.when(F.col("word") == "", F.struct("i_d", "total", "min_tf"))).alias("m")
     ).select(F.col("m.i_d").alias("c_d"))
     return (
         stats.crossJoin(F.broadcast(lines))  # one row
-        .filter(F.col("word").isNotNull())
+        .filter("total > 0")
         .withColumn("idf", F.log(F.col("c_d") / F.col("i_d")))
     )
 
@@ -96,16 +97,19 @@ def tfidf(line_tokens: DataFrame, stats: DataFrame, keys: list[str] = KEYS) -> D
 
 def smooth_stats(line_tokens: DataFrame) -> DataFrame:
     """Smoothed idf, ln((1+n)/(1+df))+1, where n counts every line."""
-    runs = line_tokens.select(
-        F.explode(
-            F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))
-        ).alias("word")
+    marked = F.concat(
+        F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("word"), F.lit(1).alias("real"))),
+        F.array(F.struct(F.lit("").alias("word"), F.lit(0).alias("real"))),
+    )
+    rows = line_tokens.select(F.explode(marked).alias("r"))
+    df = rows.groupBy(F.col("r.word").alias("word")).agg(F.count("*").alias("df"), F.sum("r.real").alias("real"))
+    lines = df.agg(F.max(F.when(F.col("word") == "", F.struct("df", "real"))).alias("m")).select(
+        F.col("m.df").alias("n_lines")
     )
-    df = runs.groupBy("word").agg(F.count("*").alias("df"))
-    lines = df.agg(F.max(F.when(F.col("word").isNull(), F.col("df"))).alias("n_lines"))
     return (
         df.crossJoin(F.broadcast(lines))  # one row
-        .filter(F.col("word").isNotNull())
+        .filter("real > 0")
+        .drop("real")
         .withColumn("idf", F.log((1 + F.col("n_lines")) / (1 + F.col("df"))) + 1)
     )
 
@@ -154,18 +158,14 @@ def union_stopwords(*word_tables: DataFrame) -> DataFrame:
 
 
 def derive_stopwords_plain(
-    lines: DataFrame, text: Column, default_stops: list[str], threshold: float, min_count: int, keys: list[str] = KEYS
+    lines: DataFrame, clean: Column, default_stops: list[str], threshold: float, min_count: int, keys: list[str] = KEYS
 ) -> DataFrame:
     """Stop words of the smoothed variant: low weight in any line, rare, default, or
     outside the vectoriser's vocabulary."""
-    from ..functions.text import tokenize_delims, tokenize_words
-    from ..runtime import materialize
-
-    stops = F.array(*[F.lit(w) for w in default_stops])
-    kept = with_tokens(lines, F.filter(tokenize_words(text), lambda t: ~F.array_contains(stops, t)), keys)
+    kept = with_tokens(lines, without(cleaned_words(clean), default_stops), keys)
     weights = tfidf_smooth_l2(kept, materialize(smooth_stats(kept), "smooth"), keys)
     lowest = weights.groupBy("word").agg(F.min("weight").alias("lowest"))
-    counts = word_counts(with_tokens(lines, tokenize_delims(text, keep_empty=True), keys))
+    counts = word_counts(with_tokens(lines, tokenize_delims(clean, keep_empty=True), keys))
     judged = counts.join(lowest, "word", "left")
     stop = F.col("lowest").isNull() | (F.col("lowest") < threshold) | (F.col("cnt") < min_count)
     found = judged.filter(stop).select("word")

@@ -6,9 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# A lookup table is broadcast only when its row count was checked to be at most this.
-BROADCAST_ROWS = 200_000
+# A lookup table is broadcast only when it was measured to be within both bounds.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 128 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,3 +53,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
+
+
+def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Measure a written table: row count and bytes of its strings and arrays."""
+    width = F.lit(8 * len(table.columns))
+    for field in table.schema:
+        if field.dataType.typeName() == "string":
+            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif field.dataType.typeName() == "array":
+            width = width + 8 * F.coalesce(F.greatest(F.size(field.name), F.lit(0)), F.lit(0))
+    found = table.agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
+    return found["n"] <= rows and (found["bytes"] or 0) <= size
