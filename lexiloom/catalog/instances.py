@@ -87,7 +87,7 @@ masked AS (
 def coded_lines(spark, sf):
     lines = tables.lines(spark, sf).select(*KEYS, "n_lines", text.keyword_tokens(F.col("line")).alias("tokens"))
     words = materialize(vocab.most_common_vocab(vocab.token_counts(lines), WORDS, arrays.FIRST_PIECE), "vocab")
-    return encode.encode_tokens(lines, words, [*KEYS, "n_lines"])
+    return materialize(encode.encode_tokens(lines, words, [*KEYS, "n_lines"]), "coded")
 
 
 @query(

@@ -438,4 +438,6 @@ def length_buckets(spark, sf):
 )
 def batch_length_sort(spark, sf):
     sized = line_tokens(spark, sf).select(*KEYS, F.size("tokens").cast("bigint").alias("length"))
-    return ranking.batch_length_sort(ranking.batch_rows(sized, KEYS, 64), "length", KEYS)
+    return ranking.batch_length_sort(
+        ranking.batch_rows(sized, KEYS, 64, keys_from=tables.lines(spark, sf)), "length", KEYS
+    )

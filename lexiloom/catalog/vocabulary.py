@@ -154,7 +154,7 @@ def pad_fixed(spark, sf):
     SELECT doc_id, line_no, batch, longest AS padded, md5({sql.digits('list_resize(ids, longest, 1)')}) AS ids_md5 FROM p""",
 )
 def pad_batch(spark, sf):
-    batches = ranking.batch_rows(coded_lines(spark, sf), KEYS, 64)
+    batches = ranking.batch_rows(coded_lines(spark, sf), KEYS, 64, keys_from=tables.lines(spark, sf))
     padded = encode.pad_batch(batches, "ids", value=arrays.UNK)
     return padded.select(
         *KEYS, "batch", F.size("ids").cast("bigint").alias("padded"), F.md5(render(F.col("ids"))).alias("ids_md5")
@@ -168,7 +168,7 @@ def pad_batch(spark, sf):
 )
 def max_length(spark, sf):
     sized = line_tokens(spark, sf).select(*KEYS, F.size("tokens").alias("n"))
-    return ranking.batch_rows(sized, KEYS, 64).groupBy("batch").agg(
+    return ranking.batch_rows(sized, KEYS, 64, keys_from=tables.lines(spark, sf)).groupBy("batch").agg(
         F.least(F.max("n"), F.lit(512)).cast("bigint").alias("longest")
     )
 
@@ -192,9 +192,8 @@ def max_length(spark, sf):
 def char_grid(spark, sf):
     words = common_vocab(spark, sf)
     chars = materialize(vocab.char_vocab(vocab.char_counts(words)), "chars")
-    per_word = materialize(encode.word_char_rows(words, chars), "chargrid")
-    framed = encode.frame_all(encode.encode_tokens(line_tokens(spark, sf), words), "ids")
-    grids = ranking.batch_rows(encode.char_grid(framed, per_word, KEYS), KEYS, 64)
+    framed = encode.encode_with_chars(line_tokens(spark, sf), words, encode.word_char_rows(words, chars))
+    grids = ranking.batch_rows(framed.select(*KEYS, "grid"), KEYS, 64, keys_from=tables.lines(spark, sf))
     padded = encode.pad_grid(grids, "grid")
     return padded.select(
         *KEYS,

@@ -68,8 +68,9 @@ def pad_fixed(ids: Column, length: int | Column, value: int = PAD) -> Column:
 
 def segment_ids(ids: Column) -> Column:
     """1 up to and including the first SEP, 2 after it."""
-    return F.transform(
-        ids, lambda _, i: F.when(i < F.array_position(ids, F.lit(SEP)), F.lit(1)).otherwise(F.lit(2))
+    return let(
+        F.array_position(ids, F.lit(SEP)),
+        lambda first: F.transform(ids, lambda _, i: F.when(i < first, F.lit(1)).otherwise(F.lit(2))),
     )
 
 

@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 def keyed_hash(seed: int | str, *keys: Column | str) -> Column:
     """Hex md5 of ``seed:key1:key2...``."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[_text(k) for k in keys]))
+    return F.md5(hash_text(seed, *keys))
+
+
+def hash_text(seed: int | str, *keys: Column | str) -> Column:
+    """The text that is hashed; a longer key may be appended behind another ``:``."""
+    return F.concat_ws(":", F.lit(str(seed)), *[_text(k) for k in keys])
 
 
 def hash_int(digest: Column) -> Column:

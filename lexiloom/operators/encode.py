@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import EOS, PAD, SOS, UNK, frame_sequence, pad_fixed
+from ..runtime import materialize
 from .joins import lookup_join
 from .terms import KEYS
 
@@ -45,10 +46,7 @@ def pad_batch(df: DataFrame, ids: str, batch: str = "batch", value: int = PAD, c
 
 
 def word_char_rows(vocab: DataFrame, chars: DataFrame, width: int = 10) -> DataFrame:
-    """Character ids of every vocabulary word, cut or padded to ``width``.
-
-    Done once per word, not once per token. SOS, EOS and UNK become ``[id, 0, ...]``.
-    """
+    """Character ids of every vocabulary word, cut or padded to ``width``: once per word."""
     letters = vocab.select("id", F.posexplode(F.split("token", "")).alias("pos", "ch")).filter(
         (F.length("ch") > 0) & (F.col("pos") < width)
     )
@@ -56,17 +54,35 @@ def word_char_rows(vocab: DataFrame, chars: DataFrame, width: int = 10) -> DataF
     coded = letters.join(F.broadcast(chars.select("ch", F.col("id").alias("ch_id"))), "ch", "left")
     rows = collect_ordered(
         coded.select("id", "pos", F.coalesce("ch_id", F.lit(UNK)).alias("ch_id")), ["id"], "ch_id", "chars"
-    ).select("id", pad_fixed(F.col("chars"), width).alias("chars"))
-    special = vocab.sparkSession.createDataFrame(
-        [(i, [i] + [PAD] * (width - 1)) for i in (UNK, SOS, EOS)], "id int, chars array<int>"
     )
-    return rows.unionByName(special)
+    return rows.select("id", pad_fixed(F.col("chars"), width).alias("chars"))
+
 
+def encode_with_chars(
+    line_tokens: DataFrame, vocab: DataFrame, char_rows: DataFrame, keys: list[str] = KEYS, width: int = 10
+) -> DataFrame:
+    """Framed ids and their grid of character ids, gathered in one grouping.
 
-def char_grid(seqs: DataFrame, char_rows: DataFrame, keys: list[str], ids: str = "ids") -> DataFrame:
-    """Attach a row of character ids to each id of a framed sequence."""
-    rows = seqs.select(*keys, F.posexplode(ids).alias("pos", "id"))
-    return collect_ordered(lookup_join(rows, char_rows, "id", ["chars"]), keys, "chars", "grid")
+    The word table with ids and characters is as long as the vocabulary.
+    """
+    table = materialize(
+        vocab.select("token", "id", "cnt").join(char_rows, "id").select("token", "id", "chars", "cnt"), "wordchars"
+    )
+    unknown = F.array(*[F.lit(v) for v in [UNK] + [PAD] * (width - 1)])
+    rows = line_tokens.select(*keys, F.posexplode_outer("tokens").alias("pos", "token"))
+    found = lookup_join(rows, table, "token", ["id", "chars", "cnt"], hot_by="cnt").select(
+        *keys, "pos", F.struct(F.coalesce("id", F.lit(UNK)).alias("id"), F.coalesce("chars", unknown).alias("chars")).alias("cell")
+    )
+    grouped = collect_ordered(found, keys, "cell", "_cells")
+
+    def special(i: int) -> Column:
+        return F.array(F.array(*[F.lit(v) for v in [i] + [PAD] * (width - 1)]))
+
+    return grouped.select(
+        *keys,
+        frame_sequence(F.col("_cells.id")).alias("ids"),
+        F.concat(special(SOS), F.col("_cells.chars"), special(EOS)).alias("grid"),
+    )
 
 
 def pad_grid(df: DataFrame, grid: str, batch: str = "batch", width: int = 10) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
+
 
 def accuracy(df: DataFrame, label: str, pred: str, batch: str | None = None) -> DataFrame:
     """Share of equal labels; with ``batch``, also the mean of the batch shares."""
@@ -101,6 +103,20 @@ def _grams(tokens: Column, n: int) -> Column:
 def _clipped(candidate: Column, reference: Column) -> Column:
     """Size of the multiset intersection of two n-gram arrays of one row.
 
+    Without repeats in the candidate that is the size of the set intersection.
+    """
+
+    def count(pair: Column) -> Column:
+        c, r = pair["c"], pair["r"]
+        unique = F.size(F.array_distinct(c)) == F.size(c)
+        return F.when(unique, F.size(F.array_intersect(c, r)).cast("bigint")).otherwise(_common(c, r))
+
+    return let(F.struct(candidate.alias("c"), reference.alias("r")), count)
+
+
+def _common(candidate: Column, reference: Column) -> Column:
+    """Multiset intersection with repeats.
+
     Both are sorted together, so equal n-grams are neighbours and one pass counts them.
     """
     both = F.sort_array(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import CLS, FIRST_PIECE, MASK, SEP, attention_mask, pad_fixed, segment_ids
-from ..functions.hashing import hash_int, keyed_hash, unit_float
+from ..functions.arrays import CLS, FIRST_PIECE, MASK, SEP, attention_mask, let, pad_fixed, segment_ids
+from ..functions.hashing import hash_int, hash_text, keyed_hash, unit_float
 from .encode import encode_tokens, frame_all, pad_batch
 from .ranking import batch_length_sort, batch_rows, global_rank
 from .terms import KEYS
@@ -31,16 +31,19 @@ def next_sentence_pairs(
     ``lines`` has ``doc_id, line_no, n_lines`` and the carried columns. Both kinds of
     partner are found by their global position, so one equi-join serves them; the random
     position skips the line itself and the one after it. Needs at least three lines.
+    Only keys are ranked, so ``lines`` is best a written table, of which that reads little.
     """
-    ranked = global_rank(lines, KEYS, "r", "n")
+    ranked = global_rank(lines.select(*KEYS, "n_lines"), KEYS, "r", "n")
     key = keyed_hash(seed, *KEYS)
     follows = (unit_float(key) > probability) & (F.col("line_no") < F.col("n_lines"))
     jump = hash_int(keyed_hash(f"{seed}x", *KEYS)) % (F.col("n") - 2)
     left = ranked.withColumn("nsp", follows.cast("int")).withColumn(
         "partner", F.when(follows, F.col("r") + 1).otherwise((F.col("r") + 2 + jump) % F.col("n"))
     )
-    right = ranked.select(F.col("r").alias("partner"), *[F.col(c).alias(f"{c}_b") for c in carry])
-    return left.join(right, "partner").select(*KEYS, "r", "nsp", *carry, *[f"{c}_b" for c in carry])
+    body = lines.select(*KEYS, *carry)
+    right = ranked.select(*KEYS, F.col("r").alias("partner")).join(body, KEYS)
+    right = right.select("partner", *[F.col(c).alias(f"{c}_b") for c in carry])
+    return left.join(body, KEYS).join(right, "partner").select(*KEYS, "r", "nsp", *carry, *[f"{c}_b" for c in carry])
 
 
 def join_pair(a: Column, b: Column, max_length: int = MAX_LENGTH) -> Column:
@@ -65,10 +68,15 @@ def mask_ranks(ids: Column, seed: int, keys: list[str]) -> Column:
 
     Two sorts of the row's own positions; nothing is searched.
     """
-    tagged = F.transform(
-        ids,
-        lambda x, i: F.struct(
-            x.isin(CLS, SEP).alias("closed"), keyed_hash(seed, *[F.col(k) for k in keys], i).alias("h"), i.alias("i")
+    tagged = let(
+        hash_text(seed, *keys),
+        lambda row: F.transform(
+            ids,
+            lambda x, i: F.struct(
+                x.isin(CLS, SEP).alias("closed"),
+                F.md5(F.concat(row, F.lit(":"), i.cast("string"))).alias("h"),
+                i.alias("i"),
+            ),
         ),
     )
     placed = F.transform(F.sort_array(tagged), lambda t, k: F.struct(t["i"].alias("i"), k.alias("k")))
@@ -147,7 +155,7 @@ def seq2seq_instances(
     src = encode_tokens(pairs.select(*keys, F.col("src_tokens").alias("tokens")), src_vocab, keys, "src")
     dst = encode_tokens(pairs.select(*keys, F.col("dst_tokens").alias("tokens")), dst_vocab, keys, "dst")
     framed = frame_all(frame_all(src, "src", reverse=True).join(dst, keys), "dst")
-    batches = batch_rows(framed.withColumn("src_len", F.size("src")), keys, batch_size)
+    batches = batch_rows(framed.withColumn("src_len", F.size("src")), keys, batch_size, keys_from=pairs)
     padded = pad_batch(pad_batch(batches, "src"), "dst")
     return batch_length_sort(padded, "src_len", keys)
 

@@ -126,10 +126,18 @@ def near_equal_chunks(df: DataFrame, keys: list[str], chunks: int, chunk: str =
     return ranked.withColumn(chunk, near_equal(chunks)(F.col("_rank"), F.col("_n"))).drop("_rank", "_n")
 
 
-def batch_rows(df: DataFrame, keys: list[str], size: int, batch: str = "batch") -> DataFrame:
-    """Fixed-size batches in key order; the last one may be smaller."""
-    ranked = global_rank(df, keys, "_rank")
-    return ranked.withColumn(batch, F.floor(F.col("_rank") / size).cast("bigint")).drop("_rank")
+def batch_rows(
+    df: DataFrame, keys: list[str], size: int, batch: str = "batch", keys_from: DataFrame | None = None
+) -> DataFrame:
+    """Fixed-size batches in key order; the last one may be smaller.
+
+    Only the keys are ranked and written; the rows join their batch number. When ``df``
+    is costly, ``keys_from`` names a cheaper table with the same keys.
+    """
+    source = df if keys_from is None else keys_from
+    ranked = global_rank(source.select(*keys), keys, "_rank")
+    numbered = ranked.withColumn(batch, F.floor(F.col("_rank") / size).cast("bigint")).drop("_rank")
+    return numbered if set(df.columns) == set(keys) else df.join(numbered, keys)
 
 
 def shuffled_batches(df: DataFrame, keys: list[str], size: int, seed: int, batch: str = "batch") -> DataFrame:

@@ -240,10 +240,10 @@ def words_to_vectors(keyed_words: DataFrame, word_vectors: DataFrame, key: str)
 
 def centroid(word_rows: DataFrame, key: str, dim: int, vec: str = "vec") -> DataFrame:
     """Mean of the vectors found per key; a key without any gives the zero vector."""
-    means = [F.avg(F.get(vec, F.lit(i)).cast("double")).alias(f"_{i}") for i in range(dim)]
-    grouped = word_rows.groupBy(key).agg(F.count(vec).alias("found"), *means)
+    sums = [F.sum(F.get(vec, F.lit(i)).cast("double")).alias(f"_{i}") for i in range(dim)]
+    grouped = word_rows.groupBy(key).agg(F.count(vec).alias("found"), *sums)
     return grouped.select(
-        key, "found", F.array(*[F.coalesce(f"_{i}", F.lit(0.0)) for i in range(dim)]).alias("centroid")
+        key, "found", F.array(*[F.when(F.col("found") > 0, F.col(f"_{i}") / F.col("found")).otherwise(F.lit(0.0)) for i in range(dim)]).alias("centroid")
     )
 
 

@@ -60,4 +60,4 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a quality label."""
     marks = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "text").join(marks, "doc_id")
+    return documents(spark, sf_dir).select("doc_id", "lang", "text").join(marks, "doc_id")
