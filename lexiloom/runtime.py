@@ -27,9 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/lexiloom/{label}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark).rstrip('/')}/lexiloom/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables this session wrote; results read from them end here."""
+    removed = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

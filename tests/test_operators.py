@@ -301,3 +301,15 @@ def test_results_do_not_depend_on_partitioning(spark):
         stats = terms.term_stats(table.repartition(n))
         runs.append(sorted(map(tuple, stats.collect())))
     assert runs[0] == runs[1]
+
+
+def test_release_removes_only_written_tables(spark):
+    import os
+
+    from lexiloom import runtime
+
+    kept, runtime._written[:] = list(runtime._written), []
+    table = materialize(spark.range(3).select("id"), "gone")
+    folder = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder) and runtime.release(spark) == 1 and not os.path.exists(folder)
+    runtime._written[:] = kept
