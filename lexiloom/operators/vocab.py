@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import FIRST_WORD, term_runs
@@ -13,11 +13,26 @@ from .terms import KEYS
 SPECIALS = [("<PAD>", 0), ("<UNK>", 1), ("<SOS>", 2), ("<EOS>", 3)]
 
 
+def _place(df: DataFrame, keys: list[str], pos: str) -> Column:
+    """A sortable value for the place of a token.
+
+    One or two whole-number keys and the position fit the digits of one decimal, whose
+    minimum is found by hashing; the minimum of a struct would sort every row instead.
+    """
+    types = dict(df.dtypes)
+    if len(keys) > 2 or any(types[k] not in ("int", "bigint") for k in keys):
+        return F.struct(*keys, pos)
+    place = F.col(keys[0]).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")
+    if len(keys) == 2:  # at most 10**9 rows per first key, 10**9 tokens per row
+        place = place + F.col(keys[1]).cast("decimal(9,0)") * F.lit(10**9).cast("decimal(10,0)")
+    return (place + F.col(pos).cast("decimal(9,0)")).cast("decimal(38,0)")
+
+
 def token_counts(line_tokens: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Token, count and first place of appearance."""
     runs = line_tokens.select(*keys, F.explode(term_runs(F.col("tokens"))).alias("r"))
     return runs.groupBy(F.col("r.word").alias("token")).agg(
-        F.sum("r.n_w").alias("cnt"), F.min(F.struct(*keys, "r.first_pos")).alias("first")
+        F.sum("r.n_w").alias("cnt"), F.min(_place(line_tokens, keys, "r.first_pos")).alias("first")
     )
 
 
