@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class KeywordSettings:
-    """Settings of the keyword job; the defaults are the fixed reference values."""
+    """Settings of the keyword job."""
 
     code_corpus_path: str = ""
     item_corpus_path: str = ""
@@ -26,6 +26,7 @@ class KeywordSettings:
         ini = configparser.ConfigParser()
         if not ini.read(path):
             raise FileNotFoundError(path)
+        # Section and key names of the settings file, spelled as they occur there.
         corpus, default = ini["corpus"], ini["default"]
         return cls(
             code_corpus_path=corpus.get("hscd_corpus_path", "").strip(),
