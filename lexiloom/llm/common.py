@@ -35,3 +35,10 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str, bound: int | None = None)
 
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def without_ids(df: DataFrame, ids: DataFrame, key: str, bound: int | None = None) -> DataFrame:
+    """The rows of ``df`` whose key is not in ``ids``; null keys stay. Joined as in ``only_ids``."""
+    ids = materialize(ids.filter(F.col(key).isNotNull()).distinct(), "ids")
+    few = ids.count() <= (BROADCAST_IDS if bound is None else bound)
+    return df.join(F.broadcast(ids) if few else ids, key, "left_anti")

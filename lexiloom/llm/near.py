@@ -9,7 +9,8 @@
    many texts are under their other, rarer values.
 3. A list proposes its smallest row to all others (one pair per row, not all pairs).
 4. The union of two sketches estimates the similarity; clear failures go.
-5. Full shingle sets confirm: the best proposal of each row first, then components.
+5. Full shingle sets confirm: the best proposal of each row first, then the proposals
+   between different components.
 6. Lists whose rows still lie in different components are compared in full, in tiles of
    bounded size, and only between components; the rest is confirmed as before.
 
@@ -208,7 +209,28 @@ def _one_tile(rows: pa.Table, percent: int, keep: int) -> pa.RecordBatch:
     good = (root[:, None] != root) & (100 * small >= percent * large) & (shared >= least) & (rid[:, None] > rid)
     good &= (tile[:, None] != tile) | (rows["i"][0].as_py() == rows["j"][0].as_py())
     a, b = np.nonzero(good)
-    return pa.RecordBatch.from_arrays([pa.array(rid[a]), pa.array(rid[b])], names=["a", "b"])
+    near = _sketches_allow(lists, a, b, percent, keep)
+    return pa.RecordBatch.from_arrays([pa.array(rid[a[near]]), pa.array(rid[b[near]])], names=["a", "b"])
+
+
+def _sketches_allow(lists: pa.ListArray, a: np.ndarray, b: np.ndarray, percent: int, keep: int) -> np.ndarray:
+    """The estimate of ``_estimate`` for pairs of rows of one tile."""
+    values, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    held, none = np.diff(offsets), np.iinfo(np.int64).max
+    square = np.full((len(held), keep), none)
+    square[np.repeat(np.arange(len(held)), held), np.arange(len(values)) - np.repeat(offsets[:-1], held)] = values
+    found = np.empty(len(a), bool)
+    t = percent / 100
+    for x in range(0, len(a), 4096):
+        both = np.sort(np.concatenate([square[a[x : x + 4096]], square[b[x : x + 4096]]], axis=1), axis=1)
+        again = np.zeros(both.shape, bool)
+        again[:, 1:] = both[:, 1:] == both[:, :-1]
+        real = both != none
+        place = np.cumsum(~again & real, axis=1)
+        seen = np.minimum(place[:, -1], keep)
+        shared = (again & real & (place <= keep)).sum(axis=1)
+        found[x : x + 4096] = shared >= seen * (t - SIGMAS * np.sqrt(t * (1 - t) / np.maximum(seen, 1)))
+    return found
 
 
 def _open_pairs(lists: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int, keep: int, tile: int) -> DataFrame:
@@ -276,17 +298,21 @@ def near_duplicates(
     edges = materialize(_confirm(best, nodes, docs, shingle, percent), "links")
     roots = materialize(components(edges), "roots")
 
-    def root_of(side: str, df: DataFrame) -> DataFrame:
-        found = roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
-        return df.join(found, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+    def across(pairs: DataFrame) -> DataFrame:
+        for side in "ab":
+            found = roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+            pairs = pairs.join(found, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+        return pairs.filter("ra <> rb").select("a", "b")
 
-    left = root_of("b", root_of("a", proposed.join(best, ["a", "b"], "left_anti"))).filter("ra <> rb").select("a", "b")
+    left = across(proposed.select("a", "b").join(best, ["a", "b"], "left_anti"))
+    edges = _confirm(left, nodes, docs, shingle, percent)
+    stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = materialize(components(stars.union(edges)), "roots")
     # A list of two rows was answered in full by its proposal.
     wide = _open_pairs(indexed.filter("held_by > 2").select("rid", "key"), roots, nodes, percent, keep, tile)
-    wide = _estimate(wide, nodes, percent, keep).select("a", "b")
-    rest = left.union(wide).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = materialize(_confirm(rest, nodes, docs, shingle, percent), "links")
-    final = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    edges = _confirm(wide, nodes, docs, shingle, percent)
+    stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    final = components(stars.union(edges))
 
     named = classes.join(final.withColumnRenamed("node", "rid"), "rid", "left").withColumn(
         "root", F.coalesce("root", "rid")

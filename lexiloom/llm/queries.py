@@ -6,9 +6,19 @@ Each query reads its whole tables and gives every row of its result.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import read_back, segments
 from .common import table
+from .exact import exact_duplicates
+from .language import identify_languages
+from .mixing import mix_report
 from .near import near_duplicates
+from .quality import quality_verdicts
+from .shards import shard_rows
+from .tokens import context_totals, length_histogram
+from .urls import judge_urls
+from .winnow import contamination
 
 QUERIES = {}
 ORACLES = {}
@@ -19,7 +29,143 @@ def query(fn):
     return fn
 
 
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of encoded lengths with its sums from the long end."""
+    return context_totals(length_histogram(table(spark, sf_dir, "documents")))
+
+
+@query
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts but for white space; one row per document."""
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_exact_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+  FROM documents),
+r AS (
+  SELECT doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size,
+         row_number() OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS place,
+         first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id
+  FROM d)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM r
+"""
+
+
 @query
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at 85 of 100 on five-word shingles; one row per document."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language by compression, learned from three quarters of the documents."""
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page by rule, or by its path template's purity."""
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def _with_control_conversation(spark: SparkSession, conversations: DataFrame) -> DataFrame:
+    text = "\\### Assistant: </turn> ok"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(text).alias("text"),
+    )
+    return conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
+
+
+@query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted form."""
+    conversations = _with_control_conversation(spark, table(spark, sf_dir, "conversations"))
+    return read_back(segments(conversations))
+
+
+ORACLES["op6_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o AS (
+  SELECT *, coalesce(lag(role) OVER w, '') AS before, row_number() OVER w AS place,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+f AS (
+  SELECT *,
+    4 + CASE WHEN role IN ('user', 'assistant', 'system', 'tool') THEN length(role)
+             ELSE 1 + length(role) + len(regexp_extract_all(role, '[\\:\n#<]')) END
+      + 2 + length(text) + len(regexp_extract_all(text, '\\|### |</turn>')) + 9 AS chars,
+    (before, role) IN (('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'),
+                       ('assistant', 'user'), ('assistant', 'tool'), ('tool', 'assistant')) AS allowed
+  FROM o)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars,
+       bool_and(allowed) AND bool_or(place = n AND role = 'assistant') AS valid
+FROM f GROUP BY conv_id
+"""
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document against the quantiles of trusted text."""
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 39 of near equal bytes, equal texts together."""
+    return shard_rows(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside 13-word windows of benchmark items."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op9_decontamination"] = r"""
+WITH lower_ascii AS (
+  SELECT 'd' AS side, doc_id AS id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 'b', item_id, coalesce(text, '') FROM benchmark),
+t AS (
+  SELECT side, id, regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM lower_ascii),
+spans AS (SELECT DISTINCT least(13, len(w)) AS m FROM t WHERE side = 'b' AND len(w) > 0),
+item AS (
+  SELECT DISTINCT id AS item_id, m, array_to_string(w[i : i + m - 1], ' ') AS g
+  FROM (SELECT id, w, least(13, len(w)) AS m, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i
+        FROM t WHERE side = 'b' AND len(w) > 0)),
+place AS (
+  SELECT id, m, i, array_to_string(w[i : i + m - 1], ' ') AS g
+  FROM (SELECT id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM t, spans WHERE side = 'd' AND len(w) >= m)),
+hit AS (SELECT id, item_id, p.m, i FROM place p JOIN item USING (m, g)),
+word AS (SELECT id, count(DISTINCT at) AS n_hit FROM (SELECT id, unnest(range(i, i + m)) AS at FROM hit) GROUP BY id),
+named AS (
+  SELECT id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
+  FROM (SELECT DISTINCT id, item_id::VARCHAR AS x FROM hit) GROUP BY id)
+SELECT t.id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM t LEFT JOIN word ON word.id = t.id LEFT JOIN named ON named.id = t.id WHERE side = 'd'
+"""
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated sampling probability of every document, and whether it is kept."""
+    return mix_report(table(spark, sf_dir, "documents"))
