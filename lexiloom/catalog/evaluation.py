@@ -14,7 +14,7 @@ from . import sql
 from .registry import query
 from .text import line_tokens
 from .vectors import F1, KNN, knn_table
-from .vocabulary import DECODED, coded_lines, common_vocab
+from .vocabulary import DECODED, coded_lines, common_vocab, padded_lines
 
 # A score per labelled document, from its length.
 SCORED = """
@@ -77,13 +77,13 @@ def batch_macro_f1(spark, sf):
     )
 
 
-CELLS = sql.CODED + """,
-cells AS (SELECT doc_id, line_no, unnest(list_resize(ids[1:64], 64, 0)) AS label, unnest(range(64)) AS pos FROM coded)"""
+CELLS = sql.PADDED + """,
+cells AS (SELECT doc_id, line_no, unnest(ids) AS label FROM padded)"""
 
 
-def padded_cells(spark, sf):
-    padded = coded_lines(spark, sf).select(*KEYS, arrays.pad_fixed(F.col("ids"), 64).alias("ids"))
-    return padded.select(*KEYS, F.posexplode("ids").alias("pos", "label"))
+def real_ids(spark, sf):
+    """The ids of batch-padded lines that are no padding."""
+    return padded_lines(spark, sf).select(*KEYS, arrays.real_ids(F.col("ids")).alias("ids"))
 
 
 @query(
@@ -91,8 +91,9 @@ def padded_cells(spark, sf):
     f"""WITH {CELLS} SELECT doc_id, line_no, count(*) AS kept, CAST(sum(label) AS BIGINT) AS total FROM cells WHERE label <> 0 GROUP BY doc_id, line_no""",
 )
 def ignore_padding(spark, sf):
-    kept = evaluate.ignore_padding(padded_cells(spark, sf), "label")
-    return kept.groupBy(*KEYS).agg(F.count("*").alias("kept"), F.sum("label").alias("total"))
+    total = F.aggregate("ids", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    kept = real_ids(spark, sf).select(*KEYS, F.size("ids").cast("bigint").alias("kept"), total.alias("total"))
+    return kept.filter("kept > 0")
 
 
 @query(
@@ -103,12 +104,12 @@ def ignore_padding(spark, sf):
 )
 def cross_entropy(spark, sf):
     """Unigram model over the coded lines, and the one-logit loss of the scored documents."""
-    cells = materialize(padded_cells(spark, sf), "cells")
-    freq = evaluate.ignore_padding(cells, "label").groupBy("label").agg(F.count("*").alias("n"))
+    cells = real_ids(spark, sf).select(F.explode("ids").alias("label"))
+    # The mean over all cells is the mean over the labels, weighted by their counts.
+    freq = materialize(cells.groupBy("label").agg(F.count("*").alias("n")), "labels")
     total = freq.agg(F.sum("n").alias("t"))
-    share = freq.crossJoin(F.broadcast(total)).select("label", (F.col("n") / F.col("t")).alias("p"))  # one row
-    # At most one row per vocabulary id.
-    model = evaluate.cross_entropy(cells.join(F.broadcast(share), "label"), "p", "label")
+    share = freq.crossJoin(F.broadcast(total)).withColumn("p", F.col("n") / F.col("t"))  # one row
+    model = evaluate.cross_entropy(share, "p", "label", weight="n")
     binary = scored(spark, sf).agg(F.avg("loss").alias("binary_loss"))
     return model.crossJoin(binary).select(  # one row each
         F.round("cross_entropy", 6).alias("cross_entropy"), F.round("binary_loss", 6).alias("binary_loss")

@@ -108,12 +108,11 @@ def segment_ids(spark, sf):
 
 @query(
     "mask_tokens",
-    f"""WITH {CODES}, short AS (SELECT doc_id, line_no, ids[1:254] AS ids FROM coded),
-    framed AS (SELECT doc_id, line_no, list_concat([2], list_concat(ids, [3])) AS ids FROM short),{masking('framed', WORDS + 5)}
+    f"""WITH {CODES}, framed AS (SELECT doc_id, line_no, list_concat([2], list_concat(ids, [3])) AS ids FROM coded),{masking('framed', WORDS + 5)}
     SELECT doc_id, line_no, {sql.digits('inputs')} AS inputs, {sql.digits('marks')} AS marks, {sql.digits('labels')} AS labels FROM masked""",
 )
 def mask_tokens(spark, sf):
-    framed = coded_lines(spark, sf).select(*KEYS, arrays.frame_sequence(F.slice("ids", 1, 254)).alias("ids"))
+    framed = coded_lines(spark, sf).select(*KEYS, arrays.frame_sequence(F.col("ids")).alias("ids"))
     masked = instances.mask_tokens(framed, KEYS, WORDS + arrays.FIRST_PIECE, SEED)
     return masked.select(*KEYS, *[render(F.col(c)).alias(c) for c in ("inputs", "marks", "labels")])
 

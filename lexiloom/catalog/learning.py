@@ -18,16 +18,16 @@ VECTOR_SIZE = 32
 PIECES = 60
 
 
-@query("train_word_vectors")
+@query("train_word_vectors", f"WITH {sql.TOK} SELECT DISTINCT word, CAST({VECTOR_SIZE} AS INTEGER) AS dim FROM tok")
 def train_word_vectors(spark, sf):
-    vectors = ml.train_word_vectors(keyed_words(spark, sf), VECTOR_SIZE, min_count=5)
+    vectors = ml.train_word_vectors(keyed_words(spark, sf), VECTOR_SIZE, min_count=1)
     return vectors.select("word", F.size("vec").alias("dim"))
 
 
 @query("document_vectors")
 def document_vectors(spark, sf):
     words = keyed_words(spark, sf)
-    vectors = ml.train_word_vectors(words, VECTOR_SIZE, min_count=5)
+    vectors = ml.train_word_vectors(words, VECTOR_SIZE, min_count=1)
     found = ml.document_vectors(words, "key", vectors, VECTOR_SIZE)
     return found.select("key", "found", F.size("centroid").alias("dim"))
 

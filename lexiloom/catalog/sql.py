@@ -119,6 +119,14 @@ coded AS (
 )"""
 
 
+# Coded lines in batches of 64, padded with 0 to the longest of the batch.
+PADDED = CODED + """,
+batched AS (SELECT *, (row_number() OVER (ORDER BY doc_id, line_no) - 1) // 64 AS batch FROM coded),
+padded AS (
+  SELECT doc_id, line_no, batch, list_resize(ids, max(len(ids)) OVER (PARTITION BY batch), 0) AS ids FROM batched
+)"""
+
+
 def pair_codes(size: int = 6000) -> str:
     """User and assistant turns, each coded with its own vocabulary."""
     out = """

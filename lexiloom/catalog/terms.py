@@ -15,7 +15,9 @@ from . import sql
 from .registry import query
 from .text import IN_STOPS, STOP_LITERALS, line_tokens
 
-SETTINGS = KeywordSettings()
+SETTINGS = KeywordSettings(use_default_stopwords=False)
+WITH_DEFAULT = KeywordSettings()
+SAMPLED = KeywordSettings(sampling_ratio=0.5)
 
 
 def written_stats(spark, sf):
@@ -122,6 +124,35 @@ def extract_keywords(spark, sf):
     return keyword_job(tables.lines(spark, sf), SETTINGS)
 
 
+def extracted_without(stops: str) -> str:
+    return f"""SELECT l.doc_id, l.line_no, coalesce(k.keywords, '') AS keywords, coalesce(k.cnt, 0) AS cnt
+    FROM lines l LEFT JOIN (
+      SELECT doc_id, line_no, string_agg(word, ',' ORDER BY pos) AS keywords, count(*) AS cnt
+      FROM tok WHERE word NOT IN ({stops}) AND word NOT IN ({IN_STOPS}) GROUP BY doc_id, line_no
+    ) k USING (doc_id, line_no)"""
+
+
+@query("extract_keywords_default_stops", f"WITH {sql.STOPS} {extracted_without('SELECT word FROM stops')}")
+def extract_keywords_default_stops(spark, sf):
+    """With the default stop words besides the derived ones."""
+    return keyword_job(tables.lines(spark, sf), WITH_DEFAULT)
+
+
+@query(
+    "extract_keywords_sampled",
+    f"""WITH {sql.TOK}, half AS (SELECT * FROM tok WHERE {sql.unit(sql.digest(SAMPLED.seed, 'doc_id', 'line_no'))} < CAST(0.5 AS DOUBLE)),
+    tf AS (SELECT doc_id, line_no, word, count(*) AS n_w, sum(count(*)) OVER (PARTITION BY doc_id, line_no) AS n_d
+           FROM half GROUP BY doc_id, line_no, word),
+    idf AS (SELECT word, CAST(sum(n_w) AS BIGINT) AS total, min(n_w / CAST(n_d AS DOUBLE)) AS min_tf,
+                   ln((SELECT count(DISTINCT (doc_id, line_no)) FROM half) / CAST(count(*) AS DOUBLE)) AS idf FROM tf GROUP BY word),
+    stops AS (SELECT word FROM idf WHERE min_tf * idf < CAST(0.1 AS DOUBLE) OR total < 10)
+    {extracted_without('SELECT word FROM stops')}""",
+)
+def extract_keywords_sampled(spark, sf):
+    """Stop words derived from half of the lines, applied to all of them."""
+    return keyword_job(tables.lines(spark, sf), SAMPLED)
+
+
 @query(
     "extraction_summary",
     f"""WITH {sql.EXTRACT} SELECT total_lines, extraction,

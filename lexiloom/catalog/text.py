@@ -125,7 +125,10 @@ def parallel_join(spark, sf):
     )
 
 
-@query("scan_stopwords")
+@query(
+    "scan_stopwords",
+    f"WITH {sql.TOK} SELECT word, count(*) AS cnt FROM tok WHERE word IN ({', '.join(map(sql.quoted, readers.default_stopwords()))}) GROUP BY word",
+)
 def scan_stopwords(spark, sf):
     """Default stop words found in the corpus, with their counts."""
     found = terms.word_counts(line_tokens(spark, sf))
@@ -263,7 +266,7 @@ def split_duration(spark, sf):
     )
 
 
-STOP_LITERALS = ["a", "an", "and", "in", "is", "of", "the", "to"]
+STOP_LITERALS = readers.default_stopwords()
 IN_STOPS = ", ".join(sql.quoted(w) for w in STOP_LITERALS)
 
 

@@ -125,41 +125,40 @@ def split_two_sets(spark, sf):
     return a.select("vec_id", F.lit("a").alias("side")).unionByName(b.select("vec_id", F.lit("b").alias("side")))
 
 
+# The whole matrix has as many cells as there are pairs; each row is given to this depth.
+RANKED = 100
+
+
 @query(
     "cosine_cross",
-    f"""WITH {PAIRS} SELECT b_id, count(*) AS n, string_agg(printf('%.6f', raw), ' ' ORDER BY a_id) AS cosines
-    FROM pairs GROUP BY b_id""",
+    f"""WITH {PAIRS} SELECT b_id, count(*) AS n, string_agg(printf('%.9f', cos), ' ' ORDER BY cos DESC, a_id) AS cosines
+    FROM (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY cos DESC, a_id) AS place FROM pairs) WHERE place <= {RANKED} GROUP BY b_id""",
 )
 def cosine_cross(spark, sf):
-    """The matrix as one row per vector of B; A is one block."""
+    """The largest cosines of each row of the matrix."""
     a, b = tables.vector_sides(spark, sf)
-    rows = vectors.cosine_rows(a, b, "vec_id", "vec")
-    text = F.transform("cos", lambda c: F.format_string("%.6f", c))
-    return rows.select("b_id", F.size("cos").cast("bigint").alias("n"), F.concat_ws(" ", text).alias("cosines"))
+    rows = vectors.ranked_lists(vectors.recommend_topn(b, a, "vec_id", "vec", top_n=RANKED))
+    text = F.transform("cos", lambda c: F.format_string("%.9f", c))
+    return rows.select(F.col("q_id").alias("b_id"), F.size("cos").cast("bigint").alias("n"), F.concat_ws(" ", text).alias("cosines"))
 
 
 @query(
     "rank_similarity",
-    f"""WITH {PAIRS} SELECT 'b' AS side, b_id AS id, string_agg(a_id, ' ' ORDER BY cos DESC, a_id) AS ranked FROM pairs GROUP BY b_id
-    UNION ALL SELECT 'a', a_id, string_agg(b_id, ' ' ORDER BY cos DESC, b_id) FILTER (rn <= 1000) FROM (
-      SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY cos DESC, b_id) AS rn FROM pairs) GROUP BY a_id""",
+    f"""WITH {PAIRS}, placed AS (
+      SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY cos DESC, a_id) AS of_b,
+             row_number() OVER (PARTITION BY a_id ORDER BY cos DESC, b_id) AS of_a FROM pairs)
+    SELECT 'b' AS side, b_id AS id, string_agg(a_id, ' ' ORDER BY of_b) AS ranked FROM placed WHERE of_b <= {RANKED} GROUP BY b_id
+    UNION ALL SELECT 'a', a_id, string_agg(b_id, ' ' ORDER BY of_a) FROM placed WHERE of_a <= {RANKED} GROUP BY a_id""",
 )
 def rank_similarity(spark, sf):
-    """Each side ranked for the other: all of A inside each row of B, the leading 1000 of B for A."""
+    """Each side ranked for the other, to a given depth."""
     a, b = tables.vector_sides(spark, sf)
-    per_b = vectors.rank_rows(vectors.cosine_rows(a, b, "vec_id", "vec")).select(
-        F.lit("b").alias("side"),
-        F.col("b_id").alias("id"),
-        F.concat_ws(" ", F.transform("ranked", lambda x: x.cast("string"))).alias("ranked"),
-    )
-    best = vectors.recommend_topn(a, b, "vec_id", "vec", top_n=1000)
-    ordered = F.sort_array(F.collect_list(F.struct("rank", "t_id")))  # at most 1000
-    per_a = best.groupBy("q_id").agg(ordered.alias("l")).select(
-        F.lit("a").alias("side"),
-        F.col("q_id").alias("id"),
-        F.concat_ws(" ", F.transform("l", lambda x: x["t_id"].cast("string"))).alias("ranked"),
-    )
-    return per_b.unionByName(per_a)
+    sides = []
+    for side, queries, targets in (("b", b, a), ("a", a, b)):
+        rows = vectors.ranked_lists(vectors.recommend_topn(queries, targets, "vec_id", "vec", top_n=RANKED))
+        ranked = F.concat_ws(" ", F.transform("ranked", lambda x: x.cast("string")))
+        sides.append(rows.select(F.lit(side).alias("side"), F.col("q_id").alias("id"), ranked.alias("ranked")))
+    return sides[0].unionByName(sides[1])
 
 
 @query(
@@ -226,8 +225,9 @@ def words_to_vectors(spark, sf):
 
 @query("skip_oov", f"WITH {WORDVEC} SELECT word, count(*) AS n FROM tok JOIN wordvec USING (word) GROUP BY word")
 def skip_oov(spark, sf):
-    rows = vectors.words_to_vectors(keyed_words(spark, sf), word_vectors(spark, sf), "key")
-    return rows.filter(F.col("vec").isNotNull()).groupBy("word").agg(F.count("*").alias("n"))
+    known = word_vectors(spark, sf).select("word", F.lit(True).alias("known"))
+    counts = terms.word_counts(line_tokens(spark, sf))
+    return counts.join(known, "word", "left_semi").select("word", F.col("cnt").alias("n"))
 
 
 @query(

@@ -26,6 +26,18 @@ def coded_lines(spark, sf):
     return encode.encode_tokens(line_tokens(spark, sf), common_vocab(spark, sf))
 
 
+def line_batches(spark, sf, size: int = 64):
+    """Batch of each line and the most tokens of a line of the batch, from keys and sizes only."""
+    sizes = line_tokens(spark, sf).select(*KEYS, F.size("tokens").alias("n"))
+    return encode.batch_longest(sizes, "n", KEYS, size)
+
+
+def padded_lines(spark, sf):
+    """Coded lines padded with zeros to the longest of their batch of 64."""
+    rows = coded_lines(spark, sf).join(line_batches(spark, sf), KEYS)
+    return rows.withColumn("ids", arrays.pad_fixed(F.col("ids"), F.col("longest")))
+
+
 def pair_sides(spark, sf, size: int = 6000):
     """Conversation pairs as token arrays, and the vocabulary of each side."""
     from ..functions.text import normalize_line, tokenize_space
@@ -154,11 +166,9 @@ def pad_fixed(spark, sf):
     SELECT doc_id, line_no, batch, longest AS padded, md5({sql.digits('list_resize(ids, longest, 1)')}) AS ids_md5 FROM p""",
 )
 def pad_batch(spark, sf):
-    batches = ranking.batch_rows(coded_lines(spark, sf), KEYS, 64, keys_from=tables.lines(spark, sf))
-    padded = encode.pad_batch(batches, "ids", value=arrays.UNK)
-    return padded.select(
-        *KEYS, "batch", F.size("ids").cast("bigint").alias("padded"), F.md5(render(F.col("ids"))).alias("ids_md5")
-    )
+    rows = coded_lines(spark, sf).join(line_batches(spark, sf), KEYS)
+    padded = arrays.pad_fixed(F.col("ids"), F.col("longest"), arrays.UNK)
+    return rows.select(*KEYS, "batch", F.col("longest").cast("bigint").alias("padded"), F.md5(render(padded)).alias("ids_md5"))
 
 
 @query(
@@ -192,24 +202,25 @@ def max_length(spark, sf):
 def char_grid(spark, sf):
     words = common_vocab(spark, sf)
     chars = materialize(vocab.char_vocab(vocab.char_counts(words)), "chars")
-    framed = encode.encode_with_chars(line_tokens(spark, sf), words, encode.word_char_rows(words, chars))
-    grids = ranking.batch_rows(framed.select(*KEYS, "grid"), KEYS, 64, keys_from=tables.lines(spark, sf))
-    padded = encode.pad_grid(grids, "grid")
-    return padded.select(
+    framed = encode.frame_all(encode.encode_tokens(line_tokens(spark, sf), words), "ids")
+    rows = framed.join(line_batches(spark, sf), KEYS).withColumn("longest", F.col("longest") + 2)
+    grids = encode.char_grids(rows, materialize(encode.word_char_rows(words, chars), "wordchars"), [*KEYS, "batch", "longest"])
+    zeros = F.array_repeat(F.array_repeat(F.lit(arrays.PAD), 10), F.col("longest") - F.size("grid"))
+    return grids.select(
         *KEYS,
         "batch",
-        F.size("grid").cast("bigint").alias("n_rows"),
-        F.md5(render(F.flatten("grid"))).alias("grid_md5"),
+        F.col("longest").cast("bigint").alias("n_rows"),
+        F.md5(render(F.flatten(F.concat("grid", zeros)))).alias("grid_md5"),
     )
 
 
 @query(
     "attention_mask",
-    f"""WITH {sql.CODED}, p AS (SELECT doc_id, line_no, list_resize(ids[1:64], 64, 0) AS ids FROM coded)
-    SELECT doc_id, line_no, {sql.digits('list_transform(ids, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)')} AS mask FROM p""",
+    f"""WITH {sql.PADDED}
+    SELECT doc_id, line_no, {sql.digits('list_transform(ids, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)')} AS mask FROM padded""",
 )
 def attention_mask(spark, sf):
-    padded = coded_lines(spark, sf).select(*KEYS, arrays.pad_fixed(F.col("ids"), 64).alias("ids"))
+    padded = padded_lines(spark, sf)
     return padded.select(*KEYS, render(arrays.attention_mask(F.col("ids"))).alias("mask"))
 
 

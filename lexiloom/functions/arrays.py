@@ -74,6 +74,11 @@ def segment_ids(ids: Column) -> Column:
     )
 
 
+def real_ids(ids: Column) -> Column:
+    """The ids without padding."""
+    return F.filter(ids, lambda x: x != PAD)
+
+
 def attention_mask(ids: Column) -> Column:
     """1 on real positions, 0 on padding."""
     return F.transform(ids, lambda x: (x != PAD).cast("int"))

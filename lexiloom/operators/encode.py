@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import EOS, PAD, SOS, UNK, frame_sequence, pad_fixed
-from ..runtime import materialize
+from ..functions.arrays import PAD, UNK, frame_sequence, pad_fixed
+from ..runtime import fits_broadcast, materialize
 from .joins import lookup_join
+from .ranking import batch_rows
 from .terms import KEYS
 
+# A vocabulary of up to this many words is sent to the tasks.
+INLINE_ROWS = 100_000
+
 
 def collect_ordered(rows: DataFrame, keys: list[str], value: str, out: str, carry: list[str] = ()) -> DataFrame:
     """Gather ``value`` by ``pos`` into one array per key; a null ``pos`` adds nothing."""
@@ -19,9 +23,19 @@ def collect_ordered(rows: DataFrame, keys: list[str], value: str, out: str, carr
 
 
 def encode_tokens(
-    line_tokens: DataFrame, vocab: DataFrame, keys: list[str] = KEYS, out: str = "ids", unknown: int = UNK
+    line_tokens: DataFrame, vocab: DataFrame, keys: list[str] = KEYS, out: str = "ids", unknown: int = UNK,
+    inline: int = INLINE_ROWS,
 ) -> DataFrame:
-    """Token arrays to id arrays; tokens outside the written vocabulary give ``unknown``."""
+    """Token arrays to id arrays; tokens outside the written vocabulary give ``unknown``.
+
+    A vocabulary measured to be small is sent to the tasks and arrays are coded inside
+    their rows, without a shuffle. A larger one is joined token by token.
+    """
+    if fits_broadcast(vocab.select("token", "id"), inline):
+        words = vocab.sparkSession.sparkContext.broadcast(vocab.select("token", "id").toArrow())
+        return line_tokens.select(*keys, "tokens").mapInArrow(
+            inline_encoder(words, unknown), _with(line_tokens, keys, f"{out} array<int>")
+        )
     rows = line_tokens.select(*keys, F.posexplode_outer("tokens").alias("pos", "token"))
     coded = lookup_join(rows, vocab, "token", ["id", "cnt"], hot_by="cnt")
     # Position and id in one number: short to shuffle and quick to sort.
@@ -31,14 +45,85 @@ def encode_tokens(
     return grouped.select(*keys, F.transform("_l", lambda x: x.bitwiseAND(low).cast("int")).alias(out))
 
 
-def decode_ids(seqs: DataFrame, vocab: DataFrame, keys: list[str] = KEYS, ids: str = "ids", drop_below: int = 4) -> DataFrame:
-    """Id arrays to space-joined words, leaving out the ids below ``drop_below``."""
+def _with(df: DataFrame, keys: list[str], more: str) -> str:
+    return ", ".join([*[f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys], more])
+
+
+def inline_encoder(words, unknown: int):
+    """Arrow batches of keys and a token array (last) to keys and ids."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = words.value
+        known, ids = table["token"].combine_chunks(), table["id"].combine_chunks().cast(pa.int32())
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            found = ids.take(pc.index_in(lists.flatten(), value_set=known)).fill_null(unknown)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0)
+            coded = pa.ListArray.from_arrays(_offsets(sizes), found)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], coded], names=[str(i) for i in range(batch.num_columns)])
+
+    def _offsets(sizes):
+        import numpy as np
+        import pyarrow as pa
+
+        return pa.array(np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))]), pa.int32())
+
+    return run
+
+
+def inline_decoder(words, drop_below: int):
+    """Arrow batches of keys and an id array (last) to keys and space-joined words."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = words.value
+        known, tokens = table["id"].combine_chunks().cast(pa.int32()), table["token"].combine_chunks()
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            flat = lists.flatten().cast(pa.int32())
+            place = pc.index_in(flat, value_set=known)
+            keep = pc.and_(pc.fill_null(pc.greater_equal(flat, drop_below), False), pc.is_valid(place))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            upto = np.concatenate([[0], np.cumsum(keep.to_numpy(zero_copy_only=False))])
+            offsets = upto[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+            found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens.take(place.filter(keep)))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pc.binary_join(found, " ")], names=[str(i) for i in range(batch.num_columns)]
+            )
+
+    return run
+
+
+def decode_ids(
+    seqs: DataFrame, vocab: DataFrame, keys: list[str] = KEYS, ids: str = "ids", drop_below: int = 4,
+    inline: int = INLINE_ROWS,
+) -> DataFrame:
+    """Id arrays to space-joined words, leaving out the ids below ``drop_below``.
+
+    Small and large vocabularies as in :func:`encode_tokens`.
+    """
+    if fits_broadcast(vocab.select("token", "id"), inline):
+        words = vocab.sparkSession.sparkContext.broadcast(vocab.select("token", "id").toArrow())
+        return seqs.select(*keys, ids).mapInArrow(inline_decoder(words, drop_below), _with(seqs, keys, "text string"))
     rows = seqs.select(*keys, F.posexplode_outer(ids).alias("pos", "id"))
     kept = rows.withColumn("pos", F.when(F.col("id") >= drop_below, F.col("pos")))
     words = lookup_join(kept, vocab, "id", ["token", "cnt"], hot_by="cnt")
     return collect_ordered(words, keys, "token", "_w").select(*keys, F.concat_ws(" ", "_w").alias("text"))
 
 
+def batch_longest(sizes: DataFrame, size: str, keys: list[str], rows: int, batch: str = "batch") -> DataFrame:
+    """keys, batch and longest: batches of ``rows`` rows in key order, and their largest size."""
+    numbered = materialize(batch_rows(sizes.select(*keys, size), keys, rows, batch, keys_from=sizes), "batches")
+    longest = numbered.groupBy(batch).agg(F.max(size).alias("longest"))
+    return numbered.join(longest, batch).select(*keys, batch, "longest")
+
+
 def pad_batch(df: DataFrame, ids: str, batch: str = "batch", value: int = PAD, cap: int | None = None) -> DataFrame:
     """Pad to the longest row of the batch. A batch has a fixed number of rows."""
     longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
@@ -60,38 +145,52 @@ def word_char_rows(vocab: DataFrame, chars: DataFrame, width: int = 10) -> DataF
     return rows.select("id", pad_fixed(F.col("chars"), width).alias("chars"))
 
 
-def encode_with_chars(
-    line_tokens: DataFrame, vocab: DataFrame, char_rows: DataFrame, keys: list[str] = KEYS, width: int = 10
+def char_grids(
+    coded: DataFrame, char_rows: DataFrame, keys: list[str] = KEYS, width: int = 10, inline: int = INLINE_ROWS
 ) -> DataFrame:
-    """Framed ids and their grid of character ids, gathered in one grouping.
+    """The grid of character ids of each id array, built last and without a shuffle.
 
-    The word table with ids and characters is as long as the vocabulary.
+    ``char_rows`` (written) has one row per word; other ids are special and have
+    themselves in the first place. A table too large to be sent is joined by id.
     """
-    table = materialize(
-        vocab.select("token", "id", "cnt").join(char_rows, "id").select("token", "id", "chars", "cnt"), "wordchars"
-    )
-    unknown = F.array(*[F.lit(v) for v in [UNK] + [PAD] * (width - 1)])
-    rows = line_tokens.select(*keys, F.posexplode_outer("tokens").alias("pos", "token"))
-    found = lookup_join(rows, table, "token", ["id", "chars", "cnt"], hot_by="cnt").select(
-        *keys, "pos", F.struct(F.coalesce("id", F.lit(UNK)).alias("id"), F.coalesce("chars", unknown).alias("chars")).alias("cell")
-    )
-    grouped = collect_ordered(found, keys, "cell", "_cells")
-
-    def special(i: int) -> Column:
-        return F.array(F.array(*[F.lit(v) for v in [i] + [PAD] * (width - 1)]))
-
-    return grouped.select(
-        *keys,
-        frame_sequence(F.col("_cells.id")).alias("ids"),
-        F.concat(special(SOS), F.col("_cells.chars"), special(EOS)).alias("grid"),
-    )
-
-
-def pad_grid(df: DataFrame, grid: str, batch: str = "batch", width: int = 10) -> DataFrame:
-    """Add rows of zeros up to the longest grid of the batch."""
-    longest = F.max(F.size(grid)).over(Window.partitionBy(batch))
-    zeros = F.array_repeat(F.array_repeat(F.lit(PAD), width), longest - F.size(grid))
-    return df.withColumn("_zeros", zeros).withColumn(grid, F.concat(grid, "_zeros")).drop("_zeros")
+    if fits_broadcast(char_rows, inline):
+        sent = coded.sparkSession.sparkContext.broadcast(char_rows.select("id", "chars").toArrow())
+        return coded.select(*keys, "ids").mapInArrow(inline_grid(sent, width), _with(coded, keys, "grid array<array<int>>"))
+    special = F.concat(F.array("id"), F.array_repeat(F.lit(PAD), width - 1))
+    rows = coded.select(*keys, F.posexplode_outer("ids").alias("pos", "id"))
+    found = lookup_join(rows, char_rows, "id", ["chars"], hot_by="id")
+    return collect_ordered(found.withColumn("chars", F.coalesce("chars", special)), keys, "chars", "grid")
+
+
+def inline_grid(sent, width: int):
+    """Arrow batches of keys and an id array (last) to keys and rows of character ids."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = sent.value
+        ids = table["id"].to_numpy()
+        known = np.stack(table["chars"].to_numpy()) if len(ids) else np.empty((0, width))
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            top = int(max(flat.max(initial=0), ids.max(initial=0))) + 1
+            rows = np.zeros((top, width), np.int32)
+            rows[:, 0] = np.arange(top)
+            rows[ids] = known
+            cells = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(flat) + 1) * width, pa.int32()), pa.array(rows[flat].ravel(), pa.int32())
+            )
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.ListArray.from_arrays(offsets, cells)],
+                names=[str(i) for i in range(batch.num_columns)],
+            )
+
+    return run
 
 
 def frame_all(df: DataFrame, ids: str, reverse: bool = False) -> DataFrame:

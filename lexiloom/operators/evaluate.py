@@ -53,10 +53,14 @@ def binary_loss(logit: Column, label: Column) -> Column:
     return F.greatest(logit, F.lit(0.0)) - logit * label + F.log1p(F.exp(-F.abs(logit)))
 
 
-def cross_entropy(df: DataFrame, probability: str, label: str, ignore: int = 0) -> DataFrame:
-    """Mean negative log probability of the target, leaving out the padding label."""
+def cross_entropy(df: DataFrame, probability: str, label: str, ignore: int = 0, weight: str | None = None) -> DataFrame:
+    """Mean negative log probability of the target, leaving out the padding label.
+
+    ``weight`` says how often a row counts.
+    """
     kept = ignore_padding(df, label, ignore)
-    return kept.agg(F.avg(-F.log(F.col(probability))).alias("cross_entropy"))
+    times = F.col(weight) if weight else F.lit(1)
+    return kept.agg((F.sum(-F.log(F.col(probability)) * times) / F.sum(times)).alias("cross_entropy"))
 
 
 def ignore_padding(df: DataFrame, label: str, ignore: int = 0) -> DataFrame:

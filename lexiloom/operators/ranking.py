@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,11 +44,20 @@ def global_rank(df: DataFrame, keys: list[str], rank: str = "rank", total: str |
     return ranked.drop("_mono", "_slot", "_start", "_total")
 
 
-def _hash_buckets(df: DataFrame, keys: list[str], seed: int, digits: int) -> tuple[DataFrame, DataFrame]:
+BUCKET_ROWS = 1_000_000
+
+
+def bucket_digits(rows: int) -> int:
+    """Hexadecimal digits of a prefix that leaves about BUCKET_ROWS rows per bucket, three at least."""
+    return max(3, math.ceil(math.log(max(1, rows / BUCKET_ROWS), 16)))
+
+
+def _hash_buckets(df: DataFrame, keys: list[str], seed: int, digits: int | None) -> tuple[DataFrame, DataFrame]:
     """Rows with their hash and prefix bucket, and the start of each bucket."""
+    digits = bucket_digits(df.count()) if digits is None else digits
     hashed = df.withColumn("_hash", keyed_hash(seed, *keys))
     hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
-    # At most 16**digits rows.
+    # At most 16**digits rows: a millionth of the table.
     starts = hashed.groupBy("_bucket").agg(F.count("*").alias("_size")).select(
         "_bucket",
         "_size",
@@ -60,7 +70,7 @@ def _hash_buckets(df: DataFrame, keys: list[str], seed: int, digits: int) -> tup
 
 
 def hash_rank(
-    df: DataFrame, keys: list[str], seed: int, rank: str = "rank", digits: int = 3, total: str | None = None
+    df: DataFrame, keys: list[str], seed: int, rank: str = "rank", digits: int | None = None, total: str | None = None
 ) -> DataFrame:
     """0-based position in a pseudo-random permutation of the rows.
 
@@ -78,7 +88,7 @@ def hash_rank(
 
 
 def hash_chunks(
-    df: DataFrame, keys: list[str], seed: int, rule: ChunkRule, chunk: str = "chunk", digits: int = 3
+    df: DataFrame, keys: list[str], seed: int, rule: ChunkRule, chunk: str = "chunk", digits: int | None = None
 ) -> DataFrame:
     """Chunk number of each row's position in hash order.
 

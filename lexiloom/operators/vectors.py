@@ -169,59 +169,13 @@ def recommend_topn(
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_n)
 
 
-def cosine_rows(a: DataFrame, b: DataFrame, key: str, vec: str, a_rows: int = QUERY_ROWS) -> DataFrame:
-    """The similarity matrix, one row per vector of B and block of A.
-
-    ``a_ids`` and ``cos`` are parallel arrays in id order. A side of at most ``a_rows``
-    vectors is one block sent to every task; a larger one is cut in blocks and each pair
-    of blocks is one task.
-    """
-    a_type, b_type = (df.schema[key].dataType.simpleString() for df in (a, b))
-    schema = f"a_block bigint, b_id {b_type}, a_ids array<{a_type}>, cos array<double>"
-    left = a.select(F.col(key).alias("a_id"), F.col(vec).alias("a_vec"))
-    right = b.select(F.col(key).alias("b_id"), F.col(vec).alias("b_vec"))
-
-    def rows(block, a_ids, a_unit, pdf):
-        sims = _unit(pdf["b_vec"]) @ a_unit.T
-        return pd.DataFrame(
-            {"a_block": block, "b_id": pdf["b_id"].to_numpy(), "a_ids": [a_ids] * len(pdf), "cos": list(sims)}
-        )
-
-    if left.limit(a_rows + 1).count() <= a_rows:
-        small = left.orderBy("a_id").toPandas()
-        sent = a.sparkSession.sparkContext.broadcast((small["a_id"].to_numpy(), _unit(small["a_vec"])))
-
-        def one_block(batches):
-            a_ids, a_unit = sent.value
-            for pdf in batches:
-                if len(pdf):
-                    yield rows(0, a_ids, a_unit, pdf)
-
-        return right.mapInPandas(one_block, schema)
-
-    na, nb = _blocks(left, "a_id"), _blocks(right, "b_id")
-    left = left.withColumn("ab", F.pmod(F.xxhash64("a_id"), F.lit(na))).withColumn(
-        "bb", F.explode(_numbers(nb))
-    )
-    right = right.withColumn("bb", F.pmod(F.xxhash64("b_id"), F.lit(nb))).withColumn(
-        "ab", F.explode(_numbers(na))
-    )
-
-    def block_pair(key_, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(l) or not len(r):
-            return pd.DataFrame({"a_block": [], "b_id": [], "a_ids": [], "cos": []})
-        l = l.sort_values("a_id")
-        return rows(key_[0], l["a_id"].to_numpy(), _unit(l["a_vec"]), r)
-
-    return left.groupBy("ab", "bb").cogroup(right.groupBy("ab", "bb")).applyInPandas(block_pair, schema)
-
-
-def rank_rows(matrix: DataFrame) -> DataFrame:
-    """For each vector of B, the ids of A by falling similarity, ordered inside the row."""
-    paired = F.zip_with(
-        "cos", "a_ids", lambda c, a: F.struct((-F.round(c, COS_DIGITS)).alias("neg"), a.alias("id"))
+def ranked_lists(best: DataFrame) -> DataFrame:
+    """One row per query of a top-n table: its targets, best first, and their cosines."""
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "t_id", "cos")))  # top_n rows
+    lists = best.groupBy("q_id").agg(ordered.alias("l"))
+    return lists.select(
+        "q_id", F.transform("l", lambda x: x["t_id"]).alias("ranked"), F.transform("l", lambda x: x["cos"]).alias("cos")
     )
-    return matrix.select("a_block", "b_id", F.transform(F.sort_array(paired), lambda x: x["id"]).alias("ranked"))
 
 
 def nearest_order(query: DataFrame, vectors: DataFrame, key: str, vec: str) -> DataFrame:

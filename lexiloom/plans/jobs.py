@@ -27,31 +27,48 @@ def keyword_stats(lines: DataFrame, settings: KeywordSettings, keys: list[str] =
 def keyword_job(lines: DataFrame, settings: KeywordSettings, keys: list[str] = KEYS) -> DataFrame:
     """Lines to their keywords; stop words are derived from the corpus itself.
 
-    Over the whole corpus the words to keep are the short list, so those are looked up;
-    with a sample, words outside it are kept and the stop list is looked up.
+    With ``use_default_stopwords`` a list (of ``stopword_path``, or the default one) is
+    added to them. Over the whole corpus the words to keep are the short list, so those
+    are looked up; with a sample, words outside it are kept and the stop list is looked up.
     """
     stats = keyword_stats(lines, settings, keys)
     tokens = with_tokens(lines, keyword_tokens(F.col("line")), keys)
     if settings.sampling_ratio >= 1:
-        keep = materialize(surviving_words(stats, settings.tfidf_threshold, settings.min_count), "keep")
-        return extract_keywords(tokens, keep=keep, keys=keys, hot_by="total")
-    found = derive_stopwords(stats, settings.tfidf_threshold, settings.min_count)
-    return extract_keywords(tokens, stops=materialize(found, "stops"), keys=keys)
+        keep = surviving_words(stats, settings.tfidf_threshold, settings.min_count)
+        if settings.use_default_stopwords:
+            given = scan_stopwords(lines.sparkSession, settings.stopword_path or None)
+            keep = keep.join(given, "word", "left_anti")
+        return extract_keywords(tokens, keep=materialize(keep, "keep"), keys=keys, hot_by="total")
+    return extract_keywords(tokens, stops=stop_table(lines.sparkSession, stats, settings), keys=keys, hot_by="total")
 
 
-def keyword_file_job(spark: SparkSession, settings: KeywordSettings) -> DataFrame:
-    """Read a corpus file, write ``key|words`` and the summary, return the keywords."""
-    corpus = scan_lines(spark, settings.item_corpus_path).select("line_no", "line")
-    keys = ["line_no"]
-    stats = keyword_stats(corpus, settings, keys)
+def stop_table(spark: SparkSession, stats: DataFrame, settings: KeywordSettings) -> DataFrame:
+    """Derived and given stop words with the count of each in the (sampled) corpus, written once."""
     stops = derive_stopwords(stats, settings.tfidf_threshold, settings.min_count)
     if settings.use_default_stopwords:
         stops = union_stopwords(stops, scan_stopwords(spark, settings.stopword_path or None))
-    stops = materialize(stops, "stops")
+    counted = stops.join(stats.select("word", "total"), "word", "left")
+    return materialize(counted.select("word", F.coalesce("total", F.lit(0)).alias("total")), "stops")
+
+
+def keyword_file_job(spark: SparkSession, settings: KeywordSettings) -> DataFrame:
+    """Read both corpus files, write ``key|words`` per corpus and the summary, return the keywords.
+
+    ``corpus`` is 0 for the code book and 1 for the items; a path left empty is no corpus.
+    """
+    corpus = None
+    for origin, path in enumerate((settings.code_corpus_path, settings.item_corpus_path)):
+        if path:
+            part = scan_lines(spark, path).select(F.lit(origin).alias("corpus"), "line_no", "line")
+            corpus = part if corpus is None else corpus.unionByName(part)
+    keys = ["corpus", "line_no"]
+    stats = keyword_stats(corpus, settings, keys)
+    stops = stop_table(spark, stats, settings)
     tokens = with_tokens(corpus, keyword_tokens(F.col("line")), keys)
-    extracted = materialize(extract_keywords(tokens, stops=stops, keys=keys), "keywords")
+    extracted = materialize(extract_keywords(tokens, stops=stops, keys=keys, hot_by="total"), "keywords")
     count = stops.agg(F.count("*").alias("stopwords"))
-    write_keywords(extracted, "line_no", f"{settings.save_path}/keywords/extraction")
+    for origin, name in enumerate(("code", "item")):
+        write_keywords(extracted.filter(F.col("corpus") == origin), "line_no", f"{settings.save_path}/keywords/{name}")
     write_summary(extraction_summary(extracted, count, settings.sampling_ratio), f"{settings.save_path}/keywords/meta")
     return extracted
 

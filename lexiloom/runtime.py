@@ -57,12 +57,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Redistribute by a unique key when the scan yields fewer splits than cores.
 
-    A table of many files is returned untouched, so no shuffle is added at scale.
+    A table of many files is returned untouched, so no shuffle is added at scale. Rows
+    are dealt by a hash that no later grouping matches: a small table gets the very
+    exchanges that a large one gets.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(cores, F.xxhash64(*keys))
 
 
 def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pathlib
 import re
+import zipfile
 
-from pyspark.ml.feature import StopWordsRemover
+import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,8 +95,8 @@ def scan_class_files(spark: SparkSession, files: dict[str, int], encoding: str =
     return out
 
 
-def zip_lines(source: DataFrame, target: DataFrame, drop_last: bool = True) -> DataFrame:
-    """Align two numbered files by line; the last line is left out unless told otherwise."""
+def zip_lines(source: DataFrame, target: DataFrame, drop_last: bool = False) -> DataFrame:
+    """Align two numbered files by line; ``drop_last`` leaves the last line out."""
     both = source.select("line_no", F.col("line").alias("src")).join(
         target.select("line_no", F.col("line").alias("dst")), "line_no"
     )
@@ -104,16 +106,22 @@ def zip_lines(source: DataFrame, target: DataFrame, drop_last: bool = True) -> D
     return both.crossJoin(F.broadcast(last)).filter("line_no < _last").drop("_last")  # one row
 
 
-def scan_parallel(spark: SparkSession, source: str, target: str, drop_last: bool = True) -> DataFrame:
+def scan_parallel(spark: SparkSession, source: str, target: str, drop_last: bool = False) -> DataFrame:
     return zip_lines(scan_lines(spark, source), scan_lines(spark, target), drop_last)
 
 
 def scan_text_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """``word v1 v2 ...`` text vectors; a header or a row of another size is left out."""
-    parts = F.split("value", " ")
-    rows = spark.read.text(path).filter(F.size(parts) == dim + 1)
-    return rows.select(
-        parts[0].alias("word"), F.transform(F.slice(parts, 2, dim), lambda x: x.cast("float")).alias("vec")
+    """``word v1 v2 ...`` text vectors.
+
+    A header (two whole numbers) and empty lines are left out. Any other row of another
+    size is an error when it is read.
+    """
+    parts = F.split(F.rtrim("value"), " ")
+    rows = spark.read.text(path).filter((F.trim("value") != "") & ~F.col("value").rlike("^[0-9]+ [0-9]+ *$"))
+    wrong = F.raise_error(F.concat(F.lit(f"not a word and {dim} values: "), F.substring("value", 1, 200)))
+    sized = F.when(F.size(parts) == dim + 1, parts).otherwise(wrong)
+    return rows.select(sized.alias("parts")).select(
+        F.col("parts")[0].alias("word"), F.transform(F.slice("parts", 2, dim), lambda x: x.cast("float")).alias("vec")
     )
 
 
@@ -124,9 +132,16 @@ def check_vectors(ids: DataFrame, vectors: DataFrame) -> None:
         raise ValueError(f"{n_ids} ids but {n_vectors} vectors")
 
 
+def default_stopwords() -> list[str]:
+    """Spark's English stop words, out of its own jar: known before any session exists."""
+    jar = sorted(pathlib.Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))[0]
+    with zipfile.ZipFile(jar) as packed:
+        content = packed.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
+    return sorted({w.strip() for w in content.splitlines()} - {""})
+
+
 def scan_stopwords(spark: SparkSession, path: str | None = None) -> DataFrame:
     """Trimmed stop words of a file, or Spark's English list."""
     if path:
-        return spark.read.text(path).select(F.trim("value").alias("word")).distinct()
-    words = StopWordsRemover.loadDefaultStopWords("english")
-    return spark.createDataFrame([(w,) for w in words], "word string").distinct()
+        return spark.read.text(path).select(F.trim("value").alias("word")).filter("word <> ''").distinct()
+    return spark.createDataFrame([(w,) for w in default_stopwords()], "word string")

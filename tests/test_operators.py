@@ -174,16 +174,18 @@ def test_recommend_with_many_equal_vectors(spark, query_rows, monkeypatch):
     assert {(r["q_id"], r["rank"]): r["t_id"] for r in got} == want
 
 
-@pytest.mark.parametrize("a_rows", [1000, 0])
-def test_cosine_rows(spark, a_rows, monkeypatch):
+@pytest.mark.parametrize("query_rows", [1000, 0])
+def test_ranked_lists(spark, query_rows, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 4)
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=(7, 3)), rng.normal(size=(10, 3))
-    got = vectors.cosine_rows(vector_table(spark, a), vector_table(spark, b), "vec_id", "vec", a_rows).collect()
-    cells = {(i, r["b_id"]): c for r in got for i, c in zip(r["a_ids"], r["cos"])}
-    assert len(cells) == 70
-    for (i, j), c in cells.items():
-        assert math.isclose(c, a[i] @ b[j] / np.linalg.norm(a[i]) / np.linalg.norm(b[j]), abs_tol=1e-6)
+    best = vectors.recommend_topn(vector_table(spark, b), vector_table(spark, a), "vec_id", "vec", 5, query_rows=query_rows)
+    got = {r["q_id"]: r for r in vectors.ranked_lists(best).collect()}
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    sims = unit(b) @ unit(a).T
+    assert {j: list(r["ranked"]) for j, r in got.items()} == {j: np.argsort(-sims[j])[:5].tolist() for j in range(10)}
+    for j, r in got.items():
+        assert np.allclose(r["cos"], np.sort(sims[j])[::-1][:5], atol=1e-6)
 
 
 def test_topn_limits_and_unknown_ids(spark):

@@ -59,19 +59,22 @@ def test_encoding_and_class_files(spark, tmp_path):
     assert {(r["text"], r["label"]) for r in rows} == {(r"caf \( x \)", 1), ("fine", 0)}
 
 
-def test_parallel_drops_the_last_line(spark, tmp_path):
+def test_parallel(spark, tmp_path):
     (tmp_path / "s").write_text("a\nb\nc\n", encoding="utf-8")
     (tmp_path / "t").write_text("x\ny\nz\n", encoding="utf-8")
     pair = (str(tmp_path / "s"), str(tmp_path / "t"))
     rows = sorted(tuple(r) for r in readers.scan_parallel(spark, *pair).collect())
-    assert rows == [(1, "a", "x"), (2, "b", "y")]
-    assert readers.scan_parallel(spark, *pair, drop_last=False).count() == 3
+    assert rows == [(1, "a", "x"), (2, "b", "y"), (3, "c", "z")]
+    assert readers.scan_parallel(spark, *pair, drop_last=True).count() == 2
 
 
 def test_text_vectors_and_stopwords(spark, tmp_path):
     (tmp_path / "v").write_text("2 3\na 1 2 3\nb 4 5 6\n", encoding="utf-8")
     rows = readers.scan_text_vectors(spark, str(tmp_path / "v"), 3).collect()
     assert {r["word"]: r["vec"] for r in rows} == {"a": [1, 2, 3], "b": [4, 5, 6]}
+    (tmp_path / "bad").write_text("2 3\na 1 2 3\nb 4 5\n", encoding="utf-8")
+    with pytest.raises(Exception, match="not a word and 3 values: b 4 5"):
+        readers.scan_text_vectors(spark, str(tmp_path / "bad"), 3).collect()
     (tmp_path / "w").write_text(" a \nb\n", encoding="utf-8")
     assert {r[0] for r in readers.scan_stopwords(spark, str(tmp_path / "w")).collect()} == {"a", "b"}
     assert readers.scan_stopwords(spark).filter("word = 'the'").count() == 1
@@ -91,13 +94,15 @@ def test_settings_parse_booleans(tmp_path):
 def test_keyword_file_job(spark, tmp_path):
     corpus = tmp_path / "corpus.txt"
     corpus.write_text("the apple\nthe pear\nthe\napple\n", encoding="utf-8")
-    settings = KeywordSettings(item_corpus_path=str(corpus), min_count=1, save_path=str(tmp_path / "out"))
-    rows = {r["line_no"]: r["keywords"] for r in jobs.keyword_file_job(spark, settings).collect()}
-    assert rows == {1: "apple", 2: "pear", 3: "", 4: "apple"}
-    saved = {r[0] for r in spark.read.text(str(tmp_path / "out/keywords/extraction")).collect()}
-    assert saved == {"1|apple", "2|pear", "3|", "4|apple"}
+    codes = tmp_path / "codes.txt"
+    codes.write_text("pear apple\nthe\n", encoding="utf-8")
+    settings = KeywordSettings(str(codes), str(corpus), min_count=1, save_path=str(tmp_path / "out"))
+    rows = {(r["corpus"], r["line_no"]): r["keywords"] for r in jobs.keyword_file_job(spark, settings).collect()}
+    assert rows == {(1, 1): "apple", (1, 2): "pear", (1, 3): "", (1, 4): "apple", (0, 1): "pear,apple", (0, 2): ""}
+    saved = [{r[0] for r in spark.read.text(str(tmp_path / f"out/keywords/{c}")).collect()} for c in ("item", "code")]
+    assert saved == [{"1|apple", "2|pear", "3|", "4|apple"}, {"1|pear,apple", "2|"}]
     meta = {r[0] for r in spark.read.text(str(tmp_path / "out/keywords/meta/text")).collect()}
-    assert "empty_keywords_ratio : 25.00% (1/4)" in meta
+    assert "empty_keywords_ratio : 33.33% (2/6)" in meta
 
 
 def test_recommendation_job(spark, tmp_path):
