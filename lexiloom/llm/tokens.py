@@ -8,6 +8,7 @@ answer totals, quantiles and truncated totals for every context limit.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,12 @@ BLOCK = 1024
 # Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_ENCODINGS: dict[int, tiktoken.Encoding] = {}
+_ENCODINGS: dict[bytes, tiktoken.Encoding] = {}  # by digest of the ranks file
 
 
-def encoding(content: bytes, key: int = -1) -> tiktoken.Encoding:
+def encoding(content: bytes) -> tiktoken.Encoding:
     """The encoding of a ranks file; kept for the next task of the same worker."""
+    key = hashlib.blake2b(content).digest()
     if key not in _ENCODINGS:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
         _ENCODINGS[key] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -36,7 +38,7 @@ def encoding(content: bytes, key: int = -1) -> tiktoken.Encoding:
 
 def _length_batches(content):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoding(content.value, content.id)
+        coder = encoding(content.value)
         for batch in batches:
             # One text at a time: a list of encodings of a batch of long texts is not bounded.
             n = [len(coder.encode_ordinary(x.as_py() or "")) for x in batch.column("text")]
