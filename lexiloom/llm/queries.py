@@ -61,6 +61,31 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+ORACLES["op3_near_duplicates"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)),
+sized AS (SELECT doc_id, count(g) AS n FROM words LEFT JOIN shingle USING (doc_id) GROUP BY doc_id),
+pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (
+  SELECT a, b FROM pair JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b
+  WHERE 100 * common >= 85 * (x.n + y.n - common)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (
+  SELECT doc_id AS node, doc_id AS other FROM words
+  UNION SELECT node, b FROM reach JOIN edge ON edge.a = other)
+SELECT doc_id, n AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM sized JOIN reach ON node = doc_id GROUP BY doc_id, n
+"""
+
+
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language by compression, learned from three quarters of the documents."""
@@ -154,7 +179,7 @@ place AS (
   SELECT id, m, i, array_to_string(w[i : i + m - 1], ' ') AS g
   FROM (SELECT id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM t, spans WHERE side = 'd' AND len(w) >= m)),
 hit AS (SELECT id, item_id, p.m, i FROM place p JOIN item USING (m, g)),
-word AS (SELECT id, count(DISTINCT at) AS n_hit FROM (SELECT id, unnest(range(i, i + m)) AS at FROM hit) GROUP BY id),
+word AS (SELECT id, count(DISTINCT spot) AS n_hit FROM (SELECT id, unnest(range(i, i + m)) AS spot FROM hit) GROUP BY id),
 named AS (
   SELECT id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
   FROM (SELECT DISTINCT id, item_id::VARCHAR AS x FROM hit) GROUP BY id)
