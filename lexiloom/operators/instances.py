@@ -15,14 +15,6 @@ MAX_LENGTH = 256
 PAIR_SPECIALS = 3
 
 
-def next_line(lines: DataFrame) -> DataFrame:
-    """Each line with the following line of its document, null after the last."""
-    following = lines.select(
-        "doc_id", (F.col("line_no") - 1).cast("int").alias("line_no"), F.col("line").alias("next_line")
-    )
-    return lines.join(following, KEYS, "left")
-
-
 def next_sentence_pairs(
     lines: DataFrame, seed: int, probability: float = 0.5, carry: list[str] = ("line",)
 ) -> DataFrame:

@@ -21,16 +21,21 @@ def lookup_join(
     """Left join of ``values`` from ``table`` on ``key``; misses give null.
 
     ``table`` holds one row per key and should be a written table, as it is measured
-    first. Up to ``limit`` rows (and a byte bound) it is broadcast. Beyond, its ``HOT_ROWS`` most frequent
-    keys (by ``hot_by``) are broadcast and all other keys go through a shuffled join, in
-    which rows already answered carry a spread-out key that matches nothing.
+    first. Up to ``limit`` rows (and a byte bound) it is broadcast. Beyond, the ``HOT_ROWS``
+    most frequent keys are broadcast (by ``hot_by``, or as counted in ``left``) and all
+    other keys go through a shuffled join, in which rows already answered carry a
+    spread-out key that matches nothing.
     """
     table = table.select(key, *values, *([hot_by] if hot_by and hot_by not in values else []))
     if fits_broadcast(table.select(key, *values), limit):
         return left.join(F.broadcast(table.select(key, *values)), key, "left")
     renamed = [F.col(v).alias(f"_hot_{v}") for v in values]
-    order = F.desc(hot_by) if hot_by else F.col(key)
-    hot = table.orderBy(order, key).limit(HOT_ROWS).select(key, F.lit(True).alias("_hit"), *renamed)
+    if hot_by:
+        hot = table.orderBy(F.desc(hot_by), key).limit(HOT_ROWS)
+    else:
+        counted = left.groupBy(key).agg(F.count("*").alias("_n")).orderBy(F.desc("_n")).limit(HOT_ROWS)
+        hot = table.join(F.broadcast(counted.select(key)), key, "left_semi")
+    hot = hot.select(key, F.lit(True).alias("_hit"), *renamed)
     first = left.join(F.broadcast(hot), key, "left")
     answered = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in left.columns]).cast("string"))
     routed = first.withColumn(

@@ -24,12 +24,16 @@ def tag_corpus(df: DataFrame) -> DataFrame:
     return df.withColumn("corpus", F.when(F.col("source").isin(CODE_SOURCES), F.lit(0)).otherwise(F.lit(1)))
 
 
-def explode_lines(docs: DataFrame, carry: list[str] = ("lang", "source")) -> DataFrame:
-    """One row per text line: 1-based ``line_no`` and the document's ``n_lines``."""
+def explode_lines(docs: DataFrame, carry: list[str] = ("lang", "source"), following: bool = False) -> DataFrame:
+    """One row per text line: 1-based ``line_no`` and the document's ``n_lines``.
+
+    ``following`` adds ``next_line``, null after the last line, out of the same row.
+    """
     parts = docs.select("doc_id", *carry, F.split("text", "\n", -1).alias("_parts"))
+    after = [F.get("_parts", F.col("_i") + 1).alias("next_line")] if following else []
     return parts.select(
-        "doc_id", *carry, F.size("_parts").alias("n_lines"), F.posexplode("_parts").alias("_i", "line")
-    ).select("doc_id", (F.col("_i") + 1).alias("line_no"), *carry, "n_lines", "line")
+        "doc_id", *carry, F.size("_parts").alias("n_lines"), "_parts", F.posexplode("_parts").alias("_i", "line")
+    ).select("doc_id", (F.col("_i") + 1).alias("line_no"), *carry, "n_lines", "line", *after)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

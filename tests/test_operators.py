@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions.arrays import MASK
-from lexiloom.operators import encode, evaluate, instances, joins, ranking, splits, subwords, terms, vectors, vocab
+from lexiloom.operators import encode, evaluate, instances, joins, ml, ranking, splits, subwords, terms, vectors, vocab
 from lexiloom.operators.keywords import extract_keywords
 from lexiloom.operators.terms import KEYS
 from lexiloom.runtime import materialize
@@ -315,3 +315,62 @@ def test_release_removes_only_written_tables(spark):
     folder = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert os.path.isdir(folder) and runtime.release(spark) == 1 and not os.path.exists(folder)
     runtime._written[:] = kept
+
+
+def test_coding_in_the_row_and_by_join(spark):
+    rows = [(1, ["a", "b", "zz", "a"]), (2, []), (3, None), (4, ["zz"]), (5, [None, "b"]), (6, ["a"] * 500)]
+    lines = materialize(spark.createDataFrame(rows, "k int, tokens array<string>"), "lines")
+    words = materialize(spark.createDataFrame([("a", 4, 502), ("b", 5, 2)], "token string, id int, cnt bigint"), "vocab")
+    chars = materialize(spark.createDataFrame([(4, [7, 0, 0]), (5, [8, 9, 0])], "id int, chars array<int>"), "chars")
+    found = []
+    for inline in (100_000, -1):
+        ids = encode.encode_tokens(lines, words, ["k"], inline=inline)
+        framed = encode.frame_all(ids, "ids")
+        grids = encode.char_grids(framed, chars, ["k"], 3, inline=inline)
+        text = encode.decode_ids(framed, words, ["k"], inline=inline)
+        found.append([{r["k"]: r[1] for r in df.collect()} for df in (ids, grids, text)])
+        if inline > 0:
+            assert "Exchange" not in ids._jdf.queryExecution().executedPlan().toString()
+    assert found[0] == found[1]
+    ids, grids, text = found[0]
+    assert ids == {1: [4, 5, 1, 4], 2: [], 3: [], 4: [1], 5: [1, 5], 6: [4] * 500}
+    assert grids[1] == [[2, 0, 0], [7, 0, 0], [8, 9, 0], [1, 0, 0], [7, 0, 0], [3, 0, 0]]
+    assert text == {1: "a b a", 2: "", 3: "", 4: "", 5: "b", 6: " ".join("a" * 500)}
+
+
+def test_lookup_of_a_word_in_most_rows(spark):
+    left = spark.range(1000).select("id", F.when(F.col("id") % 10 < 9, "zz").otherwise(F.col("id").cast("string")).alias("word"))
+    table = materialize(spark.range(0, 1000, 5).select(F.col("id").cast("string").alias("word"), F.col("id").alias("v")).union(spark.createDataFrame([("zz", -1)], "word string, v bigint")), "t")
+    got = {r["id"]: r["v"] for r in joins.lookup_join(left, table, "word", ["v"], limit=-1).collect()}
+    assert got == {i: -1 if i % 10 < 9 else (i if i % 5 == 0 else None) for i in range(1000)}
+
+
+@pytest.mark.parametrize("cells", [4 << 20, 40])
+def test_context_sums(spark, cells, monkeypatch):
+    monkeypatch.setattr(ml, "SLICE_CELLS", cells)
+    rng = random.Random(3)
+    rows = [[rng.choice("abcdef") for _ in range(rng.randrange(20))] for _ in range(60)] + [["alone"], []]
+    near, sums = {}, {}
+    for words in rows:
+        for i, w in enumerate(words):
+            own = [words[j] for j in range(max(0, i - 5), min(len(words), i + 6)) if j != i]
+            near[w] = near.get(w, 0) + len(own)
+            sums[w] = sums.get(w, np.zeros(7, int)) + sum((ml.sign_row(x, 7, 1) for x in own), np.zeros(7, int))
+    df = spark.createDataFrame([(r,) for r in rows], "words array<string>").repartition(3)
+    got = {r["word"]: (r["near"], r["sums"]) for r in ml.context_sums(df, 7).collect()}
+    assert got == {w: (near[w], sums[w].tolist()) for w in near}
+
+
+def test_one_plan_for_few_and_many_files(spark, tmp_path):
+    """The exchanges of a query do not depend on the number of files."""
+    from lexiloom.sources import tables
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    counts = []
+    for files in (1, 32):
+        folder = tmp_path / str(files)
+        docs.repartition(files).write.parquet(str(folder / "documents.parquet"))
+        lines = tables.lines(spark, str(folder))
+        plan = lines.groupBy("doc_id", "line_no").count()._jdf.queryExecution().executedPlan().toString()
+        counts.append(plan.count("hashpartitioning(doc_id"))
+    assert counts[0] == counts[1] == 1
