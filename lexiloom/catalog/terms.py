@@ -180,9 +180,7 @@ def sink_keywords(spark, sf):
     from ..runtime import scratch_path
     from ..sources.sinks import write_keywords_table
 
-    lines = tables.lines(spark, sf)
-    origin = tables.tag_corpus(tables.table(spark, sf, "documents").select("doc_id", "source")).select("doc_id", "corpus")
-    extracted = keyword_job(lines, SETTINGS).join(origin, "doc_id")
+    extracted = keyword_job(tables.lines(spark, sf), SETTINGS, ["corpus", *KEYS])
     path = scratch_path(spark, "keywords")
     write_keywords_table(extracted, path)
     saved = spark.read.parquet(path).withColumn("key", F.concat_ws(":", "doc_id", "line_no"))

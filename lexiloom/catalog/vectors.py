@@ -239,8 +239,7 @@ def skip_oov(spark, sf):
     FROM lines l LEFT JOIN c USING (doc_id, line_no)""",
 )
 def centroid(spark, sf):
-    rows = vectors.words_to_vectors(keyed_words(spark, sf), word_vectors(spark, sf), "key")
-    found = vectors.centroid(rows, "key", DIM)
+    found = vectors.keyed_centroids(keyed_words(spark, sf), word_vectors(spark, sf), "key", DIM)
     total = F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x)
     return found.select(
         "key", "found", F.round(total, 5).alias("total"), F.round(F.array_max("centroid"), 6).alias("largest")

@@ -24,9 +24,9 @@ def word_symbols(words: DataFrame, alphabet: DataFrame | None = None) -> DataFra
     """Distinct words and counts to rows of single-character symbols.
 
     Characters after the first carry the continuation mark. With ``alphabet`` given,
-    other characters are dropped.
+    other characters are dropped. The edge character itself is never part of a symbol.
     """
-    chars = F.filter(F.split("word", ""), lambda c: F.length(c) > 0)
+    chars = F.filter(F.split("word", ""), lambda c: (F.length(c) > 0) & (c != EDGE))
     if alphabet is not None:
         kept = words.select("word", "cnt", F.posexplode(chars).alias("pos", "ch")).join(
             F.broadcast(alphabet.select("ch")), "ch", "left_semi"
@@ -45,8 +45,8 @@ def word_symbols(words: DataFrame, alphabet: DataFrame | None = None) -> DataFra
 
 def limit_alphabet(words: DataFrame, size: int) -> DataFrame:
     """The ``size`` most frequent characters, weighted by word count."""
-    chars = words.select("cnt", F.explode(F.split("word", "")).alias("ch")).filter(F.length("ch") > 0)
-    return chars.groupBy("ch").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "ch").limit(size)
+    chars = words.select("cnt", F.explode(F.split("word", "")).alias("ch"))
+    return chars.filter((F.length("ch") > 0) & (F.col("ch") != EDGE)).groupBy("ch").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "ch").limit(size)
 
 
 def pair_counts(symbols: DataFrame) -> DataFrame:

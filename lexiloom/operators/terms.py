@@ -162,10 +162,19 @@ def derive_stopwords_plain(
 ) -> DataFrame:
     """Stop words of the smoothed variant: low weight in any line, rare, default, or
     outside the vectoriser's vocabulary."""
-    kept = with_tokens(lines, without(cleaned_words(clean), default_stops), keys)
+    # Cleaned and cut once; the statistics, the weights and the counts read the written arrays.
+    both = materialize(
+        lines.select(*keys, clean.alias("clean")).select(
+            *keys,
+            without(cleaned_words(F.col("clean")), default_stops).alias("tokens"),
+            tokenize_delims(F.col("clean"), keep_empty=True).alias("parts"),
+        ),
+        "tokens",
+    )
+    kept = both.select(*keys, "tokens")
     weights = tfidf_smooth_l2(kept, materialize(smooth_stats(kept), "smooth"), keys)
     lowest = weights.groupBy("word").agg(F.min("weight").alias("lowest"))
-    counts = word_counts(with_tokens(lines, tokenize_delims(clean, keep_empty=True), keys))
+    counts = word_counts(both.select(*keys, F.col("parts").alias("tokens")))
     judged = counts.join(lowest, "word", "left")
     stop = F.col("lowest").isNull() | (F.col("lowest") < threshold) | (F.col("cnt") < min_count)
     found = judged.filter(stop).select("word")

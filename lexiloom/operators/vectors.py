@@ -6,14 +6,20 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import keyed_hash, unit_float
+from ..runtime import BROADCAST_ROWS, fits_broadcast
 from .joins import lookup_join, require_all
 
-# Query vectors are sent to every task only when at most this many were counted.
+# Query vectors are sent to every task only when at most this many, of this many bytes, were counted.
 QUERY_ROWS = 20_000
+QUERY_BYTES = 64 << 20
+# Cells of a similarity product that are held at once.
+PRODUCT_CELLS = 4 << 20
 # Rows per side of one block otherwise.
 BLOCK_ROWS = 4_096
 # Cosines are compared at this precision; equal values are ordered by id.
@@ -74,13 +80,17 @@ def _best(ids: np.ndarray, sims: np.ndarray, n: int) -> np.ndarray:
 
 
 def _top_rows(q_ids, q_unit, t_ids, t_unit, n):
-    sims = np.round(q_unit @ t_unit.T, COS_DIGITS)
-    picks = [_best(t_ids, row, n) for row in sims]
-    return (
-        np.repeat(q_ids, [len(p) for p in picks]),
-        np.concatenate([t_ids[p] for p in picks]),
-        np.concatenate([row[p] for row, p in zip(sims, picks)]),
-    )
+    """The best of one block, in tiles of PRODUCT_CELLS cells."""
+    q_found, t_found, cos = [], [], []
+    step = max(1, PRODUCT_CELLS // max(1, len(t_ids)))
+    for x in range(0, len(q_ids), step):
+        sims = np.round(q_unit[x : x + step] @ t_unit.T, COS_DIGITS)
+        for q, row in zip(q_ids[x : x + step], sims):
+            picks = _best(t_ids, row, n)
+            q_found.append(np.repeat(q, len(picks)))
+            t_found.append(t_ids[picks])
+            cos.append(row[picks])
+    return np.concatenate(q_found), np.concatenate(t_found), np.concatenate(cos)
 
 
 def _found_schema(queries: DataFrame, targets: DataFrame) -> str:
@@ -163,7 +173,8 @@ def recommend_topn(
         targets = restrict_targets(targets, target_ids, key)
     q = sources.select(F.col(key).alias("q_id"), F.col(vec).alias("q_vec"))
     t = targets.select(F.col(key).alias("t_id"), F.col(vec).alias("t_vec"))
-    few = q.limit(query_rows + 1).count() <= query_rows
+    size = q.agg(F.count("*").alias("rows"), F.coalesce(F.sum(8 * F.size("q_vec").cast("long")), F.lit(0)).alias("bytes")).first()
+    few = size["rows"] <= query_rows and size["bytes"] <= QUERY_BYTES
     found = _topn_sent(q, t, top_n) if few else _topn_blocked(q, t, top_n)
     best = Window.partitionBy("q_id").orderBy(F.desc("cos"), "t_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_n)
@@ -201,6 +212,50 @@ def centroid(word_rows: DataFrame, key: str, dim: int, vec: str = "vec") -> Data
     )
 
 
+def keyed_centroids(keyed_words: DataFrame, word_vectors: DataFrame, key: str, dim: int, inline: int | None = None) -> DataFrame:
+    """``key, found, centroid`` of keyed word lists (one row per key).
+
+    A written vector table measured to be small is sent to the tasks and lists are
+    averaged inside their rows; beyond, words meet their vectors in a join.
+    """
+    table = word_vectors.select("word", "vec")
+    if not fits_broadcast(table, BROADCAST_ROWS if inline is None else inline):
+        return centroid(words_to_vectors(keyed_words, word_vectors, key), key, dim)
+    sent = keyed_words.sparkSession.sparkContext.broadcast(table.toArrow())
+    kind = keyed_words.schema[key].dataType.simpleString()
+    return keyed_words.select(key, "words").mapInArrow(
+        _mean_batches(sent, dim), f"`{key}` {kind}, found bigint, centroid array<double>"
+    )
+
+
+def _mean_batches(sent, dim: int):
+    """Arrow batches of key and word list to key, words found and their mean."""
+
+    def run(batches):
+        known = sent.value["word"].combine_chunks()
+        rows = sent.value["vec"].combine_chunks()
+        matrix = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(known), dim)
+        for batch in batches:
+            lists = batch.column(1)
+            place = pc.index_in(lists.flatten(), value_set=known)
+            hit = pc.is_valid(place).to_numpy(zero_copy_only=False)
+            place = pc.fill_null(place, 0).to_numpy(zero_copy_only=False)[hit]
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(hit)])[np.cumsum(sizes)]
+            found = np.diff(ends, prepend=0)
+            means = np.zeros((len(sizes), dim))
+            for i, (end, n) in enumerate(zip(ends, found)):
+                if n:
+                    means[i] = matrix[place[end - n : end]].sum(axis=0, dtype=np.float64) / n
+            offsets = pa.array(np.arange(len(sizes) + 1) * dim, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found), pa.ListArray.from_arrays(offsets, pa.array(means.ravel()))],
+                names=["key", "found", "centroid"],
+            )
+
+    return run
+
+
 def vector_spread(vectors: DataFrame, vec: str, dim: int) -> DataFrame:
     """Population variance of each dimension, as one row."""
     spread = vectors.agg(*[F.var_pop(F.get(vec, F.lit(i)).cast("double")).alias(f"_{i}") for i in range(dim)])

@@ -18,6 +18,7 @@ def _place(df: DataFrame, keys: list[str], pos: str) -> Column:
 
     One or two whole-number keys and the position fit the digits of one decimal, whose
     minimum is found by hashing; the minimum of a struct would sort every row instead.
+    A second key or a position of 10**9 or more doesn't fit and is an error.
     """
     types = dict(df.dtypes)
     if len(keys) > 2 or any(types[k] not in ("int", "bigint") for k in keys):

@@ -10,7 +10,7 @@ from ..functions.text import keyword_tokens
 from ..operators.keywords import extract_keywords, extraction_summary
 from ..operators.splits import sample_fraction
 from ..operators.terms import KEYS, derive_stopwords, surviving_words, term_stats, union_stopwords, with_tokens
-from ..operators.vectors import centroid, recommend_topn, words_to_vectors
+from ..operators.vectors import keyed_centroids, recommend_topn
 from ..runtime import materialize
 from ..sources.readers import scan_key_value, scan_lines, scan_stopwords
 from ..sources.sinks import write_keywords, write_summary, write_vectors
@@ -80,7 +80,7 @@ def recommendation_job(
     sides = []
     for name, path in (("code", code_path), ("item", item_path)):
         words = scan_key_value(spark, path)
-        vectors = centroid(words_to_vectors(words, word_vectors, "key"), "key", dim)
+        vectors = keyed_centroids(words, word_vectors, "key", dim)
         write_vectors(vectors, f"{save_path}/{name}")
         sides.append(spark.read.parquet(f"{save_path}/{name}"))
     code, item = sides

@@ -30,8 +30,8 @@ def scan_lines(spark: SparkSession, paths: str | list[str], encoding: str | None
     splits = splits.select(
         "path", "_start", "_first", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")
     )
-    # One row per file split.
-    numbered = placed.join(F.broadcast(splits), ["path", "_start"])
+    # One row per file split: Spark broadcasts them while they are few.
+    numbered = placed.join(splits, ["path", "_start"])
     line = F.col("value") if encoding is None else F.decode(F.col("value").cast("binary"), encoding)
     return numbered.select(
         "path", (F.col("_mono") - F.col("_first") + F.col("_before") + 1).alias("line_no"), line.alias("line")

@@ -211,8 +211,11 @@ def test_centroid_counts_repeats(spark):
     rows = [("k", ["a", "a", "b"]), ("none", ["q"]), ("empty", [])]
     words = spark.createDataFrame(rows, "key string, words array<string>")
     known = materialize(spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 6.0])], "word string, vec array<float>"), "w")
-    got = {r["key"]: r["centroid"] for r in vectors.centroid(vectors.words_to_vectors(words, known, "key"), "key", 2).collect()}
-    assert got == {"k": [2.0, 2.0], "none": [0.0, 0.0], "empty": [0.0, 0.0]}
+    for inline in (None, -1):
+        rows = vectors.keyed_centroids(words, known, "key", 2, inline).collect()
+        assert {r["key"]: r["found"] for r in rows} == {"k": 3, "none": 0, "empty": 0}
+        got = {r["key"]: r["centroid"] for r in rows}
+        assert got == {"k": [2.0, 2.0], "none": [0.0, 0.0], "empty": [0.0, 0.0]}
 
 
 def test_consistency_counts(spark):
