@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import ml, splits, subwords, terms
+from ..operators import ml, splits, subwords, terms, vocab
 from ..operators.terms import KEYS
 from ..runtime import materialize
 from ..sources import tables
@@ -96,8 +97,63 @@ def train_subwords(spark, sf):
     return subwords.train_subwords(words_of(spark, sf), PIECES)
 
 
-@query("encode_subwords")
+# A given vocabulary: specials, the letters of the corpus, then its 500 most common longer words, all
+# but the specials with and without the continuation mark.
+GIVEN = sql.COUNTS + """,
+letters AS (SELECT DISTINCT unnest(string_split(token, '')) AS p FROM counts),
+common AS (SELECT token AS p FROM counts WHERE length(token) > 1 ORDER BY cnt DESC, first LIMIT 500),
+plain AS (SELECT p FROM letters WHERE p <> '' UNION SELECT p FROM common),
+pieces AS (
+  SELECT piece, CAST(row_number() OVER (ORDER BY encode(piece)) + 4 AS INTEGER) AS id
+  FROM (SELECT p AS piece FROM plain UNION SELECT '##' || p FROM plain))"""
+
+
+def given_pieces(spark, sf):
+    """token, id of the given vocabulary; at most the letters and 500 words, twice."""
+    counts = materialize(vocab.token_counts(line_tokens(spark, sf)), "counts")
+    letters = counts.select(F.explode(F.split("token", "")).alias("p")).filter("p <> ''")
+    common = counts.filter(F.length("token") > 1).orderBy(F.desc("cnt"), "first").limit(500).select(F.col("token").alias("p"))
+    plain = letters.union(common).distinct()
+    marked = plain.union(plain.select(F.concat(F.lit(subwords.MARK), "p"))).distinct()
+    order = Window.orderBy("p")  # as long as the vocabulary
+    first = len(subwords.PIECE_SPECIALS)
+    return marked.select(F.col("p").alias("token"), (F.row_number().over(order) + first - 1).cast("int").alias("id"))
+
+
+@query(
+    "encode_subwords",
+    f"""WITH RECURSIVE {GIVEN},
+    cut AS (
+      SELECT token, spot, unnest(range(1, length(token) - spot + 2)) AS n
+      FROM (SELECT token, unnest(range(1, length(token) + 1)) AS spot FROM counts)),
+    longest AS (
+      SELECT token, spot, max(n) AS n, max_by(id, n) AS id
+      FROM cut JOIN pieces ON piece = CASE WHEN spot > 1 THEN '##' ELSE '' END || substr(token, spot, n) GROUP BY token, spot),
+    step AS (
+      SELECT token, CAST(1 AS BIGINT) AS spot, CAST([] AS INTEGER[]) AS ids FROM counts
+      UNION ALL
+      SELECT s.token, s.spot + coalesce(m.n, 1000000), list_append(s.ids, coalesce(m.id, -1))
+      FROM step s LEFT JOIN longest m ON m.token = s.token AND m.spot = s.spot WHERE s.spot <= length(s.token)),
+    words AS (
+      SELECT token, CASE WHEN list_contains(ids, -1) THEN [1] ELSE ids END AS ids
+      FROM step WHERE spot > length(token)),
+    body AS (
+      SELECT doc_id, line_no, flatten(list(ids ORDER BY pos))[1:254] AS ids
+      FROM tok JOIN words ON words.token = tok.word GROUP BY doc_id, line_no)
+    SELECT l.doc_id, l.line_no, len(f) AS n_ids, md5({sql.digits('f')}) AS ids_md5
+    FROM (SELECT doc_id, line_no, list_concat([2], list_concat(coalesce(ids, CAST([] AS INTEGER[])), [3])) AS f
+          FROM lines LEFT JOIN body USING (doc_id, line_no)) l""",
+)
 def encode_subwords(spark, sf):
-    vocab = subwords.train_subwords(words_of(spark, sf), PIECES)
-    coded = subwords.encode_subwords(line_tokens(spark, sf), vocab, KEYS)
+    """Greedy longest match over a given vocabulary."""
+    coded = subwords.encode_subwords(line_tokens(spark, sf), given_pieces(spark, sf), KEYS)
+    ids = F.transform("ids", lambda x: x.cast("string"))
+    return coded.select(*KEYS, F.size("ids").cast("bigint").alias("n_ids"), F.md5(F.concat_ws(" ", ids)).alias("ids_md5"))
+
+
+@query("train_and_encode_subwords")
+def train_and_encode_subwords(spark, sf):
+    """The lines in pieces of the vocabulary learned from them."""
+    learned = subwords.train_subwords(words_of(spark, sf), PIECES)
+    coded = subwords.encode_subwords(line_tokens(spark, sf), learned, KEYS)
     return coded.select(*KEYS, F.size("ids").alias("n_ids"), F.array_max("ids").alias("largest"))
