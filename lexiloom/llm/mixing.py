@@ -17,7 +17,7 @@ DIMENSIONS = ("source", "lang", "topic")
 # Exponents that flatten the shares found in the corpus into the target shares.
 FLATTEN = {"source": 0.8, "lang": 0.9, "topic": 0.9}
 TOPICS = 8
-TOLERANCE = 1e-7
+TOLERANCE = 1e-9
 ROUNDS = 60
 WHITE = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -30,7 +30,8 @@ def described(docs: DataFrame) -> DataFrame:
     """
     words = F.filter(F.split(F.lower(text_or_empty("text")), WHITE), lambda w: w != "")
     longest = F.array_max(F.transform(F.col("_words"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    topic = F.when(F.size("_words") > 0, F.concat(F.lit("t"), (F.crc32(longest.cast("binary")) % TOPICS).cast("string")))
+    digest = F.conv(F.substring(F.md5(longest.cast("binary")), 1, 8), 16, 10).cast("long")
+    topic = F.when(F.size("_words") > 0, F.concat(F.lit("t"), (digest % TOPICS).cast("string")))
     unknown = F.lit("unknown")
     return (
         docs.withColumn("_words", words)
@@ -112,6 +113,6 @@ def mix_report(docs: DataFrame) -> DataFrame:
         F.col("_lang").alias("lang"),
         F.col("_topic").alias("topic"),
         F.col("_tokens").alias("tokens"),
-        F.round("_probability", 6).alias("probability"),
+        F.round("_probability", 4).alias("probability"),
         F.col("_kept").alias("kept"),
     )

@@ -194,3 +194,35 @@ FROM t LEFT JOIN word ON word.id = t.id LEFT JOIN named ON named.id = t.id WHERE
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated sampling probability of every document, and whether it is kept."""
     return mix_report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_mixing"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
+         list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+longest AS (
+  SELECT *, list_reduce(w, lambda a, b: CASE WHEN (length(a), a) >= (length(b), b) THEN a ELSE b END, '') AS top FROM words),
+described AS (
+  SELECT doc_id, source, lang, len(w) AS tokens,
+         CASE WHEN len(w) = 0 THEN 'unknown'
+              ELSE 't' || (CAST('0x' || substr(md5(top), 1, 8) AS UBIGINT) % 8) END AS topic
+  FROM longest),
+cell AS (
+  SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM described WHERE tokens > 0 GROUP BY source, lang, topic),
+s AS (SELECT source, r / sum(r) OVER () AS ts FROM (SELECT source, pow(sum(tokens), 0.8::DOUBLE) AS r FROM cell GROUP BY source)),
+l AS (SELECT lang, r / sum(r) OVER () AS tl FROM (SELECT lang, pow(sum(tokens), 0.9::DOUBLE) AS r FROM cell GROUP BY lang)),
+t AS (SELECT topic, r / sum(r) OVER () AS tt FROM (SELECT topic, pow(sum(tokens), 0.9::DOUBLE) AS r FROM cell GROUP BY topic)),
+ipf AS (
+  SELECT 0 AS n, source, lang, topic, tokens, ts, tl, tt, tokens AS w FROM cell JOIN s USING (source) JOIN l USING (lang) JOIN t USING (topic)
+  UNION ALL
+  SELECT n + 1, source, lang, topic, tokens, ts, tl, tt, w * tt / sum(w) OVER (PARTITION BY topic) FROM (
+    SELECT n, source, lang, topic, tokens, ts, tl, tt, w * tl / sum(w) OVER (PARTITION BY lang) AS w FROM (
+      SELECT n, source, lang, topic, tokens, ts, tl, tt, w * ts / sum(w) OVER (PARTITION BY source) AS w FROM ipf WHERE n < 60))),
+p AS (SELECT source, lang, topic, w / tokens / max(w / tokens) OVER () AS p FROM ipf WHERE n = 60),
+chance AS (
+  SELECT d.*, CASE WHEN d.tokens > 0 THEN p.p ELSE 0 END AS p FROM described d LEFT JOIN p USING (source, lang, topic))
+SELECT doc_id, source, lang, topic, tokens, round(p, 4) AS probability,
+       CAST('0x' || substr(md5('0:' || doc_id), 1, 13) AS UBIGINT) / pow(2, 52) < p AS kept
+FROM chance
+"""

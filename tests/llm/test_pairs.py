@@ -75,12 +75,12 @@ def test_exact_repeated_rows_and_nothing(spark):
     assert exact_duplicates(frame(spark, rows).filter("false")).count() == 0
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-@pytest.mark.parametrize("keep,tile,hub", [(64, 256, 128), (16, 8, 3)])
+@pytest.mark.parametrize("percent,keep,tile,hub", [(80, 64, 256, 128), (85, 16, 8, 3)])
 def test_near(spark, corpus, percent, keep, tile, hub, monkeypatch):
     monkeypatch.setattr(near_module, "HUB_ROWS", hub)
     sigmas = near_module.SIGMAS if keep == 64 else 3.9
     monkeypatch.setattr(near_module, "SIGMAS", sigmas)
+    monkeypatch.setattr("lexiloom.llm.common.BROADCAST_IDS", 2_000_000 if keep == 64 else -1)
     want = brute.near(corpus, percent)
     got = near_duplicates(frame(spark, corpus), percent, keep=keep, tile=tile).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
@@ -95,12 +95,6 @@ def test_near_repeated_rows_and_nothing(spark):
     assert near_duplicates(frame(spark, rows).filter("false")).count() == 0
 
 
-def test_near_without_broadcast(spark, corpus, monkeypatch):
-    monkeypatch.setattr("lexiloom.llm.common.BROADCAST_IDS", -1)
-    got = near_duplicates(frame(spark, corpus), 85).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.near(corpus, 85)
-
-
 def test_components_of_a_path(spark):
     n = 300
     edges = spark.range(n).filter("id < 299").selectExpr("id as u", "id + 1 as v").union(spark.createDataFrame([(500, 400)], "u long, v long"))
