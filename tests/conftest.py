@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 ROOT = pathlib.Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
+from lexiloom.runtime import release  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -21,4 +23,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
