@@ -50,7 +50,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """
     usable = docs.filter("text is not null and lang is not null and doc_id is not null").filter(~held_out())
     keyed = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("place"), "text")
-    sizes = keyed.groupBy("lang").agg(F.count("*").alias("n"))
+    # Written, so that Spark sees how small it is and leaves the texts where they are.
+    sizes = materialize(keyed.groupBy("lang").agg(F.count("*").alias("n")), "sizes")
     # Uniform hashes: a share of the range holds about twice the sample of each language.
     share = F.least(F.lit(1.0), F.lit(2.0 * sample_docs) / F.col("n"))
     cut = keyed.join(sizes, "lang").filter(F.abs(F.col("place") / F.lit(2.0**63)) <= share)
