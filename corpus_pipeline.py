@@ -1,7 +1,9 @@
 """A training-data pipeline: quality, near duplicates, benchmark passages, mixture, shards.
 
 Each stage takes what its predecessor kept, as a Parquet table. All but the last return
-the columns of documents.
+the columns of documents, whatever they are. Null and empty texts go in the first stage;
+rows without doc_id are never dropped as copies or for benchmark passages; rows that share
+a doc_id share their fate there; an empty table stays empty.
 """
 
 from __future__ import annotations
