@@ -12,7 +12,11 @@
 5. Full shingle sets confirm: the best proposal of each row first, then the proposals
    between different components.
 6. Lists whose rows still lie in different components are compared in full, in tiles of
-   bounded size, and only between components; the rest is confirmed as before.
+   bounded size, and only between components. A pair counts in the first list that holds
+   both rows. Pairs go by their sketches, and by the distances to common rows that are
+   known by then: one minus the Jaccard similarity is a metric, so two rows whose
+   distances to a third differ by more than the threshold allows can't be linked. What is
+   left is confirmed as before.
 
 The estimate and c leave six standard deviations below the threshold (exact where a set
 is no larger than its sketch).
@@ -23,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +42,9 @@ from .words import SPACE_BYTES, U64, run_hashes, word_hashes
 SHINGLE = 5
 KEEP = 64
 SIGMAS = 6.0
-TILE = 256
+TILE = 512
 HUB_ROWS = 128
+CHUNK = 4096
 
 
 def shingle_set(words: np.ndarray, shingle: int) -> np.ndarray:
@@ -121,14 +127,14 @@ def _estimate(pairs: DataFrame, nodes: DataFrame, percent: int, keep: int) -> Da
 
 
 def _confirm_batches(shingle: int, percent: int):
-    """Rows of a hub in order, the hub's own text first; yields the confirmed pairs."""
+    """Rows of a hub in order, the hub's own text first; yields the distance of each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_set = None, None
         for batch in batches:
             b, a = batch.column("b").to_pylist(), batch.column("a").to_pylist()
             digest = batch.column("digest").to_pylist()
-            kept = []
+            out: list[tuple] = []
             for i, found in _sets(batch.column("text"), shingle):
                 if hashlib.blake2b(found.tobytes(), digest_size=16).digest() != digest[i]:
                     continue  # another row under the same doc_id
@@ -136,23 +142,23 @@ def _confirm_batches(shingle: int, percent: int):
                     hub, hub_set = b[i], found
                 elif hub == b[i]:
                     shared = len(np.intersect1d(found, hub_set, assume_unique=True))
-                    if shared and 100 * shared >= percent * (len(found) + len(hub_set) - shared):
-                        kept.append((a[i], b[i]))
+                    union = len(found) + len(hub_set) - shared
+                    out.append((a[i], b[i], 1 - shared / union, shared > 0 and 100 * shared >= percent * union))
+            columns = list(zip(*out)) if out else [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64())],
-                names=["u", "v"],
+                [pa.array(x, k) for x, k in zip(columns, kinds)], names=["u", "v", "distance", "linked"]
             )
 
     return run
 
 
 def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that hold on the full shingle sets, as edges (u, v).
+    """Distance of each pair (a, b) on the full shingle sets: u, v, distance, linked.
 
     Texts go to their pair's hub b. A hub with many rows is dealt to several tasks, each
     with a copy of the hub's text for HUB_ROWS rows.
     """
-    pairs = materialize(pairs.select("a", "b"), "pairs")
     hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("parts"))
     names = nodes.select("rid", "doc_id", "digest")
     members = (
@@ -172,19 +178,18 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     rows = asked.join(texts, "doc_id").select("a", "b", "part", "digest", "text")
     # Each (hub, part) is a bounded group, whole in one task and in order.
     dealt = rows.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    return dealt.mapInArrow(_confirm_batches(shingle, percent), "u long, v long")
+    return dealt.mapInArrow(_confirm_batches(shingle, percent), "u long, v long, distance double, linked boolean")
 
 
 def _tile_pairs(percent: int, keep: int):
     """Pairs of different components in one tile whose sketches share enough values."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "i", "j", "tile", "rid", "root", "n_shingles", "sketch"]
         left: pa.Table | None = None
         for batch in frames:
             rows = pa.Table.from_batches([batch])
             rows = rows if left is None else pa.concat_tables([left, rows])
-            marks = np.stack([rows[c].to_numpy() for c in names[:3]])
+            marks = np.stack([rows[c].to_numpy() for c in ("key", "i", "j")])
             cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
             borders = [0, *cuts.tolist()]
             yield from (_one_tile(rows.slice(x, y - x), percent, keep) for x, y in zip(borders, borders[1:]))
@@ -196,63 +201,126 @@ def _tile_pairs(percent: int, keep: int):
 
 
 def _one_tile(rows: pa.Table, percent: int, keep: int) -> pa.RecordBatch:
-    rid, root, n, tile = (rows[c].to_numpy() for c in ("rid", "root", "n_shingles", "tile"))
+    """Each asking row against the other rows of the tile."""
+    rid, root, n = (rows[c].to_numpy() for c in ("rid", "root", "n_shingles"))
+    asks, outside = (rows[c].to_numpy() for c in ("asks", "outside"))
+    q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
     lists = rows["sketch"].combine_chunks()
     held = np.diff(lists.offsets.to_numpy())
-    _, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    holds = np.zeros((len(rid), int(column.max()) + 1 if len(column) else 1), np.float32)
-    holds[np.repeat(np.arange(len(rid)), held), column] = 1
-    shared = holds @ holds.T
-    small, large = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
+    _, column, holders = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = holders > 1  # only these columns can add to an overlap
+    holds = np.zeros((len(rid), int(shared.sum()) + 1), np.float32)
+    place = np.where(shared, np.cumsum(shared), 0)
+    holds[np.repeat(np.arange(len(rid)), held), place[column]] = 1
+    holds[:, 0] = 0
     needed = least_shared(held, n, percent, keep, np)
-    least = np.minimum(needed[:, None], needed)
-    good = (root[:, None] != root) & (100 * small >= percent * large) & (shared >= least) & (rid[:, None] > rid)
-    good &= (tile[:, None] != tile) | (rows["i"][0].as_py() == rows["j"][0].as_py())
-    a, b = np.nonzero(good)
+    good = holds[q] @ holds[r].T >= np.minimum(needed[q][:, None], needed[r])
+    good &= 100 * np.minimum(n[q][:, None], n[r]) >= percent * np.maximum(n[q][:, None], n[r])
+    good &= root[q][:, None] != root[r]
+    good &= ~outside[r] | (rid[q][:, None] > rid[r])  # two asking rows meet twice
+    x, y = np.nonzero(good)
+    a, b = q[x], r[y]
+    kept = np.zeros(len(a), bool)
+    keys, hubs, distances = (rows[c].combine_chunks() for c in ("keys", "hubs", "distances"))
+    own_keys = _square(keys, np.iinfo(np.int64).max)
+    known, to_hub = _distances(hubs, distances)
+    for i in range(0, len(a), CHUNK):
+        p, o = a[i : i + CHUNK], b[i : i + CHUNK]
+        both = np.sort(np.concatenate([own_keys[p], own_keys[o]], axis=1), axis=1)
+        again = both[:, 1:] == both[:, :-1]
+        here = both[np.arange(len(p)), again.argmax(axis=1)] == rows["key"][0].as_py()  # first common list
+        if known:
+            apart = np.nan_to_num(np.abs(to_hub[p] - to_hub[o])).max(axis=1)
+            here &= apart <= 1 - percent / 100 + 1e-9
+        kept[i : i + CHUNK] = here
+    a, b = a[kept], b[kept]
     near = _sketches_allow(lists, a, b, percent, keep)
-    return pa.RecordBatch.from_arrays([pa.array(rid[a[near]]), pa.array(rid[b[near]])], names=["a", "b"])
+    a, b = rid[a[near]], rid[b[near]]
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+
+def _square(lists: pa.ListArray, blank: int) -> np.ndarray:
+    """The lists as rows of one matrix, in their order."""
+    offsets = lists.offsets.to_numpy()
+    held, values = np.diff(offsets), lists.flatten().to_numpy()
+    square = np.full((len(held), max(1, held.max(initial=0))), blank)
+    square[np.repeat(np.arange(len(held)), held), np.arange(len(values)) - np.repeat(offsets[:-1] - offsets[0], held)] = values
+    return square
+
+
+def _distances(hubs: pa.ListArray, distances: pa.ListArray) -> tuple[int, np.ndarray]:
+    """Number of the tile's hubs, and the known distance of each row to each of them."""
+    names, column = np.unique(hubs.flatten().to_numpy(), return_inverse=True)
+    known = np.full((len(hubs), len(names)), np.nan)
+    known[np.repeat(np.arange(len(hubs)), np.diff(hubs.offsets.to_numpy())), column] = distances.flatten().to_numpy()
+    return len(names), known
 
 
 def _sketches_allow(lists: pa.ListArray, a: np.ndarray, b: np.ndarray, percent: int, keep: int) -> np.ndarray:
     """The estimate of ``_estimate`` for pairs of rows of one tile."""
-    values, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    held, none = np.diff(offsets), np.iinfo(np.int64).max
-    square = np.full((len(held), keep), none)
-    square[np.repeat(np.arange(len(held)), held), np.arange(len(values)) - np.repeat(offsets[:-1], held)] = values
+    none = np.iinfo(np.int64).max
+    square = _square(lists, none)
     found = np.empty(len(a), bool)
     t = percent / 100
-    for x in range(0, len(a), 4096):
-        both = np.sort(np.concatenate([square[a[x : x + 4096]], square[b[x : x + 4096]]], axis=1), axis=1)
+    for x in range(0, len(a), CHUNK):
+        both = np.sort(np.concatenate([square[a[x : x + CHUNK]], square[b[x : x + CHUNK]]], axis=1), axis=1)
         again = np.zeros(both.shape, bool)
         again[:, 1:] = both[:, 1:] == both[:, :-1]
         real = both != none
         place = np.cumsum(~again & real, axis=1)
         seen = np.minimum(place[:, -1], keep)
         shared = (again & real & (place <= keep)).sum(axis=1)
-        found[x : x + 4096] = shared >= seen * (t - SIGMAS * np.sqrt(t * (1 - t) / np.maximum(seen, 1)))
+        found[x : x + CHUNK] = shared >= seen * (t - SIGMAS * np.sqrt(t * (1 - t) / np.maximum(seen, 1)))
     return found
 
 
-def _open_pairs(lists: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int, keep: int, tile: int) -> DataFrame:
+def _open_pairs(
+    lists: DataFrame, roots: DataFrame, nodes: DataFrame, known: DataFrame, percent: int, keep: int, tile: int
+) -> DataFrame:
     """Pairs (a, b) across components out of the lists that still span several.
 
-    A list of n rows is cut in n / tile parts and each row goes to the meetings of its
-    part with every other, so a task holds two parts at most however long the list is.
+    Of a list only the rows outside its largest component ask, against all its rows.
+    Both are cut in parts of about ``tile`` rows and every part of askers meets every
+    part of the list, so a task holds two parts however long the list is.
     """
     placed = lists.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn(
         "root", F.coalesce("root", "rid")
     )
-    split = placed.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    split = split.filter("lo <> hi").select("key", F.ceil(F.col("rows") / tile).cast("int").alias("tiles"))
+    placed = materialize(placed.select("key", "rid", "root"), "placed")
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("rows"))
+    split = sizes.groupBy("key").agg(
+        F.max_by("root", F.struct("rows", "root")).alias("main"), F.sum("rows").alias("rows"), F.max("rows").alias("most")
+    )
+    parts = split.filter("most < rows").select(
+        "key",
+        "main",
+        F.ceil(F.col("rows") / tile).cast("int").alias("r_parts"),
+        F.ceil((F.col("rows") - F.col("most")) / tile).cast("int").alias("q_parts"),
+    )
+    keys = lists.groupBy("rid").agg(F.collect_list("key").alias("keys"))  # at most a sketch
+    none = F.array().cast("array<long>")
+    # Sketches join once per row of a list, before the rows are copied to their meetings.
     rows = (
-        placed.join(split, "key")
-        .withColumn("tile", F.pmod(F.xxhash64("rid"), "tiles").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("key", "rid", "root", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+        placed.join(materialize(parts, "open"), "key")
         .join(nodes.select("rid", "n_shingles", "sketch"), "rid")
-        .select("key", "i", "j", "tile", "rid", "root", "n_shingles", "sketch")
+        .join(keys, "rid")
+        .join(known, "rid", "left")
+        .withColumn("outside", F.col("root") != F.col("main"))
+        .withColumn("hubs", F.coalesce("hubs", none))
+        .withColumn("distances", F.coalesce("distances", none.cast("array<double>")))
     )
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = materialize(rows, "rows")
+    mark = F.xxhash64("rid")
+    carried = ["rid", "root", "outside", "n_shingles", "sketch", "keys", "hubs", "distances"]
+
+    def copies(part: str, others: str, own: str, asks: bool, df: DataFrame) -> DataFrame:
+        meets = F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias("other")
+        dealt = df.select("key", *carried, F.pmod(mark, F.col(part)).cast("int").alias("own"), meets)
+        i, j = ("own", "other") if own == "i" else ("other", "own")
+        return dealt.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(asks).alias("asks"), *carried)
+
+    full = copies("r_parts", "q_parts", "i", False, rows).union(copies("q_parts", "r_parts", "j", True, rows.filter("outside")))
+    dealt = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(_tile_pairs(percent, keep), "a long, b long").distinct()
 
 
@@ -294,9 +362,9 @@ def near_duplicates(
 
     proposed = indexed.filter("first <> rid").select(F.col("rid").alias("a"), F.col("first").alias("b")).distinct()
     proposed = materialize(_estimate(proposed, nodes, percent, keep), "proposed")
-    best = proposed.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
-    edges = materialize(_confirm(best, nodes, docs, shingle, percent), "links")
-    roots = materialize(components(edges), "roots")
+    best = materialize(proposed.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b")), "best")
+    measured = [materialize(_confirm(best, nodes, docs, shingle, percent), "links")]
+    roots = materialize(components(measured[0].filter("linked")), "roots")
 
     def across(pairs: DataFrame) -> DataFrame:
         for side in "ab":
@@ -304,15 +372,25 @@ def near_duplicates(
             pairs = pairs.join(found, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
         return pairs.filter("ra <> rb").select("a", "b")
 
-    left = across(proposed.select("a", "b").join(best, ["a", "b"], "left_anti"))
-    edges = _confirm(left, nodes, docs, shingle, percent)
-    stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    roots = materialize(components(stars.union(edges)), "roots")
+    def joined(pairs: DataFrame) -> DataFrame:
+        """The roots after the pairs (a, b) that hold are links too."""
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            return roots
+        stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        measured.append(materialize(_confirm(pairs, nodes, docs, shingle, percent), "links"))
+        edges = measured[-1].filter("linked").select("u", "v")
+        return roots if edges.isEmpty() else materialize(components(stars.union(edges)), "roots")
+
+    roots = joined(across(proposed.select("a", "b").join(best, ["a", "b"], "left_anti")))
+    to_hubs = reduce(DataFrame.union, measured).select("u", "v", "distance")
+    to_hubs = to_hubs.union(to_hubs.select("v", "v", F.lit(0.0)).distinct())
+    cells = F.sort_array(F.collect_list(F.struct("v", "distance")))  # a row has a proposal per list at most
+    known = to_hubs.groupBy(F.col("u").alias("rid")).agg(cells.alias("c"))
+    known = known.select("rid", F.col("c.v").alias("hubs"), F.col("c.distance").alias("distances"))
     # A list of two rows was answered in full by its proposal.
-    wide = _open_pairs(indexed.filter("held_by > 2").select("rid", "key"), roots, nodes, percent, keep, tile)
-    edges = _confirm(wide, nodes, docs, shingle, percent)
-    stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    final = components(stars.union(edges))
+    wide = indexed.filter("held_by > 2").select("rid", "key")
+    final = joined(_open_pairs(wide, roots, nodes, known, percent, keep, tile))
 
     named = classes.join(final.withColumnRenamed("node", "rid"), "rid", "left").withColumn(
         "root", F.coalesce("root", "rid")
