@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting, DataFrame only.
 
 Documents are reduced to cells (source, language, topic) with their tokens. The cell
-weights are raked to one marginal after the other until all three hold; a document is
-then kept with a probability in proportion to its cell's weight per token.
+weights are raked to one marginal after the other until all three hold. With a token
+budget a cell gives at most its own tokens, and the rest of the budget is raked over the
+others; without one, probabilities are weights per token over the largest of all cells.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ FLATTEN = {"source": 0.8, "lang": 0.9, "topic": 0.9}
 TOPICS = 8
 TOLERANCE = 1e-9
 ROUNDS = 60
+# The sample's expected tokens as a share of the corpus, and how near shares come to targets.
+SHARE = 0.8
+BUDGET_TOLERANCE = 1e-6
 WHITE = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -74,13 +78,87 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     return now
 
 
+def filled(table: DataFrame, room: str, weight: str, budget: float) -> float:
+    """The scale at which the sum of min(room, scale * weight) is ``budget``.
+
+    Rows at their room leave the rest of the budget to the others, until none is added;
+    the scale only grows, and the driver sees sums. ``budget`` is at most the sum of room.
+    """
+    scale, full = 0.0, -1
+    while True:
+        at_room = F.col(weight) * F.lit(scale) >= F.col(room) if scale else F.lit(False)
+        found = table.agg(
+            F.sum(F.when(at_room, F.col(room)).otherwise(0.0)).alias("taken"),
+            F.sum(F.when(at_room, 0.0).otherwise(F.col(weight))).alias("free"),
+            F.sum(at_room.cast("long")).alias("full"),
+        ).first()
+        if not found["free"] or found["full"] == full:
+            return scale
+        full, scale = found["full"], max(scale, (budget - found["taken"]) / found["free"])
+
+
+def budgeted(
+    cells: DataFrame,
+    targets: dict[str, DataFrame],
+    share: float,
+    tolerance: float = BUDGET_TOLERANCE,
+    rounds: int = ROUNDS,
+) -> DataFrame:
+    """``cells`` with a column p; the sum of p * tokens is ``share`` of all tokens.
+
+    p is min(1, rate), rate being a product of one factor per dimension and one scale. A
+    value whose target exceeds its tokens gives all of them, and the rest goes to the
+    other values by their targets. Factors are found as in ``rake``, of the cells below 1
+    where a value's sum must rise. Targets that the cells can't meet together are met as
+    nearly as ``rounds`` rounds come; the budget is met by the scale.
+    """
+    total = cells.agg(F.sum("tokens").alias("n")).first()["n"]
+    if not total:
+        return cells.withColumn("p", F.lit(0.0))
+    budget = float(share * total)
+    goals = {}
+    for d in targets:
+        room = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("room")).join(targets[d], d)
+        room = materialize(room, "room")
+        scale = filled(room, "room", "target", budget)
+        goals[d] = materialize(room.select(d, F.least("room", F.col("target") * scale).alias("goal")), "goals")
+    now = cells.withColumn("rate", F.lit(1.0))
+    for _ in range(rounds):
+        for d in goals:
+            below = F.col("rate") < 1
+            sums = now.groupBy(d).agg(
+                F.sum(F.when(below, F.col("tokens") * F.col("rate")).otherwise(0.0)).alias("free"),
+                F.sum(F.when(below, 0.0).otherwise(F.col("tokens").cast("double"))).alias("taken"),
+            )
+            sums = sums.join(goals[d], d).withColumn("sum", F.col("free") + F.col("taken"))
+            rise = (F.col("goal") > F.col("sum")) & (F.col("free") > 0)
+            factor = F.when(rise, (F.col("goal") - F.col("taken")) / F.col("free")).otherwise(
+                F.least(F.lit(1.0), F.col("goal") / F.col("sum"))
+            )
+            sums = sums.select(d, factor.alias(f"factor_{d}"), F.abs(F.col("sum") / F.col("goal") - 1).alias(f"off_{d}"))
+            now = now.join(sums, d).withColumn("rate", F.col("rate") * F.col(f"factor_{d}")).drop(f"factor_{d}")
+        now = materialize(now, "rates")
+        off = now.agg(*[F.max(f"off_{d}") for d in goals]).first()
+        now = now.drop(*[f"off_{d}" for d in goals])
+        if all(x is None or x <= tolerance for x in off):
+            break
+    weighed = now.withColumn("weight", F.col("tokens") * F.col("rate"))
+    scale = filled(weighed.withColumn("room", F.col("tokens").cast("double")), "room", "weight", budget)
+    return now.withColumn("p", F.least(F.lit(1.0), F.col("rate") * scale)).drop("rate")
+
+
 def mixed(
-    docs: DataFrame, flatten: dict[str, float] | None = None, seed: int = 0, drop: tuple[str, ...] = ()
+    docs: DataFrame,
+    flatten: dict[str, float] | None = None,
+    seed: int = 0,
+    drop: tuple[str, ...] = (),
+    share: float | None = SHARE,
 ) -> DataFrame:
     """``described`` rows with _probability and _kept; ``drop`` names columns to leave out.
 
-    The probability is a cell's weight per token over the largest one of all cells, so
-    that the expected tokens of the sample have the target shares. Documents without
+    The sample's expected tokens are ``share`` of the corpus (see ``budgeted``). With share
+    None the sample has no stated size: the probability is a cell's weight per token over
+    the largest one of all cells, so one rare cell can lower all others. Documents without
     tokens have probability 0. A document is kept by a hash of seed and doc_id: the
     result does not depend on partitions or retries, and repeated rows share their fate.
     """
@@ -88,11 +166,13 @@ def mixed(
     cells = rows.filter("_tokens > 0").groupBy(*[F.col(f"_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("_tokens").alias("tokens"))
     cells = materialize(cells, "mixture")
     targets = {d: materialize(tempered(cells, d, (flatten or FLATTEN)[d]), "targets") for d in DIMENSIONS}
-    weights = rake(cells, targets).withColumn("per_token", F.col("weight") / F.col("tokens"))
-    most = weights.agg(F.max("per_token").alias("most"))  # one row
-    weights = weights.crossJoin(F.broadcast(most)).select(
-        *[F.col(d).alias(f"_{d}") for d in DIMENSIONS], (F.col("per_token") / F.col("most")).alias("_p")
-    )
+    if share is None:
+        weights = rake(cells, targets).withColumn("per_token", F.col("weight") / F.col("tokens"))
+        most = weights.agg(F.max("per_token").alias("most"))  # one row
+        weights = weights.crossJoin(F.broadcast(most)).withColumn("p", F.col("per_token") / F.col("most"))
+    else:
+        weights = budgeted(cells, targets, share)
+    weights = weights.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("p").alias("_p"))
     joined = rows.join(materialize(weights, "probabilities"), [f"_{d}" for d in DIMENSIONS], "left")
     p = F.when(F.col("_tokens") > 0, F.coalesce("_p", F.lit(0.0))).otherwise(0.0)
     return joined.withColumn("_probability", p).withColumn("_kept", uniform("doc_id", seed) < F.col("_probability")).drop("_p")
@@ -104,10 +184,10 @@ def uniform(key: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def mix_report(docs: DataFrame) -> DataFrame:
+def mix_report(docs: DataFrame, share: float | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, probability, kept for every row of ``docs``."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text")
-    return mixed(slim, drop=("text",)).select(
+    return mixed(slim, drop=("text",), share=share).select(
         "doc_id",
         F.col("_source").alias("source"),
         F.col("_lang").alias("lang"),

@@ -12,7 +12,7 @@ from .chat import read_back, segments
 from .common import table
 from .exact import exact_duplicates
 from .language import identify_languages
-from .mixing import mix_report
+from .mixing import SHARE, mix_report
 from .near import near_duplicates
 from .quality import quality_verdicts
 from .shards import shard_rows
@@ -226,3 +226,9 @@ SELECT doc_id, source, lang, topic, tokens, round(p, 4) AS probability,
        CAST('0x' || substr(md5('0:' || doc_id), 1, 13) AS UBIGINT) / pow(2, 52) < p AS kept
 FROM chance
 """
+
+
+@query
+def op10_mixing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10_mixing, for a sample whose expected tokens are a stated share of the corpus."""
+    return mix_report(table(spark, sf_dir, "documents"), SHARE)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import language, tokens
 from lexiloom.llm.chat import CHAT, escape, read_back, segments, unescape
-from lexiloom.llm.mixing import mix_report, rake
+from lexiloom.llm.mixing import SHARE, budgeted, mix_report, mixed, rake
 from lexiloom.llm.quality import CLASSES, ORDER, _class_of, bits_table, judged, quality_verdicts, scored, train
 from lexiloom.llm.shards import Runs, shard_rows
 from lexiloom.llm.urls import RULES, judge_urls
@@ -386,3 +386,35 @@ def test_mixing(spark):
         for k in goal:
             assert mixed[k] / sum(mixed.values()) == pytest.approx(goal[k], abs=1e-4)
     assert mix_report(frame(spark, rows).filter("false")).count() == 0
+
+
+def test_budgeted(spark):
+    rng = random.Random(8)
+    cells = [(s, l, t, rng.randrange(50, 100)) for s in "abc" for l in "de" for t in "xy"] + [("r", "e", "x", 3)]
+    want = {"source": {"a": 0.3, "b": 0.3, "c": 0.2, "r": 0.2}, "lang": {"d": 0.5, "e": 0.5}, "topic": {"x": 0.5, "y": 0.5}}
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    targets = {d: spark.createDataFrame(list(x.items()), f"{d} string, target double") for d, x in want.items()}
+    total = sum(c[3] for c in cells)
+    for share in (0.2, 0.6, 1.0):
+        got = budgeted(df, targets, share).collect()
+        assert len(got) == len(cells) and all(0 < r["p"] <= 1 for r in got)
+        assert sum(r["p"] * r["tokens"] for r in got) == pytest.approx(share * total)
+        assert [r["p"] for r in got if r["source"] == "r"] == [1]  # less than its target: all of it
+        if share == 0.2:
+            sums = collections.Counter()
+            for r in got:
+                sums[r["source"]] += r["p"] * r["tokens"]
+            rest = share * total - 3
+            assert {k: pytest.approx(v, rel=1e-4) for k, v in sums.items() if k != "r"} == {"a": rest * 3 / 8, "b": rest * 3 / 8, "c": rest / 4}
+
+
+def test_rare_document_keeps_the_size(spark):
+    docs = spark.read.parquet(f"{SF[:-5]}0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    rare = spark.createDataFrame([(-1, "three added words", None, None)], docs.schema)
+    kept = []
+    for df in (docs, docs.union(rare)):
+        got = mixed(df, drop=("text",)).collect()
+        whole = sum(r["_tokens"] for r in got)
+        assert sum(r["_tokens"] * r["_probability"] for r in got) == pytest.approx(SHARE * whole, rel=1e-6)
+        kept.append(sum(r["_kept"] for r in got) / len(got))
+    assert abs(kept[0] - kept[1]) < 0.01
