@@ -90,15 +90,34 @@ def next_merges(pairs: DataFrame, min_freq: int, look: int = 32) -> list[tuple[s
     return [m for i, m in enumerate(found) if i == 0 or m[2] > bound]
 
 
+def contains_pair(column: Column, a: str, b: str) -> Column:
+    return column.contains(f"{EDGE}{a}{EDGE}{EDGE}{b}{EDGE}")
+
+
+def changed_counts(state: DataFrame, merges: list[tuple[str, str, int]], column: Column) -> DataFrame:
+    """How the pair counts change when ``column`` replaces symbols; other words are not split."""
+    touched = F.lit(False)
+    for a, b, _ in merges:
+        touched = touched | contains_pair(F.col("symbols"), a, b)
+    rows = state.filter(touched)
+    return pair_counts(rows.select((-F.col("cnt")).alias("cnt"), "symbols").union(rows.select("cnt", column.alias("symbols"))))
+
+
 def train_subwords(
-    words: DataFrame, vocab_size: int, min_freq: int = 3, alphabet_size: int = 6000
+    words: DataFrame,
+    vocab_size: int = 12_000,
+    min_freq: int = 3,
+    alphabet_size: int = 6000,
+    merges_beyond: int | None = None,
 ) -> DataFrame:
     """Learn a subword vocabulary from distinct word counts.
 
-    Each step is one grouped count over the distinct words, of which the driver sees the
-    top rows only. Words shrink by a text replacement without a shuffle and are
-    written every few steps to keep the plan short. Ends when the vocabulary is full or
-    no pair is frequent enough. Columns: ``token, id, step, cnt``.
+    All pairs are counted once; each step adds the changes in the words that its merges
+    touch, and the driver sees the top rows only. Words shrink by a text replacement
+    without a shuffle and are written every few steps to keep the plan short. Ends when
+    the vocabulary is full or no pair is frequent enough. With ``merges_beyond`` given, it
+    is full at so many pieces beyond specials and letters, whatever their number.
+    Columns: ``token, id, step, cnt``.
     """
     alphabet = materialize(limit_alphabet(words, alphabet_size), "alphabet")
     state = materialize(word_symbols(words, alphabet), "symbols")
@@ -107,10 +126,13 @@ def train_subwords(
     )
     start = [r["token"] for r in singles.distinct().orderBy("token").collect()]  # alphabet: bounded by its limit
     rows = [(t, i, 0, 0) for i, t in enumerate(PIECE_SPECIALS + start)]
+    if merges_beyond is not None:
+        vocab_size = len(rows) + merges_beyond
     known = {r[0] for r in rows}
+    pairs = materialize(pair_counts(state), "pairs")
     step = 0
     while len(rows) < vocab_size:
-        merges = next_merges(pair_counts(state), min_freq)[: vocab_size - len(rows)]
+        merges = next_merges(pairs, min_freq)[: vocab_size - len(rows)]
         if not merges:
             break
         column = F.col("symbols")
@@ -121,6 +143,8 @@ def train_subwords(
                 known.add(token)
                 rows.append((token, len(rows), step + 1, cnt))
         step += 1
+        changed = pairs.union(changed_counts(state, merges, column))
+        pairs = materialize(changed.groupBy("a", "b").agg(F.sum("cnt").alias("cnt")).filter("cnt > 0"), "pairs")
         state = state.select("cnt", column.alias("symbols"))
         if step % REFRESH_EVERY == 0:
             state = materialize(state, "symbols")

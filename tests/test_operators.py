@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions.arrays import MASK
+from lexiloom.catalog import learning
 from lexiloom.operators import encode, evaluate, instances, joins, ml, ranking, splits, subwords, terms, vectors, vocab
 from lexiloom.operators.keywords import extract_keywords
 from lexiloom.operators.terms import KEYS
@@ -292,6 +293,19 @@ def test_subwords_match_one_by_one_merging(spark):
     assert learned == brute_merges(words, len(learned), 3)
 
 
+def test_subwords_learn_beyond_a_large_alphabet(spark):
+    words = [("".join(chr(0x4E00 + i + j) for j in range(3)), 5) for i in range(0, 90, 3)] + [("abab", 9), ("abcab", 4)]
+    df = spark.createDataFrame(words, "word string, cnt bigint")
+    got = subwords.train_subwords(df, merges_beyond=12).orderBy("id").collect()
+    learned = [r["token"] for r in got if r["step"] > 0]
+    assert len(got) - len(learned) > 60 and learned == brute_merges(dict(words), 12, 3)
+
+
+def test_registered_subwords_learn_500_pieces(spark):
+    got = learning.train_subwords(spark, "/root/testdata/sf0.001").collect()
+    assert sum(r["step"] > 0 for r in got) >= 500
+
+
 def test_greedy_pieces():
     table = {"ab": 5, "a": 6, "##c": 7, "##bc": 8}
     assert subwords.greedy_pieces("abc", table) == [5, 7]
