@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import KeywordSettings
 from ..functions import text
+from ..functions.stopwords import ENGLISH
 from ..operators import keywords, splits, terms
 from ..operators.terms import KEYS, with_tokens
 from ..plans.jobs import keyword_job
@@ -13,7 +14,7 @@ from ..runtime import materialize
 from ..sources import tables
 from . import sql
 from .registry import query
-from .text import IN_STOPS, STOP_LITERALS, line_tokens
+from .text import IN_STOPS, line_tokens
 
 SETTINGS = KeywordSettings(use_default_stopwords=False)
 WITH_DEFAULT = KeywordSettings()
@@ -78,7 +79,7 @@ weights AS (
 
 @query("tfidf_smooth_l2", f"WITH {smooth_sql(True)} SELECT doc_id, line_no, word, weight FROM weights")
 def tfidf_smooth_l2(spark, sf):
-    words = text.without(text.cleaned_words(text.clean_keyword_text(F.col("line"))), STOP_LITERALS)
+    words = text.without(text.cleaned_words(text.clean_keyword_text(F.col("line"))), ENGLISH)
     tokens = with_tokens(tables.lines(spark, sf), words)
     found = terms.tfidf_smooth_l2(tokens, materialize(terms.smooth_stats(tokens), "smooth"))
     return found.withColumn("weight", F.round("weight", 6))
@@ -115,7 +116,7 @@ def derive_stopwords(spark, sf):
 )
 def derive_stopwords_plain(spark, sf):
     return terms.derive_stopwords_plain(
-        tables.lines(spark, sf), text.clean_keyword_text(F.col("line")), STOP_LITERALS, 0.1, 10
+        tables.lines(spark, sf), text.clean_keyword_text(F.col("line")), ENGLISH, 0.1, 10
     )
 
 

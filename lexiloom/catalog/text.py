@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
+from ..functions.stopwords import ENGLISH
 from ..operators import ranking, terms
 from ..operators.encode import render
 from ..operators.keywords import drop_stopwords
@@ -14,6 +15,8 @@ from ..sources import readers, tables
 from . import sql
 from .registry import query
 
+IN_STOPS = ", ".join(sql.quoted(w) for w in ENGLISH)
+
 
 def line_tokens(spark, sf):
     return with_tokens(tables.lines(spark, sf), text.keyword_tokens(F.col("line")))
@@ -127,7 +130,7 @@ def parallel_join(spark, sf):
 
 @query(
     "scan_stopwords",
-    f"WITH {sql.TOK} SELECT word, count(*) AS cnt FROM tok WHERE word IN ({', '.join(map(sql.quoted, readers.default_stopwords()))}) GROUP BY word",
+    f"WITH {sql.TOK} SELECT word, count(*) AS cnt FROM tok WHERE word IN ({IN_STOPS}) GROUP BY word",
 )
 def scan_stopwords(spark, sf):
     """Default stop words found in the corpus, with their counts."""
@@ -266,10 +269,6 @@ def split_duration(spark, sf):
     )
 
 
-STOP_LITERALS = readers.default_stopwords()
-IN_STOPS = ", ".join(sql.quoted(w) for w in STOP_LITERALS)
-
-
 @query(
     "keyword_udf",
     f"""WITH {sql.LTOK} SELECT doc_id, line_no,
@@ -277,7 +276,7 @@ IN_STOPS = ", ".join(sql.quoted(w) for w in STOP_LITERALS)
 )
 def keyword_udf(spark, sf):
     return tables.lines(spark, sf).select(
-        *KEYS, text.keep_words(F.col("line"), text.keyword_tokens, STOP_LITERALS).alias("keywords")
+        *KEYS, text.keep_words(F.col("line"), text.keyword_tokens, ENGLISH).alias("keywords")
     )
 
 
@@ -344,7 +343,7 @@ def union_corpora(spark, sf):
 )
 def union_stopwords(spark, sf):
     stats = materialize(terms.term_stats(line_tokens(spark, sf)), "terms")
-    given = spark.createDataFrame([(w,) for w in STOP_LITERALS], "word string")
+    given = spark.createDataFrame([(w,) for w in ENGLISH], "word string")
     return terms.union_stopwords(terms.low_tfidf_terms(stats, 0.1), terms.rare_terms(stats, 10), given)
 
 
@@ -365,7 +364,7 @@ def subtract_positions(spark, sf):
     from ..operators.instances import subtract_positions as subtract
 
     tokens = line_tokens(spark, sf)
-    stops = F.array(*[F.lit(w) for w in STOP_LITERALS])
+    stops = F.array(*[F.lit(w) for w in ENGLISH])
     everything = F.transform("tokens", lambda t, i: i)
     chosen = F.filter(
         F.transform("tokens", lambda t, i: F.when(F.array_contains(stops, t), i)), lambda x: x.isNotNull()

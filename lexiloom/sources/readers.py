@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pathlib
 import re
-import zipfile
 
-import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.stopwords import ENGLISH
 from ..functions.text import HANGUL, clean_english_text, clean_script_text
 
 
@@ -132,16 +130,8 @@ def check_vectors(ids: DataFrame, vectors: DataFrame) -> None:
         raise ValueError(f"{n_ids} ids but {n_vectors} vectors")
 
 
-def default_stopwords() -> list[str]:
-    """Spark's English stop words, out of its own jar: known before any session exists."""
-    jar = sorted(pathlib.Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as packed:
-        content = packed.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-    return sorted({w.strip() for w in content.splitlines()} - {""})
-
-
 def scan_stopwords(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Trimmed stop words of a file, or Spark's English list."""
+    """Trimmed stop words of a file, or the default English list."""
     if path:
         return spark.read.text(path).select(F.trim("value").alias("word")).filter("word <> ''").distinct()
-    return spark.createDataFrame([(w,) for w in default_stopwords()], "word string")
+    return spark.createDataFrame([(w,) for w in ENGLISH], "word string")
