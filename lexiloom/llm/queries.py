@@ -12,6 +12,7 @@ from .chat import read_back, segments
 from .common import table
 from .exact import exact_duplicates
 from .language import identify_languages
+from .merkle import verified_manifest
 from .mixing import SHARE, mix_report
 from .near import near_duplicates
 from .quality import quality_verdicts
@@ -232,3 +233,58 @@ FROM chance
 def op10_mixing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As op10_mixing, for a sample whose expected tokens are a stated share of the corpus."""
     return mix_report(table(spark, sf_dir, "documents"), SHARE)
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether it still verifies."""
+    return verified_manifest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_merkle_manifest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, text, CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+             lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 3 = 0
+           THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other,
+         concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                   coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head
+  FROM documents),
+l AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS changed FROM d),
+p AS (
+  SELECT *, coalesce('+' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot,
+         count(*) OVER (PARTITION BY lang) AS n FROM l),
+low AS (
+  SELECT tree, 0 AS level, spot, leaf AS h, n FROM p
+  UNION ALL
+  SELECT tree, level + 1, spot // 8, sha256(string_agg(h, '' ORDER BY spot)), (n + 7) // 8 FROM low WHERE n > 1 GROUP BY tree, level, spot // 8, n),
+top AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS spot, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, spot, subroot AS h, n FROM top
+  UNION ALL
+  SELECT level + 1, spot // 8, sha256(string_agg(h, '' ORDER BY spot)), (n + 7) // 8 FROM high WHERE n > 1 GROUP BY level, spot // 8, n),
+node AS (
+  SELECT tree, level, spot, h, n FROM low WHERE n > 1
+  UNION ALL
+  SELECT '#', level, spot, h, n FROM high WHERE n > 1),
+run AS (SELECT tree, level, spot // 8 AS run, list(h ORDER BY spot) AS hs FROM node GROUP BY tree, level, spot // 8),
+fold AS (
+  SELECT p.doc_id, p.leaf, p.tree AS home, p.tree, p.spot, 0 AS level, changed AS h, '' AS sibs FROM p
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.home,
+         CASE WHEN run.run IS NULL THEN '#' ELSE f.tree END, CASE WHEN run.run IS NULL THEN top.spot ELSE f.spot // 8 END,
+         CASE WHEN run.run IS NULL THEN 0 ELSE f.level + 1 END,
+         CASE WHEN run.run IS NULL THEN f.h
+              ELSE sha256(array_to_string(list_transform(hs, lambda x, i: CASE WHEN i = f.spot % 8 + 1 THEN f.h ELSE x END), '')) END,
+         CASE WHEN run.run IS NULL THEN f.sibs
+              ELSE f.sibs || array_to_string(list_filter(hs, lambda x, i: i <> f.spot % 8 + 1), '') END
+  FROM fold f LEFT JOIN run ON run.tree = f.tree AND run.level = f.level AND run.run = f.spot // 8
+  LEFT JOIN top ON top.tree = f.home
+  WHERE run.run IS NOT NULL OR f.tree <> '#'),
+last AS (
+  SELECT f.* FROM fold f LEFT JOIN run ON run.tree = '#' AND run.level = f.level AND run.run = f.spot // 8
+  WHERE f.tree = '#' AND run.run IS NULL)
+SELECT last.doc_id, last.leaf, subroot, high.h AS root, sha256(sibs) AS proof_sha256, last.h AS folded_root, last.h = high.h AS verified
+FROM last JOIN top ON top.tree = last.home, high WHERE high.n = 1
+"""
