@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import alignment_report
 from .chat import read_back, segments
 from .common import table
 from .exact import exact_duplicates
@@ -288,3 +289,9 @@ last AS (
 SELECT last.doc_id, last.leaf, subroot, high.h AS root, sha256(sibs) AS proof_sha256, last.h AS folded_root, last.h = high.h AS verified
 FROM last JOIN top ON top.tree = last.home, high WHERE high.n = 1
 """
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers in every document, with corpus-wide counts of linked ids."""
+    return alignment_report(table(spark, sf_dir, "documents"))
