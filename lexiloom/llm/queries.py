@@ -18,6 +18,7 @@ from .mixing import SHARE, mix_report
 from .near import near_duplicates
 from .quality import quality_verdicts
 from .shards import shard_rows
+from .substrings import without_repeats
 from .tokens import context_totals, length_histogram
 from .urls import judge_urls
 from .winnow import contamination
@@ -291,6 +292,30 @@ FROM last JOIN top ON top.tree = last.home, high WHERE high.n = 1
 """
 
 
+@query
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document but for windows of 20 words that start earlier elsewhere."""
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+place AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM place) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS spot FROM again),
+listed AS (SELECT doc_id, count(*) AS n, list(spot) AS spots FROM gone GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS spot FROM d),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY spot) AS text FROM word ANTI JOIN gone USING (doc_id, spot) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers in every document, with corpus-wide counts of linked ids."""
