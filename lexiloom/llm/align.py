@@ -38,7 +38,7 @@ from .words import text_bytes
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 RUN_BYTES = 16 << 10
 SPACE = 0x20
 MARK = "▁"
