@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import ml, splits, subwords, terms, vocab
+from ..operators import ml, splits, subwords, terms, vocab, wordvec
 from ..operators.terms import KEYS
 from ..runtime import materialize
 from ..sources import tables
@@ -16,6 +16,7 @@ from .text import line_tokens
 from .vectors import keyed_words
 
 VECTOR_SIZE = 32
+FACTORS = 300
 MERGES = 500  # pieces learned beyond specials and letters
 
 
@@ -36,28 +37,75 @@ vectors AS (
 
 
 @query(
-    "train_word_vectors",
+    "context_sign_sums",
     f"WITH {CONTEXTS} SELECT word, near, {sql.digits('sums')} AS sums FROM vectors",
 )
-def train_word_vectors(spark, sf):
+def context_sign_sums(spark, sf):
+    """Summed random signs of the context words: a projection of the raw counts, nothing is learned."""
     found = ml.context_sums(keyed_words(spark, sf), VECTOR_SIZE)
     return found.select("word", "near", F.concat_ws(" ", F.transform("sums", lambda x: x.cast("string"))).alias("sums"))
 
 
 @query(
-    "document_vectors",
+    "document_context_means",
     f"""WITH {CONTEXTS}, m AS (SELECT word, list_sum(list_transform(sums, lambda x: x / CAST(greatest(near, 1) AS DOUBLE))) AS total FROM vectors),
     d AS (SELECT doc_id, line_no, count(*) AS found, round(avg(total), 5) AS total FROM tok JOIN m USING (word) GROUP BY doc_id, line_no)
     SELECT l.doc_id || ':' || l.line_no AS key, coalesce(found, 0) AS found, coalesce(total, 0.0) AS total, CAST({VECTOR_SIZE} AS INTEGER) AS dim
     FROM lines l LEFT JOIN d USING (doc_id, line_no)""",
 )
-def document_vectors(spark, sf):
+def document_context_means(spark, sf):
+    """Mean of the projected contexts of a line's words."""
     words = keyed_words(spark, sf)
     found = ml.document_vectors(words, "key", ml.context_vectors(words, VECTOR_SIZE), VECTOR_SIZE)
     total = F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x)
     return found.select("key", "found", F.round(total, 5).alias("total"), F.size("centroid").alias("dim"))
 
 
+PAIRS = sql.TOK + """,
+half AS (
+  SELECT least(a.word, b.word) AS word, greatest(a.word, b.word) AS other FROM tok a
+  JOIN tok b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND b.pos BETWEEN a.pos + 1 AND a.pos + 5),
+pairs AS (SELECT word, other, count(*) AS n FROM half GROUP BY word, other)"""
+
+
+@query("word_cooccurrences", f"WITH {PAIRS} SELECT word, other, n FROM pairs")
+def word_cooccurrences(spark, sf):
+    """How often two words stand within five places of a line."""
+    return wordvec.cooccurrences(keyed_words(spark, sf))
+
+
+@query(
+    "word_information",
+    f"""WITH {PAIRS},
+    near AS (
+      SELECT word, CAST(sum(n) AS DOUBLE) AS near FROM (
+        SELECT word, n * CASE WHEN word = other THEN 2 ELSE 1 END AS n FROM pairs
+        UNION ALL SELECT other, n FROM pairs WHERE word <> other) GROUP BY word),
+    cell AS (
+      SELECT p.word, other, n * CASE WHEN p.word = other THEN 2 ELSE 1 END AS n, a.near * b.near AS expected
+      FROM pairs p JOIN near a ON a.word = p.word JOIN near b ON b.word = other)
+    SELECT word, other, n, round(ln(n * (SELECT sum(near) FROM near) / expected), 6) AS value
+    FROM cell WHERE ln(n * (SELECT sum(near) FROM near) / expected) > 1e-9""",
+)
+def word_information(spark, sf):
+    """Positive mutual information of the pairs: the table that word vectors factorise."""
+    cells, _ = wordvec.mutual_information(wordvec.cooccurrences(keyed_words(spark, sf)))
+    return cells.filter("value > 1e-9").select("word", "other", "n", F.round("value", 6).alias("value"))
+
+
+@query("train_word_vectors")
+def train_word_vectors(spark, sf):
+    """A learned vector of every word."""
+    return wordvec.train_word_vectors(keyed_words(spark, sf), FACTORS)
+
+
+@query("document_vectors")
+def document_vectors(spark, sf):
+    """Every line folded into the learned word vectors."""
+    words = keyed_words(spark, sf)
+    return wordvec.document_vectors(words, "key", wordvec.train_word_vectors(words, FACTORS), FACTORS)
+
+
 @query(
     "kfold_classifier",
     f"""WITH {sql.LABELLED}, folds AS (
