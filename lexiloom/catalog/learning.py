@@ -17,7 +17,7 @@ from .vectors import keyed_words
 
 VECTOR_SIZE = 32
 FACTORS = 300
-MERGES = 500  # pieces learned beyond specials and letters
+PIECES = 12_000
 
 
 SIGN_SUMS = ", ".join(
@@ -142,7 +142,7 @@ def subword_pair_counts(spark, sf):
 
 @query("train_subwords")
 def train_subwords(spark, sf):
-    return subwords.train_subwords(words_of(spark, sf), merges_beyond=MERGES)
+    return subwords.train_subwords(words_of(spark, sf), PIECES)
 
 
 # A given vocabulary: specials, the letters of the corpus, then its 500 most common longer words, all
@@ -202,6 +202,6 @@ def encode_subwords(spark, sf):
 @query("train_and_encode_subwords")
 def train_and_encode_subwords(spark, sf):
     """The lines in pieces of the vocabulary learned from them."""
-    learned = subwords.train_subwords(words_of(spark, sf), merges_beyond=MERGES)
+    learned = subwords.train_subwords(words_of(spark, sf), PIECES)
     coded = subwords.encode_subwords(line_tokens(spark, sf), learned, KEYS)
     return coded.select(*KEYS, F.size("ids").alias("n_ids"), F.array_max("ids").alias("largest"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import CLS, SEP
-from ..runtime import materialize
+from ..runtime import discard, materialize, scratch_path
 from .encode import collect_ordered
 from .joins import lookup_join
 from .terms import word_counts
@@ -17,7 +22,8 @@ PIECE_SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
 MARK = "##"
 # A symbol is stored between two of these, so replacing text cannot split a symbol.
 EDGE = "␟"
-REFRESH_EVERY = 8
+# Pairs taken into a step at first and at most, and runs of symbols that may reach the driver.
+START_PAIRS, MOST_PAIRS, MOST_FRAGMENTS = 64, 16_384, 100_000
 
 
 def word_symbols(words: DataFrame, alphabet: DataFrame | None = None) -> DataFrame:
@@ -63,44 +69,179 @@ def merged(a: str, b: str) -> str:
     return a + b.removeprefix(MARK)
 
 
-def merge_symbols(column: Column, a: str, b: str) -> Column:
-    """Join every neighbouring ``a b``, from left to right."""
-    e = EDGE
-    return F.replace(column, F.lit(f"{e}{a}{e}{e}{b}{e}"), F.lit(f"{e}{merged(a, b)}{e}"))
+def _split(symbols: str) -> list[str]:
+    return symbols[1:-1].split(EDGE + EDGE) if symbols else []
+
 
+def merge_once(symbols: list[str], pair: tuple[str, str]) -> list[str]:
+    """Join every neighbouring ``pair``, from left to right."""
+    out, i, made = [], 0, merged(*pair)
+    while i < len(symbols):
+        if i + 1 < len(symbols) and symbols[i] == pair[0] and symbols[i + 1] == pair[1]:
+            out.append(made)
+            i += 2
+        else:
+            out.append(symbols[i])
+            i += 1
+    return out
 
-def next_merges(pairs: DataFrame, min_freq: int, look: int = 32) -> list[tuple[str, str, int]]:
-    """The pairs to merge next, in order; possibly several at once.
 
-    A merge can only lower or create pairs that share a symbol with it, and a created
-    pair is never more frequent than an existing pair sharing that symbol. So the leading
-    pairs that share no symbol with one another, and are more frequent than the first
-    pair that does, are what one-by-one merging would pick as well.
+def merge_in_order(symbols: list[str], places: dict[tuple[str, str], list[int]]) -> list[str]:
+    """Apply a list of merges, given as the places of each pair in it, one after another."""
+    done = -1
+    while True:
+        found = [(r, p) for p in zip(symbols, symbols[1:]) for r in places.get(p, ()) if r > done]
+        if not found:
+            return symbols
+        done, pair = min(found)
+        symbols = merge_once(symbols, pair)
+
+
+def _merge_batches(places: dict[tuple[str, str], list[int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for text in batch.column("symbols").to_pylist():
+                symbols = merge_in_order(_split(text), places)
+                made.append("".join(EDGE + x + EDGE for x in symbols))
+            yield pa.RecordBatch.from_arrays([batch.column("cnt"), pa.array(made, pa.string())], names=["cnt", "symbols"])
+
+    return run
+
+
+def _fragment_batches(inside: set[tuple[str, str]]):
+    """Runs of symbols whose neighbours are all pairs of the set, with their weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, int] = {}
+            for n, text in zip(batch.column("cnt").to_pylist(), batch.column("symbols").to_pylist()):
+                symbols = _split(text)
+                low = 0
+                for i in range(1, len(symbols) + 1):
+                    if i == len(symbols) or (symbols[i - 1], symbols[i]) not in inside:
+                        if i - low > 1:
+                            own = "".join(EDGE + x + EDGE for x in symbols[low:i])
+                            found[own] = found.get(own, 0) + n
+                        low = i
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.values(), pa.int64()), pa.array(found.keys(), pa.string())], names=["cnt", "symbols"]
+            )
+
+    return run
+
+
+def merge_fragments(
+    fragments: list[tuple[list[str], int]], floor: int, min_freq: int, room: int, known: set[str]
+) -> list[tuple[str, str, int]]:
+    """The merges that one-by-one training makes as long as the best pair is above ``floor``.
+
+    Outside the fragments no pair is above the floor, and no merge makes one: a new pair
+    is never more frequent than the one that it replaces. The one exception is a merge
+    that makes a token which exists already, as counts of both then add up; it ends the list.
     """
-    top = pairs.filter(F.col("cnt") >= min_freq).orderBy(F.desc("cnt"), "a", "b").limit(look).collect()
-    used: set[str] = set()
+    counts: Counter = Counter()
+    where: dict[tuple[str, str], set[int]] = defaultdict(set)
+
+    def book(i: int, sign: int) -> None:
+        symbols, n = fragments[i]
+        for p in zip(symbols, symbols[1:]):
+            counts[p] += sign * n
+            where[p].add(i)
+
+    for i in range(len(fragments)):
+        book(i, 1)
+    queue = [(-n, *p) for p, n in counts.items()]
+    heapq.heapify(queue)
     found: list[tuple[str, str, int]] = []
-    bound = top[-1]["cnt"] if len(top) == look else 0
-    for row in top:
-        if used & {row["a"], row["b"]}:
-            bound = row["cnt"]
+    tokens = set(known)
+    while queue and len(found) < room:
+        n, a, b = heapq.heappop(queue)
+        if -n != counts[a, b]:
+            continue  # an entry of an earlier count
+        if -n <= floor or -n < min_freq:
             break
-        used |= {row["a"], row["b"]}
-        found.append((row["a"], row["b"], row["cnt"]))
-    return [m for i, m in enumerate(found) if i == 0 or m[2] > bound]
-
+        found.append((a, b, -n))
+        changed = set()
+        for i in where.pop((a, b)):
+            symbols, weight = fragments[i]
+            made = merge_once(symbols, (a, b))
+            if len(made) != len(symbols):
+                changed.update(zip(symbols, symbols[1:]), zip(made, made[1:]))
+                book(i, -1)
+                fragments[i] = (made, weight)
+                book(i, 1)
+        for p in changed:
+            if counts[p] > 0:
+                heapq.heappush(queue, (-counts[p], *p))
+        if merged(a, b) in tokens:
+            break
+        tokens.add(merged(a, b))
+    return found
 
-def contains_pair(column: Column, a: str, b: str) -> Column:
-    return column.contains(f"{EDGE}{a}{EDGE}{EDGE}{b}{EDGE}")
 
+def _leading_pairs(pairs: DataFrame, min_freq: int, look: int) -> tuple[list, int, int]:
+    """The pairs above a count, that count, and how many pairs were looked at.
 
-def changed_counts(state: DataFrame, merges: list[tuple[str, str, int]], column: Column) -> DataFrame:
-    """How the pair counts change when ``column`` replaces symbols; other words are not split."""
-    touched = F.lit(False)
-    for a, b, _ in merges:
-        touched = touched | contains_pair(F.col("symbols"), a, b)
-    rows = state.filter(touched)
-    return pair_counts(rows.select((-F.col("cnt")).alias("cnt"), "symbols").union(rows.select("cnt", column.alias("symbols"))))
+    Pairs of one count are taken together or not at all. Where the very first count has
+    more pairs than are looked at, only its first pair is given, with its count as floor.
+    """
+    while True:
+        top = pairs.filter(F.col("cnt") >= min_freq).orderBy(F.desc("cnt"), "a", "b").limit(look + 1).collect()
+        if len(top) <= look:
+            return top, 0, look
+        above = [r for r in top if r["cnt"] > top[-1]["cnt"]]
+        if above:
+            return above, top[-1]["cnt"], look
+        if look >= MOST_PAIRS:
+            return top[:1], top[0]["cnt"], look
+        look *= 4
+
+
+def learn_merges(
+    state: DataFrame, known: set[str], room: int, min_freq: int, most_fragments: int = MOST_FRAGMENTS
+) -> Iterator[tuple[int, str, str, int]]:
+    """(step, a, b, count) of the merges that one-by-one training makes, many in a step.
+
+    ``state`` holds cnt and symbols of distinct words. In a step the leading pairs and the
+    runs of symbols made of them only, summed over all words, go to the driver: at most
+    ``most_fragments``, else fewer pairs are taken. All merges down to the count of the
+    first pair left out follow from these; then the words are merged and written anew.
+    ``known`` is extended by the new tokens, and training ends with ``room`` of them.
+    """
+    spark = state.sparkSession
+    look, step, left, path = START_PAIRS, 0, room, None
+    while left > 0:
+        counted = materialize(pair_counts(state), "pairs")
+        while True:
+            top, floor, look = _leading_pairs(counted, min_freq, look)
+            if not top:
+                return
+            if floor == top[0]["cnt"]:
+                found = [(top[0]["a"], top[0]["b"], top[0]["cnt"])]
+                break
+            inside = {(r["a"], r["b"]) for r in top}
+            kept = state.mapInArrow(_fragment_batches(inside), "cnt long, symbols string")
+            rows = kept.groupBy("symbols").agg(F.sum("cnt").alias("cnt")).limit(most_fragments + 1).collect()
+            if len(rows) <= most_fragments or len(top) == 1:
+                fragments = [(_split(r["symbols"]), r["cnt"]) for r in rows]
+                found = merge_fragments(fragments, floor, min_freq, left, known)
+                break
+            look = max(1, look // 4)
+        if len(rows if floor != top[0]["cnt"] else ()) < most_fragments // 8:
+            look = min(look * 4, MOST_PAIRS)
+        step += 1
+        places: dict[tuple[str, str], list[int]] = {}
+        for place, (a, b, n) in enumerate(found):
+            places.setdefault((a, b), []).append(place)
+            yield step, a, b, n
+            left -= merged(a, b) not in known
+            known.add(merged(a, b))
+        before, path = path, scratch_path(spark, "symbols")
+        state.mapInArrow(_merge_batches(places), "cnt long, symbols string").write.parquet(path)
+        state = spark.read.schema("cnt long, symbols string").parquet(path)
+        if before:
+            discard(spark, before)
 
 
 def train_subwords(
@@ -112,51 +253,41 @@ def train_subwords(
 ) -> DataFrame:
     """Learn a subword vocabulary from distinct word counts.
 
-    All pairs are counted once; each step adds the changes in the words that its merges
-    touch, and the driver sees the top rows only. Words shrink by a text replacement
-    without a shuffle and are written every few steps to keep the plan short. Ends when
-    the vocabulary is full or no pair is frequent enough. With ``merges_beyond`` given, it
-    is full at so many pieces beyond specials and letters, whatever their number.
+    The result is that of merging the most frequent pair one by one, ties by the order of
+    its symbols; see :func:`learn_merges` for how many are found at once. Ends when the
+    vocabulary is full or no pair is frequent enough. With ``merges_beyond`` given, it is
+    full at so many pieces beyond specials and letters, whatever their number.
     Columns: ``token, id, step, cnt``.
     """
     alphabet = materialize(limit_alphabet(words, alphabet_size), "alphabet")
-    state = materialize(word_symbols(words, alphabet), "symbols")
+    cores = words.sparkSession.sparkContext.defaultParallelism
+    spread = word_symbols(words, alphabet).repartition(max(cores, words.rdd.getNumPartitions()))
+    state = materialize(spread.select(F.col("cnt").cast("long").alias("cnt"), "symbols"), "symbols")
     singles = state.select(
         F.explode(F.split(F.expr("substring(symbols, 2, length(symbols) - 2)"), EDGE + EDGE, -1)).alias("token")
     )
     start = [r["token"] for r in singles.distinct().orderBy("token").collect()]  # alphabet: bounded by its limit
     rows = [(t, i, 0, 0) for i, t in enumerate(PIECE_SPECIALS + start)]
-    if merges_beyond is not None:
-        vocab_size = len(rows) + merges_beyond
+    room = merges_beyond if merges_beyond is not None else vocab_size - len(rows)
     known = {r[0] for r in rows}
-    pairs = materialize(pair_counts(state), "pairs")
-    step = 0
-    while len(rows) < vocab_size:
-        merges = next_merges(pairs, min_freq)[: vocab_size - len(rows)]
-        if not merges:
-            break
-        column = F.col("symbols")
-        for a, b, cnt in merges:
-            column = merge_symbols(column, a, b)
-            token = merged(a, b)
-            if token not in known:
-                known.add(token)
-                rows.append((token, len(rows), step + 1, cnt))
-        step += 1
-        changed = pairs.union(changed_counts(state, merges, column))
-        pairs = materialize(changed.groupBy("a", "b").agg(F.sum("cnt").alias("cnt")).filter("cnt > 0"), "pairs")
-        state = state.select("cnt", column.alias("symbols"))
-        if step % REFRESH_EVERY == 0:
-            state = materialize(state, "symbols")
+    listed = set(known)
+    for step, a, b, cnt in learn_merges(state, known, room, min_freq):
+        if merged(a, b) not in listed:
+            listed.add(merged(a, b))
+            rows.append((merged(a, b), len(rows), step, cnt))
     return words.sparkSession.createDataFrame(rows, "token string, id int, step int, cnt bigint")
 
 
-def greedy_pieces(word: str, vocab: dict[str, int], unknown: int = 1) -> list[int]:
-    """Longest match from the left; a word that cannot be covered is unknown."""
+def greedy_pieces(word: str, vocab: dict[str, int], unknown: int = 1, longest: int | None = None) -> list[int]:
+    """Longest match from the left; a word that cannot be covered is unknown.
+
+    ``longest`` is the most characters of a piece: with it, a word costs its length times
+    that, and not its length squared.
+    """
     out, start = [], 0
     while start < len(word):
         prefix = MARK if start else ""
-        for end in range(len(word), start, -1):
+        for end in range(min(len(word), start + (longest or len(word))), start, -1):
             piece = vocab.get(prefix + word[start:end])
             if piece is not None:
                 out.append(piece)
@@ -171,11 +302,12 @@ def word_pieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """Piece ids of each distinct word. A subword vocabulary has a given maximal size."""
     table = {r["token"]: r["id"] for r in vocab.select("token", "id").collect()}
     sent = words.sparkSession.sparkContext.broadcast(table)
+    longest = max([len(token) for token in table], default=1)
 
     @F.pandas_udf("array<int>")
     def pieces(column: pd.Series) -> pd.Series:
         vocab_ = sent.value
-        return column.map(lambda w: greedy_pieces(w, vocab_))
+        return column.map(lambda w: greedy_pieces(w, vocab_, longest=longest))
 
     return words.withColumn("pieces", pieces("word"))
 

@@ -33,12 +33,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return _written[-1]
 
 
+def discard(spark: SparkSession, path: str) -> bool:
+    """Delete one intermediate table that nothing reads any more."""
+    if path in _written:
+        _written.remove(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the intermediate tables this session wrote; results read from them end here."""
     removed = 0
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed += discard(spark, _written[-1])
     return removed
 
 

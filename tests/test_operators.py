@@ -1,5 +1,6 @@
 """Operators on small fixtures, with brute-force counterparts and uneven keys."""
 
+import collections
 import math
 import random
 
@@ -301,7 +302,42 @@ def test_subwords_learn_beyond_a_large_alphabet(spark):
     assert len(got) - len(learned) > 60 and learned == brute_merges(dict(words), 12, 3)
 
 
-def test_registered_subwords_learn_500_pieces(spark):
+def brute_merge_list(words, steps, min_freq):
+    """Pairs and counts of one-by-one merging, with counts kept up to date."""
+    state = {w: [c if i == 0 else "##" + c for i, c in enumerate(w)] for w in words}
+    pairs = collections.Counter()
+    for w, s in state.items():
+        for p in zip(s, s[1:]):
+            pairs[p] += words[w]
+    found = []
+    while len(found) < steps:
+        best = min(pairs, key=lambda p: (-pairs[p], p), default=None)
+        if best is None or pairs[best] < min_freq:
+            break
+        found.append((*best, pairs[best]))
+        for w, s in state.items():
+            if best in zip(s, s[1:]):
+                made = subwords.merge_once(s, best)
+                for p in zip(s, s[1:]):
+                    pairs[p] -= words[w]
+                for p in zip(made, made[1:]):
+                    pairs[p] += words[w]
+                state[w] = made
+    return found
+
+
+@pytest.mark.parametrize("most", [100_000, 300])
+def test_merge_list_equals_one_by_one(spark, most):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    words = collections.Counter(w for r in rows[:60] for w in (r["text"] or "").lower().split() if w.isalpha())
+    words["abab"] = words["cabab"] = words["aaaaa"] = 40
+    df = spark.createDataFrame(list(words.items()), "word string, cnt bigint")
+    got = list(subwords.learn_merges(subwords.word_symbols(df).repartition(4), set(), 10_000, 5, most))
+    assert len(got) >= 500 and max(r[0] for r in got) < len(got) / 3
+    assert [r[1:] for r in got] == brute_merge_list(words, 10_000, 5)
+
+
+def test_registered_subwords_learn_their_vocabulary(spark):
     got = learning.train_subwords(spark, "/root/testdata/sf0.001").collect()
     assert sum(r["step"] > 0 for r in got) >= 500
 
@@ -310,6 +346,8 @@ def test_greedy_pieces():
     table = {"ab": 5, "a": 6, "##c": 7, "##bc": 8}
     assert subwords.greedy_pieces("abc", table) == [5, 7]
     assert subwords.greedy_pieces("abx", table) == [1]
+    long = "ab" + "bc" * 50_000
+    assert subwords.greedy_pieces(long, table, longest=2) == [5] + [8] * 50_000
 
 
 def test_results_do_not_depend_on_partitioning(spark):
