@@ -11,7 +11,7 @@ from ..operators.encode import render
 from ..operators.keywords import drop_stopwords
 from ..operators.terms import KEYS, with_tokens
 from ..runtime import materialize, scratch_path
-from ..sources import readers, tables
+from ..sources import readers, sinks, tables
 from . import sql
 from .registry import query
 
@@ -116,9 +116,16 @@ PAIRS = """SELECT u.conv_id, u.turn, u.text AS src, a.text AS dst
     WHERE u.role = 'user' AND a.role = 'assistant'"""
 
 
-@query("scan_parallel", f"SELECT conv_id, turn, src, dst FROM ({PAIRS})")
+@query(
+    "scan_parallel",
+    f"""SELECT row_number() OVER (ORDER BY conv_id, turn) AS line_no,
+      translate(src, chr(13) || chr(10), '  ') AS src, translate(dst, chr(13) || chr(10), '  ') AS dst FROM ({PAIRS})""",
+)
 def scan_parallel(spark, sf):
-    return tables.pairs(spark, sf)
+    """Two line-aligned folders of text, written from the conversation pairs and read back side by side."""
+    root = scratch_path(spark, "sides")
+    sinks.write_parallel(tables.pairs(spark, sf), ["conv_id", "turn"], f"{root}/src", f"{root}/dst")
+    return readers.scan_parallel(spark, f"{root}/src", f"{root}/dst").select("line_no", "src", "dst")
 
 
 @query("parallel_join", f"SELECT conv_id, turn, length(src) AS src_chars, length(dst) AS dst_chars FROM ({PAIRS})")

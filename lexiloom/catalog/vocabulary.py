@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..operators import encode, ranking, vocab
-from ..operators.encode import render
+from ..operators.encode import render, render_padded
 from ..operators.joins import map_labels as join_labels
 from ..operators.terms import KEYS
 from ..runtime import materialize, scratch_path
@@ -167,8 +167,8 @@ def pad_fixed(spark, sf):
 )
 def pad_batch(spark, sf):
     rows = coded_lines(spark, sf).join(line_batches(spark, sf), KEYS)
-    padded = arrays.pad_fixed(F.col("ids"), F.col("longest"), arrays.UNK)
-    return rows.select(*KEYS, "batch", F.col("longest").cast("bigint").alias("padded"), F.md5(render(padded)).alias("ids_md5"))
+    padded = render_padded(F.col("ids"), F.col("longest") - F.size("ids"), arrays.UNK)
+    return rows.select(*KEYS, "batch", F.col("longest").cast("bigint").alias("padded"), F.md5(padded).alias("ids_md5"))
 
 
 @query(
@@ -205,12 +205,12 @@ def char_grid(spark, sf):
     framed = encode.frame_all(encode.encode_tokens(line_tokens(spark, sf), words), "ids")
     rows = framed.join(line_batches(spark, sf), KEYS).withColumn("longest", F.col("longest") + 2)
     grids = encode.char_grids(rows, materialize(encode.word_char_rows(words, chars), "wordchars"), [*KEYS, "batch", "longest"])
-    zeros = F.array_repeat(F.array_repeat(F.lit(arrays.PAD), 10), F.col("longest") - F.size("grid"))
+    grid = render_padded(F.flatten("grid"), (F.col("longest") - F.size("grid")) * 10, arrays.PAD)
     return grids.select(
         *KEYS,
         "batch",
         F.col("longest").cast("bigint").alias("n_rows"),
-        F.md5(render(F.flatten(F.concat("grid", zeros)))).alias("grid_md5"),
+        F.md5(grid).alias("grid_md5"),
     )
 
 

@@ -200,3 +200,8 @@ def frame_all(df: DataFrame, ids: str, reverse: bool = False) -> DataFrame:
 def render(ids: Column) -> Column:
     """Ids as text, one space between them."""
     return F.concat_ws(" ", F.transform(ids, lambda x: x.cast("string")))
+
+
+def render_padded(ids: Column, missing: Column, pad: int) -> Column:
+    """Ids as text, followed by ``missing`` times the padding id, which is written and not built."""
+    return F.ltrim(F.concat(render(ids), F.repeat(F.lit(f" {pad}"), missing.cast("int"))))

@@ -11,11 +11,14 @@ from ..functions.stopwords import ENGLISH
 from ..functions.text import HANGUL, clean_english_text, clean_script_text
 
 
-def scan_lines(spark: SparkSession, paths: str | list[str], encoding: str | None = None) -> DataFrame:
+def scan_lines(
+    spark: SparkSession, paths: str | list[str], encoding: str | None = None, across: bool = False
+) -> DataFrame:
     """``path, line_no, line`` of every file matching the paths, numbered from 1 per file.
 
     The files stay splittable: a line's number is its place inside its split plus the
-    lines of the file's earlier splits. Only one row per split is gathered for that.
+    lines of the file's earlier splits. Only one row per split is gathered for that. With
+    ``across`` numbers run on from file to file, in the order of their paths.
     """
     raw = spark.read.text(paths).select(
         "value",
@@ -24,7 +27,8 @@ def scan_lines(spark: SparkSession, paths: str | list[str], encoding: str | None
     )
     placed = raw.withColumn("_mono", F.monotonically_increasing_id())
     splits = placed.groupBy("path", "_start").agg(F.count("*").alias("_size"), F.min("_mono").alias("_first"))
-    earlier = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy("path", "_start") if across else Window.partitionBy("path").orderBy("_start")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)  # one row per split
     splits = splits.select(
         "path", "_start", "_first", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")
     )
@@ -105,7 +109,8 @@ def zip_lines(source: DataFrame, target: DataFrame, drop_last: bool = False) ->
 
 
 def scan_parallel(spark: SparkSession, source: str, target: str, drop_last: bool = False) -> DataFrame:
-    return zip_lines(scan_lines(spark, source), scan_lines(spark, target), drop_last)
+    """``line_no, src, dst`` of two line-aligned corpora, each a file or a folder of files in order."""
+    return zip_lines(scan_lines(spark, source, across=True), scan_lines(spark, target, across=True), drop_last)
 
 
 def scan_text_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:

@@ -31,3 +31,13 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
 
 def write_text(rows: DataFrame, line: Column, path: str) -> None:
     rows.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_parallel(pairs: DataFrame, keys: list[str], source: str, target: str) -> None:
+    """Columns ``src`` and ``dst`` as two line-aligned folders of text, in the order of ``keys`` (unique).
+
+    Line ends inside a text become spaces, a null text is an empty line.
+    """
+    for column, path in (("src", source), ("dst", target)):
+        line = F.coalesce(F.translate(column, "\r\n", "  "), F.lit(""))
+        pairs.select(*keys, line.alias("value")).orderBy(*keys).select("value").write.text(path)

@@ -7,7 +7,7 @@ from lexiloom.config import KeywordSettings
 from lexiloom.functions.text import LATIN
 from lexiloom.plans import jobs
 from lexiloom.runtime import materialize
-from lexiloom.sources import readers
+from lexiloom.sources import readers, sinks
 
 
 def test_line_numbers_across_splits(spark, tmp_path):
@@ -68,6 +68,16 @@ def test_parallel(spark, tmp_path):
     assert readers.scan_parallel(spark, *pair, drop_last=True).count() == 2
 
 
+def test_parallel_folders_of_several_files(spark, tmp_path):
+    rows = [(i, f"s{i}" if i % 3 else "", None if i == 4 else f"t{i}\nx") for i in range(23)]
+    pairs = spark.createDataFrame(rows, "k int, src string, dst string").repartition(5)
+    sides = (str(tmp_path / "a"), str(tmp_path / "b"))
+    sinks.write_parallel(pairs, ["k"], *sides)
+    got = sorted(tuple(r) for r in readers.scan_parallel(spark, *sides).select("line_no", "src", "dst").collect())
+    assert got == [(k + 1, src, (dst or "").replace("\n", " ")) for k, src, dst in rows]
+    assert readers.scan_parallel(spark, *sides, drop_last=True).count() == 22
+
+
 def test_text_vectors_and_stopwords(spark, tmp_path):
     (tmp_path / "v").write_text("2 3\na 1 2 3\nb 4 5 6\n", encoding="utf-8")
     rows = readers.scan_text_vectors(spark, str(tmp_path / "v"), 3).collect()
