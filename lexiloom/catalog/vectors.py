@@ -161,6 +161,19 @@ def rank_similarity(spark, sf):
     return sides[0].unionByName(sides[1])
 
 
+@query(
+    "exact_ranks",
+    f"""WITH {PAIRS}, placed AS (
+      SELECT a_id AS q_id, b_id AS t_id, cos, row_number() OVER (PARTITION BY a_id ORDER BY cos DESC, b_id) AS rank FROM pairs)
+    SELECT * FROM placed WHERE t_id % 10 = q_id % 10""",
+)
+def exact_ranks(spark, sf):
+    """The rank, at any depth, of every item vector whose id ends like that of the code vector."""
+    a, b = tables.vector_sides(spark, sf)
+    ends = (a.select(F.col("vec_id").alias("q_id"), F.pmod("vec_id", F.lit(10)).alias("end")), b.select(F.col("vec_id").alias("t_id"), F.pmod("vec_id", F.lit(10)).alias("end")))
+    return vectors.exact_ranks(ends[0].join(ends[1], "end"), a, b, "vec_id", "vec").select("q_id", "t_id", "cos", "rank")
+
+
 @query(
     "recommend_topn",
     f"""WITH {PAIRS} SELECT a_id AS q_id, b_id AS t_id, cos, CAST(rn AS INTEGER) AS rank FROM (

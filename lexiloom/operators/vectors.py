@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import keyed_hash, unit_float
-from ..runtime import BROADCAST_ROWS, fits_broadcast
+from ..runtime import BROADCAST_ROWS, fits_broadcast, materialize
 from .joins import lookup_join, require_all
 
 # Query vectors are sent to every task only when at most this many, of this many bytes, were counted.
@@ -180,6 +180,54 @@ def recommend_topn(
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_n)
 
 
+def _places(q_ids, q_unit, asked_t, cos, t_ids, t_unit) -> np.ndarray:
+    """How many targets of a block come before each asked one, larger cosines first, equal ones by id."""
+    ahead = np.zeros(len(q_ids), np.int64)
+    own, first, row = np.unique(q_ids, return_index=True, return_inverse=True)
+    step = max(1, PRODUCT_CELLS // max(1, len(t_ids)))
+    by_query = np.argsort(row, kind="stable")
+    borders = np.append(np.searchsorted(row[by_query], np.arange(len(own))), len(row))
+    for x in range(0, len(own), step):
+        sims = np.round(q_unit[first[x : x + step]] @ t_unit.T, COS_DIGITS)
+        for k, values in enumerate(sims, x):
+            order = np.lexsort((t_ids, -values))
+            falling, ids = -values[order], t_ids[order]
+            for i in by_query[borders[k] : borders[k + 1]]:
+                low, high = np.searchsorted(falling, -cos[i], "left"), np.searchsorted(falling, -cos[i], "right")
+                ahead[i] = low + np.searchsorted(ids[low:high], asked_t[i], "left")
+    return ahead
+
+
+def exact_ranks(asked: DataFrame, sources: DataFrame, targets: DataFrame, key: str, vec: str) -> DataFrame:
+    """``q_id, t_id, cos, rank`` of the asked pairs (q_id, t_id), at any depth.
+
+    The rank is the one that the target has in the source's full list, equal cosines by
+    id. Each block of targets counts what stands before the asked one, so no list is
+    made; the asked pairs and the targets are cut in hash blocks of even size, and a
+    source with many asked pairs is spread. Unknown ids raise.
+    """
+    require_all(asked.select(F.col("q_id").alias(key)), sources, key)
+    require_all(asked.select(F.col("t_id").alias(key)), targets, key)
+    q = sources.select(F.col(key).alias("q_id"), F.col(vec).alias("q_vec"))
+    t = targets.select(F.col(key).alias("t_id"), F.col(vec).alias("t_vec"))
+    pairs = asked.select("q_id", "t_id").distinct().join(q, "q_id").join(t, "t_id")
+    scored = materialize(pairs.select("q_id", "t_id", "q_vec", F.round(cosine(F.col("q_vec"), F.col("t_vec")), COS_DIGITS).alias("cos")), "asked")
+    na, nt = _blocks(scored, "t_id"), _blocks(t, "t_id")
+    left = scored.withColumn("qb", F.pmod(F.xxhash64("q_id", "t_id"), F.lit(na))).withColumn("tb", F.explode(_numbers(nt)))
+    right = t.withColumn("tb", F.pmod(F.xxhash64("t_id"), F.lit(nt))).withColumn("qb", F.explode(_numbers(na)))
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a):
+            return pd.DataFrame({"q_id": [], "t_id": [], "cos": [], "ahead": []})
+        ahead = 0 if not len(b) else _places(
+            a["q_id"].to_numpy(), _unit(a["q_vec"]), a["t_id"].to_numpy(), a["cos"].to_numpy(), b["t_id"].to_numpy(), _unit(b["t_vec"])
+        )
+        return a[["q_id", "t_id", "cos"]].assign(ahead=ahead)
+
+    counted = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInPandas(kernel, _found_schema(q, t) + ", ahead long")
+    return counted.groupBy("q_id", "t_id", "cos").agg((F.sum("ahead") + 1).alias("rank"))
+
+
 def ranked_lists(best: DataFrame) -> DataFrame:
     """One row per query of a top-n table: its targets, best first, and their cosines."""
     ordered = F.sort_array(F.collect_list(F.struct("rank", "t_id", "cos")))  # top_n rows

@@ -429,3 +429,18 @@ def test_one_plan_for_few_and_many_files(spark, tmp_path):
         plan = lines.groupBy("doc_id", "line_no").count()._jdf.queryExecution().executedPlan().toString()
         counts.append(plan.count("hashpartitioning(doc_id"))
     assert counts[0] == counts[1] == 1
+
+
+def test_exact_ranks_in_blocks(spark, monkeypatch):
+    """Ranks over several blocks, with ties, zero vectors and one source that asks for all."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(3)
+    sides = {"q": rng.integers(-2, 3, (5, 4)).astype(float), "t": rng.integers(-2, 3, (40, 4)).astype(float)}
+    sides["t"][3] = 0
+    frames = {k: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vec array<double>") for k, m in sides.items()}
+    asked = [(0, i) for i in range(40)] + [(q, t) for q in range(1, 5) for t in (3, 17, 39)]
+    got = vectors.exact_ranks(spark.createDataFrame(asked, "q_id long, t_id long"), frames["q"], frames["t"], "id", "vec").collect()
+    unit = {k: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for k, m in sides.items()}
+    sims = np.round(unit["q"] @ unit["t"].T, 9)
+    want = {(q, t): 1 + int(sum((sims[q] > sims[q, t]) | ((sims[q] == sims[q, t]) & (np.arange(40) < t)))) for q, t in asked}
+    assert {(r["q_id"], r["t_id"]): r["rank"] for r in got} == want
