@@ -337,11 +337,15 @@ def near_duplicates(
     linked where 100 * |intersection| >= percent * |union| of their shingle sets;
     ``component_id`` is the smallest doc_id of the rows reachable over links, and a row
     is kept if it is that doc_id. Null and empty texts have no shingles and no links.
-    A repeated doc_id stays two rows; further columns of ``docs`` are ignored.
+    A repeated doc_id stays two rows; further columns of ``docs`` are ignored. A row without
+    doc_id is linked like the rows of its text, and kept only where no row with doc_id is
+    reachable; a text that no row with doc_id has is linked with equal texts only.
     """
     table = sketches(docs, shingle, keep)
     filled = table.filter("n_shingles > 0")
-    classes = materialize(filled.groupBy("digest").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least")), "classes")
+    # A class is represented by a row with doc_id where it has one, as texts are fetched by it.
+    first = F.min(F.struct(F.col("doc_id").isNull(), "rid"))["rid"]
+    classes = materialize(filled.groupBy("digest").agg(first.alias("rid"), F.min("doc_id").alias("least")), "classes")
     nodes = materialize(table.join(classes.select("rid"), "rid", "left_semi"), "nodes")
 
     values = nodes.select("rid", F.explode("sketch").alias("value"))
@@ -402,5 +406,5 @@ def near_duplicates(
         .join(named, "digest")
         .select("doc_id", "n_shingles", "component_id")
         .union(table.filter("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
     )

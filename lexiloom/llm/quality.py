@@ -31,7 +31,7 @@ CLASSES = 1 << CLASS_BITS
 SLICE = 512 << 10
 UPPER, LOWER = 0.99, 0.001
 SLACK = 0.05
-LEAST_DOCS = 100
+STEADY = 100
 HELD_OUT = 5
 STEPS = 1000
 
@@ -204,30 +204,47 @@ def _length_class() -> Column:
     return F.floor(F.log2(F.greatest("_bytes", F.lit(1))) / 2).cast("int")
 
 
-def thresholds(held_out: DataFrame, upper: float, lower: float, slack: float, least_docs: int) -> DataFrame:
+def thresholds(held_out: DataFrame, upper: float, lower: float, slack: float, steady: int) -> DataFrame:
     """(lang, length, low, high) in bits per byte; a null part means any.
 
     Quantiles are exact in steps of a thousandth of a bit: documents are counted by
-    step, and the steps are summed per group.
+    step, and the steps are summed per group. What few documents say is uncertain: with n
+    of them the slack is ``1 + steady / n`` times as wide, and the limits lie between the
+    group's own, with a weight of ``n / (n + steady)``, and those of the next larger group
+    (a language for its length class, all documents for a language). This is one rule for
+    every n; with many documents only the group's own quantiles and the slack are left.
     """
     rows = held_out.filter("_bytes > 0").select(
         "lang", _length_class().alias("length"), F.floor(_per_byte() * STEPS).alias("step")
     )
     counts = rows.groupBy("lang", "length", "step").agg(F.count("*").alias("n"))
-    nothing = F.lit(None)
-    counts = counts.unionByName(counts.withColumn("length", nothing.cast("int"))).unionByName(
-        counts.withColumn("length", nothing.cast("int")).withColumn("lang", nothing.cast("string"))
-    )
+    any_length = counts.filter("lang IS NOT NULL").withColumn("length", F.lit(None).cast("int"))
+    every = counts.withColumn("length", F.lit(None).cast("int")).withColumn("lang", F.lit(None).cast("string"))
+    counts = counts.filter("lang IS NOT NULL").unionByName(any_length).unionByName(every)
     counts = counts.groupBy("lang", "length", "step").agg(F.sum("n").alias("n"))
     group = Window.partitionBy("lang", "length")  # a group has some thousand steps at most
     run = counts.withColumn("upto", F.sum("n").over(group.orderBy("step"))).withColumn("all", F.sum("n").over(group))
-    found = run.groupBy("lang", "length").agg(
-        F.max("all").alias("docs"),
-        (F.min(F.when(F.col("upto") >= upper * F.col("all"), F.col("step") + 1)) / STEPS + slack).alias("high"),
-        (F.min(F.when(F.col("upto") >= lower * F.col("all"), F.col("step"))) / STEPS - slack).alias("low"),
+    wide = slack * (1 + steady / F.col("docs"))
+    found = (
+        run.groupBy("lang", "length")
+        .agg(
+            F.max("all").alias("docs"),
+            (F.min(F.when(F.col("upto") >= upper * F.col("all"), F.col("step") + 1)) / STEPS).alias("high"),
+            (F.min(F.when(F.col("upto") >= lower * F.col("all"), F.col("step"))) / STEPS).alias("low"),
+        )
+        .withColumns({"high": F.col("high") + wide, "low": F.col("low") - wide})
     )
-    enough = (F.col("docs") >= least_docs) | (F.col("lang").isNull() & F.col("length").isNull())
-    return found.filter(enough).select("lang", "length", "low", "high")
+
+    def between(own: DataFrame, larger: DataFrame, on: Column) -> DataFrame:
+        weight = F.col("docs") / (F.col("docs") + steady)
+        joined = own.join(larger.select(F.col("lang").alias("_l"), F.col("low").alias("_low"), F.col("high").alias("_high")), on)
+        limits = {c: weight * F.col(c) + (1 - weight) * F.col(f"_{c}") for c in ("low", "high")}
+        return joined.withColumns(limits).select("lang", "length", "low", "high")
+
+    whole = found.filter("lang IS NULL")
+    langs = between(found.filter("lang IS NOT NULL AND length IS NULL"), whole, F.lit(True))  # one row
+    cells = between(found.filter("length IS NOT NULL"), langs, F.col("lang") == F.col("_l"))
+    return whole.select("lang", "length", "low", "high").unionByName(langs).unionByName(cells)
 
 
 def judged(
@@ -236,16 +253,15 @@ def judged(
     upper: float = UPPER,
     lower: float = LOWER,
     slack: float = SLACK,
-    least_docs: int = LEAST_DOCS,
+    steady: int = STEADY,
 ) -> DataFrame:
     """``docs`` with _perplexity (per byte), _low, _high and _accepted; no row is moved.
 
     Trusted are documents labelled quality 1 and never toxic. Those with
     crc32(doc_id) mod 5 = 0 give the quantiles, the others the counts. A document is
-    accepted when its perplexity is within the quantiles of its language and length
-    class, or of its language, or of all documents, whichever is the first with enough
-    held-out documents; a null language goes to the last. Null and empty texts are not
-    accepted. Without any held-out document every other text is.
+    accepted when its perplexity is within the limits of its language and length class,
+    or of its language, or of all documents, whichever is the first with held-out
+    documents; a null language goes to the last. Null and empty texts are not accepted. Without any held-out document every other text is.
     """
     trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     trusted = trusted.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id")
@@ -256,7 +272,7 @@ def judged(
     model = train(only_ids(slim, trusted.filter("not held_out").select("doc_id"), "doc_id"))
     held_out = scored(only_ids(slim, trusted.filter("held_out").select("doc_id"), "doc_id"), model)
     limits = materialize(
-        thresholds(held_out.select("lang", "_bits", "_bytes"), upper, lower, slack, least_docs), "limits"
+        thresholds(held_out.select("lang", "_bits", "_bytes"), upper, lower, slack, steady), "limits"
     )
     rows = scored(docs, model).withColumn("_length", _length_class())
     # Limits are one row per language and length class, far below the scan in size.

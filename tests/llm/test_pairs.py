@@ -129,3 +129,14 @@ def test_contamination_by_nothing(spark, corpus):
     items = spark.createDataFrame([(7, "b c")], "item_id long, text string")
     got = sorted(tuple(r)[:3] for r in contamination(frame(spark, twice), items).collect())
     assert got == [(1, 1, 0), (1, 3, 2), (1, 3, 2)]
+
+
+def test_rows_without_id_among_near_copies(spark):
+    words = [f"w{i}" for i in range(200)]
+    text, other = " ".join(words), " ".join([*words[:100], "changed", *words[101:]])
+    rows = [(None, text), (5, text), (9, other), (None, "alone in the world with no id at all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    got = sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in near_duplicates(df, 85).collect() if r["component_id"])
+    assert got == [(-1, 5, False), (5, 5, True), (9, 5, False)]
+    lone = [r["kept"] for r in near_duplicates(df, 85).collect() if r["component_id"] is None]
+    assert lone == [True]

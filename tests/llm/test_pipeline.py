@@ -1,12 +1,15 @@
 """Every stage of the pipeline on its own input, against brute force."""
 
+import math
+import random
+
 import brute
 import pytest
 
 import corpus_pipeline as pipeline
 from lexiloom.llm.common import table
 from lexiloom.llm.mixing import mixed
-from lexiloom.llm.quality import judged
+from lexiloom.llm.quality import judged, thresholds
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,6 +42,35 @@ def test_quality(spark, stages):
     assert len(good & want) >= 0.95 * len(good)
 
 
+def test_limits_by_brute_force(spark):
+    """Every group's quantiles, widened and drawn to the larger group's by its number of documents."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["en", "en", "en", "fr", None]), rng.uniform(1, 4), 4 ** rng.randrange(1, 6)) for _ in range(400)]
+    rows += [("fr", 0.0, 0), ("xx", 2.0, 64)]
+    frame = spark.createDataFrame([(lang, bits * n, n) for lang, bits, n in rows], "lang string, _bits double, _bytes long")
+    upper, lower, slack, steady = 0.9, 0.1, 0.05, 20
+
+    def own(values):
+        steps, n = sorted(math.floor(v * 1000) for v in values), len(values)
+        high = min(s for i, s in enumerate(steps, 1) if sum(x <= s for x in steps) >= upper * n) + 1
+        low = min(s for i, s in enumerate(steps, 1) if sum(x <= s for x in steps) >= lower * n)
+        return low / 1000 - slack * (1 + steady / n), high / 1000 + slack * (1 + steady / n)
+
+    def mixed_limits(values, larger):
+        w = len(values) / (len(values) + steady)
+        return tuple(w * a + (1 - w) * b for a, b in zip(own(values), larger))
+
+    real = [(lang, bits * n / max(n, 1), math.floor(math.log2(max(n, 1)) / 2)) for lang, bits, n in rows if n]
+    want = {(None, None): own([v for _, v, _ in real])}
+    for lang in {x for x, _, _ in real if x}:
+        want[lang, None] = mixed_limits([v for x, v, _ in real if x == lang], want[None, None])
+        for length in {k for x, _, k in real if x == lang}:
+            want[lang, length] = mixed_limits([v for x, v, k in real if x == lang and k == length], want[lang, None])
+    got = {(r["lang"], r["length"]): (r["low"], r["high"]) for r in thresholds(frame, upper, lower, slack, steady).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(a - b) < 0.0011 for k in want for a, b in zip(got[k], want[k]))
+
+
 def test_near(stages):
     docs, out = stages["near duplicates"]
     rows = rows_of(docs)
@@ -78,3 +110,14 @@ def test_odd_tables(spark, position):
     if position < 4:
         assert out.columns == docs.columns
     assert stage(spark, docs.filter("false"), SF).count() == 0
+
+
+def test_columns_named_like_helpers(spark):
+    """Extra columns keep their values, whatever their names."""
+    names = ["_bits", "_accepted", "_tokens", "_kept", "rid", "_length"]
+    docs = table(spark, SF, "documents").selectExpr("*", *[f"doc_id * 10 + {i} AS {n}" for i, n in enumerate(names)])
+    for stage in (pipeline.quality_stage, pipeline.mixing_stage):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == r["doc_id"] * 10 + i for r in rows for i, n in enumerate(names))
