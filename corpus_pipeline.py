@@ -20,11 +20,18 @@ from lexiloom.runtime import materialize
 
 SIMILARITY = 80
 SHARDS = 40
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with neutral names for all columns that no operator reads, so none can clash with a helper."""
+    return docs.toDF(*[c if c in READ else f"extra{i}" for i, c in enumerate(docs.columns)])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within the quantiles of trusted text stay."""
-    return judged(docs, table(spark, sf_dir, "labels")).filter("_accepted").select(*docs.columns)
+    plain = apart(docs)
+    return judged(plain, table(spark, sf_dir, "labels")).filter("_accepted").select(*plain.columns).toDF(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +48,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Four fifths of the tokens, at the target shares of source, language and topic where they reach."""
-    return mixed(docs).filter("_kept").select(*docs.columns)
+    plain = apart(docs)
+    return mixed(plain).filter("_kept").select(*plain.columns).toDF(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
