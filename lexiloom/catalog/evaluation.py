@@ -155,13 +155,13 @@ sent AS (
 
 
 def decoded_sides(spark, sf):
-    """Each line's words after coding and decoding, next to all its words."""
+    """Each line's words after coding and decoding, next to all its words, which stay in the row."""
     words = common_vocab(spark, sf)
-    tokens = line_tokens(spark, sf)
-    decoded = encode.decode_ids(encode.encode_tokens(tokens, words), words)
+    tokens = line_tokens(spark, sf).withColumn("ref", F.col("tokens"))
+    carried = [*KEYS, "ref"]
+    decoded = encode.decode_ids(encode.encode_tokens(tokens, words, carried), words, carried)
     cand = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", " ", -1))
-    both = decoded.join(tokens, KEYS)
-    return both.select(F.concat_ws(":", *KEYS).alias("key"), cand.alias("cand"), F.col("tokens").alias("ref"))
+    return decoded.select(F.concat_ws(":", *KEYS).alias("key"), cand.alias("cand"), "ref")
 
 
 @query(

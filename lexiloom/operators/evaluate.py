@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
-
 
 def accuracy(df: DataFrame, label: str, pred: str, batch: str | None = None) -> DataFrame:
     """Share of equal labels; with ``batch``, also the mean of the batch shares."""
@@ -95,70 +96,56 @@ def running_best(runs: DataFrame, run: str, loss: str, group: str) -> DataFrame:
     )
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    """Space-joined n-grams of one row."""
-    count = F.size(tokens) - (n - 1)
-    starts = F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.concat_ws(" ", F.slice(tokens, i, F.lit(n))))
-
-
-def _clipped(candidate: Column, reference: Column) -> Column:
-    """Size of the multiset intersection of two n-gram arrays of one row.
-
-    Without repeats in the candidate that is the size of the set intersection.
-    """
-
-    def count(pair: Column) -> Column:
-        c, r = pair["c"], pair["r"]
-        unique = F.size(F.array_distinct(c)) == F.size(c)
-        return F.when(unique, F.size(F.array_intersect(c, r)).cast("bigint")).otherwise(_common(c, r))
-
-    return let(F.struct(candidate.alias("c"), reference.alias("r")), count)
+def _rows_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each element, and the end of its row."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes), sizes)
 
 
-def _common(candidate: Column, reference: Column) -> Column:
-    """Multiset intersection with repeats.
+def _match_batches(orders: int):
+    """Per row, of every order: clipped matches and candidate n-grams; both lengths last.
 
-    Both are sorted together, so equal n-grams are neighbours and one pass counts them.
+    Words are numbered per batch, and an n-gram by the number of the shorter one before
+    its last word, so n-grams are single integers. Those of a row are one key each with
+    the row's number, and both sides' counts meet by sorted keys.
     """
-    both = F.sort_array(
-        F.concat(
-            F.transform(candidate, lambda g: F.struct(g.alias("g"), F.lit(1).alias("c"))),
-            F.transform(reference, lambda g: F.struct(g.alias("g"), F.lit(0).alias("c"))),
-        )
-    )
 
-    def state(gram: Column, c: Column, r: Column, matched: Column) -> Column:
-        return F.struct(gram.alias("g"), c.alias("c"), r.alias("r"), matched.alias("m"))
-
-    def step(s: Column, x: Column) -> Column:
-        same = s["g"] == x["g"]
-        return state(
-            x["g"],
-            F.when(same, s["c"]).otherwise(F.lit(0)) + x["c"],
-            F.when(same, s["r"]).otherwise(F.lit(0)) + 1 - x["c"],
-            s["m"] + F.when(same, F.lit(0)).otherwise(F.least(s["c"], s["r"])),
-        )
+    def run(batches):
+        for batch in batches:
+            sides = [batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)]
+            words = pa.concat_arrays([x.flatten() for x in sides]).dictionary_encode().indices
+            word = words.to_numpy(zero_copy_only=False).astype(np.int64)
+            split, n_rows = len(sides[0].flatten()), len(batch)
+            row, end = (np.concatenate(x) for x in zip(*[_rows_of(x) for x in sides]))
+            end[split:] += split
+            name, place, matched, total = word, np.arange(len(word)), [], []
+            for n in range(1, orders + 1):
+                if n > 1:
+                    open_ = place + n <= end[place]
+                    place = place[open_]
+                    _, name = np.unique(name[open_] * (word.max(initial=0) + 1) + word[place + n - 1], return_inverse=True)
+                key = row[place] * (name.max(initial=0) + 1) + name
+                is_candidate = place < split
+                (a, n_a), (b, n_b) = (np.unique(key[x], return_counts=True) for x in (is_candidate, ~is_candidate))
+                _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+                owner = a[at_a] // (name.max(initial=0) + 1)
+                matched.append(np.bincount(owner, np.minimum(n_a[at_a], n_b[at_b]), n_rows).astype(np.int64))
+                total.append(np.bincount(row[place[is_candidate]], minlength=n_rows))
+            sizes = [np.bincount(x, minlength=n_rows) for x in (row[:split], row[split:])]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-2], *map(pa.array, [*matched, *total, *sizes])],
+                names=[str(i) for i in range(batch.num_columns + 2 * orders)],
+            )
 
-    start = state(F.lit(""), F.lit(0), F.lit(0), F.lit(0))
-    return F.aggregate(both, start, step, lambda s: (s["m"] + F.least(s["c"], s["r"])).cast("bigint"))
+    return run
 
 
-def _counts(pairs: DataFrame, candidate: str, reference: str, orders: int) -> DataFrame:
+def _counts(pairs: DataFrame, candidate: str, reference: str, orders: int, keys: list[str] = ()) -> DataFrame:
     """Clipped matches and candidate n-grams of every order, and both lengths, per row."""
-    return pairs.withColumns(
-        {
-            **{
-                f"_m{n}": _clipped(_grams(F.col(candidate), n), _grams(F.col(reference), n))
-                for n in range(1, orders + 1)
-            },
-            **{f"_t{n}": F.greatest(F.size(candidate) - (n - 1), F.lit(0)) for n in range(1, orders + 1)},
-            "_c": F.size(candidate),
-            "_r": F.size(reference),
-        }
-    )
+    kinds = [f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys]
+    kinds += [f"_{kind}{n} long" for kind in "mt" for n in range(1, orders + 1)]
+    slim = pairs.select(*keys, F.col(candidate).alias("_cand"), F.col(reference).alias("_ref"))
+    return slim.mapInArrow(_match_batches(orders), ", ".join([*kinds, "_c long", "_r long"]))
 
 
 def _score(orders: int) -> Column:
@@ -171,7 +158,7 @@ def _score(orders: int) -> Column:
 
 def bleu_sentence(pairs: DataFrame, key: str, candidate: str, reference: str, orders: int = 4) -> DataFrame:
     """Sentence BLEU; 0 when some order has no match. No shuffle."""
-    return _counts(pairs, candidate, reference, orders).select(key, _score(orders).alias("bleu"))
+    return _counts(pairs, candidate, reference, orders, [key]).select(key, _score(orders).alias("bleu"))
 
 
 def bleu_corpus(pairs: DataFrame, candidate: str, reference: str, orders: int = 4) -> DataFrame:
