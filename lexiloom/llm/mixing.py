@@ -8,7 +8,9 @@ others; without one, probabilities are weights per token over the largest of all
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
@@ -20,6 +22,8 @@ FLATTEN = {"source": 0.8, "lang": 0.9, "topic": 0.9}
 TOPICS = 8
 TOLERANCE = 1e-9
 ROUNDS = 60
+# Cells that one task works through, and rounds that it makes before they are written.
+FEW_CELLS, ROUNDS_AT_ONCE = 100_000, 4
 # The sample's expected tokens as a share of the corpus, and how near shares come to targets.
 SHARE = 0.8
 BUDGET_TOLERANCE = 1e-6
@@ -54,28 +58,56 @@ def tempered(cells: DataFrame, dimension: str, exponent: float) -> DataFrame:
     return shares.crossJoin(F.broadcast(total)).select(dimension, (F.col("raised") / F.col("total")).alias("target"))
 
 
+def one_task(cells: DataFrame) -> tuple[DataFrame, bool]:
+    """The (written) cells, in one partition where there are few enough, and whether there are.
+
+    Sums over a dimension are then windows of that partition: a round is a task and not a
+    dozen exchanges. More cells stay dealt, and sums are aggregated and joined.
+    """
+    few = cells.count() <= FEW_CELLS
+    return (cells.coalesce(1) if few else cells), few
+
+
+def with_sums(rows: DataFrame, dimension: str, sums: dict[str, Column], few: bool) -> DataFrame:
+    """``rows`` with sums over all rows that share the value of a dimension."""
+    if few:
+        return rows.withColumns({n: F.sum(c).over(Window.partitionBy(dimension)) for n, c in sums.items()})
+    return rows.join(rows.groupBy(dimension).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), dimension)
+
+
+def _unmet(off: dict[str, float | None], tolerance: float, rounds: int) -> None:
+    if any(x is not None and x > tolerance for x in off.values()):
+        warnings.warn(f"targets not met after {rounds} rounds: off by {off}", stacklevel=3)
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """``cells`` with a column weight whose sums meet the targets of every dimension.
 
     ``targets`` has one (dimension, target) table each, of positive shares. Weights are
-    written after each round; the driver sees the largest deviation only. Targets that
-    the cells can't meet together are met as nearly as ``rounds`` rounds come.
+    written after each round, or few rounds of few cells; the driver sees the largest
+    deviation only. Targets that the cells can't meet together are met as nearly as
+    ``rounds`` rounds come, with a warning that says how far off they are.
     """
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(rounds):
-        worst = []
-        for d in targets:
-            sums = now.groupBy(d).agg(F.sum("weight").alias("sum")).join(targets[d], d)
-            sums = sums.select(d, (F.col("target") / F.col("sum")).alias(f"factor_{d}"))
-            now = now.join(sums, d).withColumn("weight", F.col("weight") * F.col(f"factor_{d}"))
-            worst.append(f"factor_{d}")
+    for d in targets:
+        now = now.join(targets[d].withColumnRenamed("target", f"target_{d}"), d)
+    now, few = one_task(materialize(now, "weights"))
+    step, off = ROUNDS_AT_ONCE if few else 1, {}
+    for done in range(0, rounds, step):
+        for _ in range(min(step, rounds - done)):
+            for d in targets:
+                now = with_sums(now, d, {"_sum": F.col("weight")}, few)
+                factor = F.col(f"target_{d}") / F.col("_sum")
+                now = now.withColumn(f"factor_{d}", factor).withColumn("weight", F.col("weight") * F.col(f"factor_{d}")).drop("_sum")
         now = materialize(now, "weights")
-        # The last dimension is met; the first two say how far the round still moved.
-        off = now.agg(*[F.max(F.abs(F.col(f) - 1)).alias(f) for f in worst]).first()
-        now = now.drop(*worst)
-        if all(x is None or x <= tolerance for x in off):
+        now = now.coalesce(1) if few else now
+        # The last dimension is met; the first two say how far the last round still moved.
+        off = now.agg(*[F.max(F.abs(F.col(f"factor_{d}") - 1)).alias(d) for d in targets]).first().asDict()
+        now = now.drop(*[f"factor_{d}" for d in targets])
+        if all(x is None or x <= tolerance for x in off.values()):
             break
-    return now
+    _unmet(off, tolerance, rounds)
+    return now.drop(*[f"target_{d}" for d in targets])
 
 
 def filled(table: DataFrame, room: str, weight: str, budget: float) -> float:
@@ -123,25 +155,30 @@ def budgeted(
         scale = filled(room, "room", "target", budget)
         goals[d] = materialize(room.select(d, F.least("room", F.col("target") * scale).alias("goal")), "goals")
     now = cells.withColumn("rate", F.lit(1.0))
-    for _ in range(rounds):
-        for d in goals:
-            below = F.col("rate") < 1
-            sums = now.groupBy(d).agg(
-                F.sum(F.when(below, F.col("tokens") * F.col("rate")).otherwise(0.0)).alias("free"),
-                F.sum(F.when(below, 0.0).otherwise(F.col("tokens").cast("double"))).alias("taken"),
-            )
-            sums = sums.join(goals[d], d).withColumn("sum", F.col("free") + F.col("taken"))
-            rise = (F.col("goal") > F.col("sum")) & (F.col("free") > 0)
-            factor = F.when(rise, (F.col("goal") - F.col("taken")) / F.col("free")).otherwise(
-                F.least(F.lit(1.0), F.col("goal") / F.col("sum"))
-            )
-            sums = sums.select(d, factor.alias(f"factor_{d}"), F.abs(F.col("sum") / F.col("goal") - 1).alias(f"off_{d}"))
-            now = now.join(sums, d).withColumn("rate", F.col("rate") * F.col(f"factor_{d}")).drop(f"factor_{d}")
+    for d in goals:
+        now = now.join(goals[d].withColumnRenamed("goal", f"goal_{d}"), d)
+    now, few = one_task(materialize(now, "rates"))
+    step, off = ROUNDS_AT_ONCE if few else 1, {}
+    for done in range(0, rounds, step):
+        for _ in range(min(step, rounds - done)):
+            for d in goals:
+                below = F.col("rate") < 1
+                free = F.when(below, F.col("tokens") * F.col("rate")).otherwise(0.0)
+                taken = F.when(below, 0.0).otherwise(F.col("tokens").cast("double"))
+                now = with_sums(now, d, {"_free": free, "_taken": taken}, few)
+                goal, total = F.col(f"goal_{d}"), F.col("_free") + F.col("_taken")
+                rise = (goal > total) & (F.col("_free") > 0)
+                factor = F.when(rise, (goal - F.col("_taken")) / F.col("_free")).otherwise(F.least(F.lit(1.0), goal / total))
+                now = now.withColumns({f"off_{d}": F.abs(total / goal - 1), "_factor": factor})
+                now = now.withColumn("rate", F.col("rate") * F.col("_factor")).drop("_free", "_taken", "_factor")
         now = materialize(now, "rates")
-        off = now.agg(*[F.max(f"off_{d}") for d in goals]).first()
+        now = now.coalesce(1) if few else now
+        off = now.agg(*[F.max(f"off_{d}").alias(d) for d in goals]).first().asDict()
         now = now.drop(*[f"off_{d}" for d in goals])
-        if all(x is None or x <= tolerance for x in off):
+        if all(x is None or x <= tolerance for x in off.values()):
             break
+    _unmet(off, tolerance, rounds)
+    now = now.drop(*[f"goal_{d}" for d in goals])
     weighed = now.withColumn("weight", F.col("tokens") * F.col("rate"))
     scale = filled(weighed.withColumn("room", F.col("tokens").cast("double")), "room", "weight", budget)
     return now.withColumn("p", F.least(F.lit(1.0), F.col("rate") * scale)).drop("rate")

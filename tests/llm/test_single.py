@@ -418,3 +418,25 @@ def test_rare_document_keeps_the_size(spark):
         assert sum(r["_tokens"] * r["_probability"] for r in got) == pytest.approx(SHARE * whole, rel=1e-6)
         kept.append(sum(r["_kept"] for r in got) / len(got))
     assert abs(kept[0] - kept[1]) < 0.01
+
+
+def test_many_cells_give_what_few_give(spark, monkeypatch):
+    """Sums by window and by join agree, and unmet targets are reported."""
+    from lexiloom.llm import mixing
+
+    rows = [(f"s{i % 4}", f"l{i % 3}", f"t{i % 5}", 7 * i % 31 + 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    df = df.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    targets = {d: mixing.tempered(df, d, 0.5) for d in mixing.DIMENSIONS}
+    found = []
+    for few in (mixing.FEW_CELLS, 0):
+        monkeypatch.setattr(mixing, "FEW_CELLS", few)
+        found.append([{(r["source"], r["lang"], r["topic"]): r[c] for r in part.collect()} for part, c in (
+            (rake(df, targets), "weight"), (budgeted(df, targets, 0.6), "p"))])
+    for a, b in zip(*found):
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
+    apart = spark.createDataFrame([("a", "x", "t", 5), ("b", "y", "t", 5)], "source string, lang string, topic string, tokens long")
+    unmet = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, target double"),
+             "lang": spark.createDataFrame([("x", 0.1), ("y", 0.9)], "lang string, target double")}
+    with pytest.warns(UserWarning, match="targets not met"):
+        rake(apart, unmet, rounds=4)
