@@ -195,6 +195,17 @@ def fold_runs(spark, sf):
     )
 
 
+@query(
+    "running_best_rows",
+    """SELECT event_id, value, b AS best_before, (b IS NULL OR value < b) AS improved FROM (
+      SELECT event_id, value, min(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events)""",
+)
+def running_best_rows(spark, sf):
+    """The least value so far over one sequence of all events."""
+    events = tables.table(spark, sf, "events").select("event_id", "value", F.lit(0).alias("sequence"))
+    return evaluate.running_best(events, "event_id", "value", "sequence").drop("sequence")
+
+
 @query("fold_average", f"WITH {FOLDS} SELECT round(avg(loss), 6) AS mean_loss, round(avg(acc), 6) AS mean_acc FROM runs")
 def fold_average(spark, sf):
     found = evaluate.fold_average(fold_runs(spark, sf), "loss", "acc")

@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 
 def accuracy(df: DataFrame, label: str, pred: str, batch: str | None = None) -> DataFrame:
     """Share of equal labels; with ``batch``, also the mean of the batch shares."""
@@ -85,15 +87,23 @@ def best_run(runs: DataFrame, run: str, loss: str) -> DataFrame:
 
 
 def running_best(runs: DataFrame, run: str, loss: str, group: str) -> DataFrame:
-    """Loss of the best run so far and whether this run improves on it.
+    """Loss of the best run so far (``best_before``) and whether this run improves on it.
 
-    ``group`` names one experiment, whose runs are a handful of rows.
+    ``group`` names one experiment, which may hold all rows: they are range-dealt by
+    group and run, so a range only needs the least loss of the ranges before it.
     """
-    before = Window.partitionBy(group).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.min(loss).over(before)
-    return runs.withColumn("best_before", earlier).withColumn(
-        "improved", F.col("best_before").isNull() | (F.col(loss) < F.col("best_before"))
+    dealt = runs.repartitionByRange(group, run).sortWithinPartitions(group, run)
+    rows = materialize(dealt.withColumn("_range", F.spark_partition_id()), "runs")
+    sizes = rows.groupBy(F.col("_range").alias("_r"), F.col(group).alias("_g")).agg(F.min(loss).alias("_least"))
+    ranges = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = sizes.select("_r", "_g", F.min("_least").over(ranges).alias("_before"))
+    inside = Window.partitionBy("_range", group).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.withColumn("_own", F.min(loss).over(inside)).join(
+        sizes, (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g"))
     )
+    found = joined.withColumn("best_before", F.least("_own", "_before"))
+    improved = F.col("best_before").isNull() | (F.col(loss) < F.col("best_before"))
+    return found.withColumn("improved", improved).select(*runs.columns, "best_before", "improved")
 
 
 def _rows_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:

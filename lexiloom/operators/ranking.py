@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import keyed_hash
-from ..runtime import materialize
+from ..runtime import fits_broadcast, materialize
 
 ChunkRule = Callable[[Column, Column], Column]
 
@@ -45,20 +45,34 @@ def global_rank(df: DataFrame, keys: list[str], rank: str = "rank", total: str |
 
 
 BUCKET_ROWS = 1_000_000
+LEAST_DIGITS = 3
 
 
 def bucket_digits(rows: int) -> int:
-    """Hexadecimal digits of a prefix that leaves about BUCKET_ROWS rows per bucket, three at least."""
-    return max(3, math.ceil(math.log(max(1, rows / BUCKET_ROWS), 16)))
+    """Hexadecimal digits of a prefix that leaves about BUCKET_ROWS rows per bucket, LEAST_DIGITS at least."""
+    return max(LEAST_DIGITS, math.ceil(math.log(max(1, rows / BUCKET_ROWS), 16)))
 
 
 def _hash_buckets(df: DataFrame, keys: list[str], seed: int, digits: int | None) -> tuple[DataFrame, DataFrame]:
-    """Rows with their hash and prefix bucket, and the start of each bucket."""
-    digits = bucket_digits(df.count()) if digits is None else digits
+    """Rows with their hash and prefix bucket, and the start of each bucket, to be joined.
+
+    One pass counts the rows per bucket of the shortest prefix, which also gives the number
+    of rows. Only where that asks for a longer prefix are the rows counted again.
+    """
     hashed = df.withColumn("_hash", keyed_hash(seed, *keys))
-    hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
-    # At most 16**digits rows: a millionth of the table.
-    starts = hashed.groupBy("_bucket").agg(F.count("*").alias("_size")).select(
+    used = LEAST_DIGITS if digits is None else digits
+
+    def counted(n: int) -> DataFrame:
+        sizes = hashed.groupBy(F.substring("_hash", 1, n).alias("_bucket")).agg(F.count("*").alias("_size"))
+        return materialize(sizes, "buckets")
+
+    sizes = counted(used)
+    if digits is None:
+        wanted = bucket_digits(sizes.agg(F.sum("_size")).first()[0] or 0)
+        if wanted > used:
+            used, sizes = wanted, counted(wanted)
+    # At most 16**LEAST_DIGITS rows, or a millionth of the table.
+    starts = sizes.select(
         "_bucket",
         "_size",
         F.coalesce(
@@ -66,7 +80,8 @@ def _hash_buckets(df: DataFrame, keys: list[str], seed: int, digits: int | None)
         ).alias("_start"),
         F.sum("_size").over(Window.partitionBy()).alias("_total"),
     )
-    return hashed, starts
+    few = used <= LEAST_DIGITS or fits_broadcast(sizes)
+    return hashed.withColumn("_bucket", F.substring("_hash", 1, used)), F.broadcast(starts) if few else starts
 
 
 def hash_rank(
@@ -79,7 +94,7 @@ def hash_rank(
     """
     hashed, starts = _hash_buckets(df, keys, seed, digits)
     inside = Window.partitionBy("_bucket").orderBy("_hash", *keys)
-    ranked = hashed.join(F.broadcast(starts), "_bucket").withColumn(
+    ranked = hashed.join(starts, "_bucket").withColumn(
         rank, F.col("_start") + F.row_number().over(inside) - 1
     )
     if total:
@@ -97,14 +112,14 @@ def hash_chunks(
     border are ranked, so nearly all rows are labelled without a shuffle.
     """
     hashed, starts = _hash_buckets(df, keys, seed, digits)
-    starts = starts.select(
+    borders = starts.select(
         "_bucket",
         "_start",
         "_total",
         rule(F.col("_start"), F.col("_total")).alias("_low"),
         rule(F.col("_start") + F.col("_size") - 1, F.col("_total")).alias("_high"),
     )
-    placed = hashed.join(F.broadcast(starts), "_bucket")
+    placed = hashed.join(borders, "_bucket")
     inside = Window.partitionBy("_bucket").orderBy("_hash", *keys)
     whole = placed.filter("_low = _high").withColumn(chunk, F.col("_low"))
     cut = placed.filter("_low <> _high").withColumn(

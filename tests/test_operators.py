@@ -444,3 +444,28 @@ def test_exact_ranks_in_blocks(spark, monkeypatch):
     sims = np.round(unit["q"] @ unit["t"].T, 9)
     want = {(q, t): 1 + int(sum((sims[q] > sims[q, t]) | ((sims[q] == sims[q, t]) & (np.arange(40) < t)))) for q, t in asked}
     assert {(r["q_id"], r["t_id"]): r["rank"] for r in got} == want
+
+
+def test_hash_rank_with_longer_prefixes(spark, monkeypatch):
+    """More rows than a bucket may hold: longer prefixes, joined instead of broadcast, same places."""
+    df = spark.range(700).withColumnRenamed("id", "k")
+    plain = {r["k"]: (r["rank"], r["n"]) for r in ranking.hash_rank(df, ["k"], 5, total="n").collect()}
+    monkeypatch.setattr(ranking, "LEAST_DIGITS", 1)
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(ranking, "fits_broadcast", lambda table: False)
+    assert ranking.bucket_digits(700) == 2
+    assert {r["k"]: (r["rank"], r["n"]) for r in ranking.hash_rank(df, ["k"], 5, total="n").collect()} == plain
+    folds = [r["fold"] for r in splits.kfold_assign(df, ["k"], 7, 5).collect()]
+    assert sorted(collections.Counter(folds).values()) == [100] * 7
+
+
+def test_running_best_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(g, i, rng.choice([None, rng.random()])) for g in ("a", None, "b") for i in range(200 if g else 1)]
+    df = spark.createDataFrame(rows, "g string, run int, loss double").repartition(7)
+    got = {(r["g"], r["run"]): (r["best_before"], r["improved"]) for r in evaluate.running_best(df, "run", "loss", "g").collect()}
+    for g, i, loss in rows:
+        before = [x for h, j, x in rows if h == g and j < i and x is not None]
+        best = min(before, default=None)
+        want = True if best is None else None if loss is None else loss < best
+        assert got[g, i] == (best, want)
