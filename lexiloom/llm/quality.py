@@ -234,6 +234,7 @@ def thresholds(held_out: DataFrame, upper: float, lower: float, slack: float, st
         )
         .withColumns({"high": F.col("high") + wide, "low": F.col("low") - wide})
     )
+    found = materialize(found, "quantiles")  # read three times
 
     def between(own: DataFrame, larger: DataFrame, on: Column) -> DataFrame:
         weight = F.col("docs") / (F.col("docs") + steady)
