@@ -204,8 +204,9 @@ def char_grid(spark, sf):
     chars = materialize(vocab.char_vocab(vocab.char_counts(words)), "chars")
     framed = encode.frame_all(encode.encode_tokens(line_tokens(spark, sf), words), "ids")
     rows = framed.join(line_batches(spark, sf), KEYS).withColumn("longest", F.col("longest") + 2)
-    grids = encode.char_grids(rows, materialize(encode.word_char_rows(words, chars), "wordchars"), [*KEYS, "batch", "longest"])
-    grid = render_padded(F.flatten("grid"), (F.col("longest") - F.size("grid")) * 10, arrays.PAD)
+    table = materialize(encode.word_char_rows(words, chars), "wordchars")
+    grids = encode.char_grid_texts(rows, table, [*KEYS, "batch", "longest"])
+    grid = encode.padded_text(F.col("text"), (F.col("longest") - F.col("n_rows")) * 10, arrays.PAD)
     return grids.select(
         *KEYS,
         "batch",

@@ -193,6 +193,49 @@ def inline_grid(sent, width: int):
     return run
 
 
+def char_grid_texts(
+    coded: DataFrame, char_rows: DataFrame, keys: list[str] = KEYS, width: int = 10, inline: int = INLINE_ROWS
+) -> DataFrame:
+    """keys, n_rows and ``text``: the grid of each id array as text, one space between numbers.
+
+    With a table that can be sent, each id's row is written out once and then taken as a
+    whole; a larger table goes through :func:`char_grids`.
+    """
+    if not fits_broadcast(char_rows, inline):
+        grids = char_grids(coded, char_rows, keys, width, inline)
+        return grids.select(*keys, F.size("grid").alias("n_rows"), render(F.flatten("grid")).alias("text"))
+    sent = coded.sparkSession.sparkContext.broadcast(char_rows.select("id", "chars").toArrow())
+    return coded.select(*keys, "ids").mapInArrow(inline_grid_text(sent, width), _with(coded, keys, "n_rows int, text string"))
+
+
+def inline_grid_text(sent, width: int):
+    """Arrow batches of keys and an id array (last) to keys, rows and the grid's text."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = sent.value
+        known = dict(zip(table["id"].to_pylist(), table["chars"].to_pylist()))
+        texts: dict[int, str] = {}
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            flat = lists.flatten().dictionary_encode()
+            for i in flat.dictionary.to_pylist():
+                if i not in texts:
+                    texts[i] = " ".join(map(str, known.get(i, [i, *[PAD] * (width - 1)])))
+            rows = pa.array([texts[i] for i in flat.dictionary.to_pylist()], pa.string()).take(flat.indices)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], sizes, pc.binary_join(pa.ListArray.from_arrays(offsets, rows), " ")],
+                names=[str(i) for i in range(batch.num_columns + 1)],
+            )
+
+    return run
+
+
 def frame_all(df: DataFrame, ids: str, reverse: bool = False) -> DataFrame:
     return df.withColumn(ids, frame_sequence(F.col(ids), reverse))
 
@@ -204,4 +247,8 @@ def render(ids: Column) -> Column:
 
 def render_padded(ids: Column, missing: Column, pad: int) -> Column:
     """Ids as text, followed by ``missing`` times the padding id, which is written and not built."""
-    return F.ltrim(F.concat(render(ids), F.repeat(F.lit(f" {pad}"), missing.cast("int"))))
+    return padded_text(render(ids), missing, pad)
+
+
+def padded_text(text: Column, missing: Column, pad: int) -> Column:
+    return F.ltrim(F.concat(text, F.repeat(F.lit(f" {pad}"), missing.cast("int"))))

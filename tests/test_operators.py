@@ -469,3 +469,15 @@ def test_running_best_over_ranges(spark):
         best = min(before, default=None)
         want = True if best is None else None if loss is None else loss < best
         assert got[g, i] == (best, want)
+
+
+def test_grid_texts_are_the_grids(spark):
+    coded = spark.createDataFrame([(1, 1, [2, 5, 9, 3]), (1, 2, []), (2, 1, [7])], "doc_id int, line_no int, ids array<int>")
+    table = spark.createDataFrame([(5, list(range(10, 20))), (7, [4] * 10)], "id int, chars array<int>")
+    table = table.withColumn("cnt", F.lit(1))
+    found = []
+    for inline in (100, 0):
+        rows = encode.char_grid_texts(coded, table, inline=inline).collect()
+        found.append({(r["doc_id"], r["line_no"]): (r["n_rows"], r["text"]) for r in rows})
+    assert found[0] == found[1]
+    assert found[0][2, 1] == (1, "4 4 4 4 4 4 4 4 4 4") and found[0][1, 2] == (0, "")
