@@ -8,18 +8,34 @@ from pyspark.sql import functions as F
 from ..runtime import materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+HUB_SHARE = 1000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """The edges (u, v) with the minimum m of their node u.
+
+    Nodes with a thousandth of all ``total`` edges, at most twice a thousand as each edge has
+    two ends, are sent to every task with their minimum; the edges of the others are joined.
+    """
+    hubs = least.filter(F.col("degree") * HUB_SHARE >= total).select("u", "m")
+    marked = edges.join(F.broadcast(hubs), "u", "left")
+    rest = marked.filter("m is null").select("u", "v")
+    others = least.filter(F.col("degree") * HUB_SHARE < total).select("u", "m")
+    return marked.filter("m is not null").select("u", "v", "m").union(rest.join(others, "u").select("u", "v", "m"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node passes its larger neighbours on to its smallest neighbour."""
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
+    return _with_least(both.filter("v > u"), least, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node joins itself and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u")
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    joined = _with_least(down, least, total)
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
 
 
@@ -34,13 +50,14 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, root) of every node of an edge (u, v) of integers; the root is the smallest.
 
     Edges are written after each pair of steps, so a lost executor costs one step. The
-    minimum of a node's neighbours is combined on the map side, and only (node, minimum)
-    is joined back: a node with a third of all edges is a skewed join that AQE splits.
+    minimum of a node's neighbours is combined on the map side, and (node, minimum) is
+    joined back, for the few nodes with a thousandth of all edges by a broadcast.
     The end is a star per component, written; the driver sees a yes or no per step.
     """
     now = edges.filter("u <> v").select("u", "v")
     for _ in range(rounds):
-        now = materialize(_small_star(_large_star(now)).filter("u <> v").distinct(), "edges")
+        total = now.count()
+        now = materialize(_small_star(_large_star(now, total), total).filter("u <> v").distinct(), "edges")
         if _settled(now):
             break
     else:
