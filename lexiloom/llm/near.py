@@ -13,10 +13,10 @@
    between different components.
 6. Lists whose rows still lie in different components are compared in full, in tiles of
    bounded size, and only between components. A pair counts in the first list that holds
-   both rows. Pairs go by their sketches, and by the distances to common rows that are
-   known by then: one minus the Jaccard similarity is a metric, so two rows whose
-   distances to a third differ by more than the threshold allows can't be linked. What is
-   left is confirmed as before.
+   both rows. A tile holds the 1,024 smallest hashes of each row: sets up to that size are
+   complete, so the tile itself confirms their links, and gives out no more of them than
+   join its components (fewer than its rows). Pairs with a larger set are estimated from
+   these hashes, and confirmed as before where the estimate can't rule them out.
 
 The estimate and c leave six standard deviations below the threshold (exact where a set
 is no larger than its sketch).
@@ -27,7 +27,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,8 @@ from .words import SPACE_BYTES, U64, run_hashes, word_hashes
 SHINGLE = 5
 KEEP = 64
 SIGMAS = 6.0
-TILE = 512
+WIDE = 1024
+TILE = 1024
 HUB_ROWS = 128
 CHUNK = 4096
 
@@ -127,7 +127,7 @@ def _estimate(pairs: DataFrame, nodes: DataFrame, percent: int, keep: int) -> Da
 
 
 def _confirm_batches(shingle: int, percent: int):
-    """Rows of a hub in order, the hub's own text first; yields the distance of each pair."""
+    """Rows of a hub in order, the hub's own text first; yields the pairs that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_set = None, None
@@ -143,18 +143,16 @@ def _confirm_batches(shingle: int, percent: int):
                 elif hub == b[i]:
                     shared = len(np.intersect1d(found, hub_set, assume_unique=True))
                     union = len(found) + len(hub_set) - shared
-                    out.append((a[i], b[i], 1 - shared / union, shared > 0 and 100 * shared >= percent * union))
-            columns = list(zip(*out)) if out else [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(columns, kinds)], names=["u", "v", "distance", "linked"]
-            )
+                    if shared and 100 * shared >= percent * union:
+                        out.append((a[i], b[i]))
+            columns = list(zip(*out)) if out else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["u", "v"])
 
     return run
 
 
 def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Distance of each pair (a, b) on the full shingle sets: u, v, distance, linked.
+    """Of the pairs (a, b) those that the full shingle sets link, as (u, v).
 
     Texts go to their pair's hub b. A hub with many rows is dealt to several tasks, each
     with a copy of the hub's text for HUB_ROWS rows.
@@ -178,11 +176,11 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     rows = asked.join(texts, "doc_id").select("a", "b", "part", "digest", "text")
     # Each (hub, part) is a bounded group, whole in one task and in order.
     dealt = rows.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    return dealt.mapInArrow(_confirm_batches(shingle, percent), "u long, v long, distance double, linked boolean")
+    return dealt.mapInArrow(_confirm_batches(shingle, percent), "u long, v long")
 
 
-def _tile_pairs(percent: int, keep: int):
-    """Pairs of different components in one tile whose sketches share enough values."""
+def _tile_links(percent: int, keep: int, wide: int):
+    """Links across components in each tile, and the pairs that the tile can't decide."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
@@ -192,92 +190,120 @@ def _tile_pairs(percent: int, keep: int):
             marks = np.stack([rows[c].to_numpy() for c in ("key", "i", "j")])
             cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
             borders = [0, *cuts.tolist()]
-            yield from (_one_tile(rows.slice(x, y - x), percent, keep) for x, y in zip(borders, borders[1:]))
+            yield from (_one_tile(rows.slice(x, y - x), percent, keep, wide) for x, y in zip(borders, borders[1:]))
             left = rows.slice(borders[-1])
         if left is not None and left.num_rows:
-            yield _one_tile(left, percent, keep)
+            yield _one_tile(left, percent, keep, wide)
 
     return run
 
 
-def _one_tile(rows: pa.Table, percent: int, keep: int) -> pa.RecordBatch:
-    """Each asking row against the other rows of the tile."""
+def _overlaps(values: np.ndarray, owner: np.ndarray, q: np.ndarray, r: np.ndarray, rows: int) -> np.ndarray:
+    """Number of values that each row of q shares with each row of r, some columns at a time."""
+    _, column, holders = np.unique(values, return_inverse=True, return_counts=True)
+    shared = holders > 1  # only these columns can add to an overlap
+    place = (np.cumsum(shared) - 1)[column]
+    order = np.flatnonzero(shared[column])
+    order = order[np.argsort(place[order], kind="stable")]
+    place, owner = place[order], owner[order]
+    total = np.zeros((len(q), len(r)), np.float32)
+    for low in range(0, int(shared.sum()), CHUNK):
+        x, y = np.searchsorted(place, [low, low + CHUNK])
+        holds = np.zeros((rows, int(place[y - 1]) - low + 1), np.float32)
+        holds[owner[x:y], place[x:y] - low] = 1
+        total += holds[q] @ holds[r].T
+    return total
+
+
+def _one_tile(rows: pa.Table, percent: int, keep: int, wide: int) -> pa.RecordBatch:
+    """Each asking row against the other rows of the tile: a, b, sure.
+
+    Sets no larger than ``wide`` are here in full, so their links are certain; of these only
+    a spanning forest over the components is given out. Pairs with a larger set that the
+    sketches allow are given out unsure, where no certain link joins their components.
+    """
     rid, root, n = (rows[c].to_numpy() for c in ("rid", "root", "n_shingles"))
     asks, outside = (rows[c].to_numpy() for c in ("asks", "outside"))
     q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
     lists = rows["sketch"].combine_chunks()
-    held = np.diff(lists.offsets.to_numpy())
-    _, column, holders = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-    shared = holders > 1  # only these columns can add to an overlap
-    holds = np.zeros((len(rid), int(shared.sum()) + 1), np.float32)
-    place = np.where(shared, np.cumsum(shared), 0)
-    holds[np.repeat(np.arange(len(rid)), held), place[column]] = 1
-    holds[:, 0] = 0
-    needed = least_shared(held, n, percent, keep, np)
-    good = holds[q] @ holds[r].T >= np.minimum(needed[q][:, None], needed[r])
+    starts = lists.offsets.to_numpy()
+    starts, held, values = starts - starts[0], np.diff(starts), lists.flatten().to_numpy()
+    owner = np.repeat(np.arange(len(rid)), held)
+    narrow = np.arange(len(values)) - starts[owner] < keep
+    needed = least_shared(np.minimum(held, keep), n, percent, keep, np)
+    good = _overlaps(values[narrow], owner[narrow], q, r, len(rid)) >= np.minimum(needed[q][:, None], needed[r])
     good &= 100 * np.minimum(n[q][:, None], n[r]) >= percent * np.maximum(n[q][:, None], n[r])
-    good &= root[q][:, None] != root[r]
     good &= ~outside[r] | (rid[q][:, None] > rid[r])  # two asking rows meet twice
-    x, y = np.nonzero(good)
-    a, b = q[x], r[y]
-    kept = np.zeros(len(a), bool)
-    keys, hubs, distances = (rows[c].combine_chunks() for c in ("keys", "hubs", "distances"))
-    own_keys = _square(keys, np.iinfo(np.int64).max)
-    known, to_hub = _distances(hubs, distances)
-    for i in range(0, len(a), CHUNK):
-        p, o = a[i : i + CHUNK], b[i : i + CHUNK]
-        both = np.sort(np.concatenate([own_keys[p], own_keys[o]], axis=1), axis=1)
-        again = both[:, 1:] == both[:, :-1]
-        here = both[np.arange(len(p)), again.argmax(axis=1)] == rows["key"][0].as_py()  # first common list
-        if known:
-            apart = np.nan_to_num(np.abs(to_hub[p] - to_hub[o])).max(axis=1)
-            here &= apart <= 1 - percent / 100 + 1e-9
-        kept[i : i + CHUNK] = here
-    a, b = a[kept], b[kept]
-    near = _sketches_allow(lists, a, b, percent, keep)
-    a, b = rid[a[near]], rid[b[near]]
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-
-
-def _square(lists: pa.ListArray, blank: int) -> np.ndarray:
-    """The lists as rows of one matrix, in their order."""
-    offsets = lists.offsets.to_numpy()
-    held, values = np.diff(offsets), lists.flatten().to_numpy()
-    square = np.full((len(held), max(1, held.max(initial=0))), blank)
-    square[np.repeat(np.arange(len(held)), held), np.arange(len(values)) - np.repeat(offsets[:-1] - offsets[0], held)] = values
-    return square
-
-
-def _distances(hubs: pa.ListArray, distances: pa.ListArray) -> tuple[int, np.ndarray]:
-    """Number of the tile's hubs, and the known distance of each row to each of them."""
-    names, column = np.unique(hubs.flatten().to_numpy(), return_inverse=True)
-    known = np.full((len(hubs), len(names)), np.nan)
-    known[np.repeat(np.arange(len(hubs)), np.diff(hubs.offsets.to_numpy())), column] = distances.flatten().to_numpy()
-    return len(names), known
-
-
-def _sketches_allow(lists: pa.ListArray, a: np.ndarray, b: np.ndarray, percent: int, keep: int) -> np.ndarray:
-    """The estimate of ``_estimate`` for pairs of rows of one tile."""
-    none = np.iinfo(np.int64).max
-    square = _square(lists, none)
-    found = np.empty(len(a), bool)
-    t = percent / 100
-    for x in range(0, len(a), CHUNK):
-        both = np.sort(np.concatenate([square[a[x : x + CHUNK]], square[b[x : x + CHUNK]]], axis=1), axis=1)
-        again = np.zeros(both.shape, bool)
-        again[:, 1:] = both[:, 1:] == both[:, :-1]
-        real = both != none
-        place = np.cumsum(~again & real, axis=1)
-        seen = np.minimum(place[:, -1], keep)
-        shared = (again & real & (place <= keep)).sum(axis=1)
-        found[x : x + CHUNK] = shared >= seen * (t - SIGMAS * np.sqrt(t * (1 - t) / np.maximum(seen, 1)))
-    return found
-
-
-def _open_pairs(
-    lists: DataFrame, roots: DataFrame, nodes: DataFrame, known: DataFrame, percent: int, keep: int, tile: int
+    names, column = np.unique(values, return_inverse=True)
+    earlier = _earlier_lists(rows["keys"].combine_chunks(), rows["key"][0].as_py())
+    top = np.where(n > wide, values[starts[1:] - 1], np.iinfo(np.int64).max)
+    group = np.unique(root, return_inverse=True)[1]
+    own, listed = np.zeros(len(names), bool), np.zeros(int(earlier.max(initial=0)) + 1, bool)
+    t, out = percent / 100, []
+    for x, y in zip(q, good):
+        near = r[y]
+        near = near[group[near] != group[x]]
+        listed[earlier[x]], listed[0] = True, False
+        near = near[~listed[earlier[near]].any(axis=1)]  # a pair counts in its first common list
+        listed[earlier[x]] = False
+        if not len(near):
+            continue
+        length, mine = held[near], slice(starts[x], starts[x + 1])
+        ends = np.cumsum(length)
+        at = np.arange(ends[-1]) + np.repeat(starts[near] - (ends - length), length)
+        own[column[mine]] = True
+        both = np.add.reduceat(own[column[at]], ends - length, dtype=np.int64)
+        own[column[mine]] = False
+        limit = np.minimum(top[x], top[near])  # both sets are known in full up to here
+        theirs = np.add.reduceat(values[at] <= np.repeat(limit, length), ends - length, dtype=np.int64)
+        union = np.searchsorted(values[mine], limit, side="right") + theirs - both
+        whole = (n[x] <= wide) & (n[near] <= wide)
+        for other in near[whole & (both > 0) & (100 * both >= percent * union)]:
+            if group[other] != group[x]:
+                group[group == group[other]] = group[x]
+                out.append((max(rid[x], rid[other]), min(rid[x], rid[other]), True))
+        open_ = ~whole & (both >= union * (t - SIGMAS * np.sqrt(t * (1 - t) / union))) & (group[near] != group[x])
+        out += [(max(rid[x], rid[other]), min(rid[x], rid[other]), False) for other in near[open_]]
+    columns = list(zip(*out)) if out else [[]] * 3
+    kinds = [pa.int64(), pa.int64(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["a", "b", "sure"])
+
+
+def _earlier_lists(keys: pa.ListArray, key: int) -> np.ndarray:
+    """Of each row the numbers, from 1 on, of its lists before ``key``; the blank is 0."""
+    offsets = keys.offsets.to_numpy()
+    values, held = keys.flatten().to_numpy(), np.diff(offsets)
+    owner = np.repeat(np.arange(len(held)), held)
+    place = np.arange(len(values)) - np.repeat(offsets[:-1] - offsets[0], held)
+    before = values < key
+    numbers = np.zeros((len(held), max(1, held.max(initial=0))), np.int64)
+    numbers[owner[before], place[before]] = np.unique(values[before], return_inverse=True)[1] + 1
+    return numbers
+
+
+def _wide_sets(rids: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, wide: int) -> DataFrame:
+    """rid, n_shingles and the ``wide`` smallest hashes of the asked rows, from their texts."""
+    asked = materialize(nodes.select("rid", "doc_id", "digest").join(rids, "rid", "left_semi"), "asked")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    texts = only_ids(slim, asked.select("doc_id").distinct(), "doc_id")
+    made = texts.mapInArrow(
+        _sketch_batches(shingle, wide), "doc_id long, n_shingles long, digest binary, sketch array<long>"
+    )
+    return made.join(asked, ["doc_id", "digest"]).select("rid", "n_shingles", "sketch").dropDuplicates(["rid"])
+
+
+def _open_links(
+    lists: DataFrame,
+    roots: DataFrame,
+    nodes: DataFrame,
+    docs: DataFrame,
+    shingle: int,
+    percent: int,
+    keep: int,
+    wide: int,
+    tile: int,
 ) -> DataFrame:
-    """Pairs (a, b) across components out of the lists that still span several.
+    """a, b, sure across components out of the lists that still span several.
 
     Of a list only the rows outside its largest component ask, against all its rows.
     Both are cut in parts of about ``tile`` rows and every part of askers meets every
@@ -297,31 +323,23 @@ def _open_pairs(
         F.ceil(F.col("rows") / tile).cast("int").alias("r_parts"),
         F.ceil((F.col("rows") - F.col("most")) / tile).cast("int").alias("q_parts"),
     )
+    rows = placed.join(parts, "key").withColumn("outside", F.col("root") != F.col("main"))
+    rows = materialize(rows.drop("main"), "open")
     keys = lists.groupBy("rid").agg(F.collect_list("key").alias("keys"))  # at most a sketch
-    none = F.array().cast("array<long>")
-    # Sketches join once per row of a list, before the rows are copied to their meetings.
-    rows = (
-        placed.join(materialize(parts, "open"), "key")
-        .join(nodes.select("rid", "n_shingles", "sketch"), "rid")
-        .join(keys, "rid")
-        .join(known, "rid", "left")
-        .withColumn("outside", F.col("root") != F.col("main"))
-        .withColumn("hubs", F.coalesce("hubs", none))
-        .withColumn("distances", F.coalesce("distances", none.cast("array<double>")))
-    )
-    rows = materialize(rows, "rows")
+    sets = _wide_sets(rows.select("rid").distinct(), nodes, docs, shingle, wide)
+    sets = materialize(sets.join(keys, "rid"), "sets")
     mark = F.xxhash64("rid")
-    carried = ["rid", "root", "outside", "n_shingles", "sketch", "keys", "hubs", "distances"]
 
     def copies(part: str, others: str, own: str, asks: bool, df: DataFrame) -> DataFrame:
         meets = F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias("other")
-        dealt = df.select("key", *carried, F.pmod(mark, F.col(part)).cast("int").alias("own"), meets)
+        dealt = df.select("key", "rid", "root", "outside", F.pmod(mark, F.col(part)).cast("int").alias("own"), meets)
         i, j = ("own", "other") if own == "i" else ("other", "own")
-        return dealt.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(asks).alias("asks"), *carried)
+        return dealt.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(asks).alias("asks"), "rid", "root", "outside")
 
     full = copies("r_parts", "q_parts", "i", False, rows).union(copies("q_parts", "r_parts", "j", True, rows.filter("outside")))
+    full = full.join(sets, "rid")  # the sets cross one exchange, to their tiles
     dealt = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_tile_pairs(percent, keep), "a long, b long").distinct()
+    return dealt.mapInArrow(_tile_links(percent, keep, wide), "a long, b long, sure boolean").distinct()
 
 
 def near_duplicates(
@@ -330,6 +348,7 @@ def near_duplicates(
     shingle: int = SHINGLE,
     keep: int = KEEP,
     tile: int = TILE,
+    wide: int = WIDE,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -367,8 +386,8 @@ def near_duplicates(
     proposed = indexed.filter("first <> rid").select(F.col("rid").alias("a"), F.col("first").alias("b")).distinct()
     proposed = materialize(_estimate(proposed, nodes, percent, keep), "proposed")
     best = materialize(proposed.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b")), "best")
-    measured = [materialize(_confirm(best, nodes, docs, shingle, percent), "links")]
-    roots = materialize(components(measured[0].filter("linked")), "roots")
+    links = materialize(_confirm(best, nodes, docs, shingle, percent), "links")
+    roots = materialize(components(links), "roots")
 
     def across(pairs: DataFrame) -> DataFrame:
         for side in "ab":
@@ -376,25 +395,24 @@ def near_duplicates(
             pairs = pairs.join(found, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
         return pairs.filter("ra <> rb").select("a", "b")
 
-    def joined(pairs: DataFrame) -> DataFrame:
-        """The roots after the pairs (a, b) that hold are links too."""
+    def joined(pairs: DataFrame, sure: DataFrame | None = None) -> DataFrame:
+        """The roots after the ``sure`` links, and those pairs (a, b) that hold, are links too."""
         pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
+        edges = None if pairs.isEmpty() else materialize(_confirm(pairs, nodes, docs, shingle, percent), "links")
+        if sure is not None:
+            edges = sure if edges is None else edges.union(sure)
+        if edges is None or edges.isEmpty():
             return roots
         stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        measured.append(materialize(_confirm(pairs, nodes, docs, shingle, percent), "links"))
-        edges = measured[-1].filter("linked").select("u", "v")
-        return roots if edges.isEmpty() else materialize(components(stars.union(edges)), "roots")
+        return materialize(components(stars.union(edges)), "roots")
 
     roots = joined(across(proposed.select("a", "b").join(best, ["a", "b"], "left_anti")))
-    to_hubs = reduce(DataFrame.union, measured).select("u", "v", "distance")
-    to_hubs = to_hubs.union(to_hubs.select("v", "v", F.lit(0.0)).distinct())
-    cells = F.sort_array(F.collect_list(F.struct("v", "distance")))  # a row has a proposal per list at most
-    known = to_hubs.groupBy(F.col("u").alias("rid")).agg(cells.alias("c"))
-    known = known.select("rid", F.col("c.v").alias("hubs"), F.col("c.distance").alias("distances"))
     # A list of two rows was answered in full by its proposal.
-    wide = indexed.filter("held_by > 2").select("rid", "key")
-    final = joined(_open_pairs(wide, roots, nodes, known, percent, keep, tile))
+    long_lists = indexed.filter("held_by > 2").select("rid", "key")
+    found = materialize(
+        _open_links(long_lists, roots, nodes, docs, shingle, percent, keep, max(keep, wide), tile), "found"
+    )
+    final = joined(found.filter("not sure").select("a", "b"), found.filter("sure").select("a", "b"))
 
     named = classes.join(final.withColumnRenamed("node", "rid"), "rid", "left").withColumn(
         "root", F.coalesce("root", "rid")

@@ -12,6 +12,7 @@ from lexiloom.llm.exact import exact_duplicates
 from lexiloom.llm.near import near_duplicates
 from lexiloom.llm.winnow import contamination
 from lexiloom.llm.words import SLICE_BYTES
+from lexiloom.runtime import materialize
 
 WORDS = [f"w{i}" for i in range(400)] + ["Élan", "naïve", "ÀÉ", "ß"]
 
@@ -75,14 +76,14 @@ def test_exact_repeated_rows_and_nothing(spark):
     assert exact_duplicates(frame(spark, rows).filter("false")).count() == 0
 
 
-@pytest.mark.parametrize("percent,keep,tile,hub", [(80, 64, 256, 128), (85, 16, 8, 3)])
-def test_near(spark, corpus, percent, keep, tile, hub, monkeypatch):
+@pytest.mark.parametrize("percent,keep,tile,hub,wide", [(80, 64, 256, 128, 1024), (85, 16, 8, 3, 1024), (85, 16, 8, 3, 48)])
+def test_near(spark, corpus, percent, keep, tile, hub, wide, monkeypatch):
     monkeypatch.setattr(near_module, "HUB_ROWS", hub)
     sigmas = near_module.SIGMAS if keep == 64 else 3.9
     monkeypatch.setattr(near_module, "SIGMAS", sigmas)
     monkeypatch.setattr("lexiloom.llm.common.BROADCAST_IDS", 2_000_000 if keep == 64 else -1)
     want = brute.near(corpus, percent)
-    got = near_duplicates(frame(spark, corpus), percent, keep=keep, tile=tile).collect()
+    got = near_duplicates(frame(spark, corpus), percent, keep=keep, tile=tile, wide=wide).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     assert len(got) == len(corpus)
@@ -95,6 +96,47 @@ def test_near_repeated_rows_and_nothing(spark):
     assert near_duplicates(frame(spark, rows).filter("false")).count() == 0
 
 
+def near_copies(rng, n):
+    """Copies of one text that is not among them; no two are linked at 85, but all are at 60 and more."""
+    base, out = [f"w{i}" for i in range(200)], []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(200), 4):
+            words[at] = f"x{i}-{at}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_rows_of_a_large_group_grow_with_its_rows(spark, monkeypatch):
+    written = {}
+
+    def counted(df, label):
+        out = materialize(df, label)
+        if label in ("pairs", "found", "links", "proposed"):
+            written[label] = written.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_module, "materialize", counted)
+    sizes = []
+    for n in (400, 800):
+        rows = list(enumerate(near_copies(random.Random(2), n)))
+        rows.append((n, rows[7][1] + " one more end"))
+        written.clear()
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df, 85, tile=128).collect()}
+        assert got == brute.near(rows, 85)
+        assert got[n][1] == 7
+        sizes.append(dict(written))
+    assert sum(sizes[1].values()) < 2.5 * sum(sizes[0].values())
+    assert sizes[1]["found"] < 800
+
+
+def test_components_of_hubs(spark):
+    star = spark.range(1, 3000).selectExpr("id as u", "0L as v").union(spark.range(3001, 4000).selectExpr("id as u", "3000L as v"))
+    got = {r["node"]: r["root"] for r in components(star.union(spark.createDataFrame([(3500, 17)], "u long, v long"))).collect()}
+    assert got == {i: 0 for i in range(4000)}
+
+
 def test_components_of_a_path(spark):
     n = 300
     edges = spark.range(n).filter("id < 299").selectExpr("id as u", "id + 1 as v").union(spark.createDataFrame([(500, 400)], "u long, v long"))
