@@ -1,34 +1,43 @@
 """Quality classifier: interpolated modified Kneser-Ney n-gram model of trusted text.
 
-Symbols are 64 classes of UTF-8 bytes, n-grams have four of them, so a model has a proven
-bound (64**4 probabilities) whatever the corpus. Every task counts the n-grams of its
-part of the trusted text; counts are summed by n-gram over the cluster, and the model is
-made of joins of count tables that are sharded by n-gram and by context. Each document's
-perplexity is then a pass over its bytes. A fifth of the trusted documents is not used
-for counting; their perplexities give the quantiles, per language and length class.
+Symbols are bytes, n-grams have five of them. Every task counts the n-grams of its part of
+the trusted text; counts are summed by n-gram over the cluster, and the model is made of
+joins of count tables that are sharded by n-gram and by context. It stays in these tables,
+which grow with the trusted text: nothing of it reaches the driver.
+
+Texts are scored by joins with them. Neighbouring rows of a file form a slice of 32 MB at
+most. The different n-grams of a slice are looked up, not those of each document: each
+n-gram of the corpus gets its bits once, by lookups of itself, its context and its shorter
+endings, and every slice gets the bits of its own n-grams, which meet its rows in a cogroup.
+A fifth of the trusted documents is not used for counting; their perplexities give the
+quantiles, per language and length class.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from ..operators.joins import lookup_join
 from ..runtime import materialize
 from .common import only_ids
-from .words import text_bytes
-
-ORDER = 4
-CLASS_BITS = 6
-CLASSES = 1 << CLASS_BITS
-SLICE = 512 << 10
+from .words import row_slices, text_bytes
+
+ORDER = 5
+SYMBOL_BITS = 8
+SYMBOLS = 1 << SYMBOL_BITS
+START = 10  # a text begins after ORDER - 1 line ends
+PIECE_BYTES = 512 << 10
+HELD_GRAMS = 1 << 21
+SLICE_ROWS = 8192
+SHORT_BYTES = 4096
 UPPER, LOWER = 0.99, 0.001
 SLACK = 0.05
 STEADY = 100
@@ -36,65 +45,44 @@ HELD_OUT = 5
 STEPS = 1000
 
 
-def _class_of(byte: int) -> int:
-    """Small letters, capitals, space, line end, digits, stop, comma, other signs, high bytes."""
-    if 97 <= byte <= 122:
-        return byte - 97
-    if 65 <= byte <= 90:
-        return 26
-    if byte in (32, 10, 46, 44):
-        return {32: 27, 10: 28, 46: 30, 44: 31}[byte]
-    if 48 <= byte <= 57:
-        return 29
-    if byte >= 0xC0:
-        return 56 + byte % 8
-    if byte >= 0x80:
-        return 40 + byte % 16
-    return 32 + byte % 8
-
-
-_CLASS = np.array([_class_of(b) for b in range(256)], np.int32)
-_START = _class_of(10)
+def _packed(symbols: np.ndarray) -> np.ndarray:
+    n = len(symbols) - ORDER + 1
+    grams = symbols[:n].astype(np.int64)
+    for j in range(1, ORDER):
+        grams <<= SYMBOL_BITS
+        grams |= symbols[j : j + n]
+    return grams
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Slices of whole texts or of parts of a long one: first row, n-grams, n-grams per row.
+    """Pieces of whole texts or of parts of a long one: first row, n-grams, n-grams per row.
 
     A text begins after ORDER - 1 line ends; a later part begins after the part before it.
     """
-    rows, at = len(offsets) - 1, 0
-    lead = np.full(ORDER - 1, _START, np.int32)
-    while at < rows:
-        end = int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1
-        end = min(rows, max(end, at + 1))
+    lead = ORDER - 1
+    for at, end in row_slices(offsets, PIECE_BYTES):
         low, high = int(offsets[at]), int(offsets[end])
-        if end == at + 1 and high - low > SLICE:
-            before = lead
-            for x in range(low, high, SLICE):
-                part = np.concatenate([before, _CLASS[data[x : min(high, x + SLICE)]]])
-                before = part[len(part) - ORDER + 1 :]
-                grams = _packed(part)
+        if high - low > PIECE_BYTES:  # one long text
+            for x in range(low, high, PIECE_BYTES):
+                start = max(low, x - lead)
+                before = np.full(lead - (x - start), START, np.uint8)
+                grams = _packed(np.concatenate([before, data[start : min(high, x + PIECE_BYTES)]]))
                 yield at, grams, np.array([len(grams)])
         else:
             counts = np.diff(offsets[at : end + 1])
-            where = np.arange(high - low) + np.repeat(np.arange(1, end - at + 1) * (ORDER - 1), counts)
-            padded = np.full(high - low + (end - at) * (ORDER - 1), _START, np.int32)
-            padded[where] = _CLASS[data[low:high]]
-            yield at, _packed(padded)[where - (ORDER - 1)], counts
-        at = end
-
-
-def _packed(classes: np.ndarray) -> np.ndarray:
-    n = len(classes) - ORDER + 1
-    grams = classes[:n].copy()
-    for j in range(1, ORDER):
-        grams = (grams << CLASS_BITS) | classes[j : j + n]
-    return grams
+            where = np.arange(high - low) + np.repeat(np.arange(1, end - at + 1) * lead, counts)
+            padded = np.full(high - low + (end - at) * lead, START, np.uint8)
+            padded[where] = data[low:high]
+            yield at, _packed(padded)[where - lead], counts
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different n-grams of a task and their counts; only those seen are held."""
+    """The different n-grams of a task and their counts, given out when many are held."""
     seen, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts)], names=["gram", "n"])
+
     for batch in batches:
         for _, grams, _ in _grams(*text_bytes(batch.column("text"))):
             own, n = np.unique(grams, return_counts=True)
@@ -102,7 +90,10 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             summed = np.zeros(len(seen), np.int64)
             np.add.at(summed, place, np.concatenate([counts, n]))
             counts = summed
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts)], names=["gram", "n"])
+            if len(seen) > HELD_GRAMS:
+                yield rows()
+                seen, counts = seen[:0], counts[:0]
+    yield rows()
 
 
 def _discounts(table: DataFrame) -> list[float]:
@@ -114,85 +105,135 @@ def _discounts(table: DataFrame) -> list[float]:
     return [min(max(d, 0.1), i - 0.1) for i, d in zip((1, 2, 3), found)]
 
 
-def train(texts: DataFrame) -> pd.DataFrame:
-    """Model rows (order, key, value, seen) of a DataFrame with a column text.
+def _ending(gram: Column, k: int) -> Column:
+    return gram.bitwiseAND(F.lit((1 << SYMBOL_BITS * k) - 1))
+
 
-    ``seen`` rows hold the probability of an n-gram, the others the weight that a context
-    leaves to the next lower order. At most 64**4 n-grams reach the driver.
+def train(texts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """Order -> written tables (gram, p) and (context, weight) of a DataFrame with a column text.
+
+    p is the probability of a seen n-gram, weight what a context leaves to the next lower
+    order. A context has 256 n-grams at most, so no key of these joins is hot.
     """
     counted = texts.select("text").mapInArrow(_count_batches, "gram long, n long")
     tables = {ORDER: materialize(counted.groupBy("gram").agg(F.sum("n").alias("n")), "grams")}
     for k in range(ORDER - 1, 0, -1):  # number of different symbols before the n-gram
-        rest = F.col("gram").bitwiseAND(F.lit((1 << CLASS_BITS * k) - 1))
-        tables[k] = materialize(tables[k + 1].groupBy(rest.alias("gram")).agg(F.count("*").alias("n")), "grams")
-    model, lower = None, None
+        shorter = tables[k + 1].groupBy(_ending(F.col("gram"), k).alias("gram"))
+        tables[k] = materialize(shorter.agg(F.count("*").alias("n")), "grams")
+    model: dict[int, tuple[DataFrame, DataFrame]] = {}
     for k in range(1, ORDER + 1):
         d1, d2, d3 = _discounts(tables[k])
         taken = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        rows = tables[k].withColumn("taken", taken).withColumn("context", F.shiftright("gram", CLASS_BITS))
+        rows = tables[k].withColumn("taken", taken).withColumn("context", F.shiftright("gram", SYMBOL_BITS))
         contexts = rows.groupBy("context").agg(F.sum("n").alias("all"), F.sum("taken").alias("left"))
-        contexts = contexts.withColumn("weight", F.col("left") / F.col("all"))
+        contexts = materialize(contexts.withColumn("weight", F.col("left") / F.col("all")), "contexts")
         rows = rows.join(contexts, "context")
-        if lower is None:
-            rows = rows.withColumn("below", F.lit(1.0 / CLASSES))
+        if k == 1:
+            rows = rows.withColumn("below", F.lit(1.0 / SYMBOLS))
         else:
-            rest = F.col("gram").bitwiseAND(F.lit((1 << CLASS_BITS * (k - 1)) - 1))
-            rows = rows.withColumn("rest", rest).join(lower, "rest")
+            lower = model[k - 1][0].select(F.col("gram").alias("rest"), F.col("p").alias("below"))
+            rows = rows.withColumn("rest", _ending(F.col("gram"), k - 1)).join(lower, "rest")
         p = (F.col("n") - F.col("taken")) / F.col("all") + F.col("weight") * F.col("below")
-        own = materialize(rows.select("gram", p.alias("p")), "model")
-        both = own.select(F.lit(k).alias("order"), F.col("gram").alias("key"), F.col("p").alias("value"), F.lit(True).alias("seen"))
-        both = both.union(contexts.select(F.lit(k), "context", "weight", F.lit(False)))
-        model = both if model is None else model.union(both)
-        lower = own.select(F.col("gram").alias("rest"), F.col("p").alias("below"))
-    return model.toPandas()
+        model[k] = materialize(rows.select("gram", p.alias("p")), "model"), contexts.select("context", "weight")
+    return model
+
 
+def gram_bits(grams: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(gram, bits) of different n-grams (column gram), by lookups in the tables of each order.
 
-def bits_table(model: pd.DataFrame) -> np.ndarray:
-    """Bits of every n-gram as one array of 64**4 floats (64 MB), filled in place."""
-    p = np.full(1, 1.0 / CLASSES, np.float32)
+    Where an n-gram isn't seen, the weight of its context and its next shorter ending count;
+    an unseen context leaves everything to the ending.
+    """
+    found = grams
     for k in range(1, ORDER + 1):
-        own = model[model["order"] == k]
-        weight = np.ones(CLASSES ** (k - 1), np.float32)
-        left = own[~own["seen"].astype(bool)]
-        weight[left["key"].to_numpy(np.int64)] = left["value"]
-        below = np.full(CLASSES, 1.0 / CLASSES, np.float32) if k == 1 else p
-        p = (weight.reshape(-1, max(1, len(below) // CLASSES), 1) * below.reshape(1, -1, CLASSES)).reshape(-1)
-        seen = own[own["seen"].astype(bool)]
-        p[seen["key"].to_numpy(np.int64)] = seen["value"]
-    np.log2(p, out=p)
-    return np.negative(p, out=p)
-
-
-_EXPANDED: dict[str, np.ndarray] = {}  # of the model that a worker used last
-
-
-def _score_batches(model, name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _EXPANDED:
-            _EXPANDED.clear()
-            _EXPANDED[name] = bits_table(model.value)
-        bits_of = _EXPANDED[name]
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            bits = np.zeros(len(offsets) - 1)
-            for first, grams, counts in _grams(data, offsets):
-                ends = np.cumsum(counts)
-                full = np.flatnonzero(counts)
-                if len(full):
-                    bits[first + full] += np.add.reduceat(bits_of[grams].astype(np.float64), (ends - counts)[full])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(bits), pa.array(np.diff(offsets))],
-                names=[*batch.schema.names, "_bits", "_bytes"],
-            )
-
-    return run
-
-
-def scored(docs: DataFrame, model: pd.DataFrame) -> DataFrame:
-    """``docs`` with _bits and _bytes of each text, all other columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_bits", T.DoubleType()), T.StructField("_bytes", T.LongType())])
-    return docs.mapInArrow(_score_batches(shared, uuid.uuid4().hex), schema)
+        below = F.lit(1.0 / SYMBOLS) if k == 1 else F.col("p")
+        seen, contexts = model[k]
+        found = found.withColumn("below", below).withColumn("ending", _ending(F.col("gram"), k)).drop("p")
+        found = found.withColumn("context", F.shiftright("ending", SYMBOL_BITS))
+        found = lookup_join(found, contexts, "context", ["weight"])
+        found = lookup_join(found, seen.select(F.col("gram").alias("ending"), "p"), "ending", ["p"])
+        backed = F.coalesce("weight", F.lit(1.0)) * F.col("below")
+        found = materialize(found.select("gram", F.coalesce("p", backed).alias("p")), "bits")
+    return found.select("gram", (-F.log2("p")).alias("bits"))
+
+
+def _with_slices(docs: DataFrame) -> DataFrame:
+    """``docs`` with _slice, the same at every reading: place in its file, by length.
+
+    Texts up to ``SHORT_BYTES * 2**c`` bytes are taken together from ``SLICE_ROWS / 2**c``
+    rows of a file in order, so a slice has 32 MB at most, or one text. Rows that don't
+    come from a file as they are get written first.
+    """
+    try:
+        place = docs.metadataColumn("_metadata")
+        docs.select(place["file_path"], place["row_index"])
+    except AnalysisException:
+        docs = materialize(docs, "rows")
+        place = docs.metadataColumn("_metadata")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    longer = F.greatest(F.ceil(F.log2(F.greatest(size, F.lit(1)) / SHORT_BYTES)), F.lit(0)).cast("int")
+    rows = F.greatest(F.lit(1), F.floor(SLICE_ROWS / F.pow(F.lit(2.0), longer)))
+    part = F.floor(place["row_index"] / rows)
+    return docs.withColumn("_slice", F.xxhash64(place["file_path"], longer, part))
+
+
+def _slice_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different n-grams of each slice; some may come twice where many are held."""
+    held: dict[int, list[np.ndarray]] = {}
+    size = 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for key, parts in held.items():
+            grams = np.unique(np.concatenate(parts))
+            keys = pa.array(np.full(len(grams), key, np.int64))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(grams)], names=["_slice", "gram"])
+        held.clear()
+
+    for batch in batches:
+        slices = batch.column("_slice").to_numpy(zero_copy_only=False)
+        for key in np.unique(slices):
+            own = batch.column("text").filter(pa.array(slices == key))
+            for _, grams, _ in _grams(*text_bytes(own)):
+                held.setdefault(int(key), []).append(np.unique(grams))
+                size += len(held[int(key)][-1])
+                if size > HELD_GRAMS:
+                    for k, parts in held.items():
+                        held[k] = [np.unique(np.concatenate(parts))]
+                    size = sum(len(parts[0]) for parts in held.values())
+                    if size > HELD_GRAMS // 2:
+                        yield from rows()
+                        size = 0
+    yield from rows()
+
+
+def slice_bits(rows: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Written (_slice, gram, bits) of all n-grams in rows with _slice and text."""
+    grams = materialize(rows.select("_slice", "text").mapInArrow(_slice_batches, "_slice long, gram long"), "grams")
+    bits = materialize(gram_bits(grams.select("gram").distinct(), model), "bits")
+    return materialize(lookup_join(grams, bits, "gram", ["bits"]), "slices")
+
+
+def _score_slice(rows: pa.Table, found: pa.Table) -> pa.Table:
+    keys, values = (found.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("gram", "bits"))
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    data, offsets = text_bytes(rows.column("text").combine_chunks())
+    bits = np.zeros(len(offsets) - 1)
+    for first, grams, counts in _grams(data, offsets):
+        ends = np.cumsum(counts)
+        full = np.flatnonzero(counts)
+        if len(full):
+            bits[first + full] += np.add.reduceat(values[np.searchsorted(keys, grams)], (ends - counts)[full])
+    rows = rows.drop_columns(["_slice"])
+    return rows.append_column("_bits", pa.array(bits)).append_column("_bytes", pa.array(np.diff(offsets)))
+
+
+def scored(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """``rows`` (with _slice) with _bits and _bytes of each text; other columns as they are."""
+    kept = [f for f in rows.schema.fields if f.name != "_slice"]
+    schema = T.StructType([*kept, T.StructField("_bits", T.DoubleType()), T.StructField("_bytes", T.LongType())])
+    # A slice without rows of its own gives none; one without n-grams has empty texts only.
+    return rows.groupBy("_slice").cogroup(bits.groupBy("_slice")).applyInArrow(_score_slice, schema)
 
 
 def _per_byte() -> Column:
@@ -256,7 +297,7 @@ def judged(
     slack: float = SLACK,
     steady: int = STEADY,
 ) -> DataFrame:
-    """``docs`` with _perplexity (per byte), _low, _high and _accepted; no row is moved.
+    """``docs`` with _perplexity (per byte), _low, _high and _accepted; rows move once, to their slice.
 
     Trusted are documents labelled quality 1 and never toxic. Those with
     crc32(doc_id) mod 5 = 0 give the quantiles, the others the counts. A document is
@@ -269,13 +310,16 @@ def judged(
     trusted = materialize(
         trusted.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0), "trusted"
     )
-    slim = docs.select("doc_id", "lang", "text")
-    model = train(only_ids(slim, trusted.filter("not held_out").select("doc_id"), "doc_id"))
-    held_out = scored(only_ids(slim, trusted.filter("held_out").select("doc_id"), "doc_id"), model)
+    void = [f.name for f in docs.schema.fields if isinstance(f.dataType, T.NullType)]
+    names, parts = docs.columns, _with_slices(docs.drop(*void))
+    slim = parts.select("_slice", "doc_id", "lang", "text")
+    bits = slice_bits(slim, train(only_ids(slim, trusted.filter("not held_out").select("doc_id"), "doc_id")))
+    held_out = scored(only_ids(slim, trusted.filter("held_out").select("doc_id"), "doc_id"), bits)
     limits = materialize(
         thresholds(held_out.select("lang", "_bits", "_bytes"), upper, lower, slack, steady), "limits"
     )
-    rows = scored(docs, model).withColumn("_length", _length_class())
+    rows = scored(parts, bits).withColumns({c: F.lit(None) for c in void}).select(*names, "_bits", "_bytes")
+    rows = rows.withColumn("_length", _length_class())
     # Limits are one row per language and length class, far below the scan in size.
     for name, keys in (("a", ["lang", "length"]), ("b", ["lang"]), ("c", [])):
         part = limits.filter(" and ".join(f"{k} is {'not ' if k in keys else ''}null" for k in ("lang", "length")))

@@ -6,17 +6,21 @@ import math
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import zstandard
 from pyspark.sql import functions as F
 
-from lexiloom.llm import language, tokens
+from lexiloom.llm import language, quality, tokens
 from lexiloom.llm.chat import CHAT, escape, read_back, segments, unescape
 from lexiloom.llm.mixing import SHARE, budgeted, mix_report, mixed, rake
-from lexiloom.llm.quality import CLASSES, ORDER, _class_of, bits_table, judged, quality_verdicts, scored, train
+from lexiloom.llm.quality import ORDER, START, SYMBOLS, gram_bits, judged, quality_verdicts, scored, slice_bits, train
 from lexiloom.llm.shards import Runs, shard_rows
 from lexiloom.llm.urls import RULES, judge_urls
+from lexiloom.llm.words import text_bytes
+from lexiloom.operators.joins import lookup_join
 
 SF = "/root/testdata/sf0.001"
 LONG = "é" * 200_000 + " The end."
@@ -212,11 +216,11 @@ def test_chat_segments(spark):
 
 
 def brute_model(texts):
-    """Interpolated modified Kneser-Ney over byte classes, by dictionaries."""
-    start = [_class_of(10)] * (ORDER - 1)
+    """Interpolated modified Kneser-Ney over bytes, by dictionaries."""
+    start = [START] * (ORDER - 1)
     counts = {ORDER: collections.Counter()}
     for t in texts:
-        x = start + [_class_of(b) for b in t.encode()]
+        x = start + list(t.encode())
         counts[ORDER].update(tuple(x[i : i + ORDER]) for i in range(len(x) - ORDER + 1))
     for k in range(ORDER - 1, 0, -1):
         counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
@@ -236,7 +240,7 @@ def brute_model(texts):
     def p(g):
         k = len(g)
         if k == 0:
-            return 1 / CLASSES
+            return 1 / SYMBOLS
         if g[:-1] not in contexts[k]:
             return p(g[1:])
         whole, left = contexts[k][g[:-1]]
@@ -244,7 +248,7 @@ def brute_model(texts):
         return (c - taken[k][min(c, 3) - 1] if c else 0) / whole + left / whole * p(g[1:])
 
     def bits(text):
-        x = start + [_class_of(b) for b in text.encode()]
+        x = start + list(text.encode())
         return sum(-math.log2(p(tuple(x[i : i + ORDER]))) for i in range(len(x) - ORDER + 1))
 
     return p, bits
@@ -255,20 +259,47 @@ def test_quality_model(spark):
     df = frame(spark, [(i, t, "en", None) for i, t in enumerate(texts)] + [(9, None, None, None)])
     model = train(df)
     p, bits = brute_model(texts)
-    table = bits_table(model)
     rng = random.Random(2)
-    for _ in range(500):
-        g = tuple(rng.randrange(CLASSES) for _ in range(ORDER))
-        assert table[sum(c << 6 * (ORDER - 1 - i) for i, c in enumerate(g))] == pytest.approx(-math.log2(p(g)), rel=1e-5)
-    sums = [sum(p((1, 2, 3, c)) for c in range(CLASSES)), sum(p((19, 7, 4, c)) for c in range(CLASSES))]
+    known = [t.encode()[i : i + ORDER] for t in texts for i in range(len(t.encode()) - ORDER + 1)]
+    asked = {bytes(rng.choice(b"the cat\n\xc31") for _ in range(ORDER)) for _ in range(400)} | set(known) | {b"\xff" * ORDER}
+    grams = spark.createDataFrame([(int.from_bytes(g, "big"),) for g in asked], "gram long")
+    found = {r["gram"].to_bytes(ORDER, "big"): r["bits"] for r in gram_bits(grams, model).collect()}
+    assert found.keys() == asked
+    assert all(found[g] == pytest.approx(-math.log2(p(tuple(g))), rel=1e-9) for g in asked)
+    sums = [sum(p((*b"cat ", c)) for c in range(SYMBOLS)), sum(p((*b"zzzz", c)) for c in range(SYMBOLS))]
     assert sums == pytest.approx([1, 1])
-    asked = [*texts, LONG * 4, None, "$$$ unseen ÿ"]
-    got = scored(frame(spark, [(i, t, None, None) for i, t in enumerate(asked)]), model).collect()
+
+
+@pytest.mark.parametrize("bound", [2, 1_000_000])
+def test_quality_scores(spark, monkeypatch, bound):
+    """Whole texts in slices of their file, lookups by broadcast and by shuffled joins."""
+    monkeypatch.setattr(quality, "lookup_join", lambda *a: lookup_join(*a, limit=bound))
+    texts = ["The cat sat on the mat. The cat!", "le chat, été 1999", "", "a", "the the the 12 34"]
+    _, bits = brute_model(texts)
+    asked = [*texts, LONG * 4, None, "$$$ unseen ÿ", LONG * 4, "a"]
+    model = train(frame(spark, [(i, t, "en", None) for i, t in enumerate(texts)] + [(9, None, None, None)]))
+    rows = quality._with_slices(frame(spark, [(i, t, None, None) for i, t in enumerate(asked)]))
+    assert rows.select("_slice").distinct().count() > 1
+    got = scored(rows, slice_bits(rows, model)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(asked)))
     for r in got:
-        assert r["_bits"] == pytest.approx(bits(r["text"] or ""), rel=1e-5)
+        assert r["_bits"] == pytest.approx(bits(r["text"] or ""), rel=1e-9)
         assert r["_bytes"] == len((r["text"] or "").encode())
 
 
+def test_quality_pieces():
+    """N-grams of a piece-wise read batch are those of the whole texts; full tables are given out."""
+    texts = ["", "ab" * 400_000, "é", "x" * 10, None, "yz" * 300_000]
+    data, offsets = text_bytes(pa.array(texts))
+    found = collections.defaultdict(list)
+    for first, grams, counts in quality._grams(data, offsets):
+        for row, part in enumerate(np.split(grams, np.cumsum(counts)[:-1])):
+            found[first + row] += part.tolist()
+    for i, t in enumerate(texts):
+        x = bytes([START]) * (ORDER - 1) + (t or "").encode()
+        assert found[i] == [int.from_bytes(x[j : j + ORDER], "big") for j in range(len(x) - ORDER + 1)]
+
+
 def test_quality_verdicts(spark):
     docs, labels = spark.read.parquet(f"{SF[:-5]}0.01/documents.parquet"), spark.read.parquet(f"{SF[:-5]}0.01/labels.parquet")
     rows = {r["doc_id"]: r for r in quality_verdicts(docs, labels).collect()}
