@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexiloom.llm.common import table, without_ids
 from lexiloom.llm.mixing import mixed
 from lexiloom.llm.near import near_duplicates
-from lexiloom.llm.quality import judged
+from lexiloom.llm.quality import accepted
 from lexiloom.llm.shards import shard_rows
 from lexiloom.llm.winnow import contamination
 from lexiloom.runtime import materialize
@@ -31,7 +31,7 @@ def apart(docs: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within the quantiles of trusted text stay."""
     plain = apart(docs)
-    return judged(plain, table(spark, sf_dir, "labels")).filter("_accepted").select(*plain.columns).toDF(*docs.columns)
+    return accepted(plain, table(spark, sf_dir, "labels")).toDF(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

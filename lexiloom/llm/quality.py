@@ -5,10 +5,11 @@ the trusted text; counts are summed by n-gram over the cluster, and the model is
 joins of count tables that are sharded by n-gram and by context. It stays in these tables,
 which grow with the trusted text: nothing of it reaches the driver.
 
-Texts are scored by joins with them. Neighbouring rows of a file form a slice of 32 MB at
-most. The different n-grams of a slice are looked up, not those of each document: each
-n-gram of the corpus gets its bits once, by lookups of itself, its context and its shorter
-endings, and every slice gets the bits of its own n-grams, which meet its rows in a cogroup.
+Texts are scored by joins with them. Neighbouring rows of a file form a slice. The different
+n-grams of a slice are looked up, not those of each document: each n-gram of the corpus gets
+its bits once, by lookups of itself, its context and its shorter endings. The bits of a
+slice's n-grams and its texts meet in one exchange, sorted so that the bits come first;
+texts then stream past them, and only their sums are kept.
 A fifth of the trusted documents is not used for counting; their perplexities give the
 quantiles, per language and length class.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import Window
 
 from ..operators.joins import lookup_join
 from ..runtime import materialize
-from .common import only_ids
+from .common import BROADCAST_IDS, only_ids
 from .words import row_slices, text_bytes
 
 ORDER = 5
@@ -36,8 +37,9 @@ SYMBOLS = 1 << SYMBOL_BITS
 START = 10  # a text begins after ORDER - 1 line ends
 PIECE_BYTES = 512 << 10
 HELD_GRAMS = 1 << 21
-SLICE_ROWS = 8192
-SHORT_BYTES = 4096
+# Rows of a file that make a slice, by the longest text in bytes: at most a gigabyte, which is
+# streamed. Longer texts are slices of their own.
+SLICES = ((128 << 10, 8192), (4 << 20, 256))
 UPPER, LOWER = 0.99, 0.001
 SLACK = 0.05
 STEADY = 100
@@ -157,12 +159,10 @@ def gram_bits(grams: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -
     return found.select("gram", (-F.log2("p")).alias("bits"))
 
 
-def _with_slices(docs: DataFrame) -> DataFrame:
-    """``docs`` with _slice, the same at every reading: place in its file, by length.
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _file, _row and _slice, the same at every reading: the place of a row in its file.
 
-    Texts up to ``SHORT_BYTES * 2**c`` bytes are taken together from ``SLICE_ROWS / 2**c``
-    rows of a file in order, so a slice has 32 MB at most, or one text. Rows that don't
-    come from a file as they are get written first.
+    Rows that don't come from a file as they are get written first.
     """
     try:
         place = docs.metadataColumn("_metadata")
@@ -170,11 +170,11 @@ def _with_slices(docs: DataFrame) -> DataFrame:
     except AnalysisException:
         docs = materialize(docs, "rows")
         place = docs.metadataColumn("_metadata")
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    longer = F.greatest(F.ceil(F.log2(F.greatest(size, F.lit(1)) / SHORT_BYTES)), F.lit(0)).cast("int")
-    rows = F.greatest(F.lit(1), F.floor(SLICE_ROWS / F.pow(F.lit(2.0), longer)))
-    part = F.floor(place["row_index"] / rows)
-    return docs.withColumn("_slice", F.xxhash64(place["file_path"], longer, part))
+    size, rows = F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1)
+    for longest, n in reversed(SLICES):
+        rows = F.when(size <= longest, n).otherwise(rows)
+    docs = docs.withColumns({"_file": F.xxhash64(place["file_path"]), "_row": place["row_index"], "_rows": rows})
+    return docs.withColumn("_slice", F.xxhash64("_file", "_rows", F.floor(F.col("_row") / F.col("_rows")))).drop("_rows")
 
 
 def _slice_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,33 +207,54 @@ def _slice_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def slice_bits(rows: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """Written (_slice, gram, bits) of all n-grams in rows with _slice and text."""
+    """(_slice, gram, bits) of all n-grams in rows with _slice and text."""
     grams = materialize(rows.select("_slice", "text").mapInArrow(_slice_batches, "_slice long, gram long"), "grams")
-    bits = materialize(gram_bits(grams.select("gram").distinct(), model), "bits")
-    return materialize(lookup_join(grams, bits, "gram", ["bits"]), "slices")
-
-
-def _score_slice(rows: pa.Table, found: pa.Table) -> pa.Table:
-    keys, values = (found.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("gram", "bits"))
-    order = np.argsort(keys)
-    keys, values = keys[order], values[order]
-    data, offsets = text_bytes(rows.column("text").combine_chunks())
-    bits = np.zeros(len(offsets) - 1)
-    for first, grams, counts in _grams(data, offsets):
-        ends = np.cumsum(counts)
-        full = np.flatnonzero(counts)
-        if len(full):
-            bits[first + full] += np.add.reduceat(values[np.searchsorted(keys, grams)], (ends - counts)[full])
-    rows = rows.drop_columns(["_slice"])
-    return rows.append_column("_bits", pa.array(bits)).append_column("_bytes", pa.array(np.diff(offsets)))
+    bits = gram_bits(grams.select("gram").distinct(), model)
+    return lookup_join(grams, bits.select("gram", F.col("bits").cast("float").alias("bits")), "gram", ["bits"])
+
+
+def _score_batches(columns: list[str]):
+    """Texts of a slice against the bits that stand before them; only their sums go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, keys, values = None, [], None, None
+        for batch in batches:
+            slices = batch.column("_slice").to_numpy(zero_copy_only=False)
+            is_text = batch.column("gram").is_null().to_numpy(zero_copy_only=False)
+            changes = np.flatnonzero((slices[1:] != slices[:-1]) | (is_text[1:] != is_text[:-1])) + 1
+            for a, b in zip([0, *changes], [*changes, len(slices)]):
+                part = batch.slice(a, b - a)
+                if slices[a] != key or (keys is not None and not is_text[a]):
+                    key, parts, keys = slices[a], [], None
+                if not is_text[a]:
+                    parts.append([part.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "bits")])
+                    continue
+                if keys is None:  # a slice of empty texts has no n-grams
+                    keys, values = map(np.concatenate, zip(*parts)) if parts else (np.empty(0, np.int64), np.empty(0, np.float32))
+                    order, parts = np.argsort(keys), []
+                    keys, values = keys[order], values[order]
+                data, offsets = text_bytes(part.column("text"))
+                bits = np.zeros(len(offsets) - 1)
+                for first, grams, counts in _grams(data, offsets):
+                    ends, full = np.cumsum(counts), np.flatnonzero(counts)
+                    if len(full):
+                        found = values[np.searchsorted(keys, grams)].astype(np.float64)
+                        bits[first + full] += np.add.reduceat(found, (ends - counts)[full])
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in columns], pa.array(bits), pa.array(np.diff(offsets))],
+                    names=[*columns, "_bits", "_bytes"],
+                )
+
+    return run
 
 
 def scored(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """``rows`` (with _slice) with _bits and _bytes of each text; other columns as they are."""
-    kept = [f for f in rows.schema.fields if f.name != "_slice"]
+    """All columns of ``rows`` but _slice and text, with _bits and _bytes of each text."""
+    kept = [f for f in rows.schema.fields if f.name not in ("_slice", "text")]
     schema = T.StructType([*kept, T.StructField("_bits", T.DoubleType()), T.StructField("_bytes", T.LongType())])
-    # A slice without rows of its own gives none; one without n-grams has empty texts only.
-    return rows.groupBy("_slice").cogroup(bits.groupBy("_slice")).applyInArrow(_score_slice, schema)
+    both = bits.unionByName(rows, allowMissingColumns=True)
+    dealt = both.repartition("_slice").sortWithinPartitions("_slice", F.col("gram").isNull())
+    return dealt.mapInArrow(_score_batches([f.name for f in kept]), schema)
 
 
 def _per_byte() -> Column:
@@ -289,38 +310,37 @@ def thresholds(held_out: DataFrame, upper: float, lower: float, slack: float, st
     return whole.select("lang", "length", "low", "high").unionByName(langs).unionByName(cells)
 
 
-def judged(
-    docs: DataFrame,
+def verdicts(
+    parts: DataFrame,
     labels: DataFrame,
     upper: float = UPPER,
     lower: float = LOWER,
     slack: float = SLACK,
     steady: int = STEADY,
 ) -> DataFrame:
-    """``docs`` with _perplexity (per byte), _low, _high and _accepted; rows move once, to their slice.
+    """_file, _row, doc_id, lang, _perplexity (per byte), _low, _high, _accepted of placed rows.
 
     Trusted are documents labelled quality 1 and never toxic. Those with
     crc32(doc_id) mod 5 = 0 give the quantiles, the others the counts. A document is
     accepted when its perplexity is within the limits of its language and length class,
     or of its language, or of all documents, whichever is the first with held-out
-    documents; a null language goes to the last. Null and empty texts are not accepted. Without any held-out document every other text is.
+    documents; a null language goes to the last. Null and empty texts are not accepted.
+    Without any held-out document every other text is. Texts move once, to their slice.
     """
     trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     trusted = trusted.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id")
     trusted = materialize(
         trusted.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0), "trusted"
     )
-    void = [f.name for f in docs.schema.fields if isinstance(f.dataType, T.NullType)]
-    names, parts = docs.columns, _with_slices(docs.drop(*void))
-    slim = parts.select("_slice", "doc_id", "lang", "text")
-    bits = slice_bits(slim, train(only_ids(slim, trusted.filter("not held_out").select("doc_id"), "doc_id")))
-    held_out = scored(only_ids(slim, trusted.filter("held_out").select("doc_id"), "doc_id"), bits)
+    slim = parts.select("_slice", "_file", "_row", "doc_id", "lang", "text")
+    model = train(only_ids(slim, trusted.filter("not held_out").select("doc_id"), "doc_id"))
+    rows = materialize(scored(slim, slice_bits(slim, model)), "scores")
+    held_out = only_ids(rows, trusted.filter("held_out").select("doc_id"), "doc_id")
     limits = materialize(
         thresholds(held_out.select("lang", "_bits", "_bytes"), upper, lower, slack, steady), "limits"
     )
-    rows = scored(parts, bits).withColumns({c: F.lit(None) for c in void}).select(*names, "_bits", "_bytes")
     rows = rows.withColumn("_length", _length_class())
-    # Limits are one row per language and length class, far below the scan in size.
+    # Limits are one row per language and length class, far below the scores in size.
     for name, keys in (("a", ["lang", "length"]), ("b", ["lang"]), ("c", [])):
         part = limits.filter(" and ".join(f"{k} is {'not ' if k in keys else ''}null" for k in ("lang", "length")))
         part = part.select(*[F.col(k).alias(f"_{name}_{k}") for k in keys], F.struct("low", "high").alias(f"_{name}"))
@@ -340,10 +360,24 @@ def judged(
     )
 
 
+def accepted(docs: DataFrame, labels: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``docs`` that are accepted, with their columns; their texts aren't joined by content.
+
+    Rejected rows are named by their place. A counted small list of places is broadcast, a
+    longer one joined by a shuffle; both give the same rows.
+    """
+    void = [f.name for f in docs.schema.fields if isinstance(f.dataType, T.NullType)]
+    parts = placed(docs.drop(*void))
+    rejected = materialize(verdicts(parts, labels).filter("not _accepted").select("_file", "_row"), "rejected")
+    few = rejected.count() <= bound
+    kept = parts.join(F.broadcast(rejected) if few else rejected, ["_file", "_row"], "left_anti")
+    return kept.withColumns({c: F.lit(None) for c in void}).select(*docs.columns)
+
+
 def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, perplexity, low, high, accepted for every row of ``docs``."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    return judged(slim, labels).select(
+    parts = placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"))
+    return verdicts(parts, labels).select(
         "doc_id",
         "lang",
         F.round("_perplexity", 6).alias("perplexity"),

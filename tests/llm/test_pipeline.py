@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline as pipeline
 from lexiloom.llm.common import table
 from lexiloom.llm.mixing import mixed
-from lexiloom.llm.quality import judged, thresholds
+from lexiloom.llm.quality import quality_verdicts, thresholds
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,7 +36,7 @@ def test_columns(spark, stages):
 
 def test_quality(spark, stages):
     docs, out = stages["quality classifier"]
-    want = {r["doc_id"] for r in judged(docs, table(spark, SF, "labels")).collect() if r["_accepted"]}
+    want = {r["doc_id"] for r in quality_verdicts(docs, table(spark, SF, "labels")).collect() if r["accepted"]}
     assert {r["doc_id"] for r in out.collect()} == want
     good = {r["doc_id"] for r in table(spark, SF, "labels").filter("quality = 1").collect()}
     assert len(good & want) >= 0.95 * len(good)

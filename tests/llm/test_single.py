@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm import language, quality, tokens
 from lexiloom.llm.chat import CHAT, escape, read_back, segments, unescape
 from lexiloom.llm.mixing import SHARE, budgeted, mix_report, mixed, rake
-from lexiloom.llm.quality import ORDER, START, SYMBOLS, gram_bits, judged, quality_verdicts, scored, slice_bits, train
+from lexiloom.llm.quality import ORDER, START, SYMBOLS, accepted, gram_bits, placed, quality_verdicts, scored, slice_bits, train
 from lexiloom.llm.shards import Runs, shard_rows
 from lexiloom.llm.urls import RULES, judge_urls
 from lexiloom.llm.words import text_bytes
@@ -278,13 +278,18 @@ def test_quality_scores(spark, monkeypatch, bound):
     _, bits = brute_model(texts)
     asked = [*texts, LONG * 4, None, "$$$ unseen ÿ", LONG * 4, "a"]
     model = train(frame(spark, [(i, t, "en", None) for i, t in enumerate(texts)] + [(9, None, None, None)]))
-    rows = quality._with_slices(frame(spark, [(i, t, None, None) for i, t in enumerate(asked)]))
+    rows = placed(frame(spark, [(i, t, None, None) for i, t in enumerate(asked)]))
     assert rows.select("_slice").distinct().count() > 1
-    got = scored(rows, slice_bits(rows, model)).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = scored(rows.select("_slice", "doc_id", "text"), slice_bits(rows, model)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(r["doc_id"] for r in got) == list(range(len(asked)))
     for r in got:
-        assert r["_bits"] == pytest.approx(bits(r["text"] or ""), rel=1e-9)
-        assert r["_bytes"] == len((r["text"] or "").encode())
+        text = asked[r["doc_id"]] or ""
+        assert r["_bits"] == pytest.approx(bits(text), rel=1e-5)
+        assert r["_bytes"] == len(text.encode())
 
 
 def test_quality_pieces():
@@ -315,11 +320,16 @@ def test_quality_odd_rows(spark):
     rows = [(i, f"the cat {i}", "en", None) for i in range(30)] + [(40, None, "en", None), (41, "", None, None), (1, "the cat 1", "en", None), (None, "the", "xx", None)]
     df = frame(spark, rows)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(2, 0, 0), (3, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    got = judged(df, labels).collect()
-    assert len(got) == len(rows) and set(df.columns) <= set(got[0].asDict())
-    assert {r["doc_id"] for r in got if not r["_accepted"]} >= {40, 41}
-    assert all(r["_accepted"] for r in judged(df, labels.filter("false")).collect() if r["text"])
-    assert judged(df.filter("false"), labels).count() == 0
+    got = quality_verdicts(df, labels).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"] for r in got if not r["accepted"]} >= {40, 41}
+    want = sorted(repr((r["doc_id"], r["lang"])) for r in got if r["accepted"])
+    for bound in (0, 100):
+        kept = accepted(df, labels, bound)
+        assert kept.columns == df.columns
+        assert sorted(repr((r["doc_id"], r["lang"])) for r in kept.collect()) == want
+    assert all(r["accepted"] for r in quality_verdicts(df.filter("text != ''"), labels.filter("false")).collect())
+    assert accepted(df.filter("false"), labels).count() == 0
 
 
 # --- sharding -------------------------------------------------------------------------
