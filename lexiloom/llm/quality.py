@@ -39,7 +39,7 @@ PIECE_BYTES = 512 << 10
 HELD_GRAMS = 1 << 21
 # Rows of a file that make a slice, by the longest text in bytes: at most a gigabyte, which is
 # streamed. Longer texts are slices of their own.
-SLICES = ((128 << 10, 8192), (4 << 20, 256))
+SLICES = ((64 << 10, 16384), (4 << 20, 256))
 UPPER, LOWER = 0.99, 0.001
 SLACK = 0.05
 STEADY = 100
