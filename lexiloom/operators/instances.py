@@ -21,8 +21,8 @@ def next_sentence_pairs(
     """Pair every line with its successor (``nsp`` 1) or with another random line (0).
 
     ``lines`` has ``doc_id, line_no, n_lines`` and the carried columns. Both kinds of
-    partner are found by their global position, so one equi-join serves them; the random
-    position skips the line itself and the one after it. Needs at least three lines.
+    partner are found by their global position, so one equi-join of keys serves them; the
+    random position skips the line itself and the one after it. Needs at least three lines.
     Only keys are ranked, so ``lines`` is best a written table, of which that reads little.
     """
     ranked = global_rank(lines.select(*KEYS, "n_lines"), KEYS, "r", "n")
@@ -32,10 +32,13 @@ def next_sentence_pairs(
     left = ranked.withColumn("nsp", follows.cast("int")).withColumn(
         "partner", F.when(follows, F.col("r") + 1).otherwise((F.col("r") + 2 + jump) % F.col("n"))
     )
-    body = lines.select(*KEYS, *carry)
-    right = ranked.select(*KEYS, F.col("r").alias("partner")).join(body, KEYS)
-    right = right.select("partner", *[F.col(c).alias(f"{c}_b") for c in carry])
-    return left.join(body, KEYS).join(right, "partner").select(*KEYS, "r", "nsp", *carry, *[f"{c}_b" for c in carry])
+    places = ranked.select(F.col("r").alias("partner"), *[F.col(k).alias(f"_{k}") for k in KEYS])
+    asked = left.join(places, "partner").drop("partner")
+    body = lines.select(*KEYS, *carry).repartition(*KEYS)
+    # Both joins take the bodies from one exchange by key; only the partner's copy moves on.
+    other = body.select(*[F.col(k).alias(f"_{k}") for k in KEYS], *[F.col(c).alias(f"{c}_b") for c in carry])
+    copies = asked.join(other, [f"_{k}" for k in KEYS])
+    return copies.join(body, KEYS).select(*KEYS, "r", "nsp", *carry, *[f"{c}_b" for c in carry])
 
 
 def join_pair(a: Column, b: Column, max_length: int = MAX_LENGTH) -> Column:
