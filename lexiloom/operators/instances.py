@@ -36,9 +36,10 @@ def next_sentence_pairs(
     asked = left.join(places, "partner").drop("partner")
     body = lines.select(*KEYS, *carry).repartition(*KEYS)
     # Both joins take the bodies from one exchange by key; only the partner's copy moves on.
+    # Merged at every size: a broadcast would leave the bodies to the few tasks of the keys.
     other = body.select(*[F.col(k).alias(f"_{k}") for k in KEYS], *[F.col(c).alias(f"{c}_b") for c in carry])
-    copies = asked.join(other, [f"_{k}" for k in KEYS])
-    return copies.join(body, KEYS).select(*KEYS, "r", "nsp", *carry, *[f"{c}_b" for c in carry])
+    copies = asked.hint("merge").join(other, [f"_{k}" for k in KEYS])
+    return copies.hint("merge").join(body, KEYS).select(*KEYS, "r", "nsp", *carry, *[f"{c}_b" for c in carry])
 
 
 def join_pair(a: Column, b: Column, max_length: int = MAX_LENGTH) -> Column:
