@@ -320,8 +320,8 @@ def drop_empty_tokens(spark, sf):
 def drop_stopwords_query(spark, sf):
     tokens = line_tokens(spark, sf)
     stats = materialize(terms.term_stats(tokens), "terms")
-    stops = terms.derive_stopwords(stats, 0.1, 10, carry=["total"])
-    return drop_stopwords(terms.explode_tokens(tokens), stops, hot_by="total")
+    judged = terms.judged_words(stats, 0.1, 10)
+    return drop_stopwords(terms.explode_tokens(tokens), judged, hot_by="total")
 
 
 @query("select_corpus", f"WITH {sql.LINES} SELECT doc_id, line_no, line FROM lines WHERE corpus = 0")

@@ -10,9 +10,14 @@ from .terms import KEYS
 
 
 def drop_stopwords(tokens: DataFrame, stops: DataFrame, hot_by: str | None = None) -> DataFrame:
-    """Tokens outside a written stop table."""
-    flagged = stops.withColumn("_stop", F.lit(True))
-    return lookup_join(tokens, flagged, "word", ["_stop"], hot_by).filter(F.col("_stop").isNull()).drop("_stop")
+    """Tokens outside a written stop table.
+
+    The table may hold all words of the corpus, with a column ``stop``: then the frequent
+    words that stay are known as well, and are not shuffled.
+    """
+    flagged = stops.withColumnRenamed("stop", "_stop") if "stop" in stops.columns else stops.withColumn("_stop", F.lit(True))
+    found = lookup_join(tokens, flagged, "word", ["_stop"], hot_by)
+    return found.filter(~F.coalesce("_stop", F.lit(False))).drop("_stop")
 
 
 def extract_keywords(

@@ -142,6 +142,12 @@ def derive_stopwords(
     ).select("word", *carry)
 
 
+def judged_words(stats: DataFrame, threshold: float, min_count: int) -> DataFrame:
+    """Every word with its count, and whether :func:`derive_stopwords` names it."""
+    stop = (F.col("min_tf") * F.col("idf") < threshold) | (F.col("total") < min_count)
+    return stats.select("word", stop.alias("stop"), "total")
+
+
 def surviving_words(stats: DataFrame, threshold: float, min_count: int) -> DataFrame:
     """The complement of :func:`derive_stopwords` within the corpus vocabulary."""
     return stats.filter(

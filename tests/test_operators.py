@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.arrays import MASK
 from lexiloom.catalog import learning
 from lexiloom.operators import encode, evaluate, instances, joins, ml, ranking, splits, subwords, terms, vectors, vocab
-from lexiloom.operators.keywords import extract_keywords
+from lexiloom.operators.keywords import drop_stopwords, extract_keywords
 from lexiloom.operators.terms import KEYS
 from lexiloom.runtime import materialize
 
@@ -71,6 +71,34 @@ def test_lookup_with_a_hot_key(spark, limit, monkeypatch):
     assert all(r["v"] == want.get(r["word"]) for r in got)
 
 
+def test_lookup_shuffles_unanswered_rows_only(spark, monkeypatch):
+    """Rows of the frequent words are answered in place; also where a second lookup follows."""
+    monkeypatch.setattr(joins, "HOT_ROWS", 2)
+    keys = ["hot"] * 900 + ["warm"] * 50 + [f"w{i}" for i in range(45)] + [None] * 5
+    rows = [(i, w, "hot" if i % 3 else f"w{i % 40}") for i, w in enumerate(keys)]
+    left = materialize(spark.createDataFrame(rows, "id bigint, word string, other string"), "left")
+    right = [("hot", 1, 900), ("warm", 2, 50), *[(f"w{i}", i + 3, 1) for i in range(30)]]
+    table = materialize(spark.createDataFrame(right, "word string, v int, cnt bigint"), "t")
+    want = {r[0]: r[1] for r in right}
+    found = joins.lookup_join(left, table, "word", ["v"], hot_by="cnt", limit=3)
+    again = found.withColumnsRenamed({"v": "first", "word": "own", "other": "word"})
+    both = joins.lookup_join(again, table, "word", ["v"], hot_by="cnt", limit=3)
+    assert {r["id"]: (r["first"], r["v"]) for r in both.collect()} == {i: (want.get(a), want.get(b)) for i, a, b in rows}
+    assert both.count() == len(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")  # the answered rows are no side of the shuffled join
+
+
+def test_drop_stopwords_with_judged_words(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 1)
+    monkeypatch.setattr(joins.lookup_join, "__defaults__", (None, 1))
+    tokens = spark.createDataFrame([(1, "stay"), (2, "stop"), (3, "stay"), (4, "new"), (5, "rare")], "id bigint, word string")
+    judged = materialize(spark.createDataFrame([("stay", False, 9), ("stop", True, 5), ("rare", True, 1)], "word string, stop boolean, total bigint"), "j")
+    stops = materialize(judged.filter("stop").select("word", "total"), "s")
+    for table in (judged, stops):
+        assert sorted(r["id"] for r in drop_stopwords(tokens, table, "total").collect()) == [1, 3, 4]
+
+
 def uneven(spark, n=1000):
     """One document with a third of all lines."""
     rows = [(7, i) for i in range(n // 3)] + [(i + 10, 1) for i in range(n - n // 3)]
