@@ -37,6 +37,8 @@ SYMBOLS = 1 << SYMBOL_BITS
 START = 10  # a text begins after ORDER - 1 line ends
 PIECE_BYTES = 512 << 10
 HELD_GRAMS = 1 << 21
+# Symbols of n-grams that are few enough to be sent unmeasured: 65,536 at most.
+SHORT = 2
 # Rows of a file that make a slice, by the longest text in bytes: at most a gigabyte, which is
 # streamed. Longer texts are slices of their own.
 SLICES = ((64 << 10, 16384), (4 << 20, 256))
@@ -98,13 +100,20 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield rows()
 
 
-def _discounts(table: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more, kept within 0..count."""
-    n = table.agg(*[F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
-    n = [n[f"n{i}"] or 0 for i in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-    found = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] and n[i] else y * i for i in (1, 2, 3)]
-    return [min(max(d, 0.1), i - 0.1) for i, d in zip((1, 2, 3), found)]
+def _discounts(tables: dict[int, DataFrame]) -> dict[int, list[float]]:
+    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more per order, kept within 0..count; one job for all."""
+    rare = None
+    for k, table in tables.items():
+        own = table.filter("n <= 4").select(F.lit(k).alias("k"), "n")
+        rare = own if rare is None else rare.union(own)
+    found = {(r["k"], r["n"]): r["count"] for r in rare.groupBy("k", "n").count().collect()}  # four counts per order
+    discounts = {}
+    for k in tables:
+        n = [found.get((k, i), 0) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        own = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] and n[i] else y * i for i in (1, 2, 3)]
+        discounts[k] = [min(max(d, 0.1), i - 0.1) for i, d in zip((1, 2, 3), own)]
+    return discounts
 
 
 def _ending(gram: Column, k: int) -> Column:
@@ -123,8 +132,9 @@ def train(texts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
         shorter = tables[k + 1].groupBy(_ending(F.col("gram"), k).alias("gram"))
         tables[k] = materialize(shorter.agg(F.count("*").alias("n")), "grams")
     model: dict[int, tuple[DataFrame, DataFrame]] = {}
+    discounts = _discounts(tables)
     for k in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(tables[k])
+        d1, d2, d3 = discounts[k]
         taken = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         rows = tables[k].withColumn("taken", taken).withColumn("context", F.shiftright("gram", SYMBOL_BITS))
         contexts = rows.groupBy("context").agg(F.sum("n").alias("all"), F.sum("taken").alias("left"))
@@ -140,23 +150,40 @@ def train(texts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
     return model
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, value: str, symbols: int) -> DataFrame:
+    """Left join of ``value``; n-grams of up to two symbols are 65,536 at most and not measured."""
+    if symbols <= SHORT:
+        return rows.join(F.broadcast(table), key, "left")
+    return lookup_join(rows, table, key, [value])
+
+
 def gram_bits(grams: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(gram, bits) of different n-grams (column gram), by lookups in the tables of each order.
+    """(gram, bits) of the different n-grams in ``grams``, by lookups in the tables of each order.
 
-    Where an n-gram isn't seen, the weight of its context and its next shorter ending count;
-    an unseen context leaves everything to the ending.
+    N-grams that the model has are answered where they are made distinct: that join needs the
+    same exchange, and its table, the largest one, is not sent. Where an n-gram isn't seen,
+    the weight of its context and its next shorter ending count; an unseen context leaves
+    everything to the ending.
     """
-    found = grams
+    known = grams.select("gram").distinct().join(model[ORDER][0], "gram", "left")
+    known = materialize(known.select("gram", "p"), "bits")
+    found = known.filter("p is null").select("gram")
     for k in range(1, ORDER + 1):
         below = F.lit(1.0 / SYMBOLS) if k == 1 else F.col("p")
         seen, contexts = model[k]
         found = found.withColumn("below", below).withColumn("ending", _ending(F.col("gram"), k)).drop("p")
         found = found.withColumn("context", F.shiftright("ending", SYMBOL_BITS))
-        found = lookup_join(found, contexts, "context", ["weight"])
-        found = lookup_join(found, seen.select(F.col("gram").alias("ending"), "p"), "ending", ["p"])
-        backed = F.coalesce("weight", F.lit(1.0)) * F.col("below")
-        found = materialize(found.select("gram", F.coalesce("p", backed).alias("p")), "bits")
-    return found.select("gram", (-F.log2("p")).alias("bits"))
+        found = _looked_up(found, contexts, "context", "weight", k - 1)
+        p = F.coalesce("weight", F.lit(1.0)) * F.col("below")
+        if k < ORDER:
+            seen = seen.select(F.col("gram").alias("ending"), F.col("p").alias("own"))
+            found = _looked_up(found, seen, "ending", "own", k)
+            p = F.coalesce("own", p)
+        found = found.select("gram", p.alias("p"))
+        if k > SHORT:
+            found = materialize(found, "bits")
+    both = known.filter("p is not null").union(found)
+    return both.select("gram", (-F.log2("p")).alias("bits"))
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -209,7 +236,7 @@ def _slice_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def slice_bits(rows: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """(_slice, gram, bits) of all n-grams in rows with _slice and text."""
     grams = materialize(rows.select("_slice", "text").mapInArrow(_slice_batches, "_slice long, gram long"), "grams")
-    bits = gram_bits(grams.select("gram").distinct(), model)
+    bits = gram_bits(grams, model)
     return lookup_join(grams, bits.select("gram", F.col("bits").cast("float").alias("bits")), "gram", ["bits"])
 
 

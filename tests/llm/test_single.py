@@ -292,6 +292,17 @@ def test_quality_scores(spark, monkeypatch, bound):
         assert r["_bytes"] == len(text.encode())
 
 
+def test_quality_largest_table_stays(spark, monkeypatch):
+    """The n-grams of the highest order are never a lookup table, which may be sent; shorter ones are, four times."""
+    model = train(frame(spark, [(i, f"some text {i} or other", "en", None) for i in range(20)]))
+    asked = []
+    monkeypatch.setattr(quality, "lookup_join", lambda left, table, *a: asked.append(set(table.inputFiles())) or lookup_join(left, table, *a))
+    grams = [int.from_bytes(g, "big") for g in (b"some ", b"xsome", b"qqqqq", b"other", b"other")]
+    got = gram_bits(spark.createDataFrame([(g,) for g in grams], "gram long"), model)
+    assert len(got.collect()) == 4
+    assert len(asked) == 4 and not any(files & set(model[ORDER][0].inputFiles()) for files in asked)
+
+
 def test_quality_pieces():
     """N-grams of a piece-wise read batch are those of the whole texts; full tables are given out."""
     texts = ["", "ab" * 400_000, "é", "x" * 10, None, "yz" * 300_000]
