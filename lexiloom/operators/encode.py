@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import PAD, UNK, frame_sequence, pad_fixed
-from ..runtime import fits_broadcast, materialize
+from ..runtime import fits_broadcast, materialize, with_keys
 from .joins import lookup_join
 from .ranking import batch_rows
 from .terms import KEYS
@@ -34,7 +34,7 @@ def encode_tokens(
     if fits_broadcast(vocab.select("token", "id"), inline):
         words = vocab.sparkSession.sparkContext.broadcast(vocab.select("token", "id").toArrow())
         return line_tokens.select(*keys, "tokens").mapInArrow(
-            inline_encoder(words, unknown), _with(line_tokens, keys, f"{out} array<int>")
+            inline_encoder(words, unknown), with_keys(line_tokens, keys, f"{out} array<int>")
         )
     rows = line_tokens.select(*keys, F.posexplode_outer("tokens").alias("pos", "token"))
     coded = lookup_join(rows, vocab, "token", ["id", "cnt"], hot_by="cnt")
@@ -45,10 +45,6 @@ def encode_tokens(
     return grouped.select(*keys, F.transform("_l", lambda x: x.bitwiseAND(low).cast("int")).alias(out))
 
 
-def _with(df: DataFrame, keys: list[str], more: str) -> str:
-    return ", ".join([*[f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys], more])
-
-
 def inline_encoder(words, unknown: int):
     """Arrow batches of keys and a token array (last) to keys and ids."""
 
@@ -110,7 +106,7 @@ def decode_ids(
     """
     if fits_broadcast(vocab.select("token", "id"), inline):
         words = vocab.sparkSession.sparkContext.broadcast(vocab.select("token", "id").toArrow())
-        return seqs.select(*keys, ids).mapInArrow(inline_decoder(words, drop_below), _with(seqs, keys, "text string"))
+        return seqs.select(*keys, ids).mapInArrow(inline_decoder(words, drop_below), with_keys(seqs, keys, "text string"))
     rows = seqs.select(*keys, F.posexplode_outer(ids).alias("pos", "id"))
     kept = rows.withColumn("pos", F.when(F.col("id") >= drop_below, F.col("pos")))
     words = lookup_join(kept, vocab, "id", ["token", "cnt"], hot_by="cnt")
@@ -155,7 +151,7 @@ def char_grids(
     """
     if fits_broadcast(char_rows, inline):
         sent = coded.sparkSession.sparkContext.broadcast(char_rows.select("id", "chars").toArrow())
-        return coded.select(*keys, "ids").mapInArrow(inline_grid(sent, width), _with(coded, keys, "grid array<array<int>>"))
+        return coded.select(*keys, "ids").mapInArrow(inline_grid(sent, width), with_keys(coded, keys, "grid array<array<int>>"))
     special = F.concat(F.array("id"), F.array_repeat(F.lit(PAD), width - 1))
     rows = coded.select(*keys, F.posexplode_outer("ids").alias("pos", "id"))
     found = lookup_join(rows, char_rows, "id", ["chars"], hot_by="id")
@@ -205,7 +201,7 @@ def char_grid_texts(
         grids = char_grids(coded, char_rows, keys, width, inline)
         return grids.select(*keys, F.size("grid").alias("n_rows"), render(F.flatten("grid")).alias("text"))
     sent = coded.sparkSession.sparkContext.broadcast(char_rows.select("id", "chars").toArrow())
-    return coded.select(*keys, "ids").mapInArrow(inline_grid_text(sent, width), _with(coded, keys, "n_rows int, text string"))
+    return coded.select(*keys, "ids").mapInArrow(inline_grid_text(sent, width), with_keys(coded, keys, "n_rows int, text string"))
 
 
 def inline_grid_text(sent, width: int):

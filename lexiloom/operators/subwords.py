@@ -6,16 +6,14 @@ import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import CLS, SEP
-from ..runtime import discard, materialize, scratch_path
-from .encode import collect_ordered
-from .joins import lookup_join
-from .terms import word_counts
+from ..runtime import discard, materialize, scratch_path, with_keys
 
 # Special tokens of a subword vocabulary, ids 0 to 4.
 PIECE_SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
@@ -24,6 +22,8 @@ MARK = "##"
 EDGE = "␟"
 # Pairs taken into a step at first and at most, and runs of symbols that may reach the driver.
 START_PAIRS, MOST_PAIRS, MOST_FRAGMENTS = 64, 16_384, 100_000
+# Words whose pieces a task keeps at hand.
+HELD_WORDS = 500_000
 
 
 def word_symbols(words: DataFrame, alphabet: DataFrame | None = None) -> DataFrame:
@@ -298,27 +298,60 @@ def greedy_pieces(word: str, vocab: dict[str, int], unknown: int = 1, longest: i
     return out
 
 
-def word_pieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Piece ids of each distinct word. A subword vocabulary has a given maximal size."""
-    table = {r["token"]: r["id"] for r in vocab.select("token", "id").collect()}
-    sent = words.sparkSession.sparkContext.broadcast(table)
-    longest = max([len(token) for token in table], default=1)
+def _piece_batches(vocab, room: int):
+    """Arrow batches of keys and a token array (last) to keys and framed piece ids.
+
+    A task codes each word once as long as it holds it; it holds at most HELD_WORDS.
+    """
 
-    @F.pandas_udf("array<int>")
-    def pieces(column: pd.Series) -> pd.Series:
-        vocab_ = sent.value
-        return column.map(lambda w: greedy_pieces(w, vocab_, longest=longest))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = vocab.value
+        longest = max([len(token) for token in table], default=1)
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            coded = lists.flatten().dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            if len(held) > HELD_WORDS:
+                held.clear()
+            for word in words:
+                if word not in held:
+                    held[word] = np.array(greedy_pieces(word, table, longest=longest), np.int32)
+            pieces = [held[word] for word in words]
+            found = pa.ListArray.from_arrays(
+                np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int32),
+                np.concatenate([np.empty(0, np.int32), *pieces]),
+            )
+            # The tokens of a line that can reach into it: the first ``room``, as a word has a piece at least.
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            first, kept = np.cumsum(sizes) - sizes, np.minimum(sizes, room)
+            place = np.arange(kept.sum()) + np.repeat(first - (np.cumsum(kept) - kept), kept)
+            own = found.take(coded.indices.take(pa.array(place)))
+            counts = pc.list_value_length(own).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(kept)]
+            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            ids, cut = own.flatten().to_numpy(zero_copy_only=False), np.minimum(ends - starts, room)
+            offsets = np.concatenate([[0], np.cumsum(cut + 2)])
+            made = np.full(offsets[-1], CLS, np.int32)
+            made[offsets[1:] - 1] = SEP
+            row = np.arange(cut.sum()) - np.repeat(np.cumsum(cut) - cut, cut)
+            made[np.repeat(offsets[:-1] + 1, cut) + row] = ids[np.repeat(starts, cut) + row]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.ListArray.from_arrays(offsets.astype(np.int32), made)],
+                names=[str(i) for i in range(batch.num_columns)],
+            )
 
-    return words.withColumn("pieces", pieces("word"))
+    return run
 
 
 def encode_subwords(
     line_tokens: DataFrame, vocab: DataFrame, keys: list[str], max_length: int = 256
 ) -> DataFrame:
-    """Lines to ``CLS pieces SEP``, cut at ``max_length``. Each distinct word is coded once."""
-    rows = line_tokens.select(*keys, F.posexplode_outer("tokens").alias("pos", "word"))
-    coded = materialize(word_pieces(word_counts(line_tokens), vocab), "pieces")
-    found = lookup_join(rows, coded, "word", ["pieces", "cnt"], hot_by="cnt")
-    lines = collect_ordered(found, keys, "pieces", "_p")
-    body = F.slice(F.flatten("_p"), 1, max_length - 2)
-    return lines.select(*keys, F.concat(F.array(F.lit(CLS)), body, F.array(F.lit(SEP))).alias("ids"))
+    """Lines to ``CLS pieces SEP``, cut at ``max_length``, inside their rows.
+
+    A subword vocabulary has a given maximal size, so it is sent to the tasks; nothing is shuffled.
+    """
+    table = {r["token"]: r["id"] for r in vocab.select("token", "id").collect()}
+    sent = line_tokens.sparkSession.sparkContext.broadcast(table)
+    lines = line_tokens.select(*keys, F.filter("tokens", lambda t: t != "").alias("tokens"))  # nor nulls
+    return lines.mapInArrow(_piece_batches(sent, max_length - 2), with_keys(line_tokens, keys, "ids array<int>"))

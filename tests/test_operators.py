@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions.arrays import MASK
-from lexiloom.catalog import learning
+from lexiloom.catalog import QUERIES, learning
 from lexiloom.operators import encode, evaluate, instances, joins, ml, ranking, splits, subwords, terms, vectors, vocab
 from lexiloom.operators.keywords import drop_stopwords, extract_keywords
 from lexiloom.operators.terms import KEYS
@@ -509,3 +509,57 @@ def test_grid_texts_are_the_grids(spark):
         found.append({(r["doc_id"], r["line_no"]): (r["n_rows"], r["text"]) for r in rows})
     assert found[0] == found[1]
     assert found[0][2, 1] == (1, "4 4 4 4 4 4 4 4 4 4") and found[0][1, 2] == (0, "")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_subwords_are_coded_inside_their_rows(spark):
+    table = {"a": 5, "ab": 6, "##b": 7, "##ab": 8, "b": 9}
+    lines = [["ab", "abab", "a"], [], ["x", "", "b"], ["abb"] * 300, None]
+    rows = spark.createDataFrame([(0, i, t) for i, t in enumerate(lines)], "doc_id bigint, line_no int, tokens array<string>")
+    coded = subwords.encode_subwords(rows, spark.createDataFrame(list(table.items()), "token string, id int"), KEYS)
+    assert "Exchange" not in plan_of(coded)
+    for r in coded.collect():
+        pieces = [x for w in lines[r["line_no"]] or [] for x in subwords.greedy_pieces(w, table)]
+        assert r["ids"] == [2, *pieces[:254], 3]
+    assert coded.count() == len(lines)
+
+
+@pytest.mark.parametrize("sent", [100_000, 3])
+def test_smooth_weights_of_whole_lines(spark, sent):
+    rng = random.Random(5)
+    lines = [" ".join(rng.choice("aabbcdefghij") for _ in range(rng.randint(0, 12))) for _ in range(50)] + ["z z y"]
+    table = tokens_table(spark, lines)
+    stats = materialize(terms.smooth_stats(table), "smooth")
+    found = terms.tfidf_smooth_l2(table, stats, sent=sent)
+    assert "Window" not in plan_of(found)
+    docs = [collections.Counter(line.split()) for line in lines]
+    idf = {w: math.log((1 + len(docs)) / (1 + sum(w in d for d in docs))) + 1 for d in docs for w in d}
+    want = {}
+    for i, d in enumerate(docs):
+        norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in d.items()))
+        want |= {(i + 1, w): n * idf[w] / norm for w, n in d.items()}
+    rows = found.collect()
+    assert len(rows) == len(want)
+    assert {(r["line_no"], r["word"]): r["weight"] for r in rows} == pytest.approx(want, abs=1e-12)
+
+
+def test_idf_counts_lines_without_sorting(spark):
+    table = tokens_table(spark, ["a a b", "a c", "", "b"])
+    found = terms.inverse_doc_frequency(table)
+    want = terms.term_stats(table).select("word", "c_d", "i_d", "idf").collect()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want))
+    assert "sort_array" not in plan_of(found) and "ReusedExchange" in plan_of(found)
+
+
+def test_token_counts_and_masks_stay_plain(spark):
+    """Counting sorts no line, and a mask's padding is written, not built."""
+    counts = vocab.token_counts(tokens_table(spark, ["b a b", "", "c a"]))
+    assert "sort_array" not in plan_of(counts)
+    place = 10**9
+    want = {("a", 2, place + 1), ("b", 2, place), ("c", 1, 3 * place)}
+    assert {(r["token"], r["cnt"], int(r["first"])) for r in counts.collect()} == want
+    plan = plan_of(QUERIES["attention_mask"](spark, "/root/testdata/sf0.001"))
+    assert "array_repeat" not in plan
