@@ -6,13 +6,16 @@ that groups by word, and that one is combined on the map side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import term_runs
 from ..functions.text import cleaned_words, tokenize_delims, without
-from ..runtime import materialize
-from .joins import lookup_join
+from ..runtime import fits_broadcast, materialize, with_keys
+from .joins import HOT_BYTES, HOT_ROWS, hot_rows, lookup_join
 
 KEYS = ["doc_id", "line_no"]
 
@@ -114,13 +117,57 @@ def smooth_stats(line_tokens: DataFrame) -> DataFrame:
     )
 
 
-def tfidf_smooth_l2(line_tokens: DataFrame, stats: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Raw count times smoothed idf, scaled to unit length per line."""
-    joined = lookup_join(term_frequency(line_tokens, keys), stats, "word", ["idf", "df"], hot_by="df")
-    weighted = joined.withColumn("raw", F.col("n_w") * F.col("idf"))
-    line = Window.partitionBy(*keys)  # one line: bounded by the row it came from
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(line))
-    return weighted.select(*keys, "word", (F.col("raw") / norm).alias("weight"))
+def _weight_batches(sent, n_keys: int):
+    """Arrow batches of keys, tokens and the line's unsent words to keys, word and weight."""
+
+    def run(batches):
+        known, idf = sent.value["word"].combine_chunks(), sent.value["idf"].to_numpy()
+        for batch in batches:
+            lists, others = batch.column(n_keys), batch.column(n_keys + 1).flatten()
+            coded = lists.flatten().dictionary_encode()
+            words, more = coded.dictionary, others.field("word").dictionary_encode()
+            own = np.zeros(len(more.dictionary))
+            own[more.indices.to_numpy()] = others.field("idf").to_numpy()
+            place = pc.index_in(words, value_set=known)
+            values = np.zeros(len(words))
+            hit = pc.is_valid(place).to_numpy(zero_copy_only=False)
+            values[hit] = idf[place.drop_null().to_numpy()]
+            values[~hit] = own[pc.index_in(words.filter(pa.array(~hit)), value_set=more.dictionary).to_numpy()]
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            cells, n = np.unique(row * len(words) + coded.indices.to_numpy(), return_counts=True)
+            row, code = np.divmod(cells, max(1, len(words)))
+            raw = n * values[code]
+            norm = np.sqrt(np.bincount(row, raw * raw, minlength=len(sizes)))
+            columns = [*[batch.column(i).take(pa.array(row)) for i in range(n_keys)], words.take(pa.array(code))]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(raw / norm[row])], names=[str(i) for i in range(n_keys + 2)]
+            )
+
+    return run
+
+
+def tfidf_smooth_l2(line_tokens: DataFrame, stats: DataFrame, keys: list[str] = KEYS, sent: int = HOT_ROWS) -> DataFrame:
+    """Raw count times smoothed idf, scaled to unit length per line.
+
+    Lines stay whole. The idf of the most frequent words (all of them up to ``sent``, as
+    measured) is sent to the tasks; only the other words of a line meet theirs in a join, and
+    the lines cross one exchange to get them. ``line_tokens`` is then read twice and must be
+    the same again.
+    """
+    lines = line_tokens.select(*keys, F.filter("tokens", lambda t: t.isNotNull()).alias("tokens"))
+    kind = "array<struct<word:string,idf:double>>"
+    hot = hot_rows(stats, "word", ["idf"], "df", sent)
+    if fits_broadcast(stats.select("word", "idf"), sent, HOT_BYTES):
+        lines = lines.withColumn("others", F.lit(None).cast(kind))
+    else:
+        words = lines.select(*keys, F.explode_outer(F.array_distinct("tokens")).alias("word"))
+        rare = words.join(F.broadcast(hot.select("word")), "word", "left_anti").join(stats.select("word", "idf"), "word")
+        others = F.collect_list(F.struct("word", "idf")).cast(kind)  # of one line
+        lines = lines.join(rare.groupBy(*keys).agg(others.alias("others")), keys, "left")
+    table = lines.sparkSession.sparkContext.broadcast(hot.toArrow())
+    schema = with_keys(line_tokens, keys, "word string, weight double")
+    return lines.select(*keys, "tokens", "others").mapInArrow(_weight_batches(table, len(keys)), schema)
 
 
 def low_tfidf_terms(stats: DataFrame, threshold: float) -> DataFrame:
