@@ -64,7 +64,7 @@ def term_stats(line_tokens: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     )
     marker = F.array(F.struct(F.lit("").alias("word"), F.lit(0).cast("bigint").alias("n_w")))
     marked = F.when(F.size("tokens") > 0, F.concat(runs, marker)).otherwise(F.array().cast(f"array<{entry}>"))
-    rows = line_tokens.select(F.size("tokens").alias("n_d"), F.explode(marked).alias("r"))
+    rows = line_tokens.select(F.size("tokens").alias("n_d"), F.explode_outer(marked).alias("r")).filter("r is not null")
     stats = rows.groupBy(F.col("r.word").alias("word")).agg(
         F.count("*").alias("i_d"),
         F.sum("r.n_w").alias("total"),
@@ -83,8 +83,15 @@ def term_stats(line_tokens: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def inverse_doc_frequency(line_tokens: DataFrame) -> DataFrame:
-    """ln(lines / lines with the word), unsmoothed."""
-    return term_stats(line_tokens).select("word", "c_d", "i_d", "idf")
+    """ln(lines / lines with the word), unsmoothed.
+
+    Only the lines of a word are counted, so its places in a line needn't be sorted.
+    """
+    marked = F.when(F.size("tokens") > 0, F.concat(F.array_distinct("tokens"), F.array(F.lit(""))))
+    found = line_tokens.select(F.explode_outer(marked).alias("word")).groupBy("word").agg(F.count("*").alias("i_d"))
+    lines = found.agg(F.max(F.when(F.col("word") == "", F.col("i_d"))).alias("c_d"))
+    counted = found.crossJoin(F.broadcast(lines)).filter("word <> ''")  # one row
+    return counted.select("word", "c_d", "i_d", F.log(F.col("c_d") / F.col("i_d")).alias("idf"))
 
 
 def attach_idf(line_tokens: DataFrame, stats: DataFrame, keys: list[str] = KEYS) -> DataFrame:
