@@ -221,8 +221,9 @@ def char_grid(spark, sf):
     SELECT doc_id, line_no, {sql.digits('list_transform(ids, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)')} AS mask FROM padded""",
 )
 def attention_mask(spark, sf):
-    padded = padded_lines(spark, sf)
-    return padded.select(*KEYS, render(arrays.attention_mask(F.col("ids"))).alias("mask"))
+    rows = coded_lines(spark, sf).join(line_batches(spark, sf), KEYS)
+    mask = render_padded(arrays.attention_mask(F.col("ids")), F.col("longest") - F.size("ids"), 0)
+    return rows.select(*KEYS, mask.alias("mask"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import FIRST_WORD, term_runs
+from ..functions.arrays import FIRST_WORD
 from .ranking import global_rank
 from .terms import KEYS
 
@@ -31,10 +31,8 @@ def _place(df: DataFrame, keys: list[str], pos: str) -> Column:
 
 def token_counts(line_tokens: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Token, count and first place of appearance."""
-    runs = line_tokens.select(*keys, F.explode(term_runs(F.col("tokens"))).alias("r"))
-    return runs.groupBy(F.col("r.word").alias("token")).agg(
-        F.sum("r.n_w").alias("cnt"), F.min(_place(line_tokens, keys, "r.first_pos")).alias("first")
-    )
+    rows = line_tokens.select(*keys, F.posexplode_outer("tokens").alias("pos", "token")).filter("pos is not null")
+    return rows.groupBy("token").agg(F.count("*").alias("cnt"), F.min(_place(line_tokens, keys, "pos")).alias("first"))
 
 
 def top_words(counts: DataFrame, size: int) -> DataFrame:
