@@ -88,9 +88,11 @@ def inverse_doc_frequency(line_tokens: DataFrame) -> DataFrame:
     Only the lines of a word are counted, so its places in a line needn't be sorted.
     """
     marked = F.when(F.size("tokens") > 0, F.concat(F.array_distinct("tokens"), F.array(F.lit(""))))
-    found = line_tokens.select(F.explode_outer(marked).alias("word")).groupBy("word").agg(F.count("*").alias("i_d"))
-    lines = found.agg(F.max(F.when(F.col("word") == "", F.col("i_d"))).alias("c_d"))
-    counted = found.crossJoin(F.broadcast(lines)).filter("word <> ''")  # one row
+    words = line_tokens.select(F.explode_outer(marked).alias("word"))
+    found = words.groupBy("word").agg(F.count("*").alias("i_d"), F.max(F.length("word")).alias("size"))
+    # Reads both aggregates and no filter is on the key, so that both uses share one exchange.
+    lines = found.agg(F.max(F.when(F.col("word") == "", F.struct("i_d", "size"))).alias("m")).select(F.col("m.i_d").alias("c_d"))
+    counted = found.crossJoin(F.broadcast(lines)).filter("size > 0")  # one row
     return counted.select("word", "c_d", "i_d", F.log(F.col("c_d") / F.col("i_d")).alias("idf"))
 
 
