@@ -563,3 +563,24 @@ def test_token_counts_and_masks_stay_plain(spark):
     assert {(r["token"], r["cnt"], int(r["first"])) for r in counts.collect()} == want
     plan = plan_of(QUERIES["attention_mask"](spark, "/root/testdata/sf0.001"))
     assert "array_repeat" not in plan
+
+
+def test_sent_queries_hold_their_best_only(monkeypatch):
+    """A task holds and gives out bounded lists, however many targets come; they equal one big product."""
+    import types
+
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    q, t = rng.integers(-2, 3, (30, 4)).astype(float), rng.integers(-2, 3, (500, 4)).astype(float)
+    monkeypatch.setattr(vectors, "SENT_BACK", 7)
+    monkeypatch.setattr(vectors, "PRODUCT_CELLS", 64)
+    frames = [pd.DataFrame({"t_id": np.arange(x, x + 50), "t_vec": list(t[x : x + 50])}) for x in range(0, 500, 50)]
+    sent = types.SimpleNamespace(value=(np.arange(30), vectors._unit(q)))
+    out = list(vectors._sent_batches(sent, 6)(iter([frames[0][:0], *frames])))
+    assert max(map(len, out)) == 7 * 6
+    sims = np.round(vectors._unit(q) @ vectors._unit(t).T, vectors.COS_DIGITS)
+    want = [(i, j, sims[i, j]) for i in range(30) for j in np.lexsort((np.arange(500), -sims[i]))[:6]]
+    got = [tuple(r) for frame in out for r in frame.itertuples(index=False)]
+    assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+    assert not list(vectors._sent_batches(sent, 6)(iter([frames[0][:0]])))
