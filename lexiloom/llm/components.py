@@ -49,15 +49,17 @@ def _settled(edges: DataFrame) -> bool:
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, root) of every node of an edge (u, v) of integers; the root is the smallest.
 
-    Edges are written after each pair of steps, so a lost executor costs one step. The
+    Edges are written after each step, so a lost executor costs one step, and a plan holds
+    one step: a step names its edges several times, so two in one plan multiply it. The
     minimum of a node's neighbours is combined on the map side, and (node, minimum) is
     joined back, for the few nodes with a thousandth of all edges by a broadcast.
     The end is a star per component, written; the driver sees a yes or no per step.
     """
-    now = edges.filter("u <> v").select("u", "v")
+    now = materialize(edges.filter("u <> v").select("u", "v"), "edges")
     for _ in range(rounds):
         total = now.count()
-        now = materialize(_small_star(_large_star(now, total), total).filter("u <> v").distinct(), "edges")
+        up = materialize(_large_star(now, total), "edges")
+        now = materialize(_small_star(up, total).filter("u <> v").distinct(), "edges")
         if _settled(now):
             break
     else:

@@ -6,6 +6,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom.llm import components as stars
 from lexiloom.llm import near as near_module
 from lexiloom.llm.components import components
 from lexiloom.llm.exact import exact_duplicates
@@ -144,6 +145,21 @@ def test_components_of_a_path(spark):
     assert got == {**{i: 0 for i in range(n)}, 400: 400, 500: 400}
 
 
+def test_components_plans_stay_small(spark, monkeypatch):
+    """A plan holds one star step over one table; two steps over a union of three named 180 tables."""
+    sources = []
+
+    def counted(df, label):
+        sources.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return materialize(df, label)
+
+    monkeypatch.setattr(stars, "materialize", counted)
+    edges = [spark.createDataFrame([(i + 1, i), (i + 10, i)], "u long, v long").repartition(2) for i in (0, 1, 100)]
+    got = {r["node"]: r["root"] for r in components(edges[0].union(edges[1]).union(edges[2])).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 10: 0, 11: 0, 100: 100, 101: 100, 110: 100}
+    assert max(sources) <= 10
+
+
 def test_contamination(spark, corpus):
     rng = random.Random(3)
     texts = [t for _, t in corpus if t and len(t.split()) > 40]
