@@ -155,13 +155,19 @@ sent AS (
 
 
 def decoded_sides(spark, sf):
-    """Each line's words after coding and decoding, next to all its words, which stay in the row."""
+    """Lines with their key and words (ref), and the candidate: the words after coding and decoding.
+
+    A vocabulary that can be sent codes the words in the task that matches them.
+    """
     words = common_vocab(spark, sf)
+    recoder = encode.inline_recoder(words)
+    if recoder is not None:
+        return line_tokens(spark, sf).select(F.concat_ws(":", *KEYS).alias("key"), F.col("tokens").alias("ref")), recoder
     tokens = line_tokens(spark, sf).withColumn("ref", F.col("tokens"))
     carried = [*KEYS, "ref"]
     decoded = encode.decode_ids(encode.encode_tokens(tokens, words, carried), words, carried)
     cand = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", " ", -1))
-    return decoded.select(F.concat_ws(":", *KEYS).alias("key"), cand.alias("cand"), "ref")
+    return decoded.select(F.concat_ws(":", *KEYS).alias("key"), cand.alias("cand"), "ref"), "cand"
 
 
 @query(
@@ -170,7 +176,8 @@ def decoded_sides(spark, sf):
     FROM sent""",
 )
 def bleu_sentence(spark, sf):
-    return evaluate.bleu_sentence(decoded_sides(spark, sf), "key", "cand", "ref").withColumn("bleu", F.round("bleu", 6))
+    lines, candidate = decoded_sides(spark, sf)
+    return evaluate.bleu_sentence(lines, "key", candidate, "ref").withColumn("bleu", F.round("bleu", 6))
 
 
 @query(
@@ -180,7 +187,8 @@ def bleu_sentence(spark, sf):
       * exp(least(1 - (SELECT sum(len(ref)) FROM both_sides) / CAST((SELECT sum(len(cand)) FROM both_sides) AS DOUBLE), 0.0)), 6) AS bleu""",
 )
 def bleu_corpus(spark, sf):
-    return evaluate.bleu_corpus(decoded_sides(spark, sf), "cand", "ref").withColumn("bleu", F.round("bleu", 6))
+    lines, candidate = decoded_sides(spark, sf)
+    return evaluate.bleu_corpus(lines, candidate, "ref").withColumn("bleu", F.round("bleu", 6))
 
 
 FOLDS = SCORED + f""",

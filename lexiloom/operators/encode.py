@@ -113,6 +113,36 @@ def decode_ids(
     return collect_ordered(words, keys, "token", "_w").select(*keys, F.concat_ws(" ", "_w").alias("text"))
 
 
+def inline_recoder(vocab: DataFrame, unknown: int = UNK, drop_below: int = 4, inline: int = INLINE_ROWS):
+    """An Arrow kernel that puts the words left by coding and decoding before a token array (last).
+
+    The same words as :func:`encode_tokens` and :func:`decode_ids` leave, without a way
+    through the rows for each; None where the vocabulary is too large to be sent.
+    """
+    if not fits_broadcast(vocab.select("token", "id"), inline):
+        return None
+    words = vocab.sparkSession.sparkContext.broadcast(vocab.select("token", "id").toArrow())
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            (coded,) = inline_encoder(words, unknown)(iter([batch]))
+            (decoded,) = inline_decoder(words, drop_below)(iter([coded]))
+            text = decoded.column(decoded.num_columns - 1)
+            lists, filled = pc.split_pattern(text, " "), pc.not_equal(text, "").to_numpy(zero_copy_only=False)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            kept = lists.flatten().filter(pa.array(np.repeat(filled, sizes)))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes * filled)]), pa.int32())
+            left = pa.ListArray.from_arrays(offsets, kept)
+            columns = [*batch.columns[:-1], left, batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
+
+    return run
+
+
 def batch_longest(sizes: DataFrame, size: str, keys: list[str], rows: int, batch: str = "batch") -> DataFrame:
     """keys, batch and longest: batches of ``rows`` rows in key order, and their largest size."""
     numbered = materialize(batch_rows(sizes.select(*keys, size), keys, rows, batch, keys_from=sizes), "batches")

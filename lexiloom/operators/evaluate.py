@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -106,18 +108,57 @@ def running_best(runs: DataFrame, run: str, loss: str, group: str) -> DataFrame:
     return found.withColumn("improved", improved).select(*runs.columns, "best_before", "improved")
 
 
-def _rows_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row of each element, and the end of its row."""
-    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes), sizes)
+# Words of both sides that are matched at once: few enough to be sorted in the processor's cache.
+MATCH_WORDS = 1 << 16
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _numbered(values: np.ndarray, top: int) -> tuple[np.ndarray, int]:
+    """The number of each value, from 0 to below ``top``, among the different ones; how many there are."""
+    bits = len(values).bit_length()
+    if not len(values) or top.bit_length() + bits > 63:  # place and value don't fit in one integer
+        coded = pa.array(values).dictionary_encode()
+        return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+    order = np.sort(values << bits | np.arange(len(values)))  # quicker than by argsort
+    place, order = order & ((1 << bits) - 1), order >> bits
+    numbers = np.zeros(len(values), np.int64)
+    numbers[place[1:]] = np.cumsum(order[1:] != order[:-1])
+    return numbers, int(numbers[place[-1]]) + 1
 
 
-def _match_batches(orders: int):
+def _clipped(words: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], orders: int) -> tuple[list, list]:
+    """Per row, of every order: clipped matches and candidate n-grams. ``words`` has all candidates first.
+
+    An n-gram is named by the number of the shorter one before its last word, and a first
+    word by its row as well, so n-grams of different rows never share a name. Those whose
+    beginning isn't on both sides match nowhere and go no further.
+    """
+    n_rows, split = len(sizes[0]), int(sizes[0].sum())
+    row = np.concatenate([np.repeat(np.arange(n_rows), x) for x in sizes])
+    end = np.concatenate([np.repeat(np.cumsum(x), x) for x in sizes])
+    end[split:] += split
+    word, n_words = _numbered(words, int(words.max(initial=0)) + 1)
+    name, n_names, place, matched = row, n_rows, np.arange(len(word)), []
+    for n in range(1, orders + 1):
+        name, n_names = _numbered(name * n_words + word[place + n - 1], n_names * n_words)
+        first_ref = np.searchsorted(place, split)
+        ours, theirs = (np.bincount(x, minlength=n_names) for x in (name[:first_ref], name[first_ref:]))
+        both = np.minimum(ours, theirs)
+        owner = np.empty(n_names, np.int64)
+        owner[name] = row[place]
+        matched.append(np.bincount(owner[both > 0], both[both > 0], n_rows).astype(np.int64))
+        open_ = (both[name] > 0) & (place + n < end[place])
+        place, name = place[open_], name[open_]
+    return matched, [np.maximum(sizes[0] - n, 0) for n in range(orders)]
+
+
+def _match_batches(orders: int, most: int = MATCH_WORDS):
     """Per row, of every order: clipped matches and candidate n-grams; both lengths last.
 
-    Words are numbered per batch, and an n-gram by the number of the shorter one before
-    its last word, so n-grams are single integers. Those of a row are one key each with
-    the row's number, and both sides' counts meet by sorted keys.
+    Words are numbered per batch. Its rows are matched in parts of about ``most`` words.
     """
 
     def run(batches):
@@ -125,37 +166,40 @@ def _match_batches(orders: int):
             sides = [batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)]
             words = pa.concat_arrays([x.flatten() for x in sides]).dictionary_encode().indices
             word = words.to_numpy(zero_copy_only=False).astype(np.int64)
-            split, n_rows = len(sides[0].flatten()), len(batch)
-            row, end = (np.concatenate(x) for x in zip(*[_rows_of(x) for x in sides]))
-            end[split:] += split
-            name, place, matched, total = word, np.arange(len(word)), [], []
-            for n in range(1, orders + 1):
-                if n > 1:
-                    open_ = place + n <= end[place]
-                    place = place[open_]
-                    _, name = np.unique(name[open_] * (word.max(initial=0) + 1) + word[place + n - 1], return_inverse=True)
-                key = row[place] * (name.max(initial=0) + 1) + name
-                is_candidate = place < split
-                (a, n_a), (b, n_b) = (np.unique(key[x], return_counts=True) for x in (is_candidate, ~is_candidate))
-                _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-                owner = a[at_a] // (name.max(initial=0) + 1)
-                matched.append(np.bincount(owner, np.minimum(n_a[at_a], n_b[at_b]), n_rows).astype(np.int64))
-                total.append(np.bincount(row[place[is_candidate]], minlength=n_rows))
-            sizes = [np.bincount(x, minlength=n_rows) for x in (row[:split], row[split:])]
+            sizes = [_sizes(x) for x in sides]
+            (at_c, at_r), split = (np.concatenate([[0], np.cumsum(x)]) for x in sizes), int(sizes[0].sum())
+            cuts = np.flatnonzero(np.diff((at_c + at_r)[1:] // most)) + 1
+            parts = []
+            for x, y in zip([0, *cuts], [*cuts, len(batch)]):
+                own = np.concatenate([word[at_c[x] : at_c[y]], word[split + at_r[x] : split + at_r[y]]])
+                matched, total = _clipped(own, (sizes[0][x:y], sizes[1][x:y]), orders)
+                parts.append([*matched, *total])
+            counts = [np.concatenate(x) for x in zip(*parts)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], *map(pa.array, [*matched, *total, *sizes])],
+                [*batch.columns[:-2], *map(pa.array, [*counts, *sizes])],
                 names=[str(i) for i in range(batch.num_columns + 2 * orders)],
             )
 
     return run
 
 
-def _counts(pairs: DataFrame, candidate: str, reference: str, orders: int, keys: list[str] = ()) -> DataFrame:
-    """Clipped matches and candidate n-grams of every order, and both lengths, per row."""
+def _counts(
+    pairs: DataFrame, candidate: str | Callable, reference: str, orders: int, keys: list[str] = ()
+) -> DataFrame:
+    """Clipped matches and candidate n-grams of every order, and both lengths, per row.
+
+    ``candidate`` is a column, or an Arrow kernel that puts the candidate before the
+    reference, the last column, in the task that matches both: words move to it once.
+    """
     kinds = [f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys]
     kinds += [f"_{kind}{n} long" for kind in "mt" for n in range(1, orders + 1)]
-    slim = pairs.select(*keys, F.col(candidate).alias("_cand"), F.col(reference).alias("_ref"))
-    return slim.mapInArrow(_match_batches(orders), ", ".join([*kinds, "_c long", "_r long"]))
+    sides, match = [F.col(reference).alias("_ref")], _match_batches(orders)
+    if callable(candidate):
+        first = candidate
+        kernel = lambda batches: match(first(batches))
+    else:
+        sides, kernel = [F.col(candidate).alias("_cand"), *sides], match
+    return pairs.select(*keys, *sides).mapInArrow(kernel, ", ".join([*kinds, "_c long", "_r long"]))
 
 
 def _score(orders: int) -> Column:
@@ -166,12 +210,12 @@ def _score(orders: int) -> Column:
     return F.when(usable, F.exp(mean) * brevity).otherwise(F.lit(0.0))
 
 
-def bleu_sentence(pairs: DataFrame, key: str, candidate: str, reference: str, orders: int = 4) -> DataFrame:
-    """Sentence BLEU; 0 when some order has no match. No shuffle."""
+def bleu_sentence(pairs: DataFrame, key: str, candidate: str | Callable, reference: str, orders: int = 4) -> DataFrame:
+    """Sentence BLEU; 0 when some order has no match. No shuffle. ``candidate`` as in :func:`_counts`."""
     return _counts(pairs, candidate, reference, orders, [key]).select(key, _score(orders).alias("bleu"))
 
 
-def bleu_corpus(pairs: DataFrame, candidate: str, reference: str, orders: int = 4) -> DataFrame:
+def bleu_corpus(pairs: DataFrame, candidate: str | Callable, reference: str, orders: int = 4) -> DataFrame:
     """Corpus BLEU from the sums of all rows."""
     names = [*(f"_m{n}" for n in range(1, orders + 1)), *(f"_t{n}" for n in range(1, orders + 1)), "_c", "_r"]
     counts = _counts(pairs, candidate, reference, orders)

@@ -5,11 +5,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions.arrays import MASK
-from lexiloom.catalog import QUERIES, learning
+from lexiloom.catalog import QUERIES, evaluation, learning
 from lexiloom.operators import encode, evaluate, instances, joins, ml, ranking, splits, subwords, terms, vectors, vocab
 from lexiloom.operators.keywords import drop_stopwords, extract_keywords
 from lexiloom.operators.terms import KEYS
@@ -584,3 +585,33 @@ def test_sent_queries_hold_their_best_only(monkeypatch):
     got = [tuple(r) for frame in out for r in frame.itertuples(index=False)]
     assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
     assert not list(vectors._sent_batches(sent, 6)(iter([frames[0][:0]])))
+
+
+def test_bleu_moves_lines_to_python_once(spark):
+    """Coding, decoding and matching are one kernel; they were three, with the words sent to each."""
+    plan = evaluation.bleu_sentence(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_recoded_words_are_those_of_coding_and_decoding(spark):
+    rows = [(0, ["a", "b", "x"]), (1, ["x"]), (2, []), (3, None), (4, ["b", "b", "a", "y", "b"])]
+    lines = spark.createDataFrame(rows, "k int, tokens array<string>")
+    words = spark.createDataFrame([("a", 4, 3), ("b", 5, 2)], "token string, id int, cnt long")
+    decoded = encode.decode_ids(encode.encode_tokens(lines, words, ["k"]), words, ["k"])
+    both = lines.mapInArrow(encode.inline_recoder(words), "k int, cand array<string>, tokens array<string>")
+    assert {r["k"]: " ".join(r["cand"]) for r in both.collect()} == {r["k"]: r["text"] for r in decoded.collect()}
+    assert {r["k"]: r["tokens"] for r in both.collect()} == dict(rows)
+    assert encode.inline_recoder(words, inline=1) is None
+
+
+@pytest.mark.parametrize("most", [1, 50, 1 << 16])
+def test_bleu_counts_in_parts(most):
+    rng = random.Random(4)
+    side = lambda: pa.array([[rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(90)], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([side(), side()], names=["c", "r"])
+    (found,) = evaluate._match_batches(4, most)(iter([batch]))
+    for i, row in enumerate(zip(batch["c"].to_pylist(), batch["r"].to_pylist())):
+        for n in range(4):
+            c, r = ([tuple(x[j : j + n + 1]) for j in range(len(x) - n)] for x in row)
+            assert found.column(n)[i].as_py() == sum(min(c.count(g), r.count(g)) for g in set(c))
+            assert found.column(4 + n)[i].as_py() == len(c)
