@@ -12,8 +12,11 @@
 5. Full shingle sets confirm: the best proposal of each row first, then the proposals
    between different components.
 6. Lists whose rows still lie in different components are compared in full, in tiles of
-   bounded size, and only between components. A pair counts in the first list that holds
-   both rows. A tile holds the 1,024 smallest hashes of each row: sets up to that size are
+   bounded size, and only between components. First, lists with nearly the same rows become
+   one, and in lists of more rows than a tile the rows are looked for under the rarest of
+   their 1,024 smallest hashes, so that a passage in most of a row makes no long list.
+   A pair counts in the first list that holds both rows.
+   A tile holds the 1,024 smallest hashes of each row: sets up to that size are
    complete, so the tile itself confirms their links, and gives out no more of them than
    join its components (fewer than its rows). Pairs with a larger set are estimated from
    these hashes, and confirmed as before where the estimate can't rule them out.
@@ -44,6 +47,7 @@ SIGMAS = 6.0
 WIDE = 1024
 TILE = 1024
 HUB_ROWS = 128
+MERGES = 2
 CHUNK = 4096
 
 
@@ -97,14 +101,14 @@ def least_shared(held, size, percent: int, keep: int, functions=F):
     """Values that a sketch of ``held`` values shares at least with one at the threshold.
 
     With both sets no larger than a sketch this is exact; else six standard deviations
-    below the mean of the shared part of ``keep`` sampled values.
+    below the mean of the shared part of ``keep`` sampled values, if that is less.
     """
     t = percent / 100
     sampled = max(1, math.floor(keep * t - SIGMAS * math.sqrt(keep * t * (1 - t))))
     whole = functions.ceil(size * percent / 100)
     if functions is F:
-        return F.when(size * 100 <= keep * percent, whole).otherwise(F.lit(sampled))
-    return np.where(size * 100 <= keep * percent, whole, sampled)
+        return F.when(size * 100 <= keep * percent, whole).otherwise(F.least(whole, F.lit(sampled)))
+    return np.where(size * 100 <= keep * percent, whole, np.minimum(whole, sampled))
 
 
 def _estimate(pairs: DataFrame, nodes: DataFrame, percent: int, keep: int) -> DataFrame:
@@ -223,7 +227,7 @@ def _one_tile(rows: pa.Table, percent: int, keep: int, wide: int) -> pa.RecordBa
     sketches allow are given out unsure, where no certain link joins their components.
     """
     rid, root, n = (rows[c].to_numpy() for c in ("rid", "root", "n_shingles"))
-    asks, outside = (rows[c].to_numpy() for c in ("asks", "outside"))
+    asks, asker = (rows[c].to_numpy() for c in ("asks", "asker"))
     q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
     lists = rows["sketch"].combine_chunks()
     starts = lists.offsets.to_numpy()
@@ -233,7 +237,7 @@ def _one_tile(rows: pa.Table, percent: int, keep: int, wide: int) -> pa.RecordBa
     needed = least_shared(np.minimum(held, keep), n, percent, keep, np)
     good = _overlaps(values[narrow], owner[narrow], q, r, len(rid)) >= np.minimum(needed[q][:, None], needed[r])
     good &= 100 * np.minimum(n[q][:, None], n[r]) >= percent * np.maximum(n[q][:, None], n[r])
-    good &= ~outside[r] | (rid[q][:, None] > rid[r])  # two asking rows meet twice
+    good &= ~asker[r] | (rid[q][:, None] > rid[r])  # two asking rows meet twice
     names, column = np.unique(values, return_inverse=True)
     earlier = _earlier_lists(rows["keys"].combine_chunks(), rows["key"][0].as_py())
     top = np.where(n > wide, values[starts[1:] - 1], np.iinfo(np.int64).max)
@@ -292,6 +296,73 @@ def _wide_sets(rids: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     return made.join(asked, ["doc_id", "digest"]).select("rid", "n_shingles", "sketch").dropDuplicates(["rid"])
 
 
+def _rare_lists(values: DataFrame, sizes: DataFrame, by: list[str], percent: int, keep: int) -> DataFrame:
+    """Lists (key) of the rows ``by``, each under its rarest of ``keep`` values, of those that others hold too.
+
+    Two rows at the threshold share one of these, also one that ``seeks`` marks on one of
+    them: a row in full need seek only those of its size or more, which share still more.
+    """
+    lists = values.groupBy("value").agg(F.count("*").alias("held_by"), F.min("rid").alias("first"))
+    shared = values.join(lists.filter("held_by > 1"), "value")
+    per_row = shared.groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct("held_by", "value", "first"))).alias("shared")
+    )
+    sized = per_row.join(sizes.select("rid", "n_shingles"), "rid")
+    held = F.least(F.col("n_shingles"), F.lit(keep))
+    places = held - least_shared(held, F.col("n_shingles"), percent, keep) + 1
+    more = held - F.ceil(F.col("n_shingles") * 2 * percent / (100 + percent)) + 1
+    seeking = F.when(F.col("n_shingles") * 100 <= keep * percent, more).otherwise(places)
+    unshared = held - F.size("shared")  # the rarest
+    rarest = (places - unshared).cast("int")
+    cut = sized.filter(rarest > 0).withColumn("seeking", seeking - unshared)
+    listed = cut.select(*by, "seeking", F.posexplode(F.slice("shared", 1, rarest)).alias("pos", "at"))
+    return listed.select(
+        *by,
+        F.col("at.value").alias("key"),
+        F.col("at.held_by").alias("held_by"),
+        F.col("at.first").alias("first"),
+        (F.col("pos") < F.col("seeking")).alias("seeks"),
+    )
+
+
+def _spanning(lists: DataFrame) -> DataFrame:
+    """The rows (key, rid, root, seeks) of those lists whose rows lie in several components, if one seeks."""
+    ends = lists.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("seeks").alias("any"))
+    return lists.join(ends.filter("low < high and any").select("key"), "key", "left_semi")
+
+
+def _merged(lists: DataFrame, seed: int) -> DataFrame:
+    """Lists (key, rid, root, seeks) with the same least row become one, where that makes no more pairs.
+
+    The least of hashed rows is the same with the chance of their overlap.
+    """
+    size, seekers = F.count("*").cast("double").alias("rows"), F.count_if("seeks").alias("seekers")
+    each = lists.groupBy("key").agg(F.min(F.xxhash64(F.lit(seed), "rid")).alias("lead"), size, seekers)
+    apart = each.groupBy("lead").agg(F.sum(F.col("rows") * F.col("seekers")).alias("apart"), F.count("*").alias("n"))
+    named = lists.join(each.select("key", "lead"), "key")
+    union = named.groupBy("lead", "rid").agg(F.bool_or("seeks").alias("seeks")).groupBy("lead").agg(size, seekers)
+    less = union.join(apart.filter("n > 1"), "lead").filter("rows * seekers <= apart").select("lead", F.lit(True).alias("less"))
+    names = each.join(less, "lead", "left").select("key", F.when(F.col("less"), F.col("lead")).otherwise(F.col("key")).alias("name"))
+    joint = lists.join(names, "key").groupBy("name", "rid", "root").agg(F.bool_or("seeks").alias("seeks"))
+    return joint.withColumnRenamed("name", "key")
+
+
+def _merged_lists(lists: DataFrame) -> DataFrame:
+    """The lists that span components, with those of nearly the same rows as one."""
+    lists = materialize(_spanning(lists), "spanning")
+    for seed in range(MERGES):
+        lists = materialize(_merged(lists, seed), "merged")
+    return lists
+
+
+def _finer(lists: DataFrame, sets: DataFrame, percent: int, wide: int) -> DataFrame:
+    """Rows (key, rid, root, seeks) of lists within the given ones, under the rarest of ``wide`` values."""
+    named = lists.withColumnRenamed("key", "long").join(sets.select("rid", "sketch"), "rid")
+    values = named.select("long", "rid", "root", F.explode("sketch").alias("value"))
+    values = values.withColumn("value", F.xxhash64("long", "value"))
+    return _rare_lists(values, sets, ["long", "rid", "root"], percent, wide).select("key", "rid", "root", "seeks")
+
+
 def _open_links(
     lists: DataFrame,
     roots: DataFrame,
@@ -305,38 +376,49 @@ def _open_links(
 ) -> DataFrame:
     """a, b, sure across components out of the lists that still span several.
 
-    Of a list only the rows outside its largest component ask, against all its rows.
+    Lists with nearly the same rows are compared as one. Lists of more than ``tile`` rows
+    give way to lists of larger sketches, which rows that only share a passage are not in.
+    Of a list only the rows outside its largest component ask, against all its rows, or
+    those that seek, if they are fewer.
     Both are cut in parts of about ``tile`` rows and every part of askers meets every
     part of the list, so a task holds two parts however long the list is.
     """
     placed = lists.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn(
         "root", F.coalesce("root", "rid")
     )
-    placed = materialize(placed.select("key", "rid", "root"), "placed")
-    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("rows"))
+    placed = _merged_lists(placed.select("key", "rid", "root", "seeks"))
+    sets = materialize(_wide_sets(placed.select("rid").distinct(), nodes, docs, shingle, wide), "sets")
+    long = placed.groupBy("key").count().filter(F.col("count") > tile).select("key")
+    long = materialize(placed.join(long, "key", "left_semi"), "long")
+    if not long.isEmpty():
+        finer = _merged_lists(_finer(long, sets, percent, wide))
+        placed = placed.join(long.select("key").distinct(), "key", "left_anti").union(finer)
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("rows"), F.count_if("seeks").alias("seekers"))
     split = sizes.groupBy("key").agg(
-        F.max_by("root", F.struct("rows", "root")).alias("main"), F.sum("rows").alias("rows"), F.max("rows").alias("most")
+        F.max_by("root", F.struct("rows", "root")).alias("main"),
+        F.sum("rows").alias("rows"),
+        (F.sum("rows") - F.max("rows")).alias("outside"),
+        F.sum("seekers").alias("seekers"),
     )
-    parts = split.filter("most < rows").select(
+    parts = split.select(
         "key",
-        "main",
+        F.when(F.col("outside") <= F.col("seekers"), F.col("main")).alias("main"),
         F.ceil(F.col("rows") / tile).cast("int").alias("r_parts"),
-        F.ceil((F.col("rows") - F.col("most")) / tile).cast("int").alias("q_parts"),
+        F.ceil(F.least("outside", "seekers") / tile).cast("int").alias("q_parts"),
     )
-    rows = placed.join(parts, "key").withColumn("outside", F.col("root") != F.col("main"))
-    rows = materialize(rows.drop("main"), "open")
-    keys = lists.groupBy("rid").agg(F.collect_list("key").alias("keys"))  # at most a sketch
-    sets = _wide_sets(rows.select("rid").distinct(), nodes, docs, shingle, wide)
+    rows = placed.join(parts, "key").withColumn("asker", F.coalesce(F.col("root") != F.col("main"), F.col("seeks")))
+    rows = materialize(rows.drop("main", "seeks"), "open")
+    keys = rows.groupBy("rid").agg(F.collect_list("key").alias("keys"))  # at most a sketch of each size
     sets = materialize(sets.join(keys, "rid"), "sets")
     mark = F.xxhash64("rid")
 
     def copies(part: str, others: str, own: str, asks: bool, df: DataFrame) -> DataFrame:
         meets = F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias("other")
-        dealt = df.select("key", "rid", "root", "outside", F.pmod(mark, F.col(part)).cast("int").alias("own"), meets)
+        dealt = df.select("key", "rid", "root", "asker", F.pmod(mark, F.col(part)).cast("int").alias("own"), meets)
         i, j = ("own", "other") if own == "i" else ("other", "own")
-        return dealt.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(asks).alias("asks"), "rid", "root", "outside")
+        return dealt.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(asks).alias("asks"), "rid", "root", "asker")
 
-    full = copies("r_parts", "q_parts", "i", False, rows).union(copies("q_parts", "r_parts", "j", True, rows.filter("outside")))
+    full = copies("r_parts", "q_parts", "i", False, rows).union(copies("q_parts", "r_parts", "j", True, rows.filter("asker")))
     full = full.join(sets, "rid")  # the sets cross one exchange, to their tiles
     dealt = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(_tile_links(percent, keep, wide), "a long, b long, sure boolean").distinct()
@@ -368,20 +450,7 @@ def near_duplicates(
     nodes = materialize(table.join(classes.select("rid"), "rid", "left_semi"), "nodes")
 
     values = nodes.select("rid", F.explode("sketch").alias("value"))
-    lists = values.groupBy("value").agg(F.count("*").alias("held_by"), F.min("rid").alias("first"))
-    shared = values.join(lists.filter("held_by > 1"), "value")
-    per_row = shared.groupBy("rid").agg(
-        F.sort_array(F.collect_list(F.struct("held_by", "value", "first"))).alias("shared")
-    )
-    sized = per_row.join(nodes.select("rid", "n_shingles"), "rid")
-    held = F.least(F.col("n_shingles"), F.lit(keep))
-    places = held - least_shared(held, F.col("n_shingles"), percent, keep) + 1
-    rarest = (places - (held - F.size("shared"))).cast("int")  # unshared values are the rarest
-    indexed = materialize(
-        sized.filter(rarest > 0).select("rid", F.explode(F.slice("shared", 1, rarest)).alias("at"))
-        .select("rid", F.col("at.value").alias("key"), F.col("at.held_by").alias("held_by"), F.col("at.first").alias("first")),
-        "lists",
-    )
+    indexed = materialize(_rare_lists(values, nodes, ["rid"], percent, keep), "lists")
 
     proposed = indexed.filter("first <> rid").select(F.col("rid").alias("a"), F.col("first").alias("b")).distinct()
     proposed = materialize(_estimate(proposed, nodes, percent, keep), "proposed")
@@ -408,7 +477,7 @@ def near_duplicates(
 
     roots = joined(across(proposed.select("a", "b").join(best, ["a", "b"], "left_anti")))
     # A list of two rows was answered in full by its proposal.
-    long_lists = indexed.filter("held_by > 2").select("rid", "key")
+    long_lists = indexed.filter("held_by > 2").select("rid", "key", "seeks")
     found = materialize(
         _open_links(long_lists, roots, nodes, docs, shingle, percent, keep, max(keep, wide), tile), "found"
     )

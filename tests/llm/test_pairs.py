@@ -132,6 +132,30 @@ def test_rows_of_a_large_group_grow_with_its_rows(spark, monkeypatch):
     assert sizes[1]["found"] < 800
 
 
+def test_a_large_group_is_not_sent_once_for_each_list(spark, monkeypatch):
+    opened = []
+
+    def counted(df, label):
+        out = materialize(df, label)
+        if label == "open":
+            opened.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_module, "materialize", counted)
+    rows = list(enumerate(near_copies(random.Random(4), 200)))
+    rows.append((200, rows[7][1] + " one more end"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df, 85, tile=64).collect()}
+    assert got == brute.near(rows, 85)
+    assert got[200][1] == 7
+    assert sum(opened) < 5 * len(rows)  # each row has about twenty lists
+
+
+def test_no_more_is_asked_of_a_whole_set_than_its_share():
+    sizes = near_module.np.arange(1, 1100)
+    assert (near_module.least_shared(sizes, sizes, 85, 1024, near_module.np) <= near_module.np.ceil(0.85 * sizes)).all()
+
+
 def test_components_of_hubs(spark):
     star = spark.range(1, 3000).selectExpr("id as u", "0L as v").union(spark.range(3001, 4000).selectExpr("id as u", "3000L as v"))
     got = {r["node"]: r["root"] for r in components(star.union(spark.createDataFrame([(3500, 17)], "u long, v long"))).collect()}
