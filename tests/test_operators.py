@@ -475,6 +475,30 @@ def test_exact_ranks_in_blocks(spark, monkeypatch):
     assert {(r["q_id"], r["t_id"]): r["rank"] for r in got} == want
 
 
+@pytest.mark.parametrize("sent", [True, False])
+def test_exact_ranks_move_ids_only(spark, monkeypatch, sent):
+    """Asked pairs travel without vectors, targets are sent or stream past in several pieces; equal to full lists."""
+    for name, value in (("ASKED_ROWS", 30), ("TARGET_ROWS", 9), *([] if sent else [("QUERY_BYTES", 500)])):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(4)
+    sides = {"q": rng.integers(-2, 3, (7, 5)).astype(float), "t": rng.integers(-2, 3, (50, 5)).astype(float)}
+    sides["t"][7] = sides["q"][1] = 0
+    frames = {k: spark.createDataFrame([(f"{k}{i:02}", v.tolist()) for i, v in enumerate(m)], "id string, vec array<float>") for k, m in sides.items()}
+    asked = [(0, i) for i in range(50)] + [(q, t) for q in range(1, 6) for t in range(q, 50, 4 * q)]
+    df = spark.createDataFrame([(f"q{q:02}", f"t{t:02}") for q, t in asked * 2], "q_id string, t_id string")
+    made = vectors.exact_ranks(df, frames["q"], frames["t"], "id", "vec")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Cogroup" not in plan  # no copies of pairs for each block of targets
+    got = made.collect()
+    unit = {k: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for k, m in sides.items()}
+    sims = np.round(unit["q"] @ unit["t"].T, 9)
+    want = {(f"q{q:02}", f"t{t:02}"): 1 + int(sum((sims[q] > sims[q, t]) | ((sims[q] == sims[q, t]) & (np.arange(50) < t)))) for q, t in asked}
+    assert {(r["q_id"], r["t_id"]): r["rank"] for r in got} == want and len(got) == len(want)
+    assert all(abs(r["cos"] - sims[int(r["q_id"][1:]), int(r["t_id"][1:])]) < 1e-12 for r in got)
+    with pytest.raises(KeyError):
+        vectors.exact_ranks(df.union(spark.createDataFrame([("q00", "none")], df.schema)), frames["q"], frames["t"], "id", "vec")
+
+
 def test_hash_rank_with_longer_prefixes(spark, monkeypatch):
     """More rows than a bucket may hold: longer prefixes, joined instead of broadcast, same places."""
     df = spark.range(700).withColumnRenamed("id", "k")
