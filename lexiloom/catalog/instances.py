@@ -131,12 +131,12 @@ def padded(x: str) -> str:
     FROM joined JOIN masked USING (doc_id, line_no)""",
 )
 def nsp_mlm_instances(spark, sf):
-    made = instances.nsp_mlm_instances(coded_lines(spark, sf), WORDS + arrays.FIRST_PIECE, SEED)
+    made = instances.nsp_mlm_instances(coded_lines(spark, sf), WORDS + arrays.FIRST_PIECE, SEED, texts=True)
     return made.select(
         *KEYS,
         "nsp",
-        *[F.md5(render(F.col(c))).alias(f"{c}_md5") for c in ("inputs", "segments", "attention", "labels", "marks")],
-        F.aggregate("marks", F.lit(0), lambda s, x: s + x).cast("bigint").alias("n_marks"),
+        *[F.md5(c).alias(f"{c}_md5") for c in instances.INSTANCE],
+        F.length(F.translate("marks", " 0", "")).cast("bigint").alias("n_marks"),
     )
 
 

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import CLS, FIRST_PIECE, MASK, SEP, attention_mask, let, pad_fixed, segment_ids
-from ..functions.hashing import hash_int, hash_text, keyed_hash, unit_float
+from ..functions.arrays import CLS, FIRST_PIECE, MASK, PAD, SEP, let, pad_fixed
+from ..functions.hashing import hash_int, hash_text, keyed_hash, numbered_md5, unit_float
+from ..runtime import with_keys
 from .encode import encode_tokens, frame_all, pad_batch
 from .ranking import batch_length_sort, batch_rows, global_rank
 from .terms import KEYS
 
 MAX_LENGTH = 256
 PAIR_SPECIALS = 3
+INSTANCE = ("inputs", "segments", "attention", "labels", "marks")
+INSTANCE_ROWS = 1_000
 
 
 def next_sentence_pairs(
@@ -123,24 +131,103 @@ def mask_tokens(
 
 
 def nsp_mlm_instances(
-    line_ids: DataFrame, vocab_size: int, seed: int, max_length: int = MAX_LENGTH, probability: float = 0.3
+    line_ids: DataFrame, vocab_size: int, seed: int, max_length: int = MAX_LENGTH, probability: float = 0.3, texts: bool = False
 ) -> DataFrame:
     """Sentence pairs, masked, with segments and padding marks, padded to ``max_length``.
 
-    Lines are encoded once and partners joined as ids, so each text is coded once.
+    Lines are encoded once and partners joined as ids, so each text is coded once. A pair is
+    joined, masked and padded in one kernel, as :func:`join_pair`, :func:`mask_tokens` and the
+    array rules would; ``texts`` gives the padded arrays as text, one space between ids,
+    whose padding is written and not built.
     """
     pairs = next_sentence_pairs(line_ids, seed, carry=["ids"])
-    joined = pairs.select(*KEYS, "nsp", join_pair(F.col("ids"), F.col("ids_b"), max_length).alias("ids"))
-    masked = mask_tokens(joined, KEYS, vocab_size, seed, probability)
-    return masked.select(
-        *KEYS,
-        "nsp",
-        pad_fixed(F.col("inputs"), max_length).alias("inputs"),
-        pad_fixed(segment_ids(F.col("ids")), max_length).alias("segments"),
-        pad_fixed(attention_mask(F.col("ids")), max_length).alias("attention"),
-        pad_fixed(F.col("labels"), max_length).alias("labels"),
-        pad_fixed(F.col("marks"), max_length).alias("marks"),
-    )
+    kind = "string" if texts else "array<int>"
+    schema = with_keys(pairs, KEYS, "nsp int, " + ", ".join(f"{c} {kind}" for c in INSTANCE))
+    rows = pairs.select(*KEYS, "nsp", hash_text(seed, *KEYS).alias("row"), "ids", "ids_b")
+    return rows.mapInArrow(_instance_batches(vocab_size, str(seed), max_length, float(probability), texts), schema)
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``starts``, one run behind the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _joined(a: pa.Array, b: pa.Array, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows, one behind the other, and their sizes, as of :func:`join_pair`."""
+    na, nb = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
+    short = np.minimum(np.minimum(na, nb), room // 2)
+    long = np.minimum(np.maximum(na, nb), room - short)
+    kept = np.where(na <= nb, short, long), np.where(na <= nb, long, short)
+    sizes = kept[0] + kept[1] + PAIR_SPECIALS
+    ends = np.cumsum(sizes)
+    ids = np.full(sizes.sum(), SEP, np.int32)
+    ids[ends - sizes] = CLS
+    for side, n, own, start in ((a, na, kept[0], ends - sizes + 1), (b, nb, kept[1], ends - 1 - kept[1])):
+        ids[_spans(start, own)] = side.flatten().to_numpy(zero_copy_only=False)[_spans(np.cumsum(n) - n, own)]
+    return ids, sizes
+
+
+def _masked(ids, row, at, texts: list[bytes], drawn_texts: list[bytes], vocab_size: int, probability: float):
+    """Inputs and marks as of :func:`mask_tokens`; only open positions are hashed, as closed ones come last."""
+    opened = np.flatnonzero((ids != CLS) & (ids != SEP))
+    own = row[opened]
+    count = np.bincount(own, minlength=len(texts))
+    marked = np.ceil(count * probability).astype(np.int64)
+    masked = np.ceil(marked * 0.8).astype(np.int64)
+    drawn = np.ceil((marked - masked) * 0.5).astype(np.int64)
+    head, tail = numbered_md5(texts, own, at[opened])
+    order = np.lexsort((head, own))
+    if ((head[order][1:] == head[order][:-1]) & (own[order][1:] == own[order][:-1])).any():
+        order = np.lexsort((tail, head, own))
+    place = np.arange(len(own)) - (np.cumsum(count) - count)[own]  # rows keep their order
+    spot, inputs, marks = opened[order], ids.copy(), np.zeros(len(ids), np.int32)
+    marks[spot[place < marked[own]]] = 1
+    inputs[spot[place < masked[own]]] = MASK
+    other = spot[(place >= masked[own]) & (place < (masked + drawn)[own])]
+    head, _ = numbered_md5(drawn_texts, row[other], at[other])
+    inputs[other] = FIRST_PIECE + ((head >> np.uint64(4)) % np.uint64(vocab_size - FIRST_PIECE)).astype(np.int32)
+    return inputs, marks
+
+
+def _instance_batches(vocab_size: int, seed: str, max_length: int, probability: float, texts: bool):
+    """Arrow batches of keys, nsp, the row's hashed text and both sides' ids to instances."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        padding = pa.array([" 0" * n for n in range(max_length + 1)])
+
+        def shown(values: np.ndarray, row: np.ndarray, at: np.ndarray, sizes: np.ndarray, digits: bool) -> pa.Array:
+            if texts and not digits:
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                own = pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(values).cast(pa.string())), " ")
+                return pc.binary_join_element_wise(own, padding.take(pa.array(max_length - sizes)), "")
+            padded = np.full((len(sizes), max_length), PAD, np.int32)
+            padded[row, at] = values
+            if not texts:
+                return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * max_length, pa.int32()), pa.array(padded.ravel()))
+            width = 2 * max_length - 1
+            written = np.full((len(sizes), width), ord(" "), np.uint8)
+            written[:, ::2] = padded + ord("0")
+            ends = np.arange(len(sizes) + 1, dtype=np.int32) * width
+            return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(written))
+
+        for whole in batches:
+            for low in range(0, len(whole), INSTANCE_ROWS):
+                batch = whole.slice(low, INSTANCE_ROWS)
+                ids, sizes = _joined(batch.column("ids"), batch.column("ids_b"), max_length - PAIR_SPECIALS)
+                row = np.repeat(np.arange(len(batch)), sizes)
+                at = np.arange(len(ids)) - (np.cumsum(sizes) - sizes)[row]
+                keys = [x.encode() + b":" for x in batch.column("row").to_pylist()]
+                drawn = [seed.encode() + b"r" + x[len(seed.encode()) :] for x in keys]
+                inputs, marks = _masked(ids, row, at, keys, drawn, vocab_size, probability)
+                ends = np.flatnonzero(ids == SEP)[::-1]
+                first = np.zeros(len(batch), np.int64)
+                first[row[ends]] = at[ends]  # of several, the first is written last
+                segments, attention = 1 + (at > first[row]), ids != PAD
+                columns = zip((inputs, segments, attention, ids, marks), (False, True, True, False, True))
+                made = [shown(x, row, at, sizes, digits) for x, digits in columns]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*KEYS, "nsp")), *made], names=[*KEYS, "nsp", *INSTANCE])
+
+    return run
 
 
 def seq2seq_instances(

@@ -1,6 +1,7 @@
 """Operators on small fixtures, with brute-force counterparts and uneven keys."""
 
 import collections
+import hashlib
 import math
 import random
 
@@ -9,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom.functions import arrays, hashing
 from lexiloom.functions.arrays import MASK
 from lexiloom.catalog import QUERIES, evaluation, learning
 from lexiloom.operators import encode, evaluate, instances, joins, ml, ranking, splits, subwords, terms, vectors, vocab
@@ -475,6 +477,33 @@ def test_exact_ranks_in_blocks(spark, monkeypatch):
     assert {(r["q_id"], r["t_id"]): r["rank"] for r in got} == want
 
 
+@pytest.mark.parametrize("length", [3, 52, 70])
+def test_numbered_md5(length):
+    texts = [bytes(random.Random(k).choices(range(1, 256), k=max(0, length - k))) for k in range(5)]
+    row, number = np.repeat(np.arange(5), 300), np.tile(np.arange(300), 5)
+    head, tail = hashing.numbered_md5(texts, row, number)
+    want = [hashlib.md5(texts[r] + str(i).encode()).hexdigest() for r, i in zip(row, number)]
+    assert [f"{x:016x}{y:016x}" for x, y in zip(head.tolist(), tail.tolist())] == want
+
+
+@pytest.mark.parametrize("length", [256, 12])
+def test_instances_in_one_kernel(spark, length):
+    """Instances equal those that the array rules make row by row, as arrays and as text, without being built as arrays in the plan."""
+    rng = random.Random(2)
+    rows = [(d, k, 4, [rng.randrange(1, 40) for _ in range(rng.choice([0, 1, 3, 9, 200]))]) for d in range(12) for k in range(1, 5)]
+    lines = spark.createDataFrame(rows, "doc_id long, line_no int, n_lines int, ids array<int>")
+    pairs = instances.next_sentence_pairs(lines, 7, carry=["ids"])
+    joined = pairs.select(*KEYS, "nsp", instances.join_pair(F.col("ids"), F.col("ids_b"), length).alias("ids"))
+    masked = instances.mask_tokens(joined, KEYS, 900, 7)
+    columns = (F.col("inputs"), arrays.segment_ids(F.col("ids")), arrays.attention_mask(F.col("ids")), F.col("labels"), F.col("marks"))
+    want = masked.select(*KEYS, "nsp", *[arrays.pad_fixed(c, length).alias(n) for c, n in zip(columns, instances.INSTANCE)])
+    made = instances.nsp_mlm_instances(lines, 900, 7, length)
+    assert "transform" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.orderBy(*KEYS).collect() == want.orderBy(*KEYS).collect()
+    text = instances.nsp_mlm_instances(lines, 900, 7, length, texts=True).orderBy(*KEYS).collect()
+    assert text == want.select(*KEYS, "nsp", *[encode.render(F.col(c)).alias(c) for c in instances.INSTANCE]).orderBy(*KEYS).collect()
+
+
 @pytest.mark.parametrize("sent", [True, False])
 def test_exact_ranks_move_ids_only(spark, monkeypatch, sent):
     """Asked pairs travel without vectors, targets are sent or stream past in several pieces; equal to full lists."""
